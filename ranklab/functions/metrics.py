@@ -241,13 +241,13 @@ def judge(run: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def evaluate_wide(run: DataFrame, qrels: DataFrame, measures: list[str],
-                  tie: str = "docno_desc") -> DataFrame:
+                  tie: str = "docno_desc", keys: list[str] | None = None) -> DataFrame:
     """Per list (system?, qid, vid?): one column per measure (and
     ``<name>_res`` for RBP residuals). Queries absent from qrels are dropped
     (trec_eval); gdeval measures are null for queries without a positive
     grade."""
     ms = [parse_measure(x) for x in measures]
-    keys = list_keys(run)
+    keys = list(keys) if keys else list_keys(run)
     judged = judge(run.select(*keys, "did", "score"), qrels)
     order = score_order("score", tie)
     need_hits = any(m.kind == "AP" for m in ms)
