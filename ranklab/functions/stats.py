@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # -- scalar numerics (pure Python, used inside the pandas UDFs) --------------
 
@@ -98,19 +99,19 @@ def t_quantile(prob: float, df: float) -> float:
 
 # -- vectorised columns ------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_sf2(float(a), float(b)) if pd.notna(a) and pd.notna(b) else np.nan
                       for a, b in zip(t, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_sf(float(a), float(b), float(c)) if pd.notna(a) else np.nan
                       for a, b, c in zip(f, d1, d2)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_crit(prob: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(float(p), float(d)) if pd.notna(d) and d > 0 else np.nan
                       for p, d in zip(prob, df)])

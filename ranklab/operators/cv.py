@@ -36,10 +36,10 @@ def cv_auto(evals: DataFrame, k: int = 5, shuffle: bool = False, seed: int = 0)
     value)."""
     folds = assign_folds(evals.select("qid"), k, shuffle, seed)
     e = evals.join(folds, "qid")
-    per_fold = e.groupBy("params", "metric", "fold").agg(F.sum("value").alias("_s"), F.count("*").alias("_n"))
-    tot = per_fold.groupBy("params", "metric").agg(F.sum("_s").alias("_S"), F.sum("_n").alias("_N"))
+    per_fold = e.groupBy("params", "metric", "fold").agg(F.sum("value").alias("_fs"), F.count("*").alias("_fn"))
+    tot = per_fold.groupBy("params", "metric").agg(F.sum("_fs").alias("_ts"), F.sum("_fn").alias("_tn"))
     train = per_fold.join(tot, ["params", "metric"]).select(
-        "params", "metric", "fold", ((F.col("_S") - F.col("_s")) / (F.col("_N") - F.col("_n"))).alias("train_mean"))
+        "params", "metric", "fold", ((F.col("_ts") - F.col("_fs")) / (F.col("_tn") - F.col("_fn"))).alias("train_mean"))
     best = top_k(train, ["metric", "fold"], [F.col("train_mean").desc(), F.col("params")], 1, "_b").drop("_b")
     return e.join(best.select("metric", "fold", "params", "train_mean"), ["metric", "fold", "params"]) \
         .select("metric", "qid", "fold", "params", "train_mean", "value")

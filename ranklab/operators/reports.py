@@ -39,9 +39,9 @@ def delta_table(evals: DataFrame, base: str, metric: str, overlapped: bool = Fal
         "system", "qid", (F.col("value") - F.col("_b")).alias("delta"))
     d = d.withColumn("flag", F.when(F.col("delta") < 0, "Bad").otherwise("Good"))
     if not overlapped:
-        return rank_rows(d, ["system"], [F.col("delta").desc(), F.col("qid")], "position")
+        return rank_rows(d, ["system"], [F.round("delta", 9).desc(), F.col("qid")], "position")
     d = d.where(F.col("delta") != 0).withColumn("delta", F.abs("delta"))
-    return rank_rows(d, ["system", "flag"], [F.col("delta").desc(), F.col("qid")], "position")
+    return rank_rows(d, ["system", "flag"], [F.round("delta", 9).desc(), F.col("qid")], "position")
 
 
 def value_histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ("system",),

@@ -146,8 +146,40 @@ VIEW_SQL: dict[str, str] = {
     "corpus": "SELECT doc_id AS did, text FROM documents",
 }
 
+# Per-query evaluations of the three systems (P_10 and ndcg_cut_10, trec_eval
+# tie rule), long format: the input of significance tests, CV and reports.
+VIEW_SQL["evals"] = """WITH ranked AS (
+    SELECT r.system, r.qid, q.rel,
+           row_number() OVER (PARTITION BY r.system, r.qid ORDER BY r.score DESC, CAST(r.did AS VARCHAR) DESC) AS rank
+    FROM runs r LEFT JOIN qrels q ON r.qid = q.qid AND r.did = q.did),
+  per AS (
+    SELECT system, qid,
+           sum(CASE WHEN rank <= 10 AND rel > 0 THEN 1 ELSE 0 END) / 10.0 AS p10,
+           sum(CASE WHEN rank <= 10 THEN greatest(coalesce(rel, 0), 0) / log2(rank + 1.0) ELSE 0 END) AS dcg10
+    FROM ranked GROUP BY system, qid),
+  ideal AS (
+    SELECT qid, sum(rel / log2(rn + 1.0)) AS idcg
+    FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, did) AS rn
+          FROM qrels WHERE rel > 0) t
+    WHERE rn <= 10 GROUP BY qid),
+  base AS (
+    SELECT p.system, p.qid, p.p10,
+           CASE WHEN coalesce(i.idcg, 0) > 0 THEN p.dcg10 / i.idcg ELSE 0 END AS nd10
+    FROM per p LEFT JOIN ideal i ON i.qid = p.qid
+    WHERE p.qid IN (SELECT qid FROM qrels))
+  SELECT system, 'P_10' AS metric, qid, p10 AS value FROM base
+  UNION ALL
+  SELECT system, 'ndcg_cut_10' AS metric, qid, nd10 AS value FROM base"""
+
 # dependencies (a view must come after the ones it reads)
-_DEPS = {"runs": ["run_a", "run_b", "run_c"], "variants": ["run_a"]}
+_DEPS = {"runs": ["run_a", "run_b", "run_c"], "variants": ["run_a"], "evals": ["runs", "qrels"]}
+
+
+def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark twin of the ``evals`` view, computed by the metric engine."""
+    from ..functions.metrics import evaluate
+    return evaluate(runs(spark, sf_dir), qrels(spark, sf_dir), ["P_10", "ndcg_cut_10"]) \
+        .select("system", "metric", "qid", "value")
 
 
 def with_views(sql: str, *names: str) -> str:
