@@ -190,12 +190,13 @@ def filter_oracle_run(run: DataFrame, qrels: DataFrame, n: int, min_rel: int = 1
     """
     keys = [c for c in ("system", "qid") if c in run.columns]
     ranked = rerank(run, tie, keys, "_run_rank")
-    judged = ranked.join(qrels.select("qid", "did", "rel"), ["qid", "did"], "inner").where(F.col("rel") >= 0)
+    judged = (ranked.join(qrels.select("qid", "did", "rel"), ["qid", "did"], "left")
+              .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0))).where(F.col("rel") >= 0))
     lvl = F.least(F.col("rel"), F.lit(min_rel))
     kept = top_k(judged.withColumn("_lvl", lvl), keys, [F.col("_lvl").desc(), F.col("_run_rank")], n, "_pick")
     w = Window.partitionBy(*keys).orderBy("_run_rank")
     return kept.select(*keys, "did", "score", F.row_number().over(w).alias("rank"),
-                       F.concat(F.lit("rel"), F.col("_lvl").cast("string")).alias("tag"))
+                       F.concat(F.lit("rel"), F.col("rel").cast("string")).alias("tag"))
 
 
 def sort_by_relevance(labelled: DataFrame, tie: str = "docno_desc") -> DataFrame:
