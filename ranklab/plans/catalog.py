@@ -34,7 +34,7 @@ def r6(c: Column | str) -> Column:
 def load_all() -> None:
     """Import every query module (each registers on import)."""
     import importlib
-    for mod in ("q_eval", "q_select", "q_groups", "q_fusion", "q_stats", "q_text", "q_arrays", "q_io"):
+    for mod in ("q_eval", "q_select", "q_groups", "q_fusion", "q_stats", "q_text", "q_arrays", "q_io", "q_stream"):
         try:
             importlib.import_module(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
