@@ -28,12 +28,22 @@ from ..session import broadcast_if_small
 from .rank import top_k
 
 
-def postings(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(did, term, tf) and (did, dl) from raw text."""
+def postings(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(did, term, tf, dl) from raw text in ONE tokenisation pass: each
+    posting carries its document's length, so no lengths table is joined."""
     toks = corpus.select("did", tokenize(F.col(text)).alias("t"))
-    lens = toks.select("did", F.size("t").alias("dl"))
-    post = toks.select("did", F.explode("t").alias("term")).groupBy("did", "term").agg(F.count("*").alias("tf"))
-    return post, lens
+    ex = toks.select("did", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return ex.groupBy("did", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
+def build_index(corpus: DataFrame, text: str = "text") -> dict[str, DataFrame]:
+    """Postings and collection statistics: N counts every document (also
+    those without tokens), C = total tokens (Σ tf over the postings)."""
+    post = postings(corpus, text)
+    n = corpus.agg(F.count("*").alias("N"))
+    c = post.agg(F.sum("tf").alias("C"))
+    coll = n.crossJoin(c).select("N", "C", (F.col("C") / F.col("N")).alias("avgdl"))
+    return {"post": post, "coll": coll}
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -45,22 +55,22 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 def retrieve(queries: DataFrame, corpus: DataFrame, model: str = "bm25", k: int = 100,
              k1: float = 0.9, b: float = 0.4, mu: float = 1000.0,
-             working_set: DataFrame | None = None) -> DataFrame:
+             working_set: DataFrame | None = None, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Batch top-k retrieval. ``bm25`` (Robertson idf ln(1 + (N − df +
     0.5)/(df + 0.5))) or ``ql`` (Dirichlet-smoothed query likelihood, rank
     equivalent form Σ qtf·ln(1 + tf/(μ·P(t|C))) + |q|·ln(μ/(dl + μ))).
     ``working_set`` (qid, did) restricts the candidates (R7)."""
-    post, lens = postings(corpus)
+    ix = index or build_index(corpus)
+    post, coll = ix["post"], ix["coll"]
     qt = query_terms(queries)
     qterms = broadcast_if_small(qt)
     hits = post.join(qterms, "term")  # only postings of query terms survive
     if working_set is not None:
         hits = hits.join(working_set.select("qid", "did").distinct(), ["qid", "did"], "left_semi")
-    coll = lens.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("C"))
     used = qt.select("term").distinct()
     tstats = post.join(broadcast_if_small(used), "term", "left_semi").groupBy("term") \
         .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    h = hits.join(tstats, "term").join(lens, "did").crossJoin(F.broadcast(coll))
+    h = hits.join(tstats, "term").crossJoin(F.broadcast(coll))
     if model == "bm25":
         idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
@@ -85,7 +95,7 @@ def working_set(run: DataFrame) -> DataFrame:
 
 
 def relevance_model(run: DataFrame, corpus: DataFrame, ndocs: int = 10, stopwords: DataFrame | None = None,
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", index: dict[str, DataFrame] | None = None) -> DataFrame:
     """RM1 from the top ``ndocs`` documents of each query: document weights
     softmax(score) (computed as exp(s − max s)), P(t) = Σ_d w_d·tf/len, then
     stop words removed and the distribution renormalised. (qid, term, p)."""
@@ -93,9 +103,11 @@ def relevance_model(run: DataFrame, corpus: DataFrame, ndocs: int = 10, stopword
     wq = Window.partitionBy("qid")
     z = F.exp(F.col("score") - F.max("score").over(wq))
     w = top.withColumn("_z", z).withColumn("w", F.col("_z") / F.sum("_z").over(wq)).select("qid", "did", "w")
-    docs = corpus.join(w.select("did").distinct(), "did", "left_semi")
-    post, lens = postings(docs, text)
-    j = w.join(post, "did").join(lens, "did")
+    if index is not None:
+        post = index["post"]
+    else:
+        post = postings(corpus.join(w.select("did").distinct(), "did", "left_semi"), text)
+    j = w.join(post, "did")
     rm = j.groupBy("qid", "term").agg(F.sum(F.col("w") * F.col("tf") / F.col("dl")).alias("p"))
     if stopwords is not None:
         rm = rm.join(F.broadcast(stopwords.select("term")), "term", "left_anti")

@@ -139,8 +139,9 @@ def rescore_working_set(spark, sf_dir):
     """R7 + P13: BM25 candidates re-scored by query likelihood inside the
     working set, scores × query length (rows-only)."""
     q, c = V.queries(spark, sf_dir), V.corpus(spark, sf_dir)
-    ws = R.working_set(R.retrieve(q, c, "bm25", 100))
-    ql = R.retrieve(q, c, "ql", 100, working_set=ws)
+    ix = R.build_index(c)
+    ws = R.working_set(R.retrieve(q, c, "bm25", 100, index=ix))
+    ql = R.retrieve(q, c, "ql", 100, working_set=ws, index=ix)
     from ..operators.select import rescale_by_query_length
     return rescale_by_query_length(ql, _query_tokens(spark, sf_dir)).select("qid", "did", "rank", r6("score").alias("score"))
 
@@ -167,8 +168,9 @@ def relevance_model(spark, sf_dir):
     """R1 + R2 + R5: RM1 from the top 10 BM25 documents, stop words removed,
     interpolated with the query model (lambda 0.5); top 20 terms."""
     q, c = V.queries(spark, sf_dir), V.corpus(spark, sf_dir)
-    run = R.retrieve(q, c, "bm25", 10)
-    rm = R.relevance_model(run, c, 10, X.stopwords_df(spark))
+    ix = R.build_index(c)
+    run = R.retrieve(q, c, "bm25", 10, index=ix)
+    rm = R.relevance_model(run, c, 10, X.stopwords_df(spark), index=ix)
     mix = R.rm3_interpolate(q, rm, 0.5)
     top = R.rm_top_terms(mix.withColumn("p", F.round("p", 12)), 20)
     return top.select("qid", "term", "rank", r6("p").alias("p"))
@@ -178,7 +180,8 @@ def relevance_model(spark, sf_dir):
 def rm3_queries(spark, sf_dir):
     """R3 + R4: expanded query strings for a lambda x nterms sweep (rows-only)."""
     q, c = V.queries(spark, sf_dir), V.corpus(spark, sf_dir)
-    rm = R.relevance_model(R.retrieve(q, c, "bm25", 10), c, 10, X.stopwords_df(spark))
+    ix = R.build_index(c)
+    rm = R.relevance_model(R.retrieve(q, c, "bm25", 10, index=ix), c, 10, X.stopwords_df(spark), index=ix)
     return R.rm3_sweep(q, rm, [0.0, 0.5, 1.0], [5, 10])
 
 

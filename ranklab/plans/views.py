@@ -107,7 +107,10 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), "text")
+    """Whole documents; text work is per-row heavy, so the scan is spread
+    over the cluster when it arrives in too few partitions."""
+    from ..session import ensure_parallelism
+    return ensure_parallelism(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), "text"))
 
 
 # --------------------------------------------------------------------------
