@@ -268,7 +268,9 @@ def evaluate_wide(run: DataFrame, qrels: DataFrame, measures: list[str],
             for name, expr in running.items():
                 ranked = ranked.withColumn(name, F.sum(expr).over(w))
     else:
-        ranked = rank_rows(judged, keys, order, "rank", running)
+        from ..operators.rank import hot_groups
+        hot = hot_groups(run, keys)  # detected on the run, before the join
+        ranked = rank_rows(judged, keys, order, "rank", running, hot=hot)
 
     aggs: dict[str, Column] = {}
     for m in ms:

@@ -19,14 +19,18 @@ def assign_folds(qids: DataFrame, k: int = 5, shuffle: bool = False, seed: int =
     """Fold number 1..k per query. Contiguous: the first n mod k folds are one
     larger (= ntile). Shuffled: contiguous over a seeded hash order."""
     order = [F.xxhash64(F.col("qid"), F.lit(seed)), F.col("qid")] if shuffle else [F.col("qid")]
-    ranked = global_rank(qids.select("qid").distinct(), order, "_pos")
-    n = qids.select("qid").distinct().count()
-    # ntile(k) on positions 1..n: first (n mod k) tiles have ceil(n/k) rows
-    q, r = divmod(n, k)
+    distinct = qids.select("qid").distinct()
+    ranked = global_rank(distinct, order, "_pos")
+    # ntile(k) on positions 1..n: the first (n mod k) tiles have one more row;
+    # n joins in as a one-row aggregate (no driver round trip)
+    n = distinct.agg(F.count("*").alias("_n"))
+    j = ranked.crossJoin(F.broadcast(n))
+    q = F.floor(F.col("_n") / k)
+    r = F.col("_n") % k
     big = r * (q + 1)
     fold = F.when(F.col("_pos") <= big, F.floor((F.col("_pos") - 1) / (q + 1)) + 1) \
-        .otherwise(F.floor((F.col("_pos") - 1 - big) / F.lit(max(q, 1))) + r + 1)
-    return ranked.select("qid", fold.cast("int").alias("fold"))
+        .otherwise(F.floor((F.col("_pos") - 1 - big) / F.greatest(q, F.lit(1))) + r + 1)
+    return j.select("qid", fold.cast("int").alias("fold"))
 
 
 def cv_auto(evals: DataFrame, k: int = 5, shuffle: bool = False, seed: int = 0) -> DataFrame:

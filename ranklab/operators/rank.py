@@ -64,13 +64,24 @@ def _hot_groups(df: DataFrame, keys: Sequence[str], threshold: int):
             .select(*keys).collect())
 
 
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list:
+    """Keys of the groups to split (see :func:`rank_rows`); callers detect
+    on the narrowest frame that has the same groups (e.g. a run before its
+    join with judgments) and pass the result on."""
+    spark = df.sparkSession
+    threshold = hot_rows if hot_rows is not None else conf_int(spark, HOT_ROWS_KEY, DEFAULT_HOT_ROWS)
+    return [] if threshold <= 0 else _hot_groups(df.select(*keys), keys, threshold)
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
               rank_col: str = "rank", running: dict[str, Column] | None = None,
-              hot_rows: int | None = None) -> DataFrame:
+              hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Row number per group in ``order`` plus inclusive running sums.
 
     ``running`` maps output column → numeric expression; the output holds the
     sum of that expression over the rows ranked at or above each row.
+    ``hot`` (from :func:`hot_groups`) skips the detection pass. Skew handling
+    only changes speed: both paths give identical ranks.
     """
     running = dict(running or {})
     spark = df.sparkSession
@@ -84,9 +95,10 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             d = d.withColumn(name, F.sum(expr).over(wrun))
         return d
 
-    if threshold <= 0:
-        return windowed(df)
-    hot = _hot_groups(df, keys, threshold)
+    if hot is None:
+        if threshold <= 0:
+            return windowed(df)
+        hot = _hot_groups(df.select(*keys), keys, threshold)
     if not hot:
         return windowed(df)
 
