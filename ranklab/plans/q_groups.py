@@ -211,3 +211,17 @@ SELECT id, pos AS doc FROM triples UNION ALL SELECT id, neg AS doc FROM triples
 def triples_to_pairs(spark, sf_dir):
     """G18."""
     return G.triples_to_pairs(_triples(spark, sf_dir))
+
+
+@register("merge_nested", """
+SELECT 'nation/' || CAST(s_nationkey AS VARCHAR) || '/region' AS path, CAST(any_value(n_regionkey) AS VARCHAR) AS value
+FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey
+""")
+def merge_nested(spark, sf_dir):
+    """Deep merge of per-supplier nested maps given as leaves
+    (nation/<k>/region → region); equal leaves merge (a conflict raises)."""
+    s = V.table(spark, sf_dir, "supplier").join(V.table(spark, sf_dir, "nation"),
+                                                F.col("n_nationkey") == F.col("s_nationkey"))
+    leaves = s.select(F.concat(F.lit("nation/"), F.col("s_nationkey").cast("string"), F.lit("/region")).alias("path"),
+                      F.col("n_regionkey").cast("string").alias("value"))
+    return G.merge_nested(leaves)

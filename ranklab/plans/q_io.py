@@ -266,3 +266,19 @@ def queries_tsv(spark, sf_dir):
     flat = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
     lines = q.select(F.concat_ws("\t", F.col("qid").cast("string"), flat).alias("value"))
     return S.parse_queries(lines, "\t", 0, 1)
+
+
+@register("gzip_run_files", """
+SELECT CAST(qid AS VARCHAR) AS qid, count(*) AS n, CAST(sum(score) AS DOUBLE) AS total FROM run_b GROUP BY qid
+""", ("run_b",))
+def gzip_run_files(spark, sf_dir):
+    """S15 + K1: run_b written as gzip-compressed run files in the shared
+    checkpoint folder and read back with the run reader."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "run-gz")
+    run = rerank(V.run(spark, sf_dir, "b"))
+    lines = K.format_run(run)
+    (lines.repartitionByRange(4, "_k").sortWithinPartitions("_k", "rank").select("value")
+     .write.option("compression", "gzip").text(path))
+    back = S.read_run(spark, path)
+    return back.groupBy("qid").agg(F.count("*").alias("n"), F.sum("score").alias("total"))

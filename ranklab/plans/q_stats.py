@@ -298,3 +298,95 @@ FROM (SELECT DISTINCT system FROM evals) x JOIN (SELECT DISTINCT system FROM eva
 def system_pairs(spark, sf_dir):
     """Unordered pairs of systems."""
     return CMP.all_pairs(V.evals(spark, sf_dir))
+
+
+@register("delta_overlapped", """
+WITH b AS (SELECT qid, value AS bv FROM evals WHERE system = 'a' AND metric = 'ndcg_cut_10'),
+     d AS (SELECT e.system, e.qid, e.value - b.bv AS delta FROM evals e JOIN b USING (qid)
+           WHERE e.metric = 'ndcg_cut_10' AND e.system <> 'a'),
+     nz AS (SELECT system, qid, abs(delta) AS delta, CASE WHEN delta < 0 THEN 'Bad' ELSE 'Good' END AS flag
+            FROM d WHERE delta <> 0)
+SELECT system, qid, round(delta, 6) AS delta, flag,
+       row_number() OVER (PARTITION BY system, flag ORDER BY round(delta, 9) DESC, qid) AS position
+FROM nz
+""", _EV)
+def delta_overlapped(spark, sf_dir):
+    """V2 overlapped + P14: zero deltas dropped, absolute values, position
+    within each Good/Bad flag."""
+    d = RP.delta_table(V.evals(spark, sf_dir), "a", "ndcg_cut_10", overlapped=True)
+    return d.select("system", "qid", r6("delta").alias("delta"), "flag", "position")
+
+
+@register("common_metrics", """
+WITH e AS (SELECT system, metric FROM evals WHERE NOT (system = 'c' AND metric = 'P_10')),
+     n AS (SELECT count(DISTINCT system) AS n FROM e)
+SELECT metric, 'common' AS kind, CAST(NULL AS VARCHAR) AS system FROM e GROUP BY metric
+HAVING count(DISTINCT system) = (SELECT n FROM n)
+UNION ALL
+SELECT DISTINCT metric, 'other' AS kind, system FROM e
+WHERE metric NOT IN (SELECT metric FROM e GROUP BY metric HAVING count(DISTINCT system) = (SELECT n FROM n))
+""", _EV)
+def common_metrics(spark, sf_dir):
+    """Metrics present for every system (system c reports no P_10 here),
+    and per system the ones disregarded."""
+    ev = V.evals(spark, sf_dir).where(~((F.col("system") == "c") & (F.col("metric") == "P_10")))
+    common, other = SEL.common_metrics(ev)
+    return common.select("metric", F.lit("common").alias("kind"), F.lit(None).cast("string").alias("system")) \
+        .unionByName(other.select("metric", F.lit("other").alias("kind"), "system"))
+
+
+@register("concat_describe_runs", """
+SELECT system, count(DISTINCT qid) AS n_queries, count(*) AS n_rows FROM runs GROUP BY system
+""", ("runs",))
+def concat_describe_runs(spark, sf_dir):
+    """U3 + G14: three runs stacked under system names, then described."""
+    frames = {s: V.run(spark, sf_dir, s) for s in ("a", "b", "c")}
+    stacked = SEL.concat_systems(frames)
+    return stacked.groupBy("system").agg(F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_rows"))
+
+
+@register("params_cv_manual", """
+WITH e AS (SELECT 'model=' || system AS params, metric, qid, value FROM evals),
+     f AS (SELECT qid, ntile(5) OVER (ORDER BY qid) AS fold FROM (SELECT DISTINCT qid FROM e) q),
+     p AS (SELECT 'cv/' || e.params || '-k=10_fold=' || CAST(f.fold AS VARCHAR) || '.eval' AS path, e.metric, e.qid, e.value,
+                  f.fold FROM e JOIN f USING (qid)),
+     parsed AS (SELECT regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1) AS stem, * FROM p),
+     toks AS (SELECT *, regexp_extract_all(stem, '([^-_/]+=[^-_/]+)', 1) AS t FROM parsed),
+     pf AS (SELECT array_to_string(list_filter(t, lambda x: NOT starts_with(x, 'fold=')), '-') AS params,
+                   split_part(list_filter(t, lambda x: starts_with(x, 'fold='))[1], '=', 2) AS fold, metric, qid, value FROM toks),
+     tm AS (SELECT fold, metric, params, avg(value) AS train_mean FROM pf p2
+            GROUP BY fold, metric, params),
+     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, metric ORDER BY train_mean DESC, params) AS rn
+                             FROM tm) b WHERE rn = 1)
+SELECT pf.metric, pf.qid, pf.fold, pf.params, round(best.train_mean, 6) AS train_mean, round(pf.value, 6) AS value
+FROM pf JOIN best USING (fold, metric, params)
+""", _EV)
+def params_cv_manual(spark, sf_dir):
+    """S16 + C2: settings and folds parsed from evaluation file paths
+    (``model=a-k=10_fold=3.eval``); per fold the best setting by its mean
+    picks the reported values (here train = test files of the fold)."""
+    ev = V.evals(spark, sf_dir).withColumn("params", F.concat(F.lit("model="), F.col("system")))
+    folds = CV.assign_folds(ev.select("qid"), 5)
+    p = ev.join(folds, "qid").withColumn(
+        "path", F.concat(F.lit("cv/"), F.col("params"), F.lit("-k=10_fold="), F.col("fold").cast("string"), F.lit(".eval")))
+    params, fold = CV.params_from_path(F.col("path"))
+    pf = p.select(params.alias("params"), fold.alias("fold"), "metric", "qid", "value")
+    out = CV.cv_manual(pf, pf)
+    return out.select("metric", "qid", "fold", "params", r6("train_mean").alias("train_mean"), r6("value").alias("value"))
+
+
+@register("load_grid", """
+WITH grid AS (SELECT 'model=' || s AS params FROM (VALUES ('a'), ('b'), ('c'), ('d')) t(s)),
+     e AS (SELECT 'model=' || system AS params, metric, qid, value FROM evals)
+SELECT g.params, count(e.qid) AS n_rows, count(e.qid) = 0 AS missing FROM grid g LEFT JOIN e USING (params) GROUP BY g.params
+""", _EV)
+def load_grid(spark, sf_dir):
+    """C5 + J6: evaluations of every setting of a grid (model a..d; d was
+    never run) and the missing settings."""
+    from ..operators.select import sweep_grid
+    grid = sweep_grid(params=[f"model={s}" for s in "abcd"])
+    ev = V.evals(spark, sf_dir).withColumn("params", F.concat(F.lit("model="), F.col("system")))
+    found, missing = CV.load_grid(grid, ev)
+    n = found.groupBy("params").agg(F.count("*").alias("n_rows"))
+    return grid.join(n, "params", "left").join(missing.withColumn("missing", F.lit(True)), "params", "left") \
+        .select("params", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("missing", F.lit(False)).alias("missing"))
