@@ -163,9 +163,12 @@ def fuse_variants(run: DataFrame, scores: DataFrame, weighted: bool = False,
 
 def _candidate_eval(cands: DataFrame, run: DataFrame, qrels: DataFrame, metric: str,
                     k: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Fuse every candidate (qid, cand, vid) and score it with ``metric``."""
-    lists = run.join(cands, ["qid", "vid"])
-    fused = rrf_scores(lists, ["qid", "cand", "vid"], ["qid", "cand"], k, depth)
+    """Fuse every candidate (qid, cand, vid) and score it with ``metric``.
+    Each variant list is ranked and cut to ``depth`` once, before the
+    candidates multiply it."""
+    cut = top_k(run, ["qid", "vid"], score_order(), depth, "_r")
+    contrib = cut.join(cands, ["qid", "vid"]).select("qid", "cand", "did", (1.0 / (k + F.col("_r"))).alias("_c"))
+    fused = contrib.groupBy("qid", "cand", "did").agg(F.sum("_c").alias("score"))
     fused = top_k(fused, ["qid", "cand"], _fused_order(), depth, "rank")
     scored = M.evaluate_wide(fused.select("qid", "cand", "did", F.round("score", 12).alias("score")),
                              qrels, [metric], tie="did", keys=["qid", "cand"])

@@ -59,15 +59,18 @@ def select_variants(run: DataFrame) -> DataFrame:
 
 def select_by_vids(run: DataFrame, vids: DataFrame, keep_origin_if_none: bool = True) -> DataFrame:
     """Keep listed variants; when none of a query's listed variants
-    exist, optionally fall back to its original."""
+    exist, optionally fall back to its original. The per-query flag is a
+    partial aggregation over the (query, variant) pairs, joined back."""
     v = broadcast_if_small(vids.select("vid").distinct().withColumn("_hit", F.lit(1)))
     tagged = run.join(v, "vid", "left")
-    any_hit = F.max(F.coalesce("_hit", F.lit(0))).over(Window.partitionBy("qid"))
-    tagged = tagged.withColumn("_any", any_hit)
     keep = F.col("_hit").isNotNull()
     if keep_origin_if_none:
-        keep = keep | ((F.col("_any") == 0) & (F.col("vid") == F.col("qid").cast("string")))
-    return tagged.where(keep).drop("_hit", "_any")
+        present = run.select("qid", "vid").distinct().join(v, "vid", "inner")
+        any_hit = present.select("qid").distinct().withColumn("_any", F.lit(1))
+        tagged = tagged.join(any_hit, "qid", "left")
+        keep = keep | (F.col("_any").isNull() & (F.col("vid") == F.col("qid").cast("string")))
+        return tagged.where(keep).drop("_hit", "_any")
+    return tagged.where(keep).drop("_hit")
 
 
 def select_qrels_by_qids(qrels: DataFrame, qids: DataFrame) -> DataFrame:
