@@ -63,7 +63,8 @@ def stopwords_df(spark) -> DataFrame:
 
 def explode_tokens(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """(key, pos, term) rows, pos 1-based."""
-    return df.select(key, F.posexplode(tokens).alias("pos", "term")).withColumn("pos", F.col("pos") + 1)
+    ex = df.select(key, F.posexplode_outer(tokens).alias("pos", "term")).where(F.col("term").isNotNull())
+    return ex.withColumn("pos", F.col("pos") + 1)
 
 
 def normalize_tokens(df: DataFrame, key: str, tokens: str, lexicon: DataFrame | None = None,
@@ -268,10 +269,10 @@ def readability(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def bigram_model(corpus: DataFrame, tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Bigram and history counts over a corpus (each text padded with <s>)."""
     seq = corpus.select(F.concat(F.array(F.lit("<s>")), F.col(tokens)).alias("t"))
-    bi = seq.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1),
-                                          lambda i: F.struct(F.element_at("t", i).alias("w1"),
-                                                             F.element_at("t", i + 1).alias("w2")))).alias("b")) \
-        .select("b.w1", "b.w2")
+    bi = seq.select(F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("t") - 1),
+                                                lambda i: F.struct(F.element_at("t", i).alias("w1"),
+                                                                   F.element_at("t", i + 1).alias("w2")))).alias("b")) \
+        .where(F.col("b").isNotNull()).select("b.w1", "b.w2")
     bic = bi.groupBy("w1", "w2").agg(F.count("*").alias("c12"))
     hist = bic.groupBy("w1").agg(F.sum("c12").alias("c1"))
     return bic, hist
@@ -283,7 +284,7 @@ def ngram_perplexity(texts: DataFrame, key: str, corpus: DataFrame, k: float = 1
     ``corpus``: exp(−mean ln p(w_i | w_{i−1})), with V = corpus vocabulary
     size + 1 (unknown). Also the total log-probability."""
     bic, hist = bigram_model(corpus, tokens)
-    vsize = corpus.select(F.explode(tokens).alias("w")).distinct().count() + 1  # one number
+    vsize = corpus.select(F.explode_outer(tokens).alias("w")).where(F.col("w").isNotNull()).distinct().count() + 1
     seq = texts.select(key, F.concat(F.array(F.lit("<s>")), F.col(tokens)).alias("t")).where(F.size("t") > 1)
     bi = seq.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1),
                                                lambda i: F.struct(F.element_at("t", i).alias("w1"),

@@ -32,7 +32,9 @@ def postings(corpus: DataFrame, text: str = "text") -> DataFrame:
     """(did, term, tf, dl) from raw text in ONE tokenisation pass: each
     posting carries its document's length, so no lengths table is joined."""
     toks = corpus.select("did", tokenize(F.col(text)).alias("t"))
-    ex = toks.select("did", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    # explode_outer: a plain explode lets Catalyst infer size(tokens) > 0 and
+    # push that regex below the repartition into the scan
+    ex = toks.select("did", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where(F.col("term").isNotNull())
     return ex.groupBy("did", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -50,7 +52,8 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """(qid, term, qtf); punctuation removed first (the reference strips it
     before querying)."""
     t = queries.select("qid", tokenize(strip_punctuation(F.col(text))).alias("t"))
-    return t.select("qid", F.explode("t").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return t.select("qid", F.explode_outer("t").alias("term")).where(F.col("term").isNotNull()) \
+        .groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, model: str = "bm25", k: int = 100,

@@ -187,7 +187,9 @@ def term_stats(docs: DataFrame, tokens: str = "tokens", did: str = "did") -> Dat
     """Corpus term frequency and document frequency per term. Two
     partial aggregations (per (term, doc) then per term), no distinct-count
     state per term."""
-    per_doc = docs.select(did, F.explode(tokens).alias("term")).groupBy("term", did).agg(F.count("*").alias("_tf"))
+    # explode_outer + filter: keeps the tokenizer above any repartition
+    per_doc = docs.select(did, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull()) \
+        .groupBy("term", did).agg(F.count("*").alias("_tf"))
     return per_doc.groupBy("term").agg(F.sum("_tf").alias("tf"), F.count("*").alias("df"))
 
 
