@@ -11,7 +11,8 @@ from ranklab.plans.views import TABLES
 QUERIES = E.queries()
 SQL = E.oracle_sql()
 FAST = ["gdeval_ndcg_err", "trec_measures", "rbp_residual", "rrf_fusion", "optimal_fusion", "cv_folds",
-        "filter_oracle_run", "retrieve_bm25", "encode_decode", "rouge_n", "pad_arrays", "trec_run_roundtrip"]
+        "filter_oracle_run", "retrieve_bm25", "encode_decode", "rouge_n", "pad_arrays", "trec_run_roundtrip",
+        "stream_window_counts", "stream_transform", "rbo_grid", "linear_sweep"]
 
 
 def _canon(df):
