@@ -41,7 +41,16 @@ def stream_dedup(spark, sf_dir):
         .select("event_id", "user_id", "event_type", "ts")
 
 
-@register("custom_metric")
+_RANKED3 = """ranked AS (
+  SELECT r.system, r.qid, r.did, q.rel,
+         row_number() OVER (PARTITION BY r.system, r.qid ORDER BY r.score DESC, CAST(r.did AS VARCHAR) DESC) AS rank
+  FROM runs r LEFT JOIN qrels q ON r.qid = q.qid AND r.did = q.did)"""
+
+
+@register("custom_metric", f"""
+WITH {_RANKED3}
+SELECT system, qid, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) / 5.0 AS value FROM ranked WHERE rank <= 5 GROUP BY system, qid
+""", ("runs", "qrels"))
 def custom_metric(spark, sf_dir):
     """A user metric on each ranked grade list (here: precision over the
     first 5 relevant-or-not documents, computed in pandas) via applyInPandas
@@ -59,7 +68,16 @@ def custom_metric(spark, sf_dir):
     return top.groupBy("system", "qid").applyInPandas(metric, "system string, qid long, value double")
 
 
-@register("custom_fusion")
+@register("custom_fusion", """
+WITH t AS (SELECT * FROM (SELECT system, qid, did, score, row_number() OVER (PARTITION BY system, qid
+                          ORDER BY score DESC, CAST(did AS VARCHAR) DESC) AS r FROM runs) x WHERE r <= 100),
+     mm AS (SELECT system, qid, min(score) AS lo, max(score) AS hi FROM t GROUP BY system, qid),
+     n AS (SELECT t.qid, t.did, (t.score - mm.lo) / CASE WHEN mm.hi > mm.lo THEN mm.hi - mm.lo ELSE 1.0 END AS n
+           FROM t JOIN mm USING (system, qid)),
+     s AS (SELECT qid, did, sum(n) AS score FROM n GROUP BY qid, did)
+SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, did) AS rank, round(score, 6) AS score
+FROM s
+""", ("runs",))
 def custom_fusion(spark, sf_dir):
     """A user fusion (CombSUM of min-max normalised scores, in pandas)
     per query via applyInPandas on the top 100 of each system."""
@@ -73,7 +91,7 @@ def custom_fusion(spark, sf_dir):
         hi = pdf.groupby("system")["score"].transform("max")
         pdf = pdf.assign(n=(s - lo) / (hi - lo).where(hi > lo, 1.0))
         out = pdf.groupby(["qid", "did"], as_index=False)["n"].sum().rename(columns={"n": "score"})
-        out = out.sort_values(["score", "did"], ascending=[False, True])
+        out = out.assign(_k=out["score"].round(9)).sort_values(["_k", "did"], ascending=[False, True])
         out["rank"] = range(1, len(out) + 1)
         return out[["qid", "did", "rank", "score"]]
 

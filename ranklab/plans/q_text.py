@@ -134,7 +134,19 @@ def retrieve_ql(spark, sf_dir):
     return out.select("qid", "did", "rank", r6("score").alias("score"))
 
 
-@register("rescore_working_set")
+_RESCORE_SQL = _retrieval_sql("bm25").split("SELECT qid, did, rank, round(score, 6) AS score FROM rk WHERE rank <= 100")[0] + f""",
+  ws AS (SELECT qid, did FROM rk WHERE rank <= 100),
+  hq AS (SELECT h.* FROM h JOIN ws USING (qid, did)),
+  ql AS (SELECT p.qid, p.did, p.s + ql.ql * ln(1000.0 / (p.dl + 1000.0)) AS score FROM
+           (SELECT qid, did, sum(qtf * ln(1 + tf / (1000.0 * ctf / coll.c))) AS s, max(dl) AS dl FROM hq, coll GROUP BY qid, did) p
+           JOIN (SELECT qid, sum(qtf) AS ql FROM qt GROUP BY qid) ql USING (qid)),
+  rk2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, did) AS rank2 FROM ql),
+  qlen AS (SELECT qid, len(regexp_extract_all(lower(translate(text, {PUNCT_SQL}, '')), {TOK})) AS n FROM queries)
+SELECT rk2.qid, did, rank2 AS rank, round(score * n, 6) AS score FROM rk2 JOIN qlen USING (qid) WHERE rank2 <= 100
+"""
+
+
+@register("rescore_working_set", _RESCORE_SQL, ("corpus", "queries"))
 def rescore_working_set(spark, sf_dir):
     """R7 + P13: BM25 candidates re-scored by query likelihood inside the
     working set, scores × query length (rows-only)."""
