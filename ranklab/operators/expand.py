@@ -38,10 +38,20 @@ def postings(corpus: DataFrame, text: str = "text") -> DataFrame:
     return ex.groupBy("did", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def build_index(corpus: DataFrame, text: str = "text") -> dict[str, DataFrame]:
+def build_index(corpus: DataFrame, text: str = "text", materialize: bool = True) -> dict[str, DataFrame]:
     """Postings and collection statistics: N counts every document (also
-    those without tokens), C = total tokens (Σ tf over the postings)."""
+    those without tokens), C = total tokens (Σ tf over the postings).
+
+    The postings are read by several branches of a retrieval plan (hits,
+    term statistics, collection size, relevance models), each with its own
+    pruned columns, so Spark would re-tokenise the corpus per branch. Like
+    any inverted index they are built once: written by a reliable
+    ``checkpoint()`` into the shared checkpoint folder (lineage cut, survives
+    executor loss) and read by every branch."""
     post = postings(corpus, text)
+    if materialize:
+        from ..session import checkpoint
+        post = checkpoint(post)
     n = corpus.agg(F.count("*").alias("N"))
     c = post.agg(F.sum("tf").alias("C"))
     coll = n.crossJoin(c).select("N", "C", (F.col("C") / F.col("N")).alias("avgdl"))
