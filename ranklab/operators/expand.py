@@ -45,13 +45,13 @@ def build_index(corpus: DataFrame, text: str = "text", materialize: bool = True)
     The postings are read by several branches of a retrieval plan (hits,
     term statistics, collection size, relevance models), each with its own
     pruned columns, so Spark would re-tokenise the corpus per branch. Like
-    any inverted index they are built once: written by a reliable
-    ``checkpoint()`` into the shared checkpoint folder (lineage cut, survives
-    executor loss) and read by every branch."""
+    any inverted index they are built once: written as a Parquet table in
+    the shared checkpoint folder (lineage cut, survives executor loss) and
+    read by every branch."""
     post = postings(corpus, text)
     if materialize:
-        from ..session import checkpoint
-        post = checkpoint(post)
+        from ..session import materialize as write_once
+        post = write_once(post, "postings")
     n = corpus.agg(F.count("*").alias("N"))
     c = post.agg(F.sum("tf").alias("C"))
     coll = n.crossJoin(c).select("N", "C", (F.col("C") / F.col("N")).alias("avgdl"))

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_HOT_ROWS, HOT_ROWS_KEY, checkpoint, conf_int
+from ..session import DEFAULT_HOT_ROWS, HOT_ROWS_KEY, conf_int, materialize
 
 ColLike = str | Column
 
@@ -119,7 +119,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         local = local.withColumn(f"_l_{name}", F.sum(expr).over(wlrun))
     # Materialise once in the shared checkpoint folder: partition ids are
     # then fixed for both the offset table and the rows.
-    local = checkpoint(local)
+    local = materialize(local, "hot-ranks")
     stats = local.groupBy("_pid", *keys).agg(
         F.count("*").alias("_n"), *[F.sum(expr).alias(f"_t_{n}") for n, expr in running.items()])
     wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

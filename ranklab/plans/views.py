@@ -182,11 +182,11 @@ def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark twin of the ``evals`` view, computed by the metric engine. It is
     the input table of the comparison jobs (one row per system, metric and
     query), read by several branches of each plan, so it is written once
-    (reliable checkpoint in the shared folder) like an evaluation file."""
+    (a Parquet table in the shared checkpoint folder) like an evaluation file."""
     from ..functions.metrics import evaluate
-    from ..session import checkpoint
-    return checkpoint(evaluate(runs(spark, sf_dir), qrels(spark, sf_dir), ["P_10", "ndcg_cut_10"])
-                      .select("system", "metric", "qid", "value"))
+    from ..session import materialize
+    return materialize(evaluate(runs(spark, sf_dir), qrels(spark, sf_dir), ["P_10", "ndcg_cut_10"])
+                       .select("system", "metric", "qid", "value"), "evals")
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -97,6 +97,17 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss;
-    never a local checkpoint)."""
+    never a local checkpoint). Prefer :func:`materialize`: an uncached
+    ``checkpoint`` computes its plan twice."""
     ensure_defaults(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` once as a Parquet table under the shared
+    ``spark.checkpoint.dir`` and reading it back: one job, columnar and
+    compressed, readable by every later branch, and safe when executors are
+    lost (the files live on the cluster's shared storage)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
