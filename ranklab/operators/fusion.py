@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..session import broadcast_if_small
-from .rank import rank_rows, score_order, top_k
+from .rank import hot_bound, rank_rows, score_order, top_k
 
 
 def _fused_order() -> list[Column]:
@@ -63,7 +63,8 @@ def fuse_linear(runs: DataFrame, weights: DataFrame) -> DataFrame:
     delta = (runs.join(mins, ["system", "qid"])
              .groupBy("qid", "did").agg(F.sum(F.col("weight") * (F.col("score") - F.col("_min"))).alias("_d")))
     fused = delta.join(base, "qid").select("qid", "did", (F.col("_base") + F.col("_d")).alias("score"))
-    ranked = rank_rows(fused, ["qid"], _fused_order(), "rank")
+    # a fused list is no longer than its query's input rows: bound the hot check on the input
+    ranked = rank_rows(fused, ["qid"], _fused_order(), "rank", hot=hot_bound(runs, ["qid"]))
     return ranked.select("qid", "did", "rank", F.round("score", 5).alias("score"))
 
 
@@ -97,7 +98,7 @@ def fuse_linear_sweep(runs: DataFrame, systems: Sequence[str], step: float = 0.1
         .agg(F.sum(F.col("weight") * F.col("_x")).alias("_d"))
     fused = delta.join(base, ["weights", "qid"]).select("weights", "qid", "did",
                                                        (F.col("_base") + F.col("_d")).alias("score"))
-    ranked = rank_rows(fused, ["weights", "qid"], _fused_order(), "rank")
+    ranked = rank_rows(fused, ["weights", "qid"], _fused_order(), "rank", hot=hot_bound(runs, ["qid"]))
     return ranked.select("weights", "qid", "did", "rank", F.round("score", 5).alias("score"))
 
 

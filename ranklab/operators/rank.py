@@ -73,6 +73,14 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None)
     return [] if threshold <= 0 else _hot_groups(df.select(*keys), keys, threshold)
 
 
+def hot_bound(upper: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list | None:
+    """Hot-group hint from an input whose groups are at least as large as
+    the ones to rank (e.g. all input rows of a query bound its fused list):
+    ``[]`` when no input group is hot (so no output group can be), else
+    ``None`` (let :func:`rank_rows` detect on the frame itself)."""
+    return [] if not hot_groups(upper, keys, hot_rows) else None
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
               rank_col: str = "rank", running: dict[str, Column] | None = None,
               hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
