@@ -283,8 +283,15 @@ def ngram_perplexity(texts: DataFrame, key: str, corpus: DataFrame, k: float = 1
     """Add-k bigram perplexity of each text under a model trained on
     ``corpus``: exp(−mean ln p(w_i | w_{i−1})), with V = corpus vocabulary
     size + 1 (unknown). Also the total log-probability."""
-    bic, hist = bigram_model(corpus, tokens)
-    vsize = corpus.select(F.explode_outer(tokens).alias("w")).where(F.col("w").isNotNull()).distinct().count() + 1
+    from ..session import materialize
+    bic, _ = bigram_model(corpus, tokens)
+    # the trained model is written once (Parquet in the shared checkpoint
+    # folder) and read by the history counts, the vocabulary size and the join
+    bic = materialize(bic, "bigrams")
+    hist = bic.groupBy("w1").agg(F.sum("c12").alias("c1"))
+    # every token is the second word of some bigram (texts start with <s>),
+    # so the vocabulary is the distinct second words; one number
+    vsize = bic.select("w2").distinct().count() + 1
     seq = texts.select(key, F.concat(F.array(F.lit("<s>")), F.col(tokens)).alias("t")).where(F.size("t") > 1)
     bi = seq.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1),
                                                lambda i: F.struct(F.element_at("t", i).alias("w1"),
