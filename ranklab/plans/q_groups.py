@@ -104,10 +104,10 @@ SELECT qid, did, vid, score, row_number() OVER (PARTITION BY qid ORDER BY rank)
 def dedup_run(spark, sf_dir):
     """The variant lists of a query concatenated (vid order), repeated
     documents dropped keeping the first, ranks renumbered."""
-    from pyspark.sql import Window
+    from ..operators.rank import rank_rows
     v = V.variants(spark, sf_dir)
-    w = Window.partitionBy("qid").orderBy("vid", F.col("score").desc(), "did")
-    ranked = v.withColumn("rank", F.row_number().over(w))
+    # concatenated lists numbered per query with the skew-aware ranker
+    ranked = rank_rows(v, ["qid"], [F.col("vid"), F.col("score").desc(), F.col("did")], "rank")
     out = G.dedup_run(ranked.select("qid", "did", "vid", "score", "rank").withColumnRenamed("vid", "v"), "rank")
     return out.select("qid", "did", F.col("v").alias("vid"), "score", "rank")
 

@@ -318,7 +318,11 @@ def pairwise_l2(spark, sf_dir):
     (a pair list linear in the data)."""
     emb = V.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double"))
                                                        .alias("embedding"), "label")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    pairs = emb.select(F.col("vec_id").alias("id_a"), F.lead("vec_id").over(w).alias("id_b")).where(F.col("id_b").isNotNull())
+    # position within the label with the skew-aware ranker (a label holds a
+    # third of all vectors), then each position joined to the next one
+    from ..operators.rank import rank_rows
+    pos = rank_rows(emb.select("vec_id", "label"), ["label"], [F.col("vec_id")], "pos")
+    nxt = pos.select("label", (F.col("pos") - 1).alias("pos"), F.col("vec_id").alias("id_b"))
+    pairs = pos.join(nxt, ["label", "pos"]).select(F.col("vec_id").alias("id_a"), "id_b")
     out = R.pairwise_l2(emb, pairs)
     return out.select("id_a", "id_b", r6("l2").alias("l2"))
