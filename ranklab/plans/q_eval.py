@@ -33,7 +33,9 @@ def _wide(spark, sf_dir, measures, tie="docno_desc"):
 
 
 def flagship(spark, sf_dir):
-    w = _wide(spark, sf_dir, ["gdeval_ndcg@20", "gdeval_err@20"])
+    """M7 + M8: gdeval NDCG@20 and ERR@20 per system and topic; like gdeval,
+    only topics with a positive grade are scored."""
+    w = _wide(spark, sf_dir, ["gdeval_ndcg@20", "gdeval_err@20"]).where(F.col("`gdeval_ndcg@20`").isNotNull())
     return w.select("system", "qid", r6("gdeval_ndcg@20").alias("ndcg20"), r6("gdeval_err@20").alias("err20"))
 
 
