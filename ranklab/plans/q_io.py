@@ -221,7 +221,7 @@ def typed_columns(spark, sf_dir):
 
 
 @register("arrays_from_text", """
-SELECT vec_id, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) AS total,
+SELECT vec_id, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) + 0.0 AS total,
        (SELECT count(DISTINCT len(embedding)) = 1 FROM embeddings) AS equal_lengths
 FROM embeddings
 """)
@@ -233,7 +233,7 @@ def arrays_from_text(spark, sf_dir):
     arr, info = K.arrays_from_text(lines, "double")
     s = F.aggregate("array", F.lit(0.0), lambda a, x: a + x)
     return arr.crossJoin(info.select("equal_lengths")).select(
-        "vec_id", F.size("array").alias("width"), F.round(s, 3).alias("total"), "equal_lengths")
+        "vec_id", F.size("array").alias("width"), (F.round(s, 3) + 0.0).alias("total"), "equal_lengths")
 
 
 @register("incremental_skip", """
