@@ -6,7 +6,9 @@ import importlib
 
 # module, query function; a module's SQL is its twin, where SQL can express it
 MODULES = (
+    ("line_dedup", "op3_line_dedup"),
     ("token_count", "op4_token_count"),
+    ("packing", "op5_best_fit_packing"),
     ("url_filter", "op10_url_filter"),
 )
 
