@@ -8,11 +8,11 @@ of frequency times number of pieces. The job has three steps:
    with their frequencies). Texts are split at spaces by Arrow; only the distinct
    space-delimited chunks of a block run the pre-token expression.
 2. The frequencies are dealt by pre-token, so that a task meets each of its
-   pre-tokens in all blocks, counts the pieces once per distinct pre-token, joins
-   the count to the frequencies and sums per document. A pre-token that many
+   pre-tokens in all blocks, counts the pieces once per distinct pre-token and
+   joins the count to the frequencies. A pre-token that many
    documents of a block share is dealt by (pre-token, block) instead, so no task
    gathers a word that every document holds; such pre-tokens are few.
-3. Partial sums are added per document.
+3. Frequency times pieces is summed per document, with partial sums per task.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Special strings
 inside texts count as the tokenizer's default has them (one token). Repeated rows
@@ -41,7 +41,6 @@ MAX_FREQ = 1 << 18          # a higher frequency takes several entries
 SPREAD = 16                 # documents of a block above which a pre-token is dealt by block too
 CACHE = 1_000_000           # pre-tokens whose counts a task keeps
 BLOCK_BYTES = 16 << 20
-FLUSH = 4_000_000           # postings summed at once
 
 # The byte-level pre-token expression, and white space as Unicode has it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,7 +92,7 @@ def _whole(text: str, t, specials: list[str], find: Callable) -> list[str]:
 
 
 def _frequencies(path: str, id_type: pa.DataType) -> Callable:
-    schema = pa.schema([("word", pa.string()), ("salt", pa.int64()), ("block", pa.int64()),
+    schema = pa.schema([("word", pa.string()), ("block", pa.int64()),
                         ("post", pa.list_(pa.int32())), ("doc_id", id_type), ("n_bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,14 +102,13 @@ def _frequencies(path: str, id_type: pa.DataType) -> Callable:
         for b in slices(batches, limit=BLOCK_BYTES):
             words, post, offsets = _block(b.column("text"), t, specials, find)
             n = len(words)
-            salt = np.where(np.diff(offsets) > SPREAD, block, -1)
             yield pa.record_batch([
-                pa.array(words, pa.string()), pa.array(salt), pa.array(np.full(n, block)),
+                pa.array(words, pa.string()), pa.array(np.full(n, block)),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(post, pa.int32())),
                 pa.nulls(n, id_type), pa.nulls(n, pa.int64())], schema=schema)
             d = b.num_rows     # one more row per document, with its own columns
             yield pa.record_batch([
-                pa.nulls(d, pa.string()), pa.array(block + np.arange(d) * 7919), pa.array(np.full(d, block)),
+                pa.nulls(d, pa.string()), pa.array(np.full(d, block)),
                 pa.ListArray.from_arrays(pa.array(np.arange(d + 1), pa.int32()), pa.array(np.arange(d), pa.int32())),
                 b.column("doc_id").cast(id_type), pc.cast(pc.binary_length(b.column("text")), pa.int64())], schema=schema)
             block += 1
@@ -175,48 +173,20 @@ def _block(texts: pa.Array, t, specials: list[str], find: Callable) -> tuple[lis
     return list(code), freq << DOC_BITS | both & ((1 << DOC_BITS) - 1), offsets
 
 
-def _summed(path: str, id_type: pa.DataType) -> Callable:
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("doc_id", id_type), ("n_bytes", pa.int64())])
-
+def _counted(path: str) -> Callable:
+    """Adds ``pieces`` to the rows of a task; each distinct pre-token is counted
+    once (again only where a task holds more than CACHE of them)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, specials = tokenizer(path)
-        count: dict[str, int] = {}
-        docs, ns, held = [], [], 0
-
-        def flush():
-            doc, n = np.concatenate(docs), np.concatenate(ns)
-            u, inv = np.unique(doc, return_inverse=True)
-            total = np.bincount(inv, n).astype(np.int64)
-            k = len(u)
-            return pa.record_batch([pa.array(u), pa.array(total), pa.nulls(k, id_type), pa.nulls(k, pa.int64())], schema=schema)
-
+        count: dict[str | None, int] = {None: 0}
         for b in batches:
-            own = pc.is_null(b.column("word"))
-            d = b.filter(own)
-            if d.num_rows:
-                ix = d.column("post").flatten().to_numpy()
-                yield pa.record_batch([pa.array((d.column("block").to_numpy() << DOC_BITS) + ix), pa.array(np.zeros(len(ix), np.int64)),
-                                       d.column("doc_id").cast(id_type), d.column("n_bytes")], schema=schema)
-            w = b.filter(pc.invert(own))
-            if not w.num_rows:
-                continue
-            names = w.column("word").to_pylist()
+            names = b.column("word").to_pylist()
             if len(count) > CACHE:
-                count.clear()
+                count = {None: 0}
             fresh = [x for x in dict.fromkeys(names) if x not in count]
             count.update(zip(fresh, _pieces(t, specials, fresh), strict=True))
-            pieces = np.array([count[x] for x in names], np.int64)
-            post = w.column("post")
-            sizes = pc.list_value_length(post).to_numpy().astype(np.int64)
-            v = post.flatten().to_numpy().astype(np.int64)
-            docs.append(np.repeat(w.column("block").to_numpy() << DOC_BITS, sizes) + (v & ((1 << DOC_BITS) - 1)))
-            ns.append(np.repeat(pieces, sizes) * (v >> DOC_BITS))
-            held += len(v)
-            if held > FLUSH:
-                yield flush()
-                docs, ns, held = [], [], 0
-        if held:
-            yield flush()
+            kept = [c for c in b.schema.names if c != "word"]
+            yield pa.record_batch([b.column(c) for c in kept] + [pa.array([count[x] for x in names], pa.int64())], names=[*kept, "pieces"])
     return run
 
 
@@ -228,9 +198,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     from pyspark.sql.pandas.types import to_arrow_type
     at = to_arrow_type(kind)
-    freq = d.mapInArrow(_frequencies(path, at), f"word string, salt long, block long, post array<int>, doc_id {name}, n_bytes long")
-    dealt = freq.repartition(shuffle_width(docs.sparkSession), "word", "salt")
-    part = dealt.mapInArrow(_summed(path, at), f"doc long, n long, doc_id {name}, n_bytes long")
+    columns = f"block long, post array<int>, doc_id {name}, n_bytes long"
+    freq = d.mapInArrow(_frequencies(path, at), f"word string, {columns}")
+    spread = F.when(F.col("word").isNull(), F.col("post")[0] + F.col("block")).when(F.size("post") > SPREAD, F.col("block"))
+    dealt = freq.repartition(shuffle_width(docs.sparkSession), F.col("word"), spread)
+    part = dealt.mapInArrow(_counted(path), f"{columns}, pieces long")
+    part = part.select((F.shiftleft("block", DOC_BITS)).alias("at"), "doc_id", "n_bytes", "pieces", F.explode("post").alias("v"))
+    part = part.select((F.col("at") + F.col("v").bitwiseAND((1 << DOC_BITS) - 1)).alias("doc"), "doc_id", "n_bytes",
+                       (F.col("pieces") * F.shiftright("v", DOC_BITS)).alias("n"))
     out = part.groupBy("doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
