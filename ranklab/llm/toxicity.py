@@ -121,8 +121,9 @@ class Model:
         return {**self.__dict__, "_tables": None}
 
     def tables(self) -> tuple:
-        """Code of each character; id of each coded triple; per id its weight in
-        every landmark over the landmark's own kernel; the largest of these."""
+        """Code of each character; id of each coded triple; per id, from begin to
+        the next begin, the landmarks that have it and its weight in each over the
+        landmark's own kernel; the largest of these weights."""
         if self._tables is None:
             chars = sorted({c for w in self.landmarks for c in w})
             code = np.zeros(0x110000, np.uint8 if len(chars) < 255 else np.uint16)
@@ -141,14 +142,16 @@ class Model:
                         rows.append(np.zeros(len(self.landmarks), np.float32))
                     rows[ids[t]][j] = v / norm
             m = np.array(rows)
-            self._tables = code, base, ids, m, m.max(axis=1) if m.size else np.zeros(1, np.float32)
+            part, landmark = np.nonzero(m)
+            begin = np.searchsorted(part, np.arange(len(m) + 1))
+            self._tables = code, base, ids, begin, landmark, m[part, landmark], m.max(axis=1)
         return self._tables
 
     def likeness(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(which words come near a landmark at all, their likeness to each)."""
-        code, base, ids, m, top = self.tables()
         if not words or not self.landmarks:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
+        code, base, ids, begin, landmark, share, top = self.tables()
         gap = "\0" * SPAN
         flat = code[np.frombuffer(gap.join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
         flat = np.concatenate((flat, np.zeros(SPAN, np.int32)))
@@ -168,15 +171,17 @@ class Model:
                 bound += np.bincount(w, top[t] * weight, len(words))
                 hits.append((w, t, weight))
         near = np.flatnonzero(bound >= FLOOR)
-        out = np.zeros((len(near), len(self.landmarks)), np.float32)
+        m = len(self.landmarks)
+        out = np.zeros(len(near) * m)
         place = np.full(len(words), -1)
         place[near] = np.arange(len(near))
         for w, t, weight in hits:
             p = place[w]
-            keep = p >= 0
-            p, t = p[keep], t[keep]
-            for x in range(0, len(p), 200_000):
-                np.add.at(out, p[x:x + 200_000], m[t[x:x + 200_000]] * weight)
+            p, t = p[p >= 0], t[p >= 0]
+            n = begin[t + 1] - begin[t]
+            at = np.repeat(begin[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += np.bincount(np.repeat(p, n) * m + landmark[at], share[at] * weight, len(out))
+        out = out.reshape(-1, m).astype(np.float32)
         out = np.clip((out - FLOOR) / (1 - FLOOR), 0, 1)
         some = out.any(axis=1)
         return near[some], out[some]
