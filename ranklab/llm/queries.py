@@ -10,6 +10,7 @@ MODULES = (
     ("line_dedup", "op3_line_dedup"),
     ("token_count", "op4_token_count"),
     ("packing", "op5_best_fit_packing"),
+    ("fingerprint", "op7_fingerprint"),
     ("url_filter", "op10_url_filter"),
 )
 
