@@ -11,6 +11,7 @@ MODULES = (
     ("token_count", "op4_token_count"),
     ("packing", "op5_best_fit_packing"),
     ("fingerprint", "op7_fingerprint"),
+    ("near_dedup", "op9_near_dedup"),
     ("url_filter", "op10_url_filter"),
 )
 
