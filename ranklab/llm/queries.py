@@ -10,6 +10,7 @@ MODULES = (
     ("line_dedup", "op3_line_dedup"),
     ("token_count", "op4_token_count"),
     ("packing", "op5_best_fit_packing"),
+    ("suffix_dedup", "op6_suffix_dedup"),
     ("fingerprint", "op7_fingerprint"),
     ("near_dedup", "op9_near_dedup"),
     ("url_filter", "op10_url_filter"),
