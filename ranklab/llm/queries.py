@@ -12,6 +12,7 @@ MODULES = (
     ("packing", "op5_best_fit_packing"),
     ("suffix_dedup", "op6_suffix_dedup"),
     ("fingerprint", "op7_fingerprint"),
+    ("topk_search", "op8_topk_search"),
     ("near_dedup", "op9_near_dedup"),
     ("url_filter", "op10_url_filter"),
 )
