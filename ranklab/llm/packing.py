@@ -206,7 +206,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def _pack(capacity: int, round_: int) -> Callable:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], ignore_index=True)
         sizes = pdf["length"].to_numpy(np.int64)
         bin_, fill = best_fit_decreasing(sizes, capacity)

@@ -6,6 +6,7 @@ import importlib
 
 # module, query function; a module's SQL is its twin, where SQL can express it
 MODULES = (
+    ("mixing", "op1_mixing"),
     ("toxicity", "op2_toxicity"),
     ("line_dedup", "op3_line_dedup"),
     ("token_count", "op4_token_count"),
