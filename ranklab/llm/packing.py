@@ -48,7 +48,7 @@ from .common import slices, stored, table, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 PER_PARTITION = 20_000      # items of a packing partition
-KEPT_FILL = 0.98            # bins filled less than this are exchanged
+KEPT_FILL = 0.995           # bins filled less than this are exchanged
 WORDS = 400_000             # words whose ids a worker keeps
 ROUNDS = 8
 
