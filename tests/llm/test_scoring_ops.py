@@ -87,7 +87,7 @@ def test_toxicity_without_labels(spark):
     docs, labels = labelled(40)
     d = spark.createDataFrame(docs, TEXT)
     none = toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {r.score for r in toxicity.score_documents(d, none).collect()} == {pytest.approx(0.0, abs=1e-9)}
+    assert max(r.score for r in toxicity.score_documents(d, none).collect()) < 1e-9
     one = toxicity.train(d, spark.createDataFrame([(i, 1) for i, _ in labels], "doc_id long, toxic int"))
     assert all(r.predicted for r in toxicity.score_documents(d, one).collect())
     assert toxicity.score_documents(d.limit(0), none).count() == 0
