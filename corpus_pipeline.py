@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklab.llm.common import stored, table
-from ranklab.llm.line_dedup import dedup_lines
+from ranklab.llm.line_dedup import cut_lines
 from ranklab.llm.mixing import mixture
 from ranklab.llm.near_dedup import keep_one
 from ranklab.llm.packing import pack_documents
@@ -36,11 +36,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = dedup_lines(docs)
-    some = F.col("_n_removed") > 0
-    kept = cut.where(~some | (F.col("_n_removed") < F.col("_n_lines")))
-    n_chars = F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    cut = cut_lines(docs).where("n_removed < n_lines")
+    length = F.length("_row.text").cast(docs.schema["n_chars"].dataType)
+    row = F.when(F.col("n_removed") > 0, F.col("_row").withField("n_chars", length)).otherwise(F.col("_row"))
+    return cut.select(row.alias("_row")).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture(docs).select(*docs.columns)
+    return mixture(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,12 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a row as one struct, ``_row``: helpers' columns beside it
+    can't clash with them. ``select("_row.*")`` unpacks it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``limit`` bytes of text at

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table, text_or_empty
+from .common import packed, row_key, table, text_or_empty
 
 WINDOW = 3
 
@@ -57,27 +57,27 @@ def removed_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.col("_id").alias("_rid"), F.col("_k").alias("_rk"), covered.alias("_covered"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with the remaining text, and n_lines and n_removed as
-    ``_n_lines`` and ``_n_removed``."""
-    d = docs.withColumns({"_id": F.col(id_col), "_t": text_or_empty(text_col)})
+def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(_row, n_lines, n_removed): the rows of ``docs`` with the remaining text."""
+    d = docs.select(packed(docs), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
     d = d.withColumn("_k", row_key("_id", "_t"))
     gone = removed_lines(d, window)
     out = d.join(gone, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_k") == F.col("_rk")), "left")
-    lines = F.split("_t", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered"))
-    text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_l"), i)), "\n"))
-    out = out.withColumn("_l", lines).withColumns({
-        text_col: text, "_n_lines": F.size("_l"), "_n_removed": F.coalesce(F.size("_covered"), F.lit(0))})
-    return out.drop("_id", "_t", "_k", "_rid", "_rk", "_covered", "_l")
+    out = out.withColumn("_l", F.split("_t", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_covered"))
+    cut = F.col("_row").withField(f"`{text_col}`", F.array_join(F.transform(kept, lambda i: F.get(F.col("_l"), i)), "\n"))
+    return out.select(F.when(F.col("_covered").isNull(), F.col("_row")).otherwise(cut).alias("_row"), F.size("_l").alias("n_lines"),
+                      F.coalesce(F.size("_covered"), F.lit(0)).alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the remaining text."""
+    return cut_lines(docs, id_col, text_col, window).select("_row.*")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
-                      text_or_empty("text").alias("text"))
+    return cut_lines(docs).select("_row.doc_id", "n_lines", "n_removed", text_or_empty("_row.text").alias("text"))
 
 
 # d is (doc_id, text); l its lines.

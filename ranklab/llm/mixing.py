@@ -24,7 +24,7 @@ Tokens are white-space separated words.
 Defined results: a null source is a source of its own; a null or empty text has no
 tokens and is visited once. Sources without tokens get weight 0 and every document
 once. Repeated rows are separate documents. An empty table
-gives an empty mixture. Extra columns of ``documents`` stay.
+gives an empty mixture. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table, text_or_empty
+from .common import packed, stored, table, text_or_empty
 
 TARGET_ENTROPY = 0.97        # of the entropy of equal weights
 MAX_REPEAT = 2.0             # most repeated source over least repeated
@@ -92,15 +92,15 @@ def weights(sources: DataFrame, alpha: float, budget: float | None = None) -> Da
         "repeat": F.when(F.col("n") > 0, F.col("weight") * budget / F.col("n")).otherwise(1.0)})
 
 
-def mixture(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat: float = MAX_REPEAT, budget: float | None = None,
+def visits(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat: float = MAX_REPEAT, budget: float | None = None,
             source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` once per visit, with _tokens, _weight, _block,
-    _epoch and _order (of the visits of an epoch in a block)."""
-    names = docs.columns
+    """(_row, tokens, weight, block, epoch, position): the rows of ``docs``, once per
+    visit; the position orders the visits of an epoch in a block."""
     text = text_or_empty(text_col)
     # 128 bits name a row; rows that agree in id, source and text are numbered
-    d = docs.withColumns({"_tokens": tokens(text), "_s": F.col(source_col), "_h": F.xxhash64(F.lit(SEED), id_col, source_col, text),
-                          "_g": F.xxhash64(F.lit(SEED + 1), text, id_col, source_col)})
+    d = docs.select(packed(docs), tokens(text).alias("_tokens"), F.col(source_col).alias("_s"),
+                    F.xxhash64(F.lit(SEED), id_col, source_col, text).alias("_h"),
+                    F.xxhash64(F.lit(SEED + 1), text, id_col, source_col).alias("_g"))
     same = Window.partitionBy("_h", "_g").orderBy("_h")
     small = d.select("_s", "_h", "_g", "_tokens").withColumn("_nth", F.row_number().over(same))
     size = stored(small.groupBy(F.col("_s").alias("s")).agg(F.sum("_tokens").alias("n"), F.count("*").alias("rows")), "sources")
@@ -112,22 +112,26 @@ def mixture(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat:
     small = small.withColumn("_all", F.sum("_tokens").over(Window.partitionBy("_s", "_block")))
     # whole epochs and one more permutation for the rest
     epochs = F.greatest(F.lit(1), F.ceil(F.round("_repeat", 9))).cast("int")
-    visits = small.withColumn("_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    visits = visits.withColumn("_order", F.xxhash64(F.lit(SEED), "_epoch", "_h", "_g", "_nth"))
+    seen = small.withColumn("_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    seen = seen.withColumn("_order", F.xxhash64(F.lit(SEED), "_epoch", "_h", "_g", "_nth"))
     earlier = (Window.partitionBy("_s", "_block", "_epoch").orderBy("_order", "_h", "_g", "_nth")
                .rowsBetween(Window.unboundedPreceding, -1))
     before = F.coalesce(F.sum("_tokens").over(earlier), F.lit(0)) + F.col("_epoch") * F.col("_all")
-    visits = visits.where((F.col("_tokens") == 0) & (F.col("_epoch") == 0) | (F.col("_tokens") > 0)).withColumn("_before", before)
-    visits = visits.where((F.col("_tokens") == 0) | (F.col("_before") + F.col("_tokens") / 2 <= F.col("_repeat") * F.col("_all") + 1e-6))
-    per_row = visits.groupBy("_h", "_g", "_nth").agg(
+    seen = seen.where((F.col("_tokens") == 0) & (F.col("_epoch") == 0) | (F.col("_tokens") > 0)).withColumn("_before", before)
+    seen = seen.where((F.col("_tokens") == 0) | (F.col("_before") + F.col("_tokens") / 2 <= F.col("_repeat") * F.col("_all") + 1e-6))
+    per_row = seen.groupBy("_h", "_g", "_nth").agg(
         F.first("_weight").alias("_weight"), F.first("_block").alias("_block"), F.collect_list(F.struct("_epoch", "_order")).alias("_v"))
     rows = d.withColumn("_nth", F.row_number().over(same)).join(per_row, ["_h", "_g", "_nth"])
     return rows.withColumn("_v", F.explode("_v")).select(
-        *names, "_tokens", "_weight", "_block", F.col("_v._epoch").alias("_epoch"), F.col("_v._order").alias("_order"))
+        "_row", F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_block").alias("block"),
+        F.col("_v._epoch").alias("epoch"), F.col("_v._order").alias("position"))
+
+
+def mixture(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat: float = MAX_REPEAT) -> DataFrame:
+    """The rows of ``docs``, once per visit."""
+    return visits(docs, target_entropy, max_repeat).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    m = mixture(docs)
-    return m.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"),
-                    F.col("_block").alias("block"), F.col("_epoch").alias("epoch"), F.col("_order").alias("position"))
+    return visits(docs).select("_row.doc_id", "_row.source", F.col("tokens").alias("n_tokens"), "weight", "block", "epoch", "position")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, row_key, slices, stored, table, text_or_empty
+from .common import discard, packed, row_key, slices, stored, table, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -313,12 +313,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     c = classes(docs, threshold)
     best = c.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("b")).select(
         F.col("b.doc_id").alias("_i"), F.col("b.row").alias("_r"))
-    d = docs.withColumn("_row", row_key("doc_id", "_t")) if "_t" in docs.columns else (
-        docs.withColumn("_row", F.xxhash64(F.col("doc_id"), text_or_empty("text"))))
-    kept = d.join(best, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")))
+    d = docs.select(packed(docs), F.col("doc_id").alias("_id"), F.xxhash64(F.col("doc_id"), text_or_empty("text")).alias("_key"))
+    kept = d.join(best, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_r")))
     # of rows that agree in id and text, one
     nth = F.row_number().over(Window.partitionBy("_i", "_r").orderBy("_r"))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    return kept.withColumn("_nth", nth).where("_nth = 1").select("_row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

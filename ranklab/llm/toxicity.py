@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_or_empty
+from .common import packed, slices, stored, table, text_or_empty
 
 MAX_TOXIC, MAX_OTHER = 3000, 6000      # training rows at most
 CANDIDATES = 4000                      # candidate strings at most
@@ -396,17 +396,15 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model doesn't reject."""
-    columns = docs.columns
-    packed = docs.select(text_or_empty("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    d = docs.select(text_or_empty("text").alias("text"), packed(docs))
 
     def run(batches):
         for b in slices(batches):
             s = model.scores(model.features(b.column("text")))
-            yield b.select(["row"]).filter(pa.array(s < 0.5))
+            yield b.select(["_row"]).filter(pa.array(s < 0.5))
 
-    from pyspark.sql.types import StructField, StructType
-    kept = packed.mapInArrow(run, StructType([StructField("row", packed.schema["row"].dataType)]))
-    return kept.select("row.*")
+    kept = d.mapInArrow(run, d.select("_row").schema)
+    return kept.select("_row.*")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

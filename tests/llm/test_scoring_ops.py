@@ -222,16 +222,16 @@ def test_components(spark):
 
 def test_mixture_meets_its_weights(spark):
     rows = [(i, "x " * (1 + i % 7), "big" if i % 10 < 8 else "mid" if i % 10 == 8 else None, 0) for i in range(6000)]
-    df = spark.createDataFrame(rows, TEXT + ", source string, _block int")
-    m = mixing.mixture(df.drop("_block"), max_repeat=3.0).toPandas()
+    df = spark.createDataFrame(rows, TEXT + ", source string, _s int")
+    m = mixing.visits(df, max_repeat=3.0).select("_row.*", "tokens", "weight").toPandas()
     n = {s: sum(1 + r[0] % 7 for r in rows if r[2] == s) for s in ("big", "mid", None)}
     spread = math.log(max(n.values()) / min(n.values()))
     alpha = 1 - math.log(3.0) / spread
     z = sum(x ** alpha for x in n.values())
     for s, x in n.items():
         part = m[m.source.isna()] if s is None else m[m.source == s]
-        assert part._weight.iloc[0] == pytest.approx(x ** alpha / z, rel=1e-6)
-        assert part._tokens.sum() / m._tokens.sum() == pytest.approx(x ** alpha / z, rel=0.01)
+        assert part.weight.iloc[0] == pytest.approx(x ** alpha / z, rel=1e-6)
+        assert part.tokens.sum() / m.tokens.sum() == pytest.approx(x ** alpha / z, rel=0.01)
     assert set(m.doc_id) == set(range(6000))                       # nothing is lost
     visits = m[m.source == "mid"].groupby("doc_id").size()
     assert visits.min() >= 2 and visits.max() <= 3
@@ -250,7 +250,7 @@ def test_target_entropy_is_met(spark):
 def test_mixture_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, None, "t"), (None, "", None), (3, "c", "s")], TEXT + ", source string")
     m = mixing.mixture(df)
-    assert m.columns[:3] == df.columns
+    assert m.columns == df.columns
     got = collections.Counter((r.doc_id, r.source) for r in m.collect())
     assert got == {(1, "s"): 2, (2, "t"): 1, (None, None): 1, (3, "s"): 1}
     assert mixing.mixture(df.limit(0)).count() == 0
