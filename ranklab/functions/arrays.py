@@ -39,9 +39,10 @@ def pad_arrays(df: DataFrame, col: str, value=0, max_len: int | None = None, dep
 
 
 def pad_repeat_last(arr: Column, n: int | Column) -> Column:
-    """A2: pad with the last element up to length n."""
+    """A2: pad with the last element up to length n; an empty array has none
+    and stays empty."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.concat(arr, F.array_repeat(F.element_at(arr, -1), F.greatest(n - F.size(arr), F.lit(0)).cast("int")))
+    return F.when(F.size(arr) == 0, arr).otherwise(F.concat(arr, F.array_repeat(F.try_element_at(arr, F.lit(-1)), F.greatest(n - F.size(arr), F.lit(0)).cast("int"))))
 
 
 def len_to_mask(length: Column, n: int) -> Column:

@@ -102,7 +102,10 @@ def _gain_exp() -> Column:
 
 
 def _err_r() -> Column:
-    return _gain_exp() / float(2 ** MAX_JUDGMENT)
+    """Stop probability of a grade; grades above gdeval's maximum stop the job,
+    as they do there."""
+    return F.when(_gain_lin() > MAX_JUDGMENT, F.raise_error(F.concat(F.lit(f"gdeval takes grades up to {MAX_JUDGMENT}, got "), F.col("rel").cast("string")))
+                  .cast("double")).otherwise(_gain_exp() / float(2 ** MAX_JUDGMENT))
 
 
 def _relevant() -> Column:

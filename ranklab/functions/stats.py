@@ -4,7 +4,7 @@ The sufficient statistics (n, means, variances, sums of squares) are Spark
 aggregations over the per-query values; only the final few rows (one per
 metric x pair) go through the distribution functions, which are vectorised
 ``pandas_udf`` columns implementing the regularised incomplete beta function
-(continued fraction, Lentz's method) - no SciPy needed.
+(continued fraction) - no SciPy needed.
 """
 
 from __future__ import annotations
@@ -20,33 +20,27 @@ from pyspark.sql import types as T
 # -- scalar numerics (pure Python, used inside the pandas UDFs) --------------
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of I_x(a, b) by convergents: with the even and odd
+    coefficients e_m = m (b - m) x / ((a + 2m - 1)(a + 2m)) and
+    o_m = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1)), both continuants are
+    rescaled at every step. Needs on the order of sqrt(max(a, b)) steps and raises
+    if it doesn't settle."""
+    p0, p1, q0, q1 = 0.0, 1.0, 1.0, 1.0
+    last = math.inf
+    for m in range(int(100 + 40 * math.sqrt(max(a, b)))):
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        p0, p1 = p1, p1 + odd * p0
+        q0, q1 = q1, q1 + odd * q0
+        even = (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
+        p0, p1 = p1, p1 + even * p0
+        q0, q1 = q1, q1 + even * q0
+        scale = q1 if q1 else 1.0
+        p0, p1, q0, q1 = p0 / scale, p1 / scale, q0 / scale, q1 / scale
+        if abs(p1 - last) <= 1e-15 * abs(p1):
+            return p1
+        last = p1
+    raise ArithmeticError(f"incomplete beta function doesn't settle for a={a}, b={b}, x={x}")
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -58,8 +52,8 @@ def betainc(a: float, b: float, x: float) -> float:
     lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     front = math.exp(lbeta)
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+        return front * _beta_fraction(a, b, x) / a
+    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def t_sf2(t: float, df: float) -> float:
@@ -82,8 +76,10 @@ def f_sf(f: float, d1: float, d2: float) -> float:
 
 def t_quantile(prob: float, df: float) -> float:
     """Quantile of Student's t (bisection on the CDF)."""
-    if df <= 0:
+    if df <= 0 or not 0.0 < prob < 1.0:
         return float("nan")
+    if prob < 0.5:
+        return -t_quantile(1.0 - prob, df)
     target = 2.0 * (1.0 - prob)  # two-sided tail mass at |t|
     lo, hi = 0.0, 1.0
     while t_sf2(hi, df) > target:
@@ -135,15 +131,16 @@ def paired_stats(paired: DataFrame, keys=("metric",)) -> DataFrame:
 
 
 def t_statistic() -> Column:
-    """Paired t of (a − b): mean(a − b) / (sd/√n)."""
-    return -F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("n")))
+    """Paired t of (a − b): mean(a − b) / (sd/√n); null where all differences
+    are equal."""
+    return F.try_divide(-F.col("mean_diff"), F.col("sd_diff") / F.sqrt(F.col("n")))
 
 
 def cohen_d_col() -> Column:
     """T4: (mean_a − mean_b) / pooled SD (ddof 1)."""
-    pooled = F.sqrt(((F.col("n") - 1) * F.col("sd_a") ** 2 + (F.col("n") - 1) * F.col("sd_b") ** 2)
-                    / (2 * F.col("n") - 2))
-    return (F.col("mean_a") - F.col("mean_b")) / pooled
+    pooled = F.sqrt(F.try_divide((F.col("n") - 1) * F.col("sd_a") ** 2 + (F.col("n") - 1) * F.col("sd_b") ** 2,
+                                 2 * F.col("n") - 2))
+    return F.try_divide(F.col("mean_a") - F.col("mean_b"), pooled)
 
 
 def paired_ttest(evals: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
@@ -188,7 +185,7 @@ def one_way_anova(evals: DataFrame) -> DataFrame:
         F.sum(F.col("ni") * (F.col("mi") - F.col("m")) ** 2).alias("ssb"),
         F.sum(F.coalesce((F.col("ni") - 1) * F.col("vi"), F.lit(0.0))).alias("ssw"),
         F.count("*").alias("k"), F.first("N").alias("N"))
-    fstat = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("N") - F.col("k")))
+    fstat = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("N") - F.col("k")))
     out = s.select("metric", "k", "N", fstat.alias("F"))
     return out.withColumn("p", f_pvalue(F.col("F"), (F.col("k") - 1).cast("double"),
                                         (F.col("N") - F.col("k")).cast("double")))

@@ -73,12 +73,12 @@ def normalize_tokens(df: DataFrame, key: str, tokens: str, lexicon: DataFrame |
     lexicon (identity when absent), optional non-ASCII removal; tokens are
     reassembled in order per key. Output (key, tokens)."""
     ex = explode_tokens(df, key, tokens)
+    if stopwords is not None:            # by surface form, before the lemma lookup
+        ex = ex.join(broadcast_if_small(stopwords.select("term")), "term", "left_anti")
     if lexicon is not None:
         lx = lexicon.select(F.col("token").alias("term"), "lemma")
         ex = ex.join(broadcast_if_small(lx), "term", "left") \
             .withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
-    if stopwords is not None:
-        ex = ex.join(F.broadcast(stopwords.select("term")), "term", "left_anti")
     if ascii_only:
         ex = ex.withColumn("term", F.regexp_replace("term", r"[^\x00-\x7F]", "")).where(F.col("term") != "")
     agg = F.array_sort(F.collect_list(F.struct("pos", "term")))
@@ -243,7 +243,7 @@ def readability(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Per text, counts (sentences, words, letters, syllables = vowel
     groups per word, polysyllables = words of >= 3 syllables) and the
     classic formulas: Flesch reading ease, Flesch-Kincaid grade, SMOG,
-    Coleman-Liau, ARI, Gunning fog."""
+    Coleman-Liau, ARI, Gunning fog. A text without words has null measures."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z]+"), 0)
     base = df.select(key, F.col(text),
                      F.greatest(F.size(F.regexp_extract_all(F.col(text), F.lit(r"[.!?]+"), 0)), F.lit(1)).alias("sentences"),
@@ -252,13 +252,13 @@ def readability(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     b = base.select(key, "sentences", F.size("_w").alias("words"),
                     F.aggregate(F.transform("_w", lambda w: F.length(w)), F.lit(0), lambda a, x: a + x).alias("letters"),
                     F.aggregate(syl, F.lit(0), lambda a, x: a + x).alias("syllables"),
-                    F.size(F.filter(syl, lambda s: s >= 3)).alias("poly")).where(F.col("words") > 0)
-    w, s = F.col("words"), F.col("sentences")
+                    F.size(F.filter(syl, lambda s: s >= 3)).alias("poly"))
+    w, s = F.nullif("words", F.lit(0)), F.col("sentences")
     return b.select(
         key, "sentences", "words", "letters", "syllables", "poly",
         (206.835 - 1.015 * (w / s) - 84.6 * (F.col("syllables") / w)).alias("flesch_ease"),
         (0.39 * (w / s) + 11.8 * (F.col("syllables") / w) - 15.59).alias("fk_grade"),
-        (1.043 * F.sqrt(F.col("poly") * (30.0 / s)) + 3.1291).alias("smog"),
+        F.when(w > 0, 1.043 * F.sqrt(F.col("poly") * (30.0 / s)) + 3.1291).alias("smog"),
         (0.0588 * (F.col("letters") / w * 100) - 0.296 * (s / w * 100) - 15.8).alias("coleman_liau"),
         (4.71 * (F.col("letters") / w) + 0.5 * (w / s) - 21.43).alias("ari"),
         (0.4 * ((w / s) + 100.0 * (F.col("poly") / w))).alias("gunning_fog"))

@@ -43,7 +43,8 @@ def cv_auto(evals: DataFrame, k: int = 5, shuffle: bool = False, seed: int = 0)
     per_fold = e.groupBy("params", "metric", "fold").agg(F.sum("value").alias("_fs"), F.count("*").alias("_fn"))
     tot = per_fold.groupBy("params", "metric").agg(F.sum("_fs").alias("_ts"), F.sum("_fn").alias("_tn"))
     train = per_fold.join(tot, ["params", "metric"]).select(
-        "params", "metric", "fold", ((F.col("_ts") - F.col("_fs")) / (F.col("_tn") - F.col("_fn"))).alias("train_mean"))
+        "params", "metric", "fold", F.try_divide(F.col("_ts") - F.col("_fs"), F.col("_tn") - F.col("_fn")).alias("train_mean"))
+    train = train.where(F.col("train_mean").isNotNull())      # a setting seen in one fold only has no training value
     best = top_k(train, ["metric", "fold"], [F.col("train_mean").desc(), F.col("params")], 1, "_b").drop("_b")
     return e.join(best.select("metric", "fold", "params", "train_mean"), ["metric", "fold", "params"]) \
         .select("metric", "qid", "fold", "params", "train_mean", "value")
@@ -55,7 +56,7 @@ def params_from_path(path) -> tuple:
     stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
     toks = F.regexp_extract_all(stem, F.lit(r"([^-_/]+=[^-_/]+)"), 1)
     params = F.array_join(F.filter(toks, lambda t: ~t.startswith("fold=")), "-")
-    fold = F.coalesce(F.element_at(F.filter(toks, lambda t: t.startswith("fold=")), 1), F.lit("fold=all"))
+    fold = F.coalesce(F.try_element_at(F.filter(toks, lambda t: t.startswith("fold=")), F.lit(1)), F.lit("fold=all"))
     return params, F.substring_index(fold, "=", -1)
 
 

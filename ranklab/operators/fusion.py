@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from .rank import hot_bound, rank_rows, score_order, top_k
 
 
@@ -72,12 +72,11 @@ def simplex_weights(spark, systems: Sequence[str], step: float = 0.1) -> DataFra
     """F3 grid: every weight vector of multiples of ``step`` summing to 1
     (as integers of tenths: exact), one row per (weight id, system)."""
     n = round(1 / step)
-    grid = None
-    for i, s in enumerate(systems):
-        d = spark.range(0, n + 1).select(F.col("id").cast("int").alias(f"w{i}"))
-        grid = d if grid is None else grid.crossJoin(d)
-    total = sum(F.col(f"w{i}") for i in range(len(systems)))
-    grid = grid.where(total == n)
+    # each system takes a part of what the ones before left; the last takes the rest
+    grid = spark.range(1).select(F.lit(n).alias("_left"))
+    for i in range(len(systems) - 1):
+        grid = grid.withColumn(f"w{i}", F.explode(F.sequence(F.lit(0), F.col("_left")))).withColumn("_left", F.col("_left") - F.col(f"w{i}"))
+    grid = grid.withColumnRenamed("_left", f"w{len(systems) - 1}")
     wid = F.concat_ws("_", *[(F.col(f"w{i}").cast("double") / n).cast("string") for i in range(len(systems))])
     stack = ", ".join(f"'{s}', CAST(w{i} AS DOUBLE) / {float(n)}" for i, s in enumerate(systems))
     return grid.select(wid.alias("weights"), F.expr(f"stack({len(systems)}, {stack}) AS (system, weight)"))
@@ -89,7 +88,7 @@ def fuse_linear_sweep(runs: DataFrame, systems: Sequence[str], step: float = 0.1
     document's per-system contributions are computed once and combined
     with every weight vector."""
     spark = runs.sparkSession
-    grid = F.broadcast(simplex_weights(spark, systems, step))
+    grid = broadcast_if_small(simplex_weights(spark, systems, step))
     mins = runs.groupBy("system", "qid").agg(F.min("score").alias("_min"))
     base = mins.join(grid, "system").groupBy("weights", "qid") \
         .agg(F.sum(F.col("weight") * F.col("_min")).alias("_base"))
@@ -102,46 +101,62 @@ def fuse_linear_sweep(runs: DataFrame, systems: Sequence[str], step: float = 0.1
     return ranked.select("weights", "qid", "did", "rank", F.round("score", 5).alias("score"))
 
 
-def _variant_order(scores: DataFrame) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.col("vscore").desc(), F.col("vid"))
-    return scores.withColumn("_vpos", F.row_number().over(w))
-
-
-def variant_weights(run: DataFrame, scores: DataFrame, weighted: bool = False,
-                    always_include_orig: bool = False, cutoff: int | None = None,
-                    orig_weight: float | None = None) -> DataFrame:
-    """Selected variants and their fusion weights per query.
-
-    With ``always_include_orig`` (and the original present): the best
-    ``cutoff - 1`` other variants by predicted score plus the original;
-    weights = softmax of predicted scores when ``weighted`` (else 1), then
-    with ``orig_weight`` t: others × (1 − t), original = t. Otherwise every
-    variant with unit weight. Queries with a single variant are returned as
-    is by :func:`fuse_variants`."""
-    present = run.select("qid", "vid").distinct()
-    sc = scores.join(present, ["qid", "vid"], "inner")
-    is_orig = F.col("vid") == F.col("qid").cast("string")
-    has_orig = F.max(is_orig.cast("int")).over(Window.partitionBy("qid")) == 1
-    sc = sc.withColumn("_orig", is_orig).withColumn("_has_orig", has_orig)
-    if not always_include_orig:
-        return sc.select("qid", "vid", F.lit(1.0).alias("weight"), "_has_orig")
-    w_other = Window.partitionBy("qid", "_orig").orderBy(F.col("vscore").desc(), F.col("vid"))
-    sc = sc.withColumn("_pos", F.row_number().over(w_other))
-    keep = F.col("_orig") | ~F.col("_has_orig") | F.lit(cutoff is None)
+def _cut_lists(run: DataFrame, depth: int) -> DataFrame:
+    """Every variant's list ranked and cut once, as a table: counts, presence and
+    all candidate fusions read it instead of the run."""
+    return materialize(top_k(run, ["qid", "vid"], score_order(), depth, "_r"), "variant-lists")
+
+
+def _with_scores(cut: DataFrame, scores: DataFrame) -> DataFrame:
+    """(qid, vid, vscore, _orig, _has_orig, _nv) of the variants present; a
+    variant without a predicted score has a null one and comes last."""
+    v = cut.select("qid", "vid").distinct().join(scores.select("qid", "vid", "vscore"), ["qid", "vid"], "left")
+    w = Window.partitionBy("qid")
+    orig = F.col("vid") == F.col("qid").cast("string")
+    return v.withColumns({"_orig": orig, "_has_orig": F.max(orig.cast("int")).over(w) == 1, "_nv": F.count("*").over(w)})
+
+
+def _best_first() -> list[Column]:
+    return [F.col("vscore").desc_nulls_last(), F.col("vid")]
+
+
+def variant_weights(variants: DataFrame, weighted: bool = False, always_include_orig: bool = False,
+                    cutoff: int | None = None, orig_weight: float | None = None) -> DataFrame:
+    """Selected variants (see :func:`_with_scores`) and their fusion weights.
+
+    The best ``cutoff`` variants by predicted score (all without it); with
+    ``always_include_orig``, where the original is present, the best
+    ``cutoff - 1`` others and the original. Weights are 1, or when
+    ``weighted`` the softmax of the predicted scores (0 for an unscored
+    variant: its documents stay, without a score). ``orig_weight`` t, with the
+    original forced in, makes its weight t and the others' (1 − t) times theirs."""
+    forced = F.col("_has_orig") if always_include_orig else F.lit(False)
+    sel = variants
     if cutoff is not None:
-        keep = keep | (F.col("_pos") <= cutoff - 1)
-    sel = sc.where(keep)
+        own = forced & F.col("_orig")
+        pos = F.row_number().over(Window.partitionBy("qid", own).orderBy(*_best_first()))
+        sel = sel.withColumn("_pos", pos).where(own | (F.col("_pos") <= F.when(forced, cutoff - 1).otherwise(cutoff)))
+    weight = F.lit(1.0)
     if weighted:
         wq = Window.partitionBy("qid")
-        z = F.exp(F.col("vscore") - F.max("vscore").over(wq))
-        sel = sel.withColumn("weight", z / F.sum(z).over(wq))
-    else:
-        sel = sel.withColumn("weight", F.lit(1.0))
+        z = F.coalesce(F.exp(F.col("vscore") - F.max("vscore").over(wq)), F.lit(0.0))
+        weight = F.coalesce(F.try_divide(z, F.sum(z).over(wq)), F.lit(1.0))
+    sel = sel.withColumn("weight", weight)
     if orig_weight is not None and 0 <= orig_weight <= 1:
-        sel = sel.withColumn("weight", F.when(F.col("_has_orig"), F.when(F.col("_orig"), F.lit(orig_weight))
-                                              .otherwise(F.col("weight") * (1 - orig_weight)))
+        sel = sel.withColumn("weight", F.when(forced, F.when(F.col("_orig"), F.lit(orig_weight)).otherwise(F.col("weight") * (1 - orig_weight)))
                              .otherwise(F.col("weight")))
-    return sel.select("qid", "vid", "weight", "_has_orig")
+    return sel.select("qid", "vid", "weight")
+
+
+def _fused_cut(cut: DataFrame, keys: Sequence[str], weight: Column, k: int, depth: int) -> DataFrame:
+    fused = cut.select(*keys, "did", (weight / (k + F.col("_r"))).alias("_c")).groupBy(*keys, "did").agg(F.sum("_c").alias("score"))
+    return top_k(fused, list(keys), _fused_order(), depth, "rank")
+
+
+def _unchanged(run: DataFrame, single: DataFrame) -> DataFrame:
+    """The lists of queries with one variant, whole, as they are."""
+    own = run.join(single.select("qid", "vid"), ["qid", "vid"], "left_semi")
+    return rank_rows(own.select("qid", "did", F.col("score").cast("double").alias("score")), ["qid"], score_order(), "rank")
 
 
 def fuse_variants(run: DataFrame, scores: DataFrame, weighted: bool = False,
@@ -149,72 +164,73 @@ def fuse_variants(run: DataFrame, scores: DataFrame, weighted: bool = False,
                   orig_weight: float | None = None, k: int = 60, depth: int = 1000) -> DataFrame:
     """RRF over the variants of each query. ``run``: (qid, vid, did,
     score); ``scores``: (qid, vid, vscore). A query with one variant keeps
-    its list unchanged (its own scores and ranks)."""
-    nvar = run.groupBy("qid").agg(F.count_distinct("vid").alias("_nv"))
-    single = run.join(nvar.where(F.col("_nv") <= 1).select("qid"), "qid", "left_semi")
-    multi = run.join(nvar.where(F.col("_nv") > 1).select("qid"), "qid", "left_semi")
-    wts = variant_weights(multi, scores, weighted, always_include_orig, cutoff, orig_weight)
-    lists = multi.join(wts.select("qid", "vid", "weight"), ["qid", "vid"])
-    fused = rrf_scores(lists, ["qid", "vid"], ["qid"], k, depth, F.col("weight"))
-    fused = top_k(fused, ["qid"], _fused_order(), depth, "rank").select("qid", "did", "rank", "score")
-    kept = top_k(single.select("qid", "did", F.col("score").cast("double").alias("score")),
-                 ["qid"], score_order(), depth, "rank").select("qid", "did", "rank", "score")
-    return fused.unionByName(kept)
-
-
-def _candidate_eval(cands: DataFrame, run: DataFrame, qrels: DataFrame, metric: str,
-                    k: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Fuse every candidate (qid, cand, vid) and score it with ``metric``.
-    Each variant list is ranked and cut to ``depth`` once, before the
-    candidates multiply it."""
-    cut = top_k(run, ["qid", "vid"], score_order(), depth, "_r")
-    contrib = cut.join(cands, ["qid", "vid"]).select("qid", "cand", "did", (1.0 / (k + F.col("_r"))).alias("_c"))
-    fused = contrib.groupBy("qid", "cand", "did").agg(F.sum("_c").alias("score"))
-    fused = top_k(fused, ["qid", "cand"], _fused_order(), depth, "rank")
-    scored = M.evaluate_wide(fused.select("qid", "cand", "did", F.round("score", 12).alias("score")),
+    its whole list unchanged."""
+    cut = _cut_lists(run, depth)
+    variants = _with_scores(cut, scores)
+    wts = variant_weights(variants.where("_nv > 1"), weighted, always_include_orig, cutoff, orig_weight)
+    fused = _fused_cut(cut.join(wts, ["qid", "vid"]), ["qid"], F.col("weight"), k, depth)
+    return fused.select("qid", "did", "rank", "score").unionByName(
+        _unchanged(run, variants.where("_nv = 1")).select("qid", "did", "rank", "score"))
+
+
+def _best_candidate(cands: DataFrame, cut: DataFrame, qrels: DataFrame, metric: str, size: Column,
+                    k: int, depth: int) -> DataFrame:
+    """Fuse every candidate (qid, cand, vid), score it with ``metric`` (0 for a
+    query without judgments), keep the best of each query."""
+    lists = _fused_cut(cut.join(cands, ["qid", "vid"]), ["qid", "cand"], F.lit(1.0), k, depth)
+    scored = M.evaluate_wide(lists.select("qid", "cand", "did", F.round("score", 12).alias("score")),
                              qrels, [metric], tie="did", keys=["qid", "cand"])
-    return fused, scored.withColumnRenamed(metric, "value")
-
-
-def _pick_best(fused: DataFrame, scored: DataFrame, size: Column) -> DataFrame:
-    best = top_k(scored.withColumn("_size", size), ["qid"],
-                 [F.round("value", 9).desc(), F.col("_size"), F.col("cand")], 1, "_b").select("qid", "cand", "value")
-    return fused.join(best, ["qid", "cand"]).select("qid", "did", "rank", "score", "cand", "value")
+    value = F.coalesce(F.col(f"`{metric}`"), F.lit(0.0))
+    all_ = cands.select("qid", "cand").distinct().join(scored, ["qid", "cand"], "left").withColumn("value", value)
+    best = top_k(all_.withColumn("_size", size), ["qid"], [F.round("value", 9).desc(), F.col("_size"), F.col("cand")], 1, "_b")
+    return lists.join(best.select("qid", "cand", "value"), ["qid", "cand"]).select("qid", "did", "rank", "score", "cand", "value")
 
 
-def fuse_greedy(run: DataFrame, scores: DataFrame, qrels: DataFrame, cutoff: int,
+def fuse_greedy(run: DataFrame, scores: DataFrame, qrels: DataFrame, cutoff: int | None = None,
                 metric: str = "ndcg_cut_10", k: int = 60, depth: int = 1000) -> DataFrame:
     """fuse the best 1..cutoff variants (by predicted score); keep the
-    prefix whose fused list scores best, the shortest on ties."""
-    present = scores.join(run.select("qid", "vid").distinct(), ["qid", "vid"])
-    ranked = _variant_order(present).where(F.col("_vpos") <= cutoff)
-    n = ranked.groupBy("qid").agg(F.max("_vpos").alias("_n"))
-    cands = (ranked.join(n, "qid")
-             .withColumn("cand", F.explode(F.sequence(F.col("_vpos"), F.col("_n"))))
-             .select("qid", "cand", "vid"))
-    fused, scored = _candidate_eval(cands, run, qrels, metric, k, depth)
-    return _pick_best(fused, scored, F.col("cand"))
-
-
-def fuse_optimal(run: DataFrame, scores: DataFrame, qrels: DataFrame, cutoff: int = 10,
+    prefix whose fused list scores best, the shortest on ties. A query with
+    one variant keeps its whole list (cand 1, no value)."""
+    cut = _cut_lists(run, depth)
+    variants = _with_scores(cut, scores)
+    pos = F.row_number().over(Window.partitionBy("qid").orderBy(*_best_first()))
+    ranked = variants.where("_nv > 1").withColumn("_vpos", pos)
+    last = F.col("_nv") if cutoff is None else F.least(F.col("_nv"), F.lit(cutoff))
+    cands = ranked.withColumn("_n", last).where("_vpos <= _n").select(
+        "qid", F.explode(F.sequence(F.col("_vpos").cast("long"), F.col("_n").cast("long"))).alias("cand"), "vid")
+    best = _best_candidate(cands, cut, qrels, metric, F.col("cand"), k, depth)
+    own = _unchanged(run, variants.where("_nv = 1"))
+    return best.unionByName(own.select("qid", "did", "rank", "score", F.lit(1).cast("long").alias("cand"), F.lit(None).cast("double").alias("value")))
+
+
+def fuse_optimal(run: DataFrame, scores: DataFrame, qrels: DataFrame, cutoff: int | None = None,
                  metric: str = "ndcg_cut_10", ignore_zero: bool = False, k: int = 60,
-                 depth: int = 1000) -> DataFrame:
-    """fuse every nonempty subset of the (best ``cutoff``) variants;
-    keep the best, the smallest subset on ties. Candidate = bit mask, so a
-    query has 2^n − 1 candidates: ``cutoff`` is mandatory (at most 12)."""
-    if cutoff is None or cutoff > 12:
-        raise ValueError("fuse_optimal needs cutoff <= 12 (2^n candidates per query)")
-    present = scores.join(run.select("qid", "vid").distinct(), ["qid", "vid"])
+                 depth: int = 1000, return_vids: bool = False) -> DataFrame:
+    """fuse every nonempty subset of the variants (of the best ``cutoff``
+    by predicted score, where given); keep the best, the smallest subset on
+    ties. A candidate is a bit mask over the variants from the best on, so a
+    query has 2^n − 1 of them: the work doubles with every variant, and 62 is
+    the most a mask holds (more raise inside the job). ``return_vids`` adds the
+    chosen variants, best first, as ``vids``."""
+    cut = _cut_lists(run, depth)
+    present = _with_scores(cut, scores)
     if ignore_zero:
         present = present.where(F.col("vscore") > 0)
-    ranked = _variant_order(present).where(F.col("_vpos") <= cutoff)
+    pos = F.row_number().over(Window.partitionBy("qid").orderBy(*_best_first()))
+    ranked = present.withColumn("_vpos", pos)
+    if cutoff is not None:
+        ranked = ranked.where(F.col("_vpos") <= cutoff)
     n = ranked.groupBy("qid").agg(F.max("_vpos").alias("_n"))
-    masks = n.select("qid", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.col("_n")).cast("int") - 1)).alias("cand"))
-    cands = (ranked.join(masks, "qid")
-             .where(F.expr("(shiftright(cand, _vpos - 1) & 1) = 1"))
-             .select("qid", "cand", "vid"))
-    fused, scored = _candidate_eval(cands, run, qrels, metric, k, depth)
-    return _pick_best(fused, scored, F.bit_count(F.col("cand")))
+    top = F.when(F.col("_n") <= 62, F.expr("shiftleft(1L, _n) - 1")).otherwise(F.raise_error(F.lit("more than 62 variants of a query")).cast("long"))
+    masks = n.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("cand"))
+    cands = ranked.join(masks, "qid").where(F.expr("(shiftright(cand, _vpos - 1) & 1) = 1")).select("qid", "cand", "vid")
+    best = _best_candidate(cands, cut, qrels, metric, F.bit_count(F.col("cand")), k, depth)
+    if not return_vids:
+        return best
+    vids = F.transform(F.array_sort(F.collect_list(F.struct("_vpos", "vid"))), lambda x: x["vid"])
+    chosen = best.select("qid", "cand").distinct()
+    named = (ranked.join(chosen, "qid").where(F.expr("(shiftright(cand, _vpos - 1) & 1) = 1")).groupBy("qid").agg(vids.alias("vids")))
+    return best.join(named, "qid")
 
 
 def fuse_random(run: DataFrame, nvariants: int, seed: int = 0, k: int = 60, depth: int = 1000) -> DataFrame:

@@ -50,17 +50,18 @@ def group_count(df: DataFrame, key, per_column: bool = False) -> DataFrame:
 
 
 def group_sample(df: DataFrame, key, n: float, replace: bool = False, seed: int = 0,
-                 order: str = "ord") -> DataFrame:
-    """Sample per key. n < 1 is a ratio of the group (truncated), else a
-    number. Without replacement: first rows of a seeded hash order (capped at
-    the group size). With replacement: n draws of a hashed row index."""
+                 order: str = "ord", rounded: bool = False) -> DataFrame:
+    """Sample per key. n < 1 is a ratio of the group (truncated, or
+    ``rounded``), else a number. Without replacement: first rows of a seeded
+    hash order (capped at the group size). With replacement: n draws of a
+    hashed row index."""
     keys = _keys(key)
     h = F.xxhash64(*[F.col(k) for k in keys], F.col(order), F.lit(seed))
     cnt = df.groupBy(*keys).agg(F.count("*").alias("_cnt"))
-    want = F.floor(F.col("_cnt") * n) if n < 1 else F.lit(int(n))
+    want = (F.bround(F.col("_cnt") * n) if rounded else F.floor(F.col("_cnt") * n)) if n < 1 else F.lit(round(n) if rounded else int(n))
     if not replace:
         if n >= 1:
-            return top_k(df, keys, [h, F.col(order)], int(n), "_r").drop("_r")
+            return top_k(df, keys, [h, F.col(order)], round(n) if rounded else int(n), "_r").drop("_r")
         ranked = rank_rows(df, keys, [h, F.col(order)], "_r")
         return ranked.join(cnt, keys).where(F.col("_r") <= want).drop("_r", "_cnt")
     numbered = rank_rows(df, keys, [F.col(order)], "_i")
@@ -122,7 +123,7 @@ def sample_keys_values(df: DataFrame, key: str, mode: str = "front", selection:
     out = df
     if selection in ("keys", "both") and nk is not None:
         # the chosen keys: nk rows of a small per-key table
-        chosen = top_k(keys_first.withColumn("_g", F.lit(0)), ["_g"], [kord, F.col(key)], nk, "_k").select(key)
+        chosen = keys_first.orderBy(kord, F.col(key)).limit(nk).select(key)
         out = out.join(chosen, key, "left_semi")
     if selection in ("values", "both") and nv is not None:
         vord = {"front": F.col(order), "back": F.col(order).desc(),
@@ -159,9 +160,16 @@ def merge_lists(lists: DataFrame, order: str = "ord") -> DataFrame:
 
 def merge_nested(leaves: DataFrame) -> DataFrame:
     """Deep merge of nested maps given as (path, value) leaves; equal
-    leaves merge, conflicting leaves raise an error."""
-    per = leaves.groupBy("path").agg(F.count_distinct("value").alias("_n"), F.first("value").alias("value"))
-    return per.select("path", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("conflict at "), F.col("path"))))
+    leaves merge; conflicting leaves, or a leaf where another path has a
+    subtree, raise an error."""
+    parts = F.split("path", "/")
+    above = (leaves.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+                                                 lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path"), F.size(parts).alias("_d"))
+             .where("_d > 1").select("path").distinct().withColumn("_inner", F.lit(1)))
+    leaves = leaves.join(above, "path", "left")
+    per = leaves.groupBy("path").agg(F.count_distinct("value").alias("_n"), F.first("value").alias("value"),
+                                     F.max("_inner").alias("_inner"))
+    return per.select("path", F.when((F.col("_n") > 1) | F.col("_inner").isNotNull(), F.raise_error(F.concat(F.lit("conflict at "), F.col("path"))))
                       .otherwise(F.col("value")).alias("value"))
 
 
@@ -196,12 +204,12 @@ def term_stats(docs: DataFrame, tokens: str = "tokens", did: str = "did") -> Dat
 def pairs_to_list(triples: DataFrame, pos_label: int = 1, neg_label: int = 0,
                   sample_neg: float | None = None, seed: int = 0) -> DataFrame:
     """Distinct positives then distinct negatives per id, with labels;
-    negatives optionally sampled without replacement (ratio or number)."""
+    a document that is both appears with both labels. Negatives are optionally
+    sampled without replacement (ratio, rounded half to even, or number)."""
     pos = triples.select("id", F.col("pos").alias("doc")).distinct().withColumn("label", F.lit(pos_label))
-    neg = triples.select("id", F.col("neg").alias("doc")).distinct() \
-        .join(pos.select("id", "doc"), ["id", "doc"], "left_anti").withColumn("label", F.lit(neg_label))
+    neg = triples.select("id", F.col("neg").alias("doc")).distinct().withColumn("label", F.lit(neg_label))
     if sample_neg is not None:
-        neg = group_sample(neg.withColumn("ord", F.xxhash64("doc")), "id", sample_neg, seed=seed).drop("ord")
+        neg = group_sample(neg.withColumn("ord", F.xxhash64("doc")), "id", sample_neg, seed=seed, rounded=True).drop("ord")
     return pos.unionByName(neg)
 
 

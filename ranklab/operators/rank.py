@@ -50,9 +50,22 @@ def score_order(score: str = "score", tie: str = "docno_desc", did: str = "did")
     return [F.col(score).desc()] + tie_order(tie, did)
 
 
+# Spark plans WindowGroupLimit up to this k (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
           rank_col: str = "rank") -> DataFrame:
-    """First k rows per group (ranks 1..k). Plans WindowGroupLimit."""
+    """First k rows per group (ranks 1..k). Up to Spark's limit for
+    WindowGroupLimit a task sends at most k rows of a group; a larger k goes
+    through :func:`rank_rows`, which splits hot groups. Without keys, a global
+    order and limit."""
+    if not keys:
+        first = df.orderBy(*order).limit(k)
+        return rank_rows(first, [], order, rank_col, hot=[]) if k <= GROUP_LIMIT else (
+            rank_rows(first.withColumn("_all", F.lit(0)), ["_all"], order, rank_col).drop("_all"))
+    if k > GROUP_LIMIT:
+        return rank_rows(df, keys, order, rank_col).where(F.col(rank_col) <= k)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
@@ -97,8 +110,8 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     w = Window.partitionBy(*keys).orderBy(*order)
     wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def windowed(d: DataFrame) -> DataFrame:
-        d = d.withColumn(rank_col, F.row_number().over(w))
+    def windowed(d: DataFrame, kind: str = "int") -> DataFrame:
+        d = d.withColumn(rank_col, F.row_number().over(w).cast(kind))
         for name, expr in running.items():
             d = d.withColumn(name, F.sum(expr).over(wrun))
         return d
@@ -112,7 +125,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     hot_df = spark.createDataFrame(hot, schema=df.select(*keys).schema).withColumn("_hot", F.lit(True))
     tagged = df.join(F.broadcast(hot_df), list(keys), "left")
-    normal = windowed(tagged.where(F.col("_hot").isNull()).drop("_hot"))
+    normal = windowed(tagged.where(F.col("_hot").isNull()).drop("_hot"), "long")   # a hot group may pass the int range
 
     # Hot groups: range partition on (key, order) so each group spans many
     # tasks; number rows locally, then add the count of earlier partitions.
@@ -134,7 +147,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     offs = stats.select("_pid", *keys, F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"),
                         *[F.coalesce(F.sum(f"_t_{n}").over(wo), F.lit(0)).alias(f"_o_{n}") for n in running])
     hot_ranked = local.join(F.broadcast(offs), ["_pid", *keys])
-    hot_ranked = hot_ranked.withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("int"))
+    hot_ranked = hot_ranked.withColumn(rank_col, (F.col("_lr") + F.col("_off")))
     for name in running:
         hot_ranked = hot_ranked.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
     cols = normal.columns

@@ -47,18 +47,18 @@ def delta_table(evals: DataFrame, base: str, metric: str, overlapped: bool = Fal
 def value_histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ("system",),
                     stat: str = "count") -> DataFrame:
     """V3: equal-width bins between the group's min and max (last bin closed
-    on the right); ``stat``: count, frequency (= count), probability
+    on the right); ``stat``: count, frequency (count / width), probability
     (count / n) or density (probability / width)."""
     by = list(by)
     mm = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count("*").alias("_n"))
     j = df.join(mm, by) if by else df.crossJoin(mm)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(
-        F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
+        F.least(F.floor(F.try_divide(F.col(col) - F.col("_lo"), width)), F.lit(bins - 1))).cast("int")
     h = j.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("count"), F.first("_lo").alias("_lo"),
                                            F.first("_hi").alias("_hi"), F.first("_n").alias("_n"))
     w = (F.col("_hi") - F.col("_lo")) / bins
-    val = {"count": F.col("count"), "frequency": F.col("count"),
+    val = {"count": F.col("count"), "frequency": F.when(w > 0, F.col("count") / w).otherwise(F.lit(None)),
            "probability": F.col("count") / F.col("_n"),
            "density": F.when(w > 0, F.col("count") / F.col("_n") / w).otherwise(F.lit(None))}[stat]
     return h.select(*by, "bin", (F.col("_lo") + F.col("bin") * w).alias("left"),

@@ -124,8 +124,9 @@ def remove_tail(df: DataFrame, col: str, pct: float, by: Sequence[str] = ()) ->
 
 
 def session_id(qid: Column) -> Column:
-    """Leading alphanumerics of an id (up to the first other char)."""
-    return F.regexp_extract(qid.cast("string"), r"^([a-zA-Z0-9]+)", 1)
+    """Leading alphanumerics of an id, up to the first other character; an
+    id without such a character has no session (null)."""
+    return F.nullif(F.regexp_extract(qid.cast("string"), r"^([a-zA-Z0-9]+)[^a-zA-Z0-9]", 1), F.lit(""))
 
 
 def rescale_by_query_length(run: DataFrame, queries: DataFrame, token_col: str = "tokens") -> DataFrame:

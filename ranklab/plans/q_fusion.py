@@ -127,22 +127,22 @@ def variant_fusion_weighted(spark, sf_dir):
 def _candidate_sql(cands: str, size: str) -> str:
     return f"""
 WITH {_VARIANT_LISTS},
-vs AS (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY vscore DESC, vid) AS vpos
+vs AS MATERIALIZED (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY vscore DESC, vid) AS vpos
        FROM variant_scores WHERE (qid, vid) IN (SELECT qid, vid FROM variants)),
-nv AS (SELECT qid, max(vpos) AS n FROM vs WHERE vpos <= 3 GROUP BY qid),
-cands AS ({cands}),
-cl AS (SELECT c.qid, c.cand, l.vid, l.did, l.r FROM cands c JOIN lists l ON l.qid = c.qid AND l.vid = c.vid WHERE l.r <= 100),
-fused AS (SELECT qid, cand, did, sum(1.0 / (60 + r)) AS score FROM cl GROUP BY qid, cand, did),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, cand ORDER BY round(score, 12) DESC, did) AS rank FROM fused),
-top AS (SELECT * FROM ranked WHERE rank <= 100),
-ideal AS (SELECT qid, sum(CASE WHEN rn <= 10 THEN rel / log2(rn + 1.0) ELSE 0 END) AS idcg
+nv AS MATERIALIZED (SELECT qid, max(vpos) AS n FROM vs GROUP BY qid),
+cands AS MATERIALIZED ({cands}),
+cl AS MATERIALIZED (SELECT c.qid, c.cand, l.vid, l.did, l.r FROM cands c JOIN lists l ON l.qid = c.qid AND l.vid = c.vid WHERE l.r <= 100),
+fused AS MATERIALIZED (SELECT qid, cand, did, sum(1.0 / (60 + r)) AS score FROM cl GROUP BY qid, cand, did),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid, cand ORDER BY round(score, 12) DESC, did) AS rank FROM fused),
+top AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= 100),
+ideal AS MATERIALIZED (SELECT qid, sum(CASE WHEN rn <= 10 THEN rel / log2(rn + 1.0) ELSE 0 END) AS idcg
           FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, did) AS rn
                 FROM qrels WHERE rel > 0) t GROUP BY qid),
-dcg AS (SELECT t.qid, t.cand, sum(CASE WHEN t.rank <= 10 THEN greatest(coalesce(q.rel, 0), 0) / log2(t.rank + 1.0) ELSE 0 END) AS dcg
+dcg AS MATERIALIZED (SELECT t.qid, t.cand, sum(CASE WHEN t.rank <= 10 THEN greatest(coalesce(q.rel, 0), 0) / log2(t.rank + 1.0) ELSE 0 END) AS dcg
         FROM top t LEFT JOIN qrels q ON q.qid = t.qid AND q.did = t.did GROUP BY t.qid, t.cand),
-scored AS (SELECT d.qid, d.cand, CASE WHEN coalesce(i.idcg, 0) > 0 THEN dcg / i.idcg ELSE 0 END AS value
-           FROM dcg d LEFT JOIN ideal i ON i.qid = d.qid WHERE d.qid IN (SELECT qid FROM qrels)),
-best AS (SELECT qid, cand, value FROM (
+scored AS MATERIALIZED (SELECT d.qid, d.cand, CASE WHEN coalesce(i.idcg, 0) > 0 THEN dcg / i.idcg ELSE 0 END AS value
+           FROM dcg d LEFT JOIN ideal i ON i.qid = d.qid),
+best AS MATERIALIZED (SELECT qid, cand, value FROM (
            SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(value, 9) DESC, {size}, cand) AS bn
            FROM scored) b WHERE bn = 1)
 SELECT t.qid, t.did, t.rank, round(t.score, 6) AS score, t.cand, round(b.value, 6) AS value
@@ -152,13 +152,13 @@ FROM top t JOIN best b ON b.qid = t.qid AND b.cand = t.cand
 
 register("greedy_fusion", _candidate_sql(
     "SELECT vs.qid, g.cand, vs.vid FROM vs JOIN nv ON nv.qid = vs.qid, "
-    "generate_series(vs.vpos, nv.n) AS g(cand) WHERE vs.vpos <= 3", "cand"),
+    "generate_series(vs.vpos, nv.n) AS g(cand)", "cand"),
     ("variants", "variant_scores", "qrels"))(
     lambda spark, sf_dir: _greedy(spark, sf_dir))
 
 register("optimal_fusion", _candidate_sql(
     "SELECT m.qid, m.cand, vs.vid FROM (SELECT qid, g.cand FROM nv, generate_series(1, (1 << n) - 1) AS g(cand)) m "
-    "JOIN vs ON vs.qid = m.qid WHERE vs.vpos <= 3 AND ((m.cand >> (vs.vpos - 1)) & 1) = 1", "bit_count(cand)"),
+    "JOIN vs ON vs.qid = m.qid WHERE ((m.cand >> (vs.vpos - 1)) & 1) = 1", "bit_count(cand)"),
     ("variants", "variant_scores", "qrels"))(
     lambda spark, sf_dir: _optimal(spark, sf_dir))
 
@@ -169,19 +169,35 @@ def _fmt(out):
 
 
 def _greedy(spark, sf_dir):
-    """prefixes 1..3 of the variants by predicted score, best NDCG@10."""
+    """prefixes of the variants by predicted score, best NDCG@10."""
     out = FU.fuse_greedy(V.variants(spark, sf_dir), V.variant_scores(spark, sf_dir), V.qrels(spark, sf_dir),
-                         cutoff=3, metric="ndcg_cut_10", depth=100)
+                         metric="ndcg_cut_10", depth=100)
     return _fmt(out)
 
 
 def _optimal(spark, sf_dir):
-    """every subset of the best 3 variants, best NDCG@10, smallest on ties."""
+    """every subset of the variants, best NDCG@10, smallest on ties."""
     out = FU.fuse_optimal(V.variants(spark, sf_dir), V.variant_scores(spark, sf_dir), V.qrels(spark, sf_dir),
-                          cutoff=3, metric="ndcg_cut_10", depth=100)
+                          metric="ndcg_cut_10", depth=100)
     return _fmt(out)
 
 
+@register("variant_fusion_cutoff", f"""
+WITH {_VARIANT_LISTS},
+vs AS (SELECT qid, vid, vscore, row_number() OVER (PARTITION BY qid ORDER BY vscore DESC, vid) AS pos FROM variant_scores),
+ex AS (SELECT qid, vid, exp(vscore - max(vscore) OVER (PARTITION BY qid)) AS z FROM vs WHERE pos <= 2),
+wt AS (SELECT qid, vid, z / sum(z) OVER (PARTITION BY qid) AS weight FROM ex),
+fused AS (SELECT l.qid, l.did, sum(wt.weight / (60 + l.r)) AS score
+          FROM lists l JOIN wt ON wt.qid = l.qid AND wt.vid = l.vid WHERE l.r <= 100 GROUP BY l.qid, l.did),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did) AS rank FROM fused)
+SELECT qid, did, rank, round(score, 6) AS score FROM ranked WHERE rank <= 100
+""", ("variants", "variant_scores"))
+def variant_fusion_cutoff(spark, sf_dir):
+    """F4 without forcing the original: best two variants, softmax weights."""
+    out = FU.fuse_variants(V.variants(spark, sf_dir), V.variant_scores(spark, sf_dir), weighted=True, cutoff=2, depth=100)
+    return out.select("qid", "did", "rank", r6("score").alias("score"))
+
+
 @register("random_fusion")
 def random_fusion(spark, sf_dir):
     """RRF of 2 variants per query chosen by a seeded hash (rows-only)."""

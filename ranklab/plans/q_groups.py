@@ -195,7 +195,7 @@ def _triples(spark, sf_dir):
 @register("pairs_to_list", f"""
 WITH {_TRIPLES_SQL},
 p AS (SELECT DISTINCT id, pos AS doc FROM triples),
-n AS (SELECT DISTINCT id, neg AS doc FROM triples EXCEPT SELECT id, doc FROM p)
+n AS (SELECT DISTINCT id, neg AS doc FROM triples)
 SELECT id, doc, 1 AS label FROM p UNION ALL SELECT id, doc, 0 AS label FROM n
 """)
 def pairs_to_list(spark, sf_dir):

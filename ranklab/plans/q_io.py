@@ -72,7 +72,8 @@ def eval_roundtrip(spark, sf_dir):
 WITH r AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CAST(did AS VARCHAR) DESC) AS rank
            FROM (SELECT a.*, q.rel FROM run_a a LEFT JOIN qrels q USING (qid, did)) x)
 SELECT 'rbp_0.80@' || CAST(count(*) AS VARCHAR) AS metric, CAST(qid AS VARCHAR) AS qid,
-       round(sum(CASE WHEN rel >= 1 THEN 0.2 * power(0.8, rank - 1) ELSE 0 END), 4) AS value
+       round(sum(CASE WHEN rel >= 1 THEN 0.2 * power(0.8, rank - 1) ELSE 0 END), 4) AS value,
+       round(sum(CASE WHEN rel IS NULL THEN 0.2 * power(0.8, rank - 1) ELSE 0 END) + power(0.8, max(rank)), 4) AS residual
 FROM r GROUP BY qid
 """, ("run_a", "qrels"))
 def rbp_roundtrip(spark, sf_dir):
@@ -80,10 +81,11 @@ def rbp_roundtrip(spark, sf_dir):
     from ..functions.metrics import evaluate_wide
     w = evaluate_wide(V.run(spark, sf_dir, "a"), V.qrels(spark, sf_dir), ["rbp@0.8"])
     n = V.run(spark, sf_dir, "a").groupBy("qid").agg(F.count("*").alias("d"))
-    lines = w.join(n, "qid").select(F.format_string("p= 0.80 q= %s d= %d rbp= %.4f +%.4f", F.col("qid").cast("string"),
-                                                    F.col("d"), F.col("`rbp@0.8`"), F.col("`rbp@0.8_res`")).alias("value"))
+    ev = w.join(n, "qid").select(F.concat(F.lit("rbp_0.80@"), F.col("d").cast("string")).alias("metric"), "qid",
+                                 F.col("`rbp@0.8`").alias("value"), F.col("`rbp@0.8_res`").alias("residual"))
+    lines = K.format_eval(ev, "rbp").select("value")
     header = spark.createDataFrame([("# rbp_eval output",)], "value string")
-    return S.parse_rbp(header.unionByName(lines)).select("metric", "qid", "value")
+    return S.parse_rbp(header.unionByName(lines)).select("metric", "qid", "value", "residual")
 
 
 @register("gdeval_csv", """

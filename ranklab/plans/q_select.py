@@ -189,12 +189,12 @@ def remove_tail(spark, sf_dir):
 
 
 @register("session_ids", """
-SELECT regexp_extract(vid, '^([a-zA-Z0-9]+)', 1) AS session, count(*) AS n FROM variants GROUP BY 1
+SELECT vid, nullif(regexp_extract(vid, '^([a-zA-Z0-9]+)[^a-zA-Z0-9]', 1), '') AS session, count(*) AS n FROM variants GROUP BY 1, 2
 """, ("variants",))
 def session_ids(spark, sf_dir):
     """Session id of each variant id (leading alphanumerics)."""
     v = V.variants(spark, sf_dir)
-    return v.groupBy(S.session_id(F.col("vid")).alias("session")).agg(F.count("*").alias("n"))
+    return v.groupBy("vid", S.session_id(F.col("vid")).alias("session")).agg(F.count("*").alias("n"))
 
 
 @register("append_missing_relevant", f"""

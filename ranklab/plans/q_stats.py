@@ -181,14 +181,14 @@ WITH e AS (SELECT system, value FROM evals WHERE metric = 'ndcg_cut_10'),
      b AS (SELECT e.system, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / ((hi - lo) / 10)), 9) END AS INTEGER) AS bin,
                   lo, hi FROM e JOIN mm USING (system))
 SELECT system, bin, round(lo + bin * ((hi - lo) / 10), 6) AS "left", round(lo + (bin + 1) * ((hi - lo) / 10), 6) AS "right",
-       count(*) AS count
+       count(*) AS count, round(CASE WHEN hi > lo THEN count(*) / ((hi - lo) / 10) END, 4) AS frequency
 FROM b GROUP BY system, bin, lo, hi
 """, _EV)
 def value_histogram(spark, sf_dir):
-    """V3: 10 equal-width bins of NDCG@10 per system."""
+    """V3: 10 equal-width bins of NDCG@10 per system, counts and frequency (count / width)."""
     ev = V.evals(spark, sf_dir).where(F.col("metric") == "ndcg_cut_10")
-    h = RP.value_histogram(ev, "value", 10, ("system",))
-    return h.select("system", "bin", r6("left").alias("left"), r6("right").alias("right"), "count")
+    h = RP.value_histogram(ev, "value", 10, ("system",), "frequency")
+    return h.select("system", "bin", r6("left").alias("left"), r6("right").alias("right"), "count", F.round("frequency", 4).alias("frequency"))
 
 
 @register("percentiles", """

@@ -59,14 +59,14 @@ WITH {_STATS_SQL},
           WHERE s.term LIKE '%s' AND length(s.term) > 3
             AND substring(s.term, 1, length(s.term) - 1) IN (SELECT term FROM st)),
   ex AS (SELECT did, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM dt),
-  lm AS (SELECT did, pos, coalesce(lex.lemma, ex.term) AS term FROM ex LEFT JOIN lex ON lex.token = ex.term),
-  kept AS (SELECT * FROM lm WHERE term NOT IN (SELECT term FROM {STOP_SQL})),
+  sw AS (SELECT * FROM ex WHERE term NOT IN (SELECT term FROM {STOP_SQL})),
+  kept AS (SELECT did, pos, coalesce(lex.lemma, sw.term) AS term FROM sw LEFT JOIN lex ON lex.token = sw.term),
   agg AS (SELECT did, count(*) AS n_tokens, string_agg(term, ' ' ORDER BY pos) AS text FROM kept GROUP BY did)
 SELECT c.did, coalesce(n_tokens, 0) AS n_tokens, coalesce(agg.text, '') AS text FROM corpus c LEFT JOIN agg USING (did)
 """, ("corpus",))
 def normalize_tokens(spark, sf_dir):
-    """X3 + X4: lemma lookup in a lexicon derived from the corpus vocabulary,
-    stop words removed, tokens reassembled in order."""
+    """X3 + X4: stop words removed, lemma lookup in a lexicon derived from the
+    corpus vocabulary, tokens reassembled in order."""
     toks = _corpus_tokens(spark, sf_dir)
     lex = X.plural_lexicon(_term_stats(toks))
     out = X.normalize_tokens(toks, "did", "tokens", lexicon=lex, stopwords=X.stopwords_df(spark))
@@ -203,14 +203,14 @@ WITH w AS (SELECT did, text, regexp_extract_all(lower(text), '[a-z]+') AS ws,
   s AS (SELECT did, sentences, ws, list_transform(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')), 1)) AS syl
         FROM w),
   b AS (SELECT did, sentences, len(ws) AS words, list_sum(list_transform(ws, lambda x: length(x))) AS letters,
-               list_sum(syl) AS syllables, len(list_filter(syl, lambda x: x >= 3)) AS poly FROM s WHERE len(ws) > 0)
+               list_sum(syl) AS syllables, len(list_filter(syl, lambda x: x >= 3)) AS poly FROM (SELECT did, sentences, ws, syl, len(ws) > 0 AS some FROM s))
 SELECT did, CAST(sentences AS INTEGER) AS sentences, CAST(words AS INTEGER) AS words,
-  round(206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words), 6) AS flesch_ease,
-  round(0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59, 6) AS fk_grade,
-  round(1.043 * sqrt(poly * (30.0 / sentences)) + 3.1291, 6) AS smog,
-  round(0.0588 * (letters / words * 100) - 0.296 * (sentences / words * 100) - 15.8, 6) AS coleman_liau,
-  round(4.71 * (letters / words) + 0.5 * (words / sentences) - 21.43, 6) AS ari,
-  round(0.4 * ((words / sentences) + 100.0 * (poly / words)), 6) AS gunning_fog
+  round(206.835 - 1.015 * (nullif(words, 0) / sentences) - 84.6 * (syllables / nullif(words, 0)), 6) AS flesch_ease,
+  round(0.39 * (nullif(words, 0) / sentences) + 11.8 * (syllables / nullif(words, 0)) - 15.59, 6) AS fk_grade,
+  round(CASE WHEN words > 0 THEN 1.043 * sqrt(poly * (30.0 / sentences)) + 3.1291 END, 6) AS smog,
+  round(0.0588 * (letters / nullif(words, 0) * 100) - 0.296 * (sentences / nullif(words, 0) * 100) - 15.8, 6) AS coleman_liau,
+  round(4.71 * (letters / nullif(words, 0)) + 0.5 * (nullif(words, 0) / sentences) - 21.43, 6) AS ari,
+  round(0.4 * ((nullif(words, 0) / sentences) + 100.0 * (poly / nullif(words, 0))), 6) AS gunning_fog
 FROM b
 """, ("corpus",))
 def readability(spark, sf_dir):

@@ -3,9 +3,12 @@ checkpoint folder, and size checks that gate every broadcast."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 # Conf keys of our own (read from the session, so a cluster can tune them).
 HOT_ROWS_KEY = "ranklab.skew.hotRows"          # rows above which a group is "hot"
 BROADCAST_BYTES_KEY = "ranklab.broadcast.maxBytes"
+SCRATCH_KEY = "ranklab.scratch.dir"            # shared folder for tables
 DEFAULT_HOT_ROWS = 5_000_000
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -40,18 +44,48 @@ def build_session(master: str = "local[8]", app: str = "ranklab",
 
 
 def ensure_defaults(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session has none (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="ranklab-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """A checkpoint folder where the session has none (tests), and this package
+    on the workers' path."""
+    checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    ensure_defaults(spark)
-    return spark.conf.get("spark.checkpoint.dir")
+    """The shared folder for tables: our own key, else the folder the caller set on
+    the context, else ``spark.checkpoint.dir``. Only a local session without any
+    gets a temporary folder; a cluster must name one."""
+    sc = spark.sparkContext
+    own, conf, ctx = (spark.conf.get(SCRATCH_KEY, None), spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir())
+    if own:
+        return own
+    if conf and (not ctx or conf.removeprefix("file:").rstrip("/") in ctx):
+        return conf                      # Spark's own sub-folder of the setting
+    if ctx:
+        return ctx
+    if not sc.master.startswith("local"):
+        raise RuntimeError(f"set spark.checkpoint.dir or {SCRATCH_KEY} to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ranklab-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per context, unless their path holds
+    it already: user functions refer to it by name."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_ranklab_shipped", False):
+        return
+    sc._ranklab_shipped = True
+    d = tempfile.mkdtemp(prefix="ranklab-package-")        # the driver serves the file to the executors
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = os.path.join(d, "ranklab-package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "ranklab")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -95,14 +129,6 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     return df
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss;
-    never a local checkpoint). Prefer :func:`materialize`: an uncached
-    ``checkpoint`` computes its plan twice."""
-    ensure_defaults(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage by writing ``df`` once as a Parquet table under the shared
     ``spark.checkpoint.dir`` and reading it back: one job, columnar and

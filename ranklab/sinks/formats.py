@@ -89,15 +89,18 @@ def to_query_param(queries: DataFrame, working_set: DataFrame | None = None,
 
 def format_eval(evals: DataFrame, layout: str = "trec") -> DataFrame:
     """K7: per-query lines followed by the ``all`` mean per metric; trec
-    layout ``metric<pad 22>\\tqid\\tvalue`` (4 decimals) or RBP layout."""
-    means = evals.groupBy("metric").agg(F.avg("value").alias("value"), F.lit("all").alias("qid"))
-    rows = evals.select("metric", F.col("qid").cast("string").alias("qid"), "value", F.lit(0).alias("_o")) \
-        .unionByName(means.select("metric", "qid", "value", F.lit(1).alias("_o")))
+    layout ``metric<pad 22>\\tqid\\tvalue`` (4 decimals) or RBP layout, which
+    also has the ``residual`` column and its mean (0 where evals has none)."""
+    if "residual" not in evals.columns:
+        evals = evals.withColumn("residual", F.lit(0.0))
+    means = evals.groupBy("metric").agg(F.avg("value").alias("value"), F.avg("residual").alias("residual"), F.lit("all").alias("qid"))
+    rows = evals.select("metric", F.col("qid").cast("string").alias("qid"), "value", "residual", F.lit(0).alias("_o")) \
+        .unionByName(means.select("metric", "qid", "value", "residual", F.lit(1).alias("_o")))
     if layout == "trec":
         line = F.format_string("%-22s\t%s\t%.4f", F.col("metric"), F.col("qid"), F.col("value"))
     else:
         line = F.format_string("p= %s q= %s d= %s rbp= %.4f +%.4f", F.regexp_extract("metric", r"rbp_([0-9.]+)@", 1),
-                               F.col("qid"), F.regexp_extract("metric", r"@(\d+)", 1), F.col("value"), F.lit(0.0))
+                               F.col("qid"), F.regexp_extract("metric", r"@(\d+)", 1), F.col("value"), F.col("residual"))
     return rows.select("metric", "qid", "_o", line.alias("value"))
 
 

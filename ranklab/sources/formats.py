@@ -5,8 +5,9 @@ Each format has a ``parse_*`` function over a DataFrame of text lines
 that scans files with ``spark.read.text`` (splittable, gzip transparent,
 input order kept as ``ord`` = (file, block, row id) per SURVEY §1.4).
 Parsing is ``split``/``regexp_extract``/``try_cast``: JVM expressions, no
-Python per line. Malformed lines never raise inside tasks; they are kept
-out of the parsed frame and reported by :func:`find_malformed_runs`.
+Python per line. Malformed lines never raise inside tasks; readers keep them
+out of the parsed frame, :func:`bad_run_lines` lists them and
+:func:`find_malformed_runs` names their files.
 """
 
 from __future__ import annotations
@@ -35,44 +36,72 @@ def strip_comments(value) -> F.Column:
     return F.regexp_replace(value, r"\s*#.*$", "")
 
 
-def _fields(df: DataFrame, comments: bool = True) -> DataFrame:
+def _fields(df: DataFrame, comments: bool = False) -> DataFrame:
     v = strip_comments(F.col("value")) if comments else F.col("value")
     return df.withColumn("_f", F.split(F.trim(v), WS)).where(F.trim(v) != "")
 
 
-def parse_run(lines: DataFrame, system: str | None = None) -> DataFrame:
+def parse_run(lines: DataFrame, system: str | None = None, comments: bool = False) -> DataFrame:
     """6 fields ``vid Q0 did rank score tag`` or 3 fields ``vid did rank``
-    (score = 1/rank). qid = vid before the first '-'. A document repeated in
-    one list keeps its last occurrence. Lines of other arity are dropped
-    (see :func:`find_malformed_runs`)."""
-    f = _fields(lines)
+    (score = 1/rank; rank 0 has none). qid = vid before the first '-'. A
+    document repeated in one list of one file keeps its last occurrence.
+    ``comments`` drops text from '#' on; off by default, since ids may hold it.
+    Lines of other arity are listed by :func:`bad_run_lines`."""
+    f = _fields(lines, comments)
     n = F.size("_f")
     six, three = n == 6, n == 3
     rank = F.when(six, F.element_at("_f", 4)).when(three, F.element_at("_f", 3)).try_cast("int")
-    score = F.when(six, F.element_at("_f", 5).try_cast("double")).when(three, 1.0 / rank)
+    score = F.when(six, F.element_at("_f", 5).try_cast("double")).when(three, F.try_divide(F.lit(1.0), rank))
     out = f.where(six | three).select(
         F.element_at("_f", 1).alias("vid"),
         F.when(six, F.element_at("_f", 3)).otherwise(F.element_at("_f", 2)).alias("did"),
         rank.alias("rank"), score.alias("score"),
         F.when(six, F.element_at("_f", 6)).alias("tag"),
-        *([F.col("ord")] if "ord" in lines.columns else []))
+        *[F.col(c) for c in ("path", "ord") if c in lines.columns])
     out = out.withColumn("qid", F.split("vid", "-").getItem(0))
     if system is not None:
         out = out.withColumn("system", F.lit(system))
     if "ord" in out.columns:
-        w = Window.partitionBy("vid", "did").orderBy(F.col("ord").desc())
+        w = Window.partitionBy(*[c for c in ("path", "vid", "did") if c in out.columns]).orderBy(F.col("ord").desc())
         out = out.withColumn("_last", F.row_number().over(w)).where(F.col("_last") == 1).drop("_last")
     return out
 
 
 def read_run(spark: SparkSession, paths, system: str | None = None) -> DataFrame:
-    return parse_run(read_lines(spark, paths), system)
+    """One system from one or several files of its lists."""
+    return parse_run(read_lines(spark, paths), system).drop("path")
+
+
+def read_runs(spark: SparkSession, paths: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """Several systems, one a file: ``system`` is the given name, else the
+    file's stem; lists of different files never mix."""
+    if names is not None and len(names) != len(paths):
+        raise ValueError("one name per file")
+    run = parse_run(read_lines(spark, paths))
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    if names is not None:
+        by = {p.rsplit("/", 1)[-1]: n for p, n in zip(paths, names, strict=True)}
+        if len(by) != len(paths):
+            raise ValueError("names need files of different base names")
+        base = F.substring_index("path", "/", -1)
+        stem = F.coalesce(*[F.when(base == b, F.lit(n)) for b, n in by.items()])
+    return run.withColumn("system", stem).drop("path")
+
+
+def bad_run_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a run that have neither 6 nor 3 fields, or a rank or score that
+    is no number: what the reader leaves out."""
+    f = lines.withColumn("_f", F.split(F.trim("value"), WS)).where(F.trim("value") != "")
+    n = F.size("_f")
+    rank = F.when(n == 6, F.get("_f", F.lit(3))).when(n == 3, F.get("_f", F.lit(2))).try_cast("int")
+    score = F.when(n == 6, F.get("_f", F.lit(4)).try_cast("double")).when(n == 3, F.lit(0.0))
+    return f.where(~n.isin(3, 6) | rank.isNull() | score.isNull()).drop("_f")
 
 
-def parse_qrels(lines: DataFrame, default_rel: int = 1) -> DataFrame:
+def parse_qrels(lines: DataFrame, default_rel: int = 1, comments: bool = False) -> DataFrame:
     """``qid 0 did rel`` (4 fields), ``qid did rel`` (3) or ``qid did``
     (2, rel = default). The last duplicate of a pair wins."""
-    f = _fields(lines)
+    f = _fields(lines, comments)
     n = F.size("_f")
     out = f.where(n.isin(2, 3, 4)).select(
         F.element_at("_f", 1).alias("qid"),
@@ -116,6 +145,7 @@ def parse_gdeval(lines: DataFrame) -> DataFrame:
     """Gdeval CSV ``runid,topic,ndcg@k,err@k`` (header names the
     metrics), ``amean`` row skipped; long (runid, metric, qid, value)."""
     f = lines.select(F.split("value", ",").alias("_f"), *([F.col("path")] if "path" in lines.columns else []))
+    f = f.where(F.size("_f") >= 4)                       # blank or cut lines hold no measures
     header = f.where(F.element_at("_f", 1) == "runid").select(
         *([F.col("path")] if "path" in lines.columns else []),
         F.element_at("_f", 3).alias("m1"), F.element_at("_f", 4).alias("m2"))
@@ -138,13 +168,14 @@ def detect_eval_format(lines: DataFrame) -> DataFrame:
 
 def parse_queries(lines: DataFrame, sep: str = "\t", qid_field: int = 0, query_field: int = 1) -> DataFrame:
     """(qid, text) by separator and 0-based field indices; ``sep=None``
-    numbers the lines from 0 (order kept) and uses the whole line."""
+    numbers the lines from 0 (order kept) and uses the whole line. A line
+    without separator has a null text."""
     if sep is None:
         from ..operators.rank import global_rank
         n = global_rank(lines, [F.col("ord")], "_n")
         return n.select((F.col("_n") - 1).cast("string").alias("qid"), F.col("value").alias("text"))
     f = lines.select(F.split("value", sep).alias("_f"))
-    return f.select(F.element_at("_f", qid_field + 1).alias("qid"), F.element_at("_f", query_field + 1).alias("text"))
+    return f.select(F.get("_f", F.lit(qid_field)).alias("qid"), F.get("_f", F.lit(query_field)).alias("text"))
 
 
 def parse_spam_scores(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -237,6 +268,6 @@ def parse_generation_output(lines: DataFrame) -> DataFrame:
     kind = F.substring(F.element_at("_f", 1), 1, 1)
     sid = F.substring_index(F.element_at("_f", 1), "-", -1)
     h = f.where(kind == "H").select(sid.alias("sid"),
-                                    F.array_join(F.slice("_f", 3, 1 << 20), "\t").alias("hypothesis"))
-    t = f.where(kind == "T").select(sid.alias("sid"), F.array_join(F.slice("_f", 2, 1 << 20), "\t").alias("target"))
+                                    F.array_join(F.slice("_f", F.lit(3), F.size("_f")), "\t").alias("hypothesis"))
+    t = f.where(kind == "T").select(sid.alias("sid"), F.array_join(F.slice("_f", F.lit(2), F.size("_f")), "\t").alias("target"))
     return h.join(t, "sid", "full")
