@@ -12,9 +12,9 @@ over the same weights; THRESHOLD and more is a link, and connected texts are a
 class.
 
 No bucket is expanded into all pairs. Texts with the same words are one node.
-In each round a bucket sends PIVOTS of its nodes, those of the smallest classes
-first, against its nodes of other classes; links join classes, and pivots, being
-compared with all others, leave the bucket. A bucket is done when its remaining
+In each round a bucket sends a few pivots, nodes of the smallest classes first
+(PIVOTS, then GROWTH times as many a round), against its nodes of other classes;
+links join classes, and pivots, being compared with all others, leave the bucket. A bucket is done when its remaining
 nodes are in one class. So every candidate pair is either compared or already in
 one class, whatever the bucket's size. Classes are labelled by the smallest node,
 by rounds of neighbour minima and pointer jumping over DataFrames. Everything
@@ -45,7 +45,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 3, 16
 BUCKETS = 1 << 16
-PIVOTS = 4
+PIVOTS = 8                 # of a bucket in the first round
+GROWTH = 4                 # times the pivots of the round before
 BLOCK = 32_768             # shingles sampled at once
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -245,7 +246,7 @@ def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     """(node, label) of all nodes with a link, from ``buckets`` (band, key) and
     ``texts`` (key, text)."""
     labels, links, compared = None, None, None
-    left = buckets
+    left, some = buckets, PIVOTS
     while True:
         if labels is None:
             m = left.withColumns({"label": F.col("key"), "size": F.lit(1)})
@@ -257,7 +258,7 @@ def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
         several = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         m = stored(m.join(several, "band"), "members")
         order = Window.partitionBy("band").orderBy("size", "key")
-        pivots = stored(m.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS)
+        pivots = stored(m.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= some)
                          .select("band", F.col("key").alias("p"), F.col("label").alias("pl")), "pivots")
         if not pivots.limit(1).count():
             return labels
@@ -275,6 +276,7 @@ def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
             labels = components(links, labels)
         gone = pivots.select("band", F.col("p").alias("key"))
         left = m.select("band", "key").join(gone, ["band", "key"], "left_anti")
+        some *= GROWTH
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
