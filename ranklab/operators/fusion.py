@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..session import broadcast_if_small, materialize
+from .groups import drawn
 from .rank import hot_bound, rank_rows, score_order, top_k
 
 
@@ -237,7 +238,7 @@ def fuse_random(run: DataFrame, nvariants: int, seed: int = 0, k: int = 60, dept
     """RRF of ``nvariants`` variants per query chosen by a seeded hash
     (capped at the number available)."""
     v = run.select("qid", "vid").distinct()
-    pick = top_k(v, ["qid"], [F.xxhash64("qid", "vid", F.lit(seed)), F.col("vid")], nvariants, "_p")
+    pick = top_k(v, ["qid"], [drawn(v, ["qid", "vid"], seed), F.col("vid")], nvariants, "_p")
     lists = run.join(pick.select("qid", "vid"), ["qid", "vid"])
     fused = rrf_scores(lists, ["qid", "vid"], ["qid"], k, depth)
     return top_k(fused, ["qid"], _fused_order(), depth, "rank")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rank import rank_rows, top_k
 
@@ -49,6 +50,16 @@ def group_count(df: DataFrame, key, per_column: bool = False) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in df.columns if c not in keys])
 
 
+def drawn(df: DataFrame, cols, seed: int) -> Column:
+    """A pseudo-random order that SQL engines share: md5 of the values (of all
+    fields of a struct) and the seed, joined by '|'."""
+    parts = []
+    for c in cols:
+        kind = df.schema[c].dataType
+        parts += [F.col(f"{c}.{f}") for f in kind.names] if isinstance(kind, T.StructType) else [F.col(c)]
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))).cast("binary"))
+
+
 def group_sample(df: DataFrame, key, n: float, replace: bool = False, seed: int = 0,
                  order: str = "ord", rounded: bool = False) -> DataFrame:
     """Sample per key. n < 1 is a ratio of the group (truncated, or
@@ -56,7 +67,7 @@ def group_sample(df: DataFrame, key, n: float, replace: bool = False, seed: int
     hash order (capped at the group size). With replacement: n draws of a
     hashed row index."""
     keys = _keys(key)
-    h = F.xxhash64(*[F.col(k) for k in keys], F.col(order), F.lit(seed))
+    h = drawn(df, [*keys, order], seed)
     cnt = df.groupBy(*keys).agg(F.count("*").alias("_cnt"))
     want = (F.bround(F.col("_cnt") * n) if rounded else F.floor(F.col("_cnt") * n)) if n < 1 else F.lit(round(n) if rounded else int(n))
     if not replace:
@@ -67,8 +78,8 @@ def group_sample(df: DataFrame, key, n: float, replace: bool = False, seed: int
     numbered = rank_rows(df, keys, [F.col(order)], "_i")
     draws = cnt.select(*keys, "_cnt", F.explode(F.sequence(F.lit(1), want.cast("int"))).alias("_draw")) \
         .where(F.col("_cnt") > 0)
-    draws = draws.select(*keys, "_draw", (F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.col("_draw"), F.lit(seed)),
-                                                 F.col("_cnt")) + 1).cast("int").alias("_i"))
+    number = F.conv(F.substring(drawn(draws, [*keys, "_draw"], seed), 1, 8), 16, 10).cast("long")
+    draws = draws.select(*keys, "_draw", (F.pmod(number, F.col("_cnt")) + 1).alias("_i"))
     return numbered.join(draws, [*keys, "_i"]).drop("_i")
 
 

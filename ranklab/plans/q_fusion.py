@@ -198,8 +198,16 @@ def variant_fusion_cutoff(spark, sf_dir):
     return out.select("qid", "did", "rank", r6("score").alias("score"))
 
 
-@register("random_fusion")
+@register("random_fusion", f"""
+WITH {_VARIANT_LISTS},
+pick AS (SELECT qid, vid, row_number() OVER (PARTITION BY qid ORDER BY md5(concat_ws('|', qid, vid, 7)), vid) AS p
+         FROM (SELECT DISTINCT qid, vid FROM variants)),
+fused AS (SELECT l.qid, l.did, sum(1.0 / (60 + l.r)) AS score
+          FROM lists l JOIN pick ON pick.qid = l.qid AND pick.vid = l.vid WHERE p <= 2 AND l.r <= 100 GROUP BY l.qid, l.did),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, did) AS rank FROM fused)
+SELECT qid, did, rank, round(score, 6) AS score FROM ranked WHERE rank <= 100
+""", ("variants",))
 def random_fusion(spark, sf_dir):
-    """RRF of 2 variants per query chosen by a seeded hash (rows-only)."""
+    """RRF of 2 variants per query chosen by a seeded md5 order."""
     out = FU.fuse_random(V.variants(spark, sf_dir), 2, seed=7, depth=100)
     return out.select("qid", "did", "rank", r6("score").alias("score"))

@@ -54,10 +54,19 @@ def group_count(spark, sf_dir):
     return G.group_count(_lines(spark, sf_dir), "flag")
 
 
-@register("group_sample")
+@register("group_sample", """
+WITH t AS (SELECT l_orderkey AS key, l_linenumber AS ln, l_partkey AS val, l_suppkey AS s FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(concat_ws('|', key, ln, val, s, 3)), ln, val, s) AS h,
+             row_number() OVER (PARTITION BY key ORDER BY ln, val, s) AS i FROM t),
+c AS (SELECT key, count(*) AS c FROM t GROUP BY key),
+d AS (SELECT key, CAST('0x' || substr(md5(concat_ws('|', key, g.d, 3)), 1, 8) AS BIGINT) % c + 1 AS i
+      FROM c, generate_series(1, 3) AS g(d))
+SELECT 'without' AS mode, key, ln, val FROM r WHERE h <= 2
+UNION ALL SELECT 'with' AS mode, r.key, ln, val FROM r JOIN d ON d.key = r.key AND d.i = r.i
+""")
 def group_sample(spark, sf_dir):
     """2 lines per order without replacement, and 3 draws with
-    replacement (seeded hashes; rows-only)."""
+    replacement (seeded md5 order)."""
     li = _lines(spark, sf_dir)
     a = G.group_sample(li, "key", 2, seed=3).withColumn("mode", F.lit("without"))
     b = G.group_sample(li, "key", 3, replace=True, seed=3).drop("_draw").withColumn("mode", F.lit("with"))
