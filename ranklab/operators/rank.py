@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_HOT_ROWS, HOT_ROWS_KEY, conf_int, materialize
+from ..session import DEFAULT_HOT_ROWS, HOT_ROWS_KEY, broadcast_if_small, conf_int, materialize
 
 ColLike = str | Column
 
@@ -71,13 +71,13 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
 
 
 def _hot_groups(df: DataFrame, keys: Sequence[str], threshold: int):
-    """Keys of groups with more than ``threshold`` rows. At most
-    rows/threshold of them exist, so the collected list has a proven bound."""
-    return (df.groupBy(*keys).count().where(F.col("count") > threshold)
-            .select(*keys).collect())
+    """Keys of groups with more than ``threshold`` rows, as a DataFrame; ``[]``
+    where there are none (one aggregation tells)."""
+    hot = df.groupBy(*keys).count().where(F.col("count") > threshold).select(*keys)
+    return hot if hot.limit(1).count() else []
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list:
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | list:
     """Keys of the groups to split (see :func:`rank_rows`); callers detect
     on the narrowest frame that has the same groups (e.g. a run before its
     join with judgments) and pass the result on."""
@@ -91,12 +91,12 @@ def hot_bound(upper: DataFrame, keys: Sequence[str], hot_rows: int | None = None
     the ones to rank (e.g. all input rows of a query bound its fused list):
     ``[]`` when no input group is hot (so no output group can be), else
     ``None`` (let :func:`rank_rows` detect on the frame itself)."""
-    return [] if not hot_groups(upper, keys, hot_rows) else None
+    return [] if isinstance(hot_groups(upper, keys, hot_rows), list) else None
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
               rank_col: str = "rank", running: dict[str, Column] | None = None,
-              hot_rows: int | None = None, hot: list | None = None) -> DataFrame:
+              hot_rows: int | None = None, hot: DataFrame | list | None = None) -> DataFrame:
     """Row number per group in ``order`` plus inclusive running sums.
 
     ``running`` maps output column → numeric expression; the output holds the
@@ -120,11 +120,10 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         if threshold <= 0:
             return windowed(df)
         hot = _hot_groups(df.select(*keys), keys, threshold)
-    if not hot:
+    if isinstance(hot, list):
         return windowed(df)
 
-    hot_df = spark.createDataFrame(hot, schema=df.select(*keys).schema).withColumn("_hot", F.lit(True))
-    tagged = df.join(F.broadcast(hot_df), list(keys), "left")
+    tagged = df.join(broadcast_if_small(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
     normal = windowed(tagged.where(F.col("_hot").isNull()).drop("_hot"), "long")   # a hot group may pass the int range
 
     # Hot groups: range partition on (key, order) so each group spans many
@@ -146,7 +145,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select("_pid", *keys, F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"),
                         *[F.coalesce(F.sum(f"_t_{n}").over(wo), F.lit(0)).alias(f"_o_{n}") for n in running])
-    hot_ranked = local.join(F.broadcast(offs), ["_pid", *keys])
+    hot_ranked = local.join(broadcast_if_small(offs), ["_pid", *keys])
     hot_ranked = hot_ranked.withColumn(rank_col, (F.col("_lr") + F.col("_off")))
     for name in running:
         hot_ranked = hot_ranked.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
