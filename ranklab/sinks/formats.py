@@ -29,9 +29,10 @@ def format_run(run: DataFrame, fmt: str = "trec", tag: str = "indri") -> DataFra
 
 def write_lines(lines: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write (``_k``, ``rank``, ``value``) lines grouped by key and in rank
-    order: range partitioning on the key, sort within partitions."""
+    order: range partitioning on key and rank (a key with many lines spans
+    several files), sort within partitions."""
     n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (lines.repartitionByRange(n, "_k").sortWithinPartitions("_k", "rank")
+    (lines.repartitionByRange(n, "_k", "rank").sortWithinPartitions("_k", "rank")
      .select("value").write.mode("overwrite").text(path))
 
 
