@@ -280,7 +280,7 @@ def gzip_run_files(spark, sf_dir):
     path = scratch_path(spark, "run-gz")
     run = rerank(V.run(spark, sf_dir, "b"))
     lines = K.format_run(run)
-    (lines.repartitionByRange(4, "_k").sortWithinPartitions("_k", "rank").select("value")
+    (lines.repartitionByRange("_k", "rank").sortWithinPartitions("_k", "rank").select("value")
      .write.option("compression", "gzip").text(path))
     back = S.read_run(spark, path)
     return back.groupBy("qid").agg(F.count("*").alias("n"), F.sum("score").alias("total"))

@@ -68,8 +68,8 @@ def parse_run(lines: DataFrame, system: str | None = None, comments: bool = Fals
 
 
 def read_run(spark: SparkSession, paths, system: str | None = None) -> DataFrame:
-    """One system from one or several files of its lists."""
-    return parse_run(read_lines(spark, paths), system).drop("path")
+    """One system from one or several files; a list may span files."""
+    return parse_run(read_lines(spark, paths).drop("path"), system)
 
 
 def read_runs(spark: SparkSession, paths: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
