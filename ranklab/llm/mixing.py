@@ -97,32 +97,34 @@ def visits(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat:
     """(_row, tokens, weight, block, epoch, position): the rows of ``docs``, once per
     visit; the position orders the visits of an epoch in a block."""
     text = text_or_empty(text_col)
-    # 128 bits name a row; rows that agree in id, source and text are numbered
+    # 128 bits name a row; only where rows agree in id, source and text they are numbered
     d = docs.select(packed(docs), tokens(text).alias("_tokens"), F.col(source_col).alias("_s"),
                     F.xxhash64(F.lit(SEED), id_col, source_col, text).alias("_h"),
                     F.xxhash64(F.lit(SEED + 1), text, id_col, source_col).alias("_g"))
-    same = Window.partitionBy("_h", "_g").orderBy("_h")
-    small = d.select("_s", "_h", "_g", "_tokens").withColumn("_nth", F.row_number().over(same))
+    small = stored(d.select("_s", "_h", "_g", "_tokens"), "rows")
+    keys = ["_h", "_g"]
+    if small.groupBy(*keys).count().where("count > 1").limit(1).count():
+        number = F.row_number().over(Window.partitionBy("_h", "_g").orderBy("_h"))
+        small, d, keys = small.withColumn("_nth", number), d.withColumn("_nth", number), [*keys, "_nth"]
     size = stored(small.groupBy(F.col("_s").alias("s")).agg(F.sum("_tokens").alias("n"), F.count("*").alias("rows")), "sources")
     alpha = find_exponent(size, target_entropy, max_repeat)
     share = weights(size, alpha, budget).select("s", F.col("weight").alias("_weight"), F.col("repeat").alias("_repeat"),
                                                 F.ceil(F.col("rows") / BLOCK).alias("_blocks"))
     small = small.join(share, F.col("_s").eqNullSafe(F.col("s")))
-    small = small.withColumn("_block", F.pmod(F.xxhash64("_h", "_g", "_nth"), F.col("_blocks")))
+    small = small.withColumn("_block", F.pmod(F.xxhash64(*keys), F.col("_blocks")))
     small = small.withColumn("_all", F.sum("_tokens").over(Window.partitionBy("_s", "_block")))
     # whole epochs and one more permutation for the rest
     epochs = F.greatest(F.lit(1), F.ceil(F.round("_repeat", 9))).cast("int")
     seen = small.withColumn("_epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    seen = seen.withColumn("_order", F.xxhash64(F.lit(SEED), "_epoch", "_h", "_g", "_nth"))
-    earlier = (Window.partitionBy("_s", "_block", "_epoch").orderBy("_order", "_h", "_g", "_nth")
+    seen = seen.withColumn("_order", F.xxhash64(F.lit(SEED), "_epoch", *keys))
+    earlier = (Window.partitionBy("_s", "_block", "_epoch").orderBy("_order", *keys)
                .rowsBetween(Window.unboundedPreceding, -1))
     before = F.coalesce(F.sum("_tokens").over(earlier), F.lit(0)) + F.col("_epoch") * F.col("_all")
     seen = seen.where((F.col("_tokens") == 0) & (F.col("_epoch") == 0) | (F.col("_tokens") > 0)).withColumn("_before", before)
     seen = seen.where((F.col("_tokens") == 0) | (F.col("_before") + F.col("_tokens") / 2 <= F.col("_repeat") * F.col("_all") + 1e-6))
-    per_row = seen.groupBy("_h", "_g", "_nth").agg(
+    per_row = seen.groupBy(*keys).agg(
         F.first("_weight").alias("_weight"), F.first("_block").alias("_block"), F.collect_list(F.struct("_epoch", "_order")).alias("_v"))
-    rows = d.withColumn("_nth", F.row_number().over(same)).join(per_row, ["_h", "_g", "_nth"])
-    return rows.withColumn("_v", F.explode("_v")).select(
+    return d.join(per_row, keys).withColumn("_v", F.explode("_v")).select(
         "_row", F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_block").alias("block"),
         F.col("_v._epoch").alias("epoch"), F.col("_v._order").alias("position"))
 
