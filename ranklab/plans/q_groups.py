@@ -190,14 +190,15 @@ def rel_histogram(spark, sf_dir):
 
 
 _TRIPLES_SQL = """triples AS (
-  SELECT o_custkey AS id, max_by(o_orderkey, o_totalprice) AS pos, min_by(o_orderkey, o_totalprice) AS neg
+  SELECT o_custkey AS id, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS pos, min_by(o_orderkey, (o_totalprice, o_orderkey)) AS neg
   FROM orders GROUP BY o_custkey, o_orderpriority)"""
 
 
 def _triples(spark, sf_dir):
     o = V.table(spark, sf_dir, "orders")
     return o.groupBy("o_custkey", "o_orderpriority").agg(
-        F.max_by("o_orderkey", "o_totalprice").alias("pos"), F.min_by("o_orderkey", "o_totalprice").alias("neg")) \
+        F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("pos"),
+        F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("neg")) \
         .select(F.col("o_custkey").alias("id"), "pos", "neg")
 
 

@@ -248,13 +248,14 @@ def incremental_skip(spark, sf_dir):
 
 
 @register("triples_lines", """
-SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(max_by(o_orderkey, o_totalprice) AS VARCHAR) AS pos,
-       CAST(min_by(o_orderkey, o_totalprice) AS VARCHAR) AS neg FROM orders GROUP BY o_custkey
+SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(max_by(o_orderkey, (o_totalprice, o_orderkey)) AS VARCHAR) AS pos,
+       CAST(min_by(o_orderkey, (o_totalprice, o_orderkey)) AS VARCHAR) AS neg FROM orders GROUP BY o_custkey
 """)
 def triples_lines(spark, sf_dir):
     """Training triples as tab-separated lines, parsed back."""
     o = V.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.max_by("o_orderkey", "o_totalprice").alias("p"), F.min_by("o_orderkey", "o_totalprice").alias("n"))
+        F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("p"),
+        F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("n"))
     lines = o.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("o_custkey", "p", "n")]).alias("value"))
     return S.parse_triples(lines)
 

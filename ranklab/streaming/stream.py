@@ -3,9 +3,10 @@
 Sources are file streams over a table folder (one file per micro-batch set,
 ``pathGlobFilter`` picks the table). Stateful operators carry a watermark so
 their state is bounded (the reference's whole-stream ``seen`` set is not).
-Runs use ``trigger(availableNow=True)`` and keep their checkpoints and
-outputs under the session's shared ``spark.checkpoint.dir``, so a restarted
-query resumes exactly-once from the last committed batch.
+Runs use ``trigger(availableNow=True)``. With a ``location`` on shared storage,
+output and checkpoint stay there, and a run with the same location resumes after
+the last committed batch; without one, each run starts anew in the session's
+shared folder.
 """
 
 from __future__ import annotations
@@ -51,23 +52,28 @@ def windowed_counts(events: DataFrame, key: str, size: str = "1 hour", delay: st
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "count"))
 
 
-def run_append(df: DataFrame, name: str) -> DataFrame:
-    """Run a stateless or append-mode stream to completion into a parquet
-    folder under the checkpoint dir; return the folder as a batch frame."""
+def _folders(spark: SparkSession, name: str, location: str | None) -> tuple[str, str]:
+    base = location.rstrip("/") if location else scratch_path(spark, name)
+    return f"{base}/out", f"{base}/checkpoint"
+
+
+def run_append(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
+    """Run a stateless or append-mode stream over what is available into a
+    parquet folder; return the folder as a batch frame."""
     spark = df.sparkSession
-    out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    out, ck = _folders(spark, name, location)
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
-def run_update(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def run_update(df: DataFrame, keys: list[str], name: str, location: str | None = None) -> DataFrame:
     """Run an aggregating stream in update mode (state evicted behind the
     watermark); every micro-batch's updated rows are appended with their
     batch id and the final value per key is the latest update."""
     spark = df.sparkSession
-    out, ck = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    out, ck = _folders(spark, name, location)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)

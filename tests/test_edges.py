@@ -179,3 +179,15 @@ def test_frequency_is_per_unit_of_width(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (0, 1, 2, 10)], "system string, v double")
     h = {r.bin: r.frequency for r in reports.value_histogram(df, "v", 2, ("system",), "frequency").collect()}
     assert h == {0: 3 / 5, 1: 1 / 5}
+
+
+def test_a_stream_resumes_at_its_location(spark, tmp_path):
+    from ranklab.streaming import stream
+    schema = "event_id long, event_type string"
+    folder = tmp_path / "in"
+    read = lambda: spark.readStream.schema(schema).parquet(str(folder))
+    spark.createDataFrame([(1, "a")], schema).write.parquet(str(folder))
+    assert stream.run_append(read(), "s", str(tmp_path / "run")).count() == 1
+    spark.createDataFrame([(2, "b")], schema).write.mode("append").parquet(str(folder))
+    got = stream.run_append(read(), "s", str(tmp_path / "run"))
+    assert sorted(r.event_id for r in got.collect()) == [1, 2]           # the first file isn't read again
