@@ -19,8 +19,11 @@ its strings cover.
    earlier copy. ``keep_first`` removes those only; without it every start that
    shares LENGTH bytes with a neighbour on either side is removed.
 4. An anchor with more than HOT contexts (a common phrase in ever new
-   surroundings) isn't sorted in one task: its strings are hashed one by one (128
-   bits) and counted by an ordinary aggregation.
+   surroundings) isn't sorted in one task. Its contexts are cut into parts of PART
+   starts at fixed distances from the anchor. The bytes that all strings of a part
+   share are its core: parts whose core occurs once hold no repeated string, equal
+   parts are repeated as a whole, and of the other parts one each is expanded into
+   its strings. All of this is hashing (128 bits) and ordinary aggregation.
 5. Removed starts become byte ranges, merged per document.
 
 Nothing is gathered but the ranges of one document; contexts of a bucket are at
@@ -48,6 +51,7 @@ from .common import shuffle_width, slices, stored, table, text_or_empty
 LENGTH = 200
 GRAM = 32
 HOT = 128
+PART = 16
 SEGMENT = 1 << 19
 SORTED_BYTES = 1 << 20       # context bytes sorted at once
 _SLICE = 2 << 20
@@ -264,24 +268,67 @@ def _sorted_buckets(length: int, keep_first: bool, id_type: pa.DataType) -> Call
     return run
 
 
+def digest(raw: bytes, place: int = 0) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16, salt=place.to_bytes(8, "little")).digest()
+
+
+def parts_of(at: int, raw: bytes, length: int) -> Iterator[tuple[bytes, bytes, int, bytes]]:
+    """(core, whole, lo, bytes) of the parts of a context: starts whose distance
+    to the anchor is PART j to PART j + PART - 1."""
+    lo, n, off = at >> PACK, at >> 8 & 255, at & 255
+    for j in range((off - n + 1) // PART, off // PART + 1):
+        last = off - PART * j
+        first, end = max(0, last - PART + 1), min(n - 1, last)
+        part = raw[first:end + length]
+        yield digest(raw[last:last + length - PART + 1], j), digest(part, j << 8 | last - first), lo + first, part
+
+
+def _parts(length: int, id_type: pa.DataType) -> Callable:
+    schema = pa.schema([("core", pa.binary()), ("whole", pa.binary()), ("doc_id", id_type), ("k", pa.int32()), ("lo", pa.int64()), ("bytes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "bytes", SORTED_BYTES):
+            rows = [(core, whole, doc, k, lo, part) for doc, k, at, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "k", "at", "bytes")), strict=True)
+                    for core, whole, lo, part in parts_of(at, raw, length)]
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    return run
+
+
 def _strings(length: int, id_type: pa.DataType) -> Callable:
-    """Each string of a hot anchor by itself: its 128-bit hash and place."""
+    """Each string of a part by itself: its hash and place."""
     schema = pa.schema([("w", pa.binary()), ("doc_id", id_type), ("k", pa.int32()), ("lo", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "bytes", 1 << 18):
+        for b in slices(batches, "bytes", SORTED_BYTES):
             w, row, lo = [], [], []
-            for i, (at, raw) in enumerate(zip(b.column("at").to_pylist(), b.column("bytes").to_pylist(), strict=True)):
+            for i, (first, raw) in enumerate(zip(b.column("lo").to_pylist(), b.column("bytes").to_pylist(), strict=True)):
                 for s in range(len(raw) - length + 1):
-                    w.append(hashlib.blake2b(raw[s:s + length], digest_size=16).digest())
+                    w.append(digest(raw[s:s + length]))
                     row.append(i)
-                    lo.append((at >> PACK) + s)
+                    lo.append(first + s)
             rows = pa.array(row, pa.int64())
             yield pa.record_batch([pa.array(w, pa.binary()), b.column("doc_id").cast(id_type).take(rows), b.column("k").take(rows),
                                    pa.array(lo, pa.int64())], schema=schema)
     return run
 
 
+def _hot_ranges(contexts: DataFrame, length: int, keep_first: bool, name: str, at: pa.DataType) -> DataFrame:
+    """(doc_id, k, lo, hi) of the repeated strings of hot anchors."""
+    parts = stored(contexts.mapInArrow(_parts(length, at), f"core binary, whole binary, doc_id {name}, k int, lo long, bytes binary"), "parts")
+    spot = F.struct("doc_id", "k", "lo")
+    wholes = stored(parts.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(spot).alias("first"), F.first("bytes").alias("bytes")), "wholes")
+    equal = parts.join(wholes.where("n > 1").select("core", "whole", "first"), ["core", "whole"])
+    several = wholes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+    strings = wholes.join(several, "core").select("first.*", "bytes").mapInArrow(_strings(length, at), f"w binary, doc_id {name}, k int, lo long")
+    twice = strings.groupBy("w").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1").drop("n")
+    single = strings.join(twice, "w")
+    if keep_first:
+        equal, single = (x.where(~F.col("first").eqNullSafe(spot)) for x in (equal, single))
+    return equal.select("doc_id", "k", "lo", (F.col("lo") + F.length("bytes")).alias("hi")).unionByName(
+        single.select("doc_id", "k", "lo", (F.col("lo") + length).alias("hi")))
+
+
 def _cut(id_type: pa.DataType) -> Callable:
     schema = pa.schema([("doc_id", id_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                         ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -330,13 +377,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     contexts = stored(fetched.mapInArrow(_contexts(length, at), f"h long, many boolean, doc_id {name}, k int, at long, bytes binary"), "bytes")
     dealt = contexts.where("not many").repartition(shuffle_width(docs.sparkSession), "h").sortWithinPartitions("h")
     ranges = dealt.mapInArrow(_sorted_buckets(length, keep_first, at), f"doc_id {name}, k int, lo long, hi long")
-    strings = contexts.where("many").mapInArrow(_strings(length, at), f"w binary, doc_id {name}, k int, lo long")
-    spot = F.struct("doc_id", "k", "lo")
-    twice = strings.groupBy("w").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1").drop("n")
-    hot = strings.join(twice, "w")
-    if keep_first:
-        hot = hot.where(~F.col("first").eqNullSafe(spot))
-    ranges = ranges.unionByName(hot.select("doc_id", "k", "lo", (F.col("lo") + length).alias("hi")))
+    ranges = ranges.unionByName(_hot_ranges(contexts.where("many"), length, keep_first, name, at))
     whole = found.join(kinds.where("n > 1").select("h", "c", "first"), ["h", "c"])
     if keep_first:
         whole = whole.where(~F.col("first").eqNullSafe(place))
