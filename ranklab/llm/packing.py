@@ -30,6 +30,7 @@ rows are packed one by one; null ids stay null. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 import zlib
@@ -49,47 +50,76 @@ CAPACITY = 4096
 END_ID = 1
 PER_PARTITION = 20_000      # items of a packing partition
 KEPT_FILL = 0.995           # bins filled less than this are exchanged
-WORDS = 400_000             # words whose ids a worker keeps
+CHUNKS = 500_000            # chunks whose ids a worker keeps
 ROUNDS = 8
 
 # Fixed value: letters that NFC leaves alone and whose lower case is one letter.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for the letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in plain]
+    return {**{x: chr(x) for x in plain}, **{x: chr(256 + i) for i, x in enumerate(rest)}}
+
+
 class ChunkIds:
-    """Ids of space-delimited chunks by a tokenizer that drops white space."""
+    """Ids of space-delimited chunks by a tokenizer that drops white space. The
+    ids of chunks seen lie one after the other in ``flat``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.t = Tokenizer.from_file(path)
         self.t.no_padding()
         self.t.no_truncation()
-        self.words: dict[str, np.ndarray] = {}
-        self.marks = {m: np.array(self.t.encode(m, add_special_tokens=False).ids, np.uint32) for m in ".,!?;:"}
-        self.marks[""] = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > WORDS:
-            self.words.clear()
-        for i in range(0, len(words), 4096):
-            part = words[i:i + 4096]
-            e = self.t.encode(part, is_pretokenized=True, add_special_tokens=False)
-            at = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            ids = np.array(e.ids, np.uint32)
-            cut = np.searchsorted(at, np.arange(len(part) + 1))
-            self.words.update((w, ids[cut[k]:cut[k + 1]]) for k, w in enumerate(part))
-
-    def __call__(self, chunks: list[str]) -> list[np.ndarray]:
-        m = [_PLAIN.fullmatch(c) for c in chunks]
-        plain = [None if x is None else (x[1].lower(), x[2]) for x in m]
-        self._learn(list(dict.fromkeys(p[0] for p in plain if p is not None and p[0] not in self.words)))
-        lost = [p[0] for p in plain if p is not None and p[0] not in self.words]
-        if lost:                     # learnt before the memory was cleared
-            self._learn(list(dict.fromkeys(lost)))
-        odd = [c for c, p in zip(chunks, plain, strict=True) if p is None]
-        rest = iter([np.array(e.ids, np.uint32) for e in self.t.encode_batch(odd, add_special_tokens=False)])
-        return [next(rest) if p is None else np.concatenate((self.words[p[0]], self.marks[p[1]])) if p[1]
-                else self.words[p[0]] for p in plain]
+        self.letters = {x: ord(c) for x, c in byte_letters().items()}
+        self.marks = {m: list(self.t.encode(m, add_special_tokens=False).ids) for m in ".,!?;:"}
+        self.marks[""] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word of plain letters: one pre-token, so the model alone."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self.words[word] = [x.id for x in self.t.model.tokenize(letters)]
+        return ids
+
+    def _learn(self, chunks: list[str]) -> None:
+        found: list[list[int]] = []
+        odd: list[int] = []
+        for i, c in enumerate(chunks):
+            m = _PLAIN.fullmatch(c)
+            if m is None:
+                odd.append(i)
+                found.append([])
+                continue
+            w = m[1].lower()
+            ids = self.words.get(w)
+            if ids is None:
+                ids = self._word(w)
+            found.append(ids + self.marks[m[2]] if m[2] else ids)
+        for i, e in zip(odd, self.t.encode_batch([chunks[i] for i in odd], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        at = len(self.place)
+        self.place.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        more = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
+        self.flat = np.concatenate((self.flat, more))
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk begin and end in ``flat``."""
+        if len(self.place) > CHUNKS:
+            self._forget()
+        self._learn([c for c in chunks if c not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        return self.start[at], self.start[at + 1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -101,16 +131,13 @@ def text_ids(texts: pa.Array, ids: ChunkIds) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a slice of texts, and where each text's ids begin (one more at the end)."""
     cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     chunk = cut.flatten().dictionary_encode()
-    found = ids(chunk.dictionary.to_pylist())
-    size = np.array([len(f) for f in found] or [0], np.int64)
-    flat = np.concatenate(found or [np.zeros(0, np.uint32)])
-    start = np.cumsum(size) - size
-    at = chunk.indices.to_numpy().astype(np.int64)
-    n = size[at] if len(at) else np.zeros(0, np.int64)
-    end = np.concatenate(([0], np.cumsum(n)))
-    out = flat[np.repeat(start[at] - end[:-1], n) + np.arange(end[-1])] if len(at) else flat[:0]
-    edges = cut.offsets.to_numpy()
-    return out, end[edges - edges[0]]
+    start, end = ids(chunk.dictionary.to_pylist())
+    at = chunk.indices.to_numpy()
+    n = (end - start)[at]
+    edge = np.concatenate(([0], np.cumsum(n)))
+    out = ids.flat[np.repeat(start[at] - edge[:-1], n) + np.arange(edge[-1])]
+    places = cut.offsets.to_numpy()
+    return out, edge[places - places[0]]
 
 
 def _pieces(path: str, capacity: int, end_id: int, id_type: pa.DataType) -> Callable:
