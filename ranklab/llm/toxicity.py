@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, slices, stored, table, text_or_empty
+from .common import slices, stored, table, text_or_empty
 
 MAX_TOXIC, MAX_OTHER = 3000, 6000      # training rows at most
 CANDIDATES = 4000                      # candidate strings at most
@@ -396,15 +396,15 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model doesn't reject."""
-    d = docs.select(text_or_empty("text").alias("text"), packed(docs))
-
-    def run(batches):
-        for b in slices(batches):
-            s = model.scores(model.features(b.column("text")))
-            yield b.select(["_row"]).filter(pa.array(s < 0.5))
-
-    kept = d.mapInArrow(run, d.select("_row").schema)
-    return kept.select("_row.*")
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            parts = [model.scores(model.features(b.column(0))).astype(float)
+                     for b in slices(iter([pa.record_batch([t], names=["text"])]))]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    # only texts go to Python; the rows stay where they are
+    return docs.where(score(text_or_empty("text")) < 0.5)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
