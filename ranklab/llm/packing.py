@@ -81,35 +81,36 @@ class ChunkIds:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str, fresh: dict[str, list[int]]) -> list[int]:
         """Ids of a word of plain letters: one pre-token, so the model alone."""
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = self.words[word] = [x.id for x in self.t.model.tokenize(letters)]
+        ids = fresh.get(word)
+        if ids is None:
+            at = self.place.get(word)
+            if at is not None:
+                return self.flat[self.start[at]:self.start[at + 1]].tolist()
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = fresh[word] = [x.id for x in self.t.model.tokenize(letters)]
         return ids
 
     def _learn(self, chunks: list[str]) -> None:
-        found: list[list[int]] = []
-        odd: list[int] = []
-        for i, c in enumerate(chunks):
+        fresh: dict[str, list[int]] = {}
+        odd: list[str] = []
+        for c in chunks:
             m = _PLAIN.fullmatch(c)
             if m is None:
-                odd.append(i)
-                found.append([])
+                odd.append(c)
                 continue
             w = m[1].lower()
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self._word(w)
-            found.append(ids + self.marks[m[2]] if m[2] else ids)
-        for i, e in zip(odd, self.t.encode_batch([chunks[i] for i in odd], add_special_tokens=False), strict=True):
-            found[i] = e.ids
+            ids = self._word(w, fresh)
+            if w != c:
+                fresh[c] = ids + self.marks[m[2]] if m[2] else ids
+        fresh.update((c, e.ids) for c, e in zip(odd, self.t.encode_batch(odd, add_special_tokens=False), strict=True))
         at = len(self.place)
-        self.place.update(zip(chunks, range(at, at + len(chunks)), strict=True))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        more = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
+        self.place.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+        size = np.fromiter(map(len, fresh.values()), np.int64, len(fresh))
+        more = np.fromiter(itertools.chain.from_iterable(fresh.values()), np.uint32, int(size.sum()))
         self.flat = np.concatenate((self.flat, more))
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(size)))
 

@@ -247,7 +247,7 @@ def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         grams.add(w)
                     grams.update(w[:n] for n in (4, 5, 6, 7) if len(w) > n)
             count[int(label[i])].update(g for g in grams if len(g) > 3)
-        if len(count[0]) + len(count[1]) > 500_000:
+        if len(count[0]) + len(count[1]) > 200_000:
             yield from out()
     yield from out()
 
