@@ -1,9 +1,12 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 Texts become weighted sets of five-word shingles: the weight is the shingle's
-count in the text times ln(1 + documents / document count). Document counts are
-kept for BUCKETS hash buckets over all documents, so the table has a fixed size at
-any scale; shingles that meet in a bucket share its count. Consistent weighted
+count in the text times ln(1 + documents / document count). Documents are counted
+for every shingle by itself: texts are dealt to parts of about PART bytes, a part
+sends its distinct shingles, with the number of its documents, to hash ranges
+(so a shingle of all documents is one entry a part), and a range sends the sums
+above 1 back to the parts; a shingle that isn't sent back has one document.
+Consistent weighted
 sampling (Gamma(2, 1) variables by a hash of shingle and sample number, in the log
 domain) draws BANDS * ROWS samples a text; two texts agree on a sample with
 probability equal to their weighted Jaccard similarity. Texts that agree on a
@@ -48,7 +51,7 @@ from .common import discard, packed, row_key, slices, stored, table, text_or_emp
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 3, 16
-BUCKETS = 1 << 16
+PART = 2 << 20             # bytes of text whose shingles are counted at once
 PIVOTS = 2                 # of a bucket in the first round
 GROWTH = 4                 # times the pivots of the round before
 AGREE = 27                 # of ROWS * BANDS samples
@@ -102,34 +105,99 @@ class Shingles:
         self.n, self.text, self.hash = n, text[new], h[new]
         self.count = np.diff(np.append(new, len(h)))
 
-    def weights(self, idf: np.ndarray) -> np.ndarray:
-        return self.count * idf[bucket_of(self.hash)]
+    def weights(self, frequencies: Frequencies) -> np.ndarray:
+        return self.count * frequencies.idf(self.hash)
 
 
-def bucket_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 16)).astype(np.int64)
+class Frequencies:
+    """Documents in all and, by sorted hash, the documents of shingles that more
+    than one document has."""
 
+    def __init__(self, total: int, hashes: np.ndarray, counts: np.ndarray):
+        self.total = total
+        self.hash, at = np.unique(hashes, return_index=True)
+        self.n = counts[at]
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """ln(1 + documents / documents with the bucket) for every bucket, from all
-    texts of ``docs`` (_t). BUCKETS numbers come to the driver."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, docs_ = np.zeros(BUCKETS, np.int64), 0
-        for b in slices(batches, "_t"):
-            s = Shingles(b.column("_t"), keys=False)
-            n += np.bincount(bucket_of(s.hash), minlength=BUCKETS)
-            docs_ += s.n
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(n[some], docs_))], names=["bucket", "n"])
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.ones(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, self.n[at], 1)
 
-    got = docs.select("_t").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-    total = int(n[bucket < 0].sum())
-    count = np.ones(BUCKETS)
-    count[bucket[bucket >= 0]] = n[bucket >= 0]
+    def idf(self, h: np.ndarray) -> np.ndarray:
+        return idf(self.total, self.counts(h))
+
+
+def idf(total: int, count: np.ndarray) -> np.ndarray:
     return np.log1p(max(1, total) / count)
 
 
+def _blobs(x: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """x[edges[i]:edges[i + 1]] as binary values."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [
+        None, pa.py_buffer(((edges - edges[0]) * x.itemsize).astype(np.int32)), pa.py_buffer(x[edges[0]:edges[-1]])])
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of text of ``docs`` (_t)."""
+    return tuple(docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_t")), F.lit(0))).first())
+
+
+def parted(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (_row, ...) dealt by ``part``; ``size`` is the bytes of all texts."""
+    return docs.withColumn("part", F.pmod("_row", F.lit(max(1, size // PART)))).repartition("part")
+
+
+def document_counts(parts: DataFrame, size: int) -> DataFrame:
+    """(part, hash, n): shingles of each part of ``parts`` (part, _t, ...) that more
+    than one document has, and in how many; ``size`` is the bytes of all texts."""
+    # ranges of some MB, more of them than tasks where texts are few
+    ranges = max(1, min(size >> 17, 2048), size >> 22)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            order = np.argsort(part, kind="stable")
+            batch, part = batch.take(pa.array(order)), part[order]
+            edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                for b in slices(iter([batch.slice(a, z - a)]), "_t"):
+                    h, n = np.unique(Shingles(b.column("_t"), keys=False).hash, return_counts=True)
+                    r = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                    cut = np.flatnonzero(np.diff(r, prepend=-1))
+                    at = np.append(cut, len(r))
+                    yield pa.record_batch([pa.array(r[cut]), pa.array(np.full(len(cut), part[a])), _blobs(h, at),
+                                           _blobs(n.astype(np.uint32), at)], names=["range", "part", "hash", "n"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        h, n = _joined(group["hash"], np.uint64), _joined(group["n"], np.uint32)
+        size = pc.binary_length(group["hash"]).to_numpy() // 8
+        _, own = np.unique(h, return_inverse=True)
+        n = np.bincount(own, n)[own].astype(np.int64)
+        several = n > 1
+        left = np.bincount(np.repeat(np.arange(len(size)), size)[several], minlength=len(size))
+        some = np.flatnonzero(left)
+        at = np.append(0, np.cumsum(left[some]))
+        return pa.table([group["part"].to_numpy()[some], _blobs(h[several], at), _blobs(n[several].astype(np.uint32), at)], names=["part", "hash", "n"])
+
+    # all columns, so that this and the parts themselves are one shuffle
+    return (parts.mapInArrow(sent, "range long, part long, hash binary, n binary")
+            .groupBy("range").applyInArrow(summed, "part long, hash binary, n binary"))
+
+
+def inverse_frequencies(docs: DataFrame) -> Frequencies:
+    """The document counts of all shingles of ``docs`` (_t) on the driver: for
+    small tables only."""
+    total, size = totals(docs)
+    got = document_counts(parted(docs.withColumn("_row", F.xxhash64("_t")), size), size).toArrow()
+    return Frequencies(total, _joined(got["hash"], np.uint64), _joined(got["n"], np.uint32))
+
+
 @functools.cache
 def gamma_quantiles() -> np.ndarray:
     """Gamma(2, 1) at 65,536 equal steps of its distribution, 1 - (1 + x) exp(-x)."""
@@ -185,39 +253,46 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
 
 
-def _signed(idf: np.ndarray, id_type: pa.DataType) -> Callable:
-    schema = pa.schema([("doc_id", id_type), ("row", pa.int64()), ("key", pa.binary()), ("samples", pa.list_(pa.int32()))])
+def _signed(total: int, id_type: pa.DataType) -> Callable:
+    schema = pa.schema([("doc_id", id_type), ("row", pa.int64()), ("key", pa.binary()), ("samples", pa.list_(pa.int32())),
+                        ("counts", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_t"):
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        known = Frequencies(total, _joined(counts["hash"], np.uint64), _joined(counts["n"], np.uint32))
+        out = []
+        for b in slices(iter(docs.combine_chunks().to_batches()), "_t"):
             s = Shingles(b.column("_t"))
-            sig = (samples(s.hash, s.weights(idf), s.text, s.n, ROWS * BANDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            n = known.counts(s.hash)
+            sig = (samples(s.hash, s.count * idf(total, n), s.text, s.n, ROWS * BANDS) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             has = np.zeros(s.n, bool)
             has[s.text] = True
             flat = sig[has].ravel()
             offsets = np.concatenate(([0], np.cumsum(np.where(has, ROWS * BANDS, 0))))
-            yield pa.record_batch([b.column("doc_id").cast(id_type), b.column("_row"), pa.array(s.keys, pa.binary()),
-                                   pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], schema=schema)
+            out.append(pa.record_batch([b.column("doc_id").cast(id_type), b.column("_row"), pa.array(s.keys, pa.binary()),
+                                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
+                                        _blobs(n.astype(np.uint32), np.searchsorted(s.text, np.arange(s.n + 1)))], schema=schema))
+        return pa.Table.from_batches(out, schema)
     return run
 
 
-def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of each a[i] and b[i]."""
+def similarities(a: pa.Array, b: pa.Array, na: np.ndarray, nb: np.ndarray, total: int) -> np.ndarray:
+    """Weighted Jaccard similarity of each a[i] and b[i]; ``na`` and ``nb`` are the
+    document counts of their shingles, in the order of Shingles."""
     x, y = Shingles(a, keys=False), Shingles(b, keys=False)
     text, h = np.concatenate((x.text, y.text)), np.concatenate((x.hash, y.hash))
-    w = np.concatenate((x.weights(idf), y.weights(idf)))
+    w = np.concatenate((x.count * idf(total, na), y.count * idf(total, nb)))
     order = np.lexsort((h, text))
     text, h, w = text[order], h[order], w[order]
-    total = np.bincount(text, w, x.n)
+    sums = np.bincount(text, w, x.n)
     pair = np.flatnonzero((text[1:] == text[:-1]) & (h[1:] == h[:-1]))
     both = np.bincount(text[pair], np.minimum(w[pair], w[pair + 1]), x.n)
-    return np.where(total > 0, both / np.maximum(total - both, 1e-12), 1.0)
+    return np.where(sums > 0, both / np.maximum(sums - both, 1e-12), 1.0)
 
 
-def _verified(idf: np.ndarray, threshold: float) -> Callable:
+def _verified(total: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta"):
-            s = similarities(b.column("ta"), b.column("tb"), idf)
+            s = similarities(b.column("ta"), b.column("tb"), _joined(b.column("na"), np.uint32), _joined(b.column("nb"), np.uint32), total)
             yield b.select(["a", "b"]).filter(pa.array(s >= threshold - 1e-9))
     return run
 
@@ -247,9 +322,9 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         discard(step)
 
 
-def _links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:
+def _links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, total: int, threshold: float) -> DataFrame | None:
     """(node, label) of all nodes with a link, from ``buckets`` (band, key),
-    ``nodes`` (key, shares, samples) and ``texts`` (key, text)."""
+    ``nodes`` (key, shares, samples) and ``texts`` (key, text, counts)."""
     labels, links, compared = None, None, None
     left, some = buckets, PIVOTS
     while True:
@@ -276,9 +351,9 @@ def _links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarr
         samples_ = lambda c: nodes.select(F.col("key").alias(c), F.col("samples").alias(f"s{c}"))
         likely = (pairs.join(samples_("a"), "a").join(samples_("b"), "b")
                        .where(agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b"))
-        with_text = (likely.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-                          .join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b"))
-        found = stored(with_text.select("a", "b", "ta", "tb").mapInArrow(_verified(idf, threshold), "a binary, b binary"), "links")
+        text_ = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"), F.col("counts").alias(f"n{c}"))
+        with_text = likely.join(text_("a"), "a").join(text_("b"), "b")
+        found = stored(with_text.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(_verified(total, threshold), "a binary, b binary"), "links")
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             labels = components(links, labels)
@@ -293,9 +368,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     from pyspark.sql.pandas.types import to_arrow_type
     kind = docs.schema[id_col].dataType
     d = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t")).withColumn("_row", row_key("doc_id", "_t"))
-    idf = inverse_frequencies(d)
-    signed = stored(d.mapInArrow(_signed(idf, to_arrow_type(kind)),
-                                 f"doc_id {kind.simpleString()}, row long, key binary, samples array<int>"), "signed")
+    total, size = totals(d)
+    parts = parted(d, size)
+    signed = stored(parts.groupBy("part").cogroup(document_counts(parts, size).groupBy("part")).applyInArrow(
+        _signed(total, to_arrow_type(kind)),
+        f"doc_id {kind.simpleString()}, row long, key binary, samples array<int>, counts binary"), "signed")
+    docs.sparkSession._jvm.System.gc()        # lets Spark delete the shuffles of shingles
     nodes = signed.groupBy("key").agg(F.min_by(F.struct("doc_id", "row", "samples"), F.struct("row")).alias("n")).select("key", "n.*")
     banded = nodes.where(F.size("samples") > 0).select("key", F.explode(bands(F.col("samples"))).alias("band"))
     shared = banded.groupBy("band").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("band")
@@ -304,8 +382,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     wanted = nodes.join(middle, "key", "left_semi").select("key", F.col("doc_id").alias("i"), F.col("row").alias("r"))
     texts = (d.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_row") == F.col("r")))
               .groupBy("key").agg(F.first("_t").alias("text")))
-    texts = stored(texts, "texts")
-    labels = _links(buckets, middle, texts, idf, threshold)
+    # texts with the same words have the same counts
+    counts = (signed.select("key", "row", "counts").join(wanted.select("key", F.col("r").alias("row")), ["key", "row"])
+                    .groupBy("key").agg(F.first("counts").alias("counts")))
+    texts = stored(texts.join(counts, "key"), "texts")
+    labels = _links(buckets, middle, texts, total, threshold)
     out = signed.select("doc_id", "row", "key")
     if labels is None:
         return out.select("doc_id", "row", F.col("key").alias("label"))

@@ -191,6 +191,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_documents_are_counted_for_each_shingle(spark, monkeypatch):
+    """Against counts and weights that don't come from the operator."""
+    rng = random.Random(6)
+    docs = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(1000)) for _ in range(150)]
+    docs += [" ".join([*docs[i].split()[:920 - 10 * i], *(f"v{i}x{j}" for j in range(80 + 10 * i))]) for i in range(12)]
+    common = " ".join(f"c{j}" for j in range(300))
+    docs = [f"{d} {common}" if i % 2 else d for i, d in enumerate(docs)]
+    cut = [collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (d.split() for d in docs)]
+    in_docs = collections.Counter(g for c in cut for g in c)
+    weigh = [{g: n * math.log(1 + len(docs) / in_docs[g]) for g, n in c.items()} for c in cut]
+    links = set()
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        both = sum(min(x, weigh[j].get(g, 0.0)) for g, x in weigh[i].items())
+        if both / (sum(weigh[i].values()) + sum(weigh[j].values()) - both) >= near_dedup.THRESHOLD:
+            links.add((i, j))
+    assert 0 < len(links) < 12
+    monkeypatch.setattr(near_dedup, "PART", 50_000)
+    df = spark.createDataFrame(list(enumerate(docs)), TEXT).repartition(3)
+    known = near_dedup.inverse_frequencies(df.select(F.col("text").alias("_t")))
+    assert sorted(known.n.tolist()) == sorted(n for n in in_docs.values() if n > 1)
+    s = near_dedup.Shingles(pa.array(docs))
+    got = np.bincount(s.text, s.weights(known), len(docs))
+    assert got == pytest.approx([sum(w.values()) for w in weigh], rel=1e-9)
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert {(c, i) for i, c in classes.items() if c != i} == links
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "other words in this text here"), (None, None)]
     df = spark.createDataFrame(rows, TEXT)
