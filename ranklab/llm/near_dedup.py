@@ -19,10 +19,9 @@ In each round a bucket sends a few pivots (PIVOTS, then GROWTH times as many a
 round) against its nodes of other classes: first those that share most buckets,
 which stand in the middle of their group, later those of the smallest classes.
 Links join classes, and pivots, being compared with all others, leave the bucket.
-A comparison looks at the samples first: fewer than AGREE equal ones, and the pair
-isn't a link (a pair of similarity 0.8 has 38 of 48 on average, and fewer than 27
-with a probability below 0.0001); the others' texts are compared exactly. A bucket is done when its remaining
-nodes are in one class. So every candidate pair is either compared or already in
+A comparison looks at the samples first: with fewer equal ones than a pair at the
+threshold has but with probability MISS, the pair isn't a link; the others' texts
+are compared exactly. A bucket is done when its remaining nodes are in one class. So every candidate pair is either compared or already in
 one class, whatever the bucket's size. Classes are labelled by the smallest node,
 by rounds of neighbour minima and pointer jumping over DataFrames. Everything
 that is used twice is a table in the shared folder.
@@ -37,6 +36,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,7 +54,7 @@ ROWS, BANDS = 3, 16
 PART = 2 << 20             # bytes of text whose shingles are counted at once
 PIVOTS = 2                 # of a bucket in the first round
 GROWTH = 4                 # times the pivots of the round before
-AGREE = 27                 # of ROWS * BANDS samples
+MISS = 1e-6                # a link's probability to be dropped by its samples
 BLOCK = 32_768             # shingles sampled at once
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -248,6 +248,17 @@ def bands(samples_: Column) -> Column:
                        lambda i: F.xxhash64(i, F.slice(samples_, i * ROWS + 1, F.lit(ROWS))))
 
 
+def least_agreeing(threshold: float) -> int:
+    """Fewer equal samples than this have a probability of MISS at most in a pair
+    of similarity ``threshold``."""
+    n, below = ROWS * BANDS, 0.0
+    for k in range(n):
+        below += math.comb(n, k) * threshold ** k * (1 - threshold) ** (n - k)
+        if below > MISS:
+            return k
+    return n
+
+
 def agreeing(a: Column, b: Column) -> Column:
     """Number of equal samples."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
@@ -350,7 +361,7 @@ def _links(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, total: int, t
         compared = pairs if compared is None else compared.unionByName(pairs)
         samples_ = lambda c: nodes.select(F.col("key").alias(c), F.col("samples").alias(f"s{c}"))
         likely = (pairs.join(samples_("a"), "a").join(samples_("b"), "b")
-                       .where(agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b"))
+                       .where(agreeing(F.col("sa"), F.col("sb")) >= least_agreeing(threshold)).select("a", "b"))
         text_ = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"), F.col("counts").alias(f"n{c}"))
         with_text = likely.join(text_("a"), "a").join(text_("b"), "b")
         found = stored(with_text.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(_verified(total, threshold), "a binary, b binary"), "links")

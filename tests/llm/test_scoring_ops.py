@@ -218,6 +218,35 @@ def test_documents_are_counted_for_each_shingle(spark, monkeypatch):
     assert {(c, i) for i, c in classes.items() if c != i} == links
 
 
+def test_samples_drop_no_links_at_other_thresholds(spark):
+    for x in (0.5, 0.6, 0.8, 0.95):
+        k = near_dedup.least_agreeing(x)
+        tail = [sum(math.comb(48, i) * x ** i * (1 - x) ** (48 - i) for i in range(m)) for m in (k, k + 1)]
+        assert tail[0] <= near_dedup.MISS < tail[1]
+    rng = random.Random(4)
+    docs = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(104)]
+        docs += [words, [*words[:81], *(f"v{i}x{j}" for j in range(23))]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], TEXT)
+    known = near_dedup.inverse_frequencies(df.select(F.col("text").alias("_t")))
+    s = near_dedup.Shingles(pa.array([" ".join(w) for w in docs]))
+    w = s.weights(known)
+    drawn = near_dedup.samples(s.hash, w, s.text, s.n, 48)
+    sets = [dict(zip(s.hash[s.text == i].tolist(), w[s.text == i].tolist(), strict=True)) for i in range(len(docs))]
+    links, few = set(), 0
+    for i in range(0, len(docs), 2):
+        both = sum(min(x, sets[i + 1].get(h, 0.0)) for h, x in sets[i].items())
+        alike = both / (sum(sets[i].values()) + sum(sets[i + 1].values()) - both)
+        same = drawn[i] == drawn[i + 1]
+        if alike >= 0.55 and same.reshape(16, 3).all(axis=1).any():
+            links.add((i, i + 1))
+            few += same.sum() < 27
+    assert few                                              # a fixed 27 would drop these
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, 0.55).collect()}
+    assert {(c, i) for i, c in classes.items() if c != i} == links
+
+
 def test_near_duplicates_of_odd_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "other words in this text here"), (None, None)]
     df = spark.createDataFrame(rows, TEXT)
