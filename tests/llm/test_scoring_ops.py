@@ -142,6 +142,19 @@ def test_bounds_hold_at_every_depth():
     assert (lower == upper).all()
 
 
+def test_large_scores_are_ordered_by_all_their_bits():
+    """More candidates than 4k round to one double; the best have the largest ids."""
+    n, k = 200, 3
+    values = np.column_stack((np.full(n, 1 << 30), np.arange(n))).astype(np.int64)
+    block = topk_search.Block(np.arange(n), np.zeros(n, np.int64), values)
+    q, c, score = block.search(np.array([-1]), np.array([[1 << 31, 1], ], np.int64), k)
+    assert q.tolist() == [0] * k and block.ids[c].tolist() == [n - 1, n - 2, n - 3]
+    assert score.tolist() == [(1 << 61) + j for j in (n - 1, n - 2, n - 3)]
+    low = topk_search.Block(np.arange(2), np.zeros(2, np.int64), np.array([[-1 << 62], [-1]], np.int64))
+    q, c, score = low.search(np.array([-1]), np.array([[4]], np.int64), 2)
+    assert c.tolist() == [1, 0] and score.tolist() == [-4, -(1 << 63)]
+
+
 # --- near duplicates ----------------------------------------------------------------
 
 def near_corpus(seed=7):
