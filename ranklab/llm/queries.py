@@ -16,6 +16,9 @@ MODULES = (
     ("topk_search", "op8_topk_search"),
     ("near_dedup", "op9_near_dedup"),
     ("url_filter", "op10_url_filter"),
+    ("exact_dedup", "op11_exact_dedup"),
+    ("merkle", "op12_merkle_manifest"),
+    ("collocations", "op13_collocations"),
 )
 
 
