@@ -15,10 +15,16 @@ and the filter of the shard's last visit had not: once per shard, with the same
 for the few phrases that are let in by chance. Every count is therefore exact; a full
 filter (``filter_bits`` is a parameter) costs time, not correctness.
 
-A scan works on slices of texts as arrays (words by dictionary, phrases as packed
-codes) and sends each distinct phrase of a slice once with its count. Counts so far
-are one table, keyed by (language, phrase) and written anew after each scan; a phrase
-that has had its cycle below the threshold leaves it. The driver holds filters only.
+Texts are read once and stored as slices: the distinct words of a slice, with a
+64-bit id each, and the codes of its words in order. An aggregation proves that no
+two words of the corpus share an id; if two did, the next seed would be taken. A scan
+sends each distinct phrase of a slice once, as ids, with its count, and is summed by
+itself. At the end of a cycle the scans are merged into the counts so far, and a
+phrase that has had its cycle below the threshold leaves them. In between, only
+shares of at least threshold / shards are summed: no phrase reaches the threshold
+without such a share, most frequent ones are found by these alone, and one that also
+needs its smaller shares is found when the cycle ends. Phrases that stay get their
+words back by joins. The driver holds filters only.
 
 Scores join a phrase's cuts with the counts of both parts. The report keeps the first
 rows of each language, cut in the map tasks before they are ranked.
@@ -31,12 +37,14 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,8 +59,10 @@ SHARDS = 4
 FILTER_BITS = 1 << 26        # 8 MB, whatever the input
 PROBES = 4
 SLICE = 16 << 20             # bytes of text at once
+SLICE_DOCS = 1 << 20         # and documents
 SEND_ROWS = 1 << 16
-COUNTS = "lang string, phrase string, n long"
+CODED = "shard int, lang string, words array<string>, ids array<long>, n_words long, codes binary"
+LINK = 1 << 31               # in a code: the next word is in the same piece
 
 # Classes of bytes: 1 within a piece between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -62,9 +72,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
-def _word_hash(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def _ids(lang: str, words: pa.Array, seed: int) -> np.ndarray:
+    own = xxhash.xxh3_64_intdigest(lang.encode(), seed)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w, own) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    return np.where(h == 0, np.uint64(1), h)           # 0: no word
 
 
 def _extended(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -88,19 +99,19 @@ def _holds(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def _bits(bits: int) -> Callable:
+def _columns(longest: int) -> list[str]:
+    return [f"w{i + 1}" for i in range(longest)]
+
+
+def _bits(bits: int, longest: int) -> Callable:
     """(cell, mask) of the phrases of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs = b.column("lang").to_pylist()
-            split = [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
-            seeds = {g: xxhash.xxh3_64_intdigest(g.encode()) for g in set(langs)}
-            h = np.zeros(len(split), np.uint64)
-            for k in range(max(map(len, split), default=0)):
-                rows = [i for i, w in enumerate(split) if len(w) > k]
-                word = np.fromiter((xxhash.xxh3_64_intdigest(split[i][k], seeds[langs[i]]) for i in rows), np.uint64, len(rows))
-                h[rows] = word if k == 0 else _extended(h[rows], word)
+            cols = [b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _columns(longest)]
+            h = cols[0]
+            for w in cols[1:]:
+                h = np.where(w == 0, h, _extended(h, w))
             at = np.concatenate(list(_probes(h, bits)))
             cell, where = np.unique(at >> np.uint64(6), return_inverse=True)
             mask = np.zeros(len(cell), np.uint64)
@@ -123,7 +134,28 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[data[inside]])])
     coded = words.dictionary_encode()
     piece = np.cumsum(kind == 2, dtype=np.int32)[start]
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, piece[1:] == piece[:-1]
+    return coded.indices.to_numpy(), coded.dictionary, piece[1:] == piece[:-1]
+
+
+def _code(shards: int, seed: int) -> Callable:
+    """Slices of texts as rows of CODED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
+        for b in slices(batches, limit=SLICE, rows=SLICE_DOCS):
+            turn += 1
+            for lang in pc.unique(b.column("lang")).to_pylist():
+                code, words, link = _words(b.filter(pc.equal(b.column("lang"), lang)).column("text"))
+                if not len(code):
+                    continue
+                codes = code.astype(np.uint32)
+                codes[:-1] |= np.where(link, np.uint32(LINK), np.uint32(0))
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                yield pa.record_batch([
+                    pa.array([turn % shards], pa.int32()), pa.array([lang]), one(words), one(pa.array(_ids(lang, words, seed).view(np.int64))),
+                    pa.array([len(code)]), pa.array([codes.tobytes()], pa.binary())], names=["shard", "lang", "words", "ids", "n_words", "codes"])
+
+    return run
 
 
 def _distinct(code: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -144,64 +176,66 @@ def _distinct(code: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[l
 
 
 def _scan(now, before, first_cycle: bool, longest: int) -> Callable:
-    """(lang, phrase, n) of the phrases that become countable at this visit; in the
-    first cycle also words, and the number of all words under the empty phrase."""
+    """(w1, w2, ..., n) of the phrases that become countable at this visit, in the
+    first cycle also of words. Missing words are 0."""
+    names = [*_columns(longest), "n"]
 
-    def sent(lang: str, phrases: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def sent(ids: np.ndarray, cols: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(n), SEND_ROWS):
             part = n[i:i + SEND_ROWS].astype(np.int64)
-            yield pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(len(part), np.int64))), phrases.slice(i, len(part)), pa.array(part)],
-                                  names=["lang", "phrase", "n"])
+            words = [ids[c[i:i + SEND_ROWS]].view(np.int64) for c in cols] + [np.zeros(len(part), np.int64)] * (longest - len(cols))
+            yield pa.record_batch([pa.array(x) for x in [*words, part]], names=names)
 
-    def phrases_of(lang: str, texts: pa.Array, new: np.ndarray | None, old: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        code, words, link = _words(texts)
-        if not len(code):
-            return
+    def phrases_of(ids: np.ndarray, codes: np.ndarray, new: np.ndarray | None, old: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        code, link = (codes & np.uint32(LINK - 1)).astype(np.int64), codes[:-1] >= LINK
         if first_cycle:
-            yield from sent(lang, pa.array([""]), np.array([len(code)]))
-            yield from sent(lang, words, np.bincount(code, minlength=len(words)))
+            yield from sent(ids, [np.arange(len(ids))], np.bincount(code, minlength=len(ids)))
         if new is None:
             return
-        hashed = _word_hash(lang, words.cast(pa.binary()).to_pylist())
-        word = hashed[code]
+        word = ids[code]
         h, run = word, np.ones(len(code), bool)
-        in_new, in_old = _holds(new, hashed)[code], _holds(old, hashed)[code] if old is not None else np.zeros(len(code), bool)
+        in_new, in_old = _holds(new, ids)[code], _holds(old, ids)[code] if old is not None else np.zeros(len(code), bool)
         for k in range(2, longest + 1):
             run = run[:-1] & link[k - 2:]
             act_new, act_old = run & in_new[:-1] & in_new[1:], run & in_old[:-1] & in_old[1:]
             at = np.flatnonzero(act_new & ~act_old)
             if len(at):
-                cols, n = _distinct(code, at, k, len(words))
-                yield from sent(lang, pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in cols], " "), n)
+                yield from sent(ids, *_distinct(code, at, k, len(ids)))
             if k < longest:
-                h = _extended(h[:-1], word[k - 1:])
                 at = np.flatnonzero(act_new)
-                in_new = np.zeros(len(h), bool)
+                longer = np.zeros(len(word), np.uint64)
+                longer[at] = _extended(h[at], word[at + k - 1])
+                h = longer
+                in_new, in_old = np.zeros(len(code) - k + 1, bool), np.zeros(len(code) - k + 1, bool)
                 in_new[at] = _holds(new, h[at])
-                at, in_old = np.flatnonzero(act_old), np.zeros(len(h), bool)
                 if old is not None:
+                    at = np.flatnonzero(act_old)
                     in_old[at] = _holds(old, h[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, old = (np.frombuffer(x.value, np.uint64) if x is not None else None for x in (now, before))
-        for b in slices(batches, limit=SLICE):
-            for lang in pc.unique(b.column("lang")).to_pylist():
-                mine = b.filter(pc.equal(b.column("lang"), lang))
-                yield from phrases_of(lang, mine.column("text"), new, old)
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = b.column("ids").slice(i, 1).flatten().to_numpy().view(np.uint64)
+                yield from phrases_of(ids, np.frombuffer(b.column("codes")[i].as_buffer(), np.uint32), new, old)
 
     return run
 
 
-def _shards(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> list[DataFrame]:
-    """The documents, written once and dealt into shards row by row."""
+def _shards(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> tuple[DataFrame, DataFrame]:
+    """The coded slices, written once; and (id, lang, word), no two words with one id."""
     spark = docs.sparkSession
-    path = scratch(spark, "shards")
     d = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
-                    F.concat(text_or_empty(F.col(f"`{text_col}`")), F.lit("\n")).alias("text"),
-                    (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
-    d.write.partitionBy("shard").parquet(path)
-    back = spark.read.schema(d.schema).parquet(path)
-    return [back.where(F.col("shard") == i).select("lang", "text") for i in range(shards)]
+                    F.concat(text_or_empty(F.col(f"`{text_col}`")), F.lit("\n")).alias("text"))
+    for seed in range(64):
+        path = scratch(spark, "shards")
+        d.mapInArrow(_code(shards, seed), CODED).write.partitionBy("shard").parquet(path)
+        coded = spark.read.schema(CODED).parquet(path)
+        pair = F.explode(F.arrays_zip("ids", "words")).alias("x")
+        words = stored(coded.select("lang", pair).select(F.col("x.ids").alias("id"), "lang", F.col("x.words").alias("word")).distinct(), "words")
+        if words.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+            return coded, words
+    raise RuntimeError("word ids clash with every seed")
 
 
 def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST,
@@ -209,30 +243,47 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """(lang, phrase, n): all phrases of up to ``longest`` words that occur ``least``
     times or more, and per language the number of all words under the empty phrase."""
     spark = docs.sparkSession
-    parts = _shards(docs, text_col, lang_col, shards)
+    coded, words = _shards(docs, text_col, lang_col, shards)
+    keys = _columns(longest)
+    row = ", ".join(f"{c} long" for c in [*keys, "n"])
     cells = np.zeros(filter_bits // 64, np.uint64)
     versions: list = [None]            # filter after 0, 1, ... scans, as sent; the same one while nothing is new
-    counts, step = None, 0
-    while step < shards or versions[step] is not versions[step - shards]:
+    share = -(-least // shards)
+    counts, scans, step = None, [], 0
+    while step % shards or step == 0 or versions[step] is not versions[step - shards]:
         before = versions[step - shards] if step >= shards else None
-        seen = parts[step % shards].mapInArrow(_scan(versions[step], before, step < shards, longest), COUNTS)
-        seen = seen.withColumn("since", F.lit(step))
-        if counts is not None:
-            seen = seen.unionByName(counts)
-        total = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("since").alias("since"))
-        over = (F.col("since") <= step - shards + 1) & (F.col("n") < least) & (F.col("phrase") != "")
-        last, counts = counts, stored(total.where(~over), "phrases")
-        if last is not None:
-            discard(last)
-        known = counts.where((F.col("n") >= least) & (F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < longest))
-        bits = known.select("lang", "phrase").mapInArrow(_bits(filter_bits), "cell long, mask long")
-        found = bits.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()       # filter_bits / 64 rows at most
+        shard = coded.where(F.col("shard") == step % shards).select("ids", "codes")
+        seen = shard.mapInArrow(_scan(versions[step], before, step < shards, longest), row)
+        scans.append(stored(seen.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("since", F.lit(step)), "scan"))
+        step += 1
+        parts = functools.reduce(DataFrame.unionByName, scans if counts is None else [counts, *scans])
+        if step % shards:
+            known = parts.where(F.col("n") >= share).groupBy(*keys).agg(F.sum("n").alias("n"))
+        else:
+            total = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
+            known = stored(total.where((F.col("n") >= least) | (F.col("since") > step - shards)), "phrases")
+            for done in [*scans, *([] if counts is None else [counts])]:
+                discard(done)
+            counts, scans = known, []
+        known = known.where((F.col("n") >= least) & (F.col(keys[-1]) == 0)).select(*keys)
+        found = known.mapInArrow(_bits(filter_bits, longest), "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask"))
+        found = found.toArrow()        # filter_bits / 64 rows at most
         grown = cells.copy()
         at = found.column("cell").to_numpy()
         grown[at] |= found.column("mask").to_numpy().view(np.uint64)
-        versions.append(versions[step] if np.array_equal(grown, cells) else spark.sparkContext.broadcast(grown.tobytes()))
-        cells, step = grown, step + 1
-    return counts.where((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "n")
+        versions.append(versions[-1] if np.array_equal(grown, cells) else spark.sparkContext.broadcast(grown.tobytes()))
+        cells = grown
+    n_words = coded.groupBy("lang").agg(F.sum("n_words").alias("n")).select("lang", F.lit("").alias("phrase"), "n")
+    return stored(_spelled(counts.where(F.col("n") >= least), words, keys).unionByName(n_words), "phrases")
+
+
+def _spelled(counts: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """(lang, phrase, n): ids replaced by their words."""
+    out = counts
+    for i, key in enumerate(keys):
+        w = words.select(F.col("id").alias(f"_i{i}"), F.col("word").alias(f"_v{i}"), *([] if i else ["lang"]))
+        out = out.join(w, F.col(key) == F.col(f"_i{i}"), "left" if i else "inner")
+    return out.select("lang", F.concat_ws(" ", *[F.col(f"_v{i}") for i in range(len(keys))]).alias("phrase"), "n")
 
 
 def _cut(words: Column, k: Column) -> Column:

@@ -70,14 +70,14 @@ def packed(df: DataFrame) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
-           limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+           limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``limit`` bytes of text at
-    most (a longer single text is a slice of its own)."""
+    most, and ``rows`` rows (a longer single text is a slice of its own)."""
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > start and (held + n > limit or i - start >= SLICE_ROWS):
+            if i > start and (held + n > limit or i - start >= rows):
                 yield b.slice(start, i - start)
                 start, held = i, 0
             held += int(n)
