@@ -133,49 +133,82 @@ def decode_ids(df: DataFrame, key: str, ids: str, vocab: DataFrame, skip=(0, 1,
 
 
 # ---- X6: subword merges ----------------------------------------------------
+# A word's symbols are kept in one string, each between OPEN and CLOSE, so that
+# merging a pair everywhere is a plain replacement.
+OPEN, CLOSE, RULE_END = "\x02", "\x03", "\x01"
 
-def pair_merges(words: DataFrame, n: int) -> DataFrame:
-    """Merge rules derived from data: the n most frequent adjacent character
-    pairs over the vocabulary (weighted by term frequency), ranked."""
-    chars = words.select("term", "tf", F.split("term", "").alias("c")).where(F.size("c") >= 2)
-    pairs = chars.select("tf", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1),
-                                                     lambda i: F.concat(F.element_at("c", i), F.lit(" "),
-                                                                        F.element_at("c", i + 1)))).alias("pair"))
-    cnt = pairs.where(F.size(F.split("pair", " ")) == 2).groupBy("pair").agg(F.sum("tf").alias("n"))
-    from ..operators.rank import top_k
-    top = top_k(cnt.withColumn("_g", F.lit(0)), ["_g"], [F.col("n").desc(), F.col("pair")], n, "rank")
-    return top.select("pair", "rank")
-
-
-def _apply_merges_py(word: str, ranks: dict) -> str:
-    sym = list(word)
-    while len(sym) > 1:
-        best, bi = None, -1
-        for i in range(len(sym) - 1):
-            r = ranks.get(sym[i] + " " + sym[i + 1])
-            if r is not None and (best is None or r < best):
-                best, bi = r, i
-        if best is None:
-            break
-        sym = sym[:bi] + [sym[bi] + sym[bi + 1]] + sym[bi + 2:]
-    return " ".join(sym)
 
+def _symbols(word: Column) -> Column:
+    return F.regexp_replace(word, "(?s)(.)", OPEN + "$1" + CLOSE)
 
-def apply_merges(words: DataFrame, merges: DataFrame, col: str = "term") -> DataFrame:
-    """Greedy subword segmentation of each *distinct* word by merge rank
-    (pandas UDF over Arrow batches; the merge table is small by
-    construction and shipped once per task as a broadcast variable)."""
+
+def _symbol_list(s: Column) -> Column:
+    return F.split(F.substring(s, F.lit(2), F.length(s) - 2), CLOSE + OPEN)
+
+
+def _marked(pair: str) -> str:
+    a, b = pair.split(" ")
+    return f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"
+
+
+def _rules(pairs: list[str]) -> Column:
+    """The marked pairs in order, as one constant array."""
+    return F.split(F.lit(RULE_END.join(map(_marked, pairs))), RULE_END)
+
+
+def _merged(s: Column, pair: Column) -> Column:
+    return F.replace(s, pair, F.replace(pair, F.lit(CLOSE + OPEN), F.lit("")))
+
+
+def learn_merges(words: DataFrame, rounds: int, batch: int) -> DataFrame:
+    """Merge rules (pair, rank) learned from distinct words (term, tf), so that rules
+    build on rules. Each round counts the adjacent symbols of all words (one
+    aggregation, weighted by tf), takes the ``batch`` most frequent pairs, ties by
+    pair, and rewrites the words with them in order; the rewritten words are a stored
+    table. A symbol is made by one rule only (of pairs that give the same string the
+    most frequent one counts), hence every rule comes after those it builds on. The
+    driver holds the rules, rounds x batch at most."""
+    from ..session import materialize
     spark = words.sparkSession
-    table = {r["pair"]: r["rank"] for r in merges.collect()}  # bounded: n rules
-    bc = spark.sparkContext.broadcast(table)
+    w = materialize(words.where(F.length("term") > 0).select("term", "tf", _symbols(F.col("term")).alias("s")), "symbols")
+    rules: list[str] = []
+    for _ in range(rounds):
+        sym = _symbol_list(F.col("s"))
+        open_ = w.where(F.instr("s", CLOSE + OPEN) > 0).select("tf", sym.alias("y"))
+        pairs = open_.select("tf", F.explode(F.transform(F.sequence(F.lit(1), F.size("y") - 1),
+                                                         lambda i: F.struct(F.element_at("y", i).alias("a"), F.element_at("y", i + 1).alias("b")))).alias("p"))
+        count = pairs.groupBy("p.a", "p.b").agg(F.sum("tf").alias("n"))
+        best = count.groupBy(F.concat("a", "b").alias("merged")).agg(F.min(F.struct((-F.col("n")).alias("n"), "a", "b")).alias("p"))
+        if rules:
+            made = spark.createDataFrame([(r.replace(" ", ""),) for r in rules], "merged string")
+            best = best.join(F.broadcast(made), "merged", "left_anti")         # rounds x batch strings at most
+        new = [f"{r.a} {r.b}" for r in best.select("p.*").orderBy("n", "a", "b").limit(batch).collect()]
+        if not new:
+            break
+        rules += new
+        w = materialize(w.withColumn("s", F.aggregate(_rules(new), F.col("s"), _merged)), "symbols")
+    return spark.createDataFrame([(r, i + 1) for i, r in enumerate(rules)], "pair string, rank int")
 
-    @F.pandas_udf(T.StringType())
-    def seg(s: pd.Series) -> pd.Series:
-        ranks = bc.value
-        return s.map(lambda w: _apply_merges_py(w, ranks) if w is not None else None)
 
-    distinct = words.select(col).distinct()
-    return distinct.withColumn("subwords", seg(F.col(col)))
+def apply_merges(words: DataFrame, merges: DataFrame, col: str = "term") -> DataFrame:
+    """(word, subwords): each *distinct* word cut by the rules (pair, rank). As long
+    as a rule fits, the one of lowest rank merges all its occurrences, left to right.
+    Only rules whose symbol is a part of the word can ever fit, so the steps run over
+    those few. JVM expressions; the rules are one constant of the plan, as they are the
+    model: a few thousand strings."""
+    rules = [r["pair"] for r in merges.orderBy("rank").collect()]
+    d = words.select(col).distinct()
+    if not rules:
+        return d.withColumn("subwords", F.array_join(_symbol_list(_symbols(F.col(col))), " "))
+    plain = lambda r: F.translate(r, OPEN + CLOSE, "")
+    d = d.withColumn("_r", F.filter(_rules(rules), lambda r: F.contains(F.col(col), plain(r)))).withColumn("_s", _symbols(F.col(col)))
+
+    def step(s: Column, _: Column) -> Column:
+        fits = F.get(F.filter(F.col("_r"), lambda r: F.contains(s, r)), F.lit(0))
+        return F.when(F.instr(s, CLOSE + OPEN) == 0, s).otherwise(F.coalesce(_merged(s, fits), s))
+    steps = F.when(F.size("_r") > 0, F.sequence(F.lit(1), F.greatest(F.length(col), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("_s", F.aggregate(steps, F.col("_s"), step))
+    return d.select(col, F.when(F.length(col) > 0, F.array_join(_symbol_list(F.col("_s")), " ")).otherwise(F.col(col)).alias("subwords"))
 
 
 # ---- X7: ROUGE ---------------------------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .rank import rank_rows
 
 
@@ -67,11 +68,26 @@ def value_histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = ("sy
                                                 (F.col("_lo") + (F.col("bin") + 1) * w).alias("right"), "count")
 
 
-def percentile_annotations(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ("system",)) -> DataFrame:
-    """V4: value at each percentile (exact, linear) per group."""
+def percentile_annotations(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ("system",), bins: int = 10) -> DataFrame:
+    """V4: per group the value at each percentile (``p{q}``, exact, linear) and the
+    height of its bin (``h{q}``) among ``bins`` of equal width."""
+    from .quantiles import quantiles
     by = list(by)
-    aggs = [F.percentile(col, q / 100.0).alias(f"p{int(q)}") for q in qs]
-    return df.groupBy(*by).agg(*aggs)
+    p = quantiles(df, col, [q / 100.0 for q in qs], by)
+    h = value_histogram(df.where(F.col(col).isNotNull()), col, bins, by).select(*by, "bin", "left", "right", "count")
+    rows = h.groupBy(*by).agg(F.min("left").alias("_lo"), F.max("right").alias("_hi"),
+                              F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_h"))        # one entry per bin
+    same = F.lit(True)
+    for k in by:
+        same = same & p[k].eqNullSafe(rows[k])
+    j = p.join(rows, same).select(*[p[k] for k in by], "q", "_lo", "_hi", "_h")
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    out = []
+    for i, q in enumerate(qs):
+        v = F.col("q")[i]
+        place = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+        out += [v.alias(f"p{int(q)}"), F.coalesce(F.try_element_at("_h", place), F.lit(0)).alias(f"h{int(q)}")]
+    return j.select(*by, *out)
 
 
 def score_distribution_by_rel(runs: DataFrame, qrels: DataFrame, bins: int = 10,
@@ -94,17 +110,26 @@ def rank_flow(runs: DataFrame, k: int) -> DataFrame:
     return wide.groupBy(*systems).agg(F.count("*").alias("count"))
 
 
+def _boxes(evals: DataFrame) -> DataFrame:
+    """Rows with the quartiles of their system and metric; ``inside``: within 1.5 IQR."""
+    from .quantiles import quantiles
+    q = quantiles(evals, "value", [0.25, 0.5, 0.75], ["system", "metric"])
+    q = broadcast_if_small(q.select("system", "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
+    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    return evals.join(q, ["system", "metric"]).withColumn("inside", (F.col("value") >= lo) & (F.col("value") <= hi))
+
+
 def box_stats(evals: DataFrame) -> DataFrame:
     """V7: quartiles, whiskers (1.5 IQR, clipped to data) and outlier count
     per system x metric."""
-    q = evals.groupBy("system", "metric").agg(
-        F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.5).alias("median"),
-        F.percentile("value", 0.75).alias("q3"))
-    j = evals.join(q, ["system", "metric"])
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col("value") >= lo) & (F.col("value") <= hi)
-    return j.groupBy("system", "metric", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_outliers"))
+    return _boxes(evals).groupBy("system", "metric", "q1", "median", "q3").agg(
+        F.min(F.when(F.col("inside"), F.col("value"))).alias("whisker_lo"),
+        F.max(F.when(F.col("inside"), F.col("value"))).alias("whisker_hi"),
+        F.count_if(~F.col("inside")).alias("n_outliers"))
+
+
+def box_outliers(evals: DataFrame) -> DataFrame:
+    """V7: the rows beyond the whiskers; ``side`` is low or high."""
+    out = _boxes(evals).where(~F.col("inside"))
+    return out.select(*evals.columns, F.when(F.col("value") < F.col("q1"), "low").otherwise("high").alias("side"))

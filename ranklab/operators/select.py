@@ -117,10 +117,13 @@ def project_metrics(evals: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def remove_tail(df: DataFrame, col: str, pct: float, by: Sequence[str] = ()) -> DataFrame:
     """Keep values strictly below the pct-th percentile (exact,
     linear interpolation) of their group."""
-    q = df.groupBy(*by).agg(F.percentile(col, pct / 100.0).alias("_q")) if by else \
-        df.agg(F.percentile(col, pct / 100.0).alias("_q"))
-    j = df.join(q, list(by), "inner") if by else df.crossJoin(q)
-    return j.where(F.col(col) < F.col("_q")).drop("_q")
+    from .quantiles import quantiles
+    by = list(by)
+    q = quantiles(df, col, [pct / 100.0], by).select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("q")[0].alias("_q"))
+    below = F.col(col) < F.col("_q")
+    for i, b in enumerate(by):
+        below = below & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    return df.join(broadcast_if_small(q), below).select(*df.columns)
 
 
 def session_id(qid: Column) -> Column:

@@ -192,14 +192,32 @@ def value_histogram(spark, sf_dir):
 
 
 @register("percentiles", """
-SELECT system, metric, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
-       round(quantile_cont(value, 0.9), 6) AS p90
-FROM evals GROUP BY system, metric
+WITH q AS (SELECT system, metric, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
+                  quantile_cont(value, 0.9) AS p90 FROM evals GROUP BY system, metric),
+  b AS (SELECT e.system, e.metric, CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / ((hi - lo) / 10)), 9) END AS bin, count(*) AS c
+        FROM evals e JOIN q USING (system, metric) GROUP BY ALL),
+  l AS (SELECT system, metric, lo, hi, unnest([25, 50, 90]) AS p, unnest([p25, p50, p90]) AS v FROM q),
+  h AS (SELECT l.system, l.metric, p, v, coalesce(c, 0) AS c FROM l LEFT JOIN b ON b.system = l.system AND b.metric = l.metric
+        AND b.bin = CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / 10)), 9) END)
+SELECT system, metric, round(max(v) FILTER (p = 25), 6) AS p25, round(max(v) FILTER (p = 50), 6) AS p50, round(max(v) FILTER (p = 90), 6) AS p90,
+       max(c) FILTER (p = 25) AS h25, max(c) FILTER (p = 50) AS h50, max(c) FILTER (p = 90) AS h90
+FROM h GROUP BY system, metric
 """, _EV)
 def percentiles(spark, sf_dir):
-    """V4: exact percentiles per system and metric."""
+    """V4: exact percentiles per system and metric, and the heights of their bins."""
     p = RP.percentile_annotations(V.evals(spark, sf_dir), "value", [25, 50, 90], ("system", "metric"))
-    return p.select("system", "metric", r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p90").alias("p90"))
+    return p.select("system", "metric", r6("p25").alias("p25"), r6("p50").alias("p50"), r6("p90").alias("p90"), "h25", "h50", "h90")
+
+
+@register("box_outliers", """
+WITH q AS (SELECT system, metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM evals GROUP BY system, metric)
+SELECT e.system, e.metric, e.qid, round(e.value, 6) AS value, CASE WHEN e.value < q1 THEN 'low' ELSE 'high' END AS side
+FROM evals e JOIN q USING (system, metric)
+WHERE NOT (e.value >= q1 - 1.5 * (q3 - q1) AND e.value <= q3 + 1.5 * (q3 - q1))
+""", _EV)
+def box_outliers(spark, sf_dir):
+    """V7: the values beyond the whiskers, per system and metric."""
+    return RP.box_outliers(V.evals(spark, sf_dir)).select("system", "metric", "qid", r6("value").alias("value"), "side")
 
 
 @register("box_stats", """

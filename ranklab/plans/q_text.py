@@ -296,13 +296,32 @@ def bigram_perplexity(spark, sf_dir):
     return out.select("qid", "n", r6("logprob").alias("logprob"), r6("perplexity").alias("perplexity"))
 
 
-@register("bpe_segments")
+BPE_ROUNDS, BPE_BATCH = 8, 128
+
+
+def _bpe_sql() -> str:
+    """One pair of CTEs a round: r, the rules, and w, the rewritten words."""
+    out = [f"""w0 AS MATERIALIZED (SELECT term, count(*) AS tf, regexp_replace(term, '(.)', chr(2) || '\\1' || chr(3), 'gs') AS s
+  FROM (SELECT unnest(regexp_extract_all(lower(text), {TOK})) AS term FROM corpus) x GROUP BY term)"""]
+    for i in range(BPE_ROUNDS):
+        made = " UNION ALL ".join(f"SELECT a || b AS m FROM r{j}" for j in range(i)) or "SELECT '' AS m"
+        out.append(f"""c{i} AS (SELECT a, b, sum(tf) AS n FROM (
+    SELECT tf, unnest(y[:-2]) AS a, unnest(y[2:]) AS b FROM (SELECT tf, string_split(s[2:-2], chr(3) || chr(2)) AS y FROM w{i}) z WHERE len(y) > 1) p GROUP BY a, b),
+  r{i} AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY n DESC, a, b) AS k
+    FROM (SELECT *, row_number() OVER (PARTITION BY a || b ORDER BY n DESC, a, b) AS d FROM c{i}) q
+    WHERE d = 1 AND a || b NOT IN ({made}) ORDER BY k LIMIT {BPE_BATCH}),
+  l{i} AS MATERIALIZED (SELECT list(chr(2) || a || chr(3) || chr(2) || b || chr(3) ORDER BY k) AS rules FROM r{i}),
+  w{i + 1} AS MATERIALIZED (SELECT term, tf, list_reduce(list_prepend(s, coalesce(rules, [])), lambda x, p: replace(x, p, replace(p, chr(3) || chr(2), ''))) AS s
+    FROM w{i}, l{i})""")
+    return "WITH " + ",\n  ".join(out) + f"\nSELECT term, array_to_string(string_split(s[2:-2], chr(3) || chr(2)), ' ') AS subwords FROM w{BPE_ROUNDS}"
+
+
+@register("bpe_segments", _bpe_sql(), ("corpus",))
 def bpe_segments(spark, sf_dir):
-    """The 50 most frequent character pairs as merge rules, applied to
-    every distinct corpus word (rows-only; pandas UDF)."""
+    """1,024 merges learned in rounds from all corpus words, applied to every
+    distinct word."""
     stats = _term_stats(_corpus_tokens(spark, sf_dir))
-    merges = X.pair_merges(stats, 50)
-    return X.apply_merges(stats, merges)
+    return X.apply_merges(stats, X.learn_merges(stats, BPE_ROUNDS, BPE_BATCH))
 
 
 @register("pairwise_l2", """
