@@ -46,7 +46,9 @@ def pad_repeat_last(arr: Column, n: int | Column) -> Column:
 
 
 def len_to_mask(length: Column, n: int) -> Column:
-    """A3: boolean mask of size n, true below ``length``."""
+    """A3: boolean mask of size n, true below ``length``; empty for n = 0."""
+    if n <= 0:
+        return F.when(length.isNotNull(), F.array().cast("array<boolean>"))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i < length)
 
 

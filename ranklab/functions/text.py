@@ -302,9 +302,9 @@ def readability(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def bigram_model(corpus: DataFrame, tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Bigram and history counts over a corpus (each text padded with <s>)."""
     seq = corpus.select(F.concat(F.array(F.lit("<s>")), F.col(tokens)).alias("t"))
-    bi = seq.select(F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("t") - 1),
-                                                lambda i: F.struct(F.element_at("t", i).alias("w1"),
-                                                                   F.element_at("t", i + 1).alias("w2")))).alias("b")) \
+    steps = F.when(F.size("t") > 1, F.sequence(F.lit(1), F.size("t") - 1))       # none for a text without tokens
+    bi = seq.select(F.explode_outer(F.transform(steps, lambda i: F.struct(F.element_at("t", i).alias("w1"),
+                                                                          F.element_at("t", i + 1).alias("w2")))).alias("b")) \
         .where(F.col("b").isNotNull()).select("b.w1", "b.w2")
     bic = bi.groupBy("w1", "w2").agg(F.count("*").alias("c12"))
     hist = bic.groupBy("w1").agg(F.sum("c12").alias("c1"))

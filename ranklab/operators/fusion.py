@@ -244,7 +244,27 @@ def fuse_random(run: DataFrame, nvariants: int, seed: int = 0, k: int = 60, dept
     return top_k(fused, ["qid"], _fused_order(), depth, "rank")
 
 
-def fuse_custom(lists: DataFrame, fn, schema: str) -> DataFrame:
-    """Custom fusion callable ``fn(pandas_df) -> pandas_df`` applied per
-    query with ``applyInPandas`` (the groups are the per-query lists)."""
-    return lists.groupBy("qid").applyInPandas(fn, schema)
+COMBINE = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}
+
+
+def fuse_custom(lists: DataFrame, contribution, stats: dict[str, Column] | None = None, combine: str = "sum",
+                list_keys: Sequence[str] = ("system", "qid"), keys: Sequence[str] = ("qid",)) -> DataFrame:
+    """A user's fusion as a mergeable aggregate over whole lists (did, score).
+    ``stats`` are aggregates of a list, joined to its rows; ``contribution`` is a
+    function from a pandas frame of rows (any batch of them: the list's columns and
+    stats) to one number a row; ``combine`` (sum, max, min, mean) merges a document's
+    contributions, with partial results per task. No query and no list is ever one
+    pandas group. Ranked by score (9 decimals) and document."""
+    list_keys, keys = list(list_keys), list(keys)
+    rows = lists
+    if stats:
+        rows = rows.join(lists.groupBy(*list_keys).agg(*[c.alias(n) for n, c in stats.items()]), list_keys)
+    names = [*keys, "did"]
+
+    def run(batches):
+        for b in batches:
+            yield b[names].assign(_c=contribution(b).astype("float64"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + ", _c double"
+    part = rows.mapInPandas(run, schema)
+    fused = part.groupBy(*names).agg(COMBINE[combine]("_c").alias("score"))
+    return rank_rows(fused, keys, [F.round("score", 9).desc(), F.col("did")], "rank")

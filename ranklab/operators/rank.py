@@ -180,10 +180,10 @@ def first(run: DataFrame, n: int, tie: str = "docno_desc", keys: Sequence[str] |
 def select_by_ranks(run: DataFrame, ranks: Sequence[int], zero_based: bool = False,
                     tie: str = "docno_desc", keys: Sequence[str] | None = None) -> DataFrame:
     """Keep the given rank positions, then renumber from 1. Positions
-    beyond a list's length are skipped."""
+    beyond a list's length are skipped; without positions nothing is kept."""
     keys = list(keys) if keys else _run_keys(run)
     wanted = sorted({int(r) + (1 if zero_based else 0) for r in ranks})
-    kmax = max(wanted)
+    kmax = max(wanted, default=1)
     kept = first(run, kmax, tie, keys).where(F.col("rank").isin(wanted))
     w = Window.partitionBy(*keys).orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(w))

@@ -177,16 +177,34 @@ def malformed_runs(spark, sf_dir):
     return S.find_malformed_runs(lines)
 
 
-@register("comment_lines", """
-SELECT conv_id, turn, trim(text) AS text FROM (
-  SELECT conv_id, turn, regexp_replace(replace(replace(text, chr(10), ' '), '#', ''), '\\s+', ' ', 'g') AS text FROM conversations) c
+@register("run_rejects", """
+WITH l AS (SELECT event_id, event_type, user_id || ' Q0 ' || event_id || ' ' || CASE WHEN event_type = 'error' THEN 'first' ELSE CAST(user_id AS VARCHAR) END
+                  || CASE WHEN event_type = 'view' THEN '' ELSE ' 2.5' END || ' ev  # note' AS line FROM events)
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'fields' WHEN event_type = 'error' THEN 'rank' END AS reject,
+       CASE WHEN event_type IN ('view', 'error') THEN line END AS line
+FROM l
+""")
+def run_rejects(spark, sf_dir):
+    """Commented run lines read in one scan, good rows and rejects (a view has
+    five fields, an error no rank)."""
+    ev = V.table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    rank = F.when(kind == "error", F.lit("first")).otherwise(F.col("user_id").cast("string"))
+    score = F.when(kind == "view", F.lit("")).otherwise(F.lit(" 2.5"))
+    lines = ev.select(F.concat_ws(" ", F.col("user_id").cast("string"), F.lit("Q0"), F.col("event_id").cast("string"), F.concat(rank, score), F.lit("ev  # note")).alias("value"))
+    out = S.parse_run(lines, comments=True, on_bad="keep")
+    doc = F.coalesce("did", F.split("line", " ")[2])
+    return out.select(doc.cast("long").alias("event_id"), "reject", "line")
+
+
+@register("comment_lines", r"""
+SELECT conv_id, turn, trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')) || ' # ' || role, '\s*#.*$', '')) AS text FROM conversations
 """)
 def comment_lines(spark, sf_dir):
     """S14: '#' comments stripped from lines (texts with a role comment)."""
     cv = V.table(spark, sf_dir, "conversations")
-    clean = F.regexp_replace(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit("")), r"\s+", " ")
-    lines = cv.select("conv_id", "turn", F.concat(clean, F.lit(" # "), F.col("role")).alias("value"))
-    return lines.select("conv_id", "turn", F.trim(S.strip_comments(F.col("value"))).alias("text"))
+    line = F.concat(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit(" # "), F.col("role"))
+    return cv.select("conv_id", "turn", F.trim(S.strip_comments(line)).alias("text"))
 
 
 @register("generation_output", """

@@ -198,7 +198,7 @@ def session_ids(spark, sf_dir):
 
 
 @register("append_missing_relevant", f"""
-WITH r AS (SELECT * FROM (SELECT qid, did, score, {_RANK} AS rank FROM run_a) t WHERE rank <= 50),
+WITH r AS (SELECT qid, did, score, {_RANK} AS rank FROM run_a),
      agg AS (SELECT qid, max(score) AS score, min(rank) AS rank FROM r GROUP BY qid),
      miss AS (SELECT q.qid, q.did, a.score, a.rank, q.rel FROM qrels q JOIN agg a ON a.qid = q.qid
               WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.qid = q.qid AND r.did = q.did))
@@ -206,9 +206,9 @@ SELECT r.qid, r.did, r.score, r.rank, coalesce(q.rel, 0) AS rel FROM r LEFT JOIN
 UNION ALL SELECT * FROM miss
 """, ("run_a", "qrels"))
 def append_missing_relevant(spark, sf_dir):
-    """Top 50 of run_a plus every judged document it missed (with the
-    query's max score and min rank)."""
-    run = RK.first(V.run(spark, sf_dir, "a"), 50)
+    """run_a plus every judged document it missed (with the query's max score
+    and min rank)."""
+    run = RK.rerank(V.run(spark, sf_dir, "a"))
     out = S.append_missing_relevant(run, V.qrels(spark, sf_dir))
     return out.withColumn("rel", F.coalesce("rel", F.lit(0)))
 

@@ -69,8 +69,7 @@ def custom_metric(spark, sf_dir):
 
 
 @register("custom_fusion", """
-WITH t AS (SELECT * FROM (SELECT system, qid, did, score, row_number() OVER (PARTITION BY system, qid
-                          ORDER BY score DESC, CAST(did AS VARCHAR) DESC) AS r FROM runs) x WHERE r <= 100),
+WITH t AS (SELECT system, qid, did, score FROM runs),
      mm AS (SELECT system, qid, min(score) AS lo, max(score) AS hi FROM t GROUP BY system, qid),
      n AS (SELECT t.qid, t.did, (t.score - mm.lo) / CASE WHEN mm.hi > mm.lo THEN mm.hi - mm.lo ELSE 1.0 END AS n
            FROM t JOIN mm USING (system, qid)),
@@ -79,21 +78,14 @@ SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DE
 FROM s
 """, ("runs",))
 def custom_fusion(spark, sf_dir):
-    """A user fusion (CombSUM of min-max normalised scores, in pandas)
-    per query via applyInPandas on the top 100 of each system."""
+    """A user fusion, CombSUM of min-max normalised scores over the whole lists;
+    the contribution of a row is a pandas function."""
     from ..operators.fusion import fuse_custom
-    from ..operators.rank import first
-    lists = first(V.runs(spark, sf_dir), 100).select("system", "qid", "did", "score")
-
-    def combsum(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf["score"].astype(float)
-        lo = pdf.groupby("system")["score"].transform("min")
-        hi = pdf.groupby("system")["score"].transform("max")
-        pdf = pdf.assign(n=(s - lo) / (hi - lo).where(hi > lo, 1.0))
-        out = pdf.groupby(["qid", "did"], as_index=False)["n"].sum().rename(columns={"n": "score"})
-        out = out.assign(_k=out["score"].round(9)).sort_values(["_k", "did"], ascending=[False, True])
-        out["rank"] = range(1, len(out) + 1)
-        return out[["qid", "did", "rank", "score"]]
-
-    out = fuse_custom(lists, combsum, "qid long, did long, rank long, score double")
-    return out.select("qid", "did", "rank", r6("score").alias("score"))
+
+    def normal(rows: pd.DataFrame) -> pd.Series:
+        width = rows["hi"] - rows["lo"]
+        return (rows["score"] - rows["lo"]) / width.where(width > 0, 1.0)
+
+    lists = V.runs(spark, sf_dir).select("system", "qid", "did", F.col("score").cast("double").alias("score"))
+    out = fuse_custom(lists, normal, {"lo": F.min("score"), "hi": F.max("score")})
+    return out.select("qid", "did", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))

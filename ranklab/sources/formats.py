@@ -41,43 +41,79 @@ def _fields(df: DataFrame, comments: bool = False) -> DataFrame:
     return df.withColumn("_f", F.split(F.trim(v), WS)).where(F.trim(v) != "")
 
 
-def parse_run(lines: DataFrame, system: str | None = None, comments: bool = False) -> DataFrame:
+def _judged(parsed: DataFrame, reason, on_bad: str) -> DataFrame:
+    """What to do with lines that have a ``reason`` to be rejected: ``drop`` them,
+    ``raise`` on the first one, or ``keep`` them, with the columns reject (the reason,
+    null for good lines) and line. One scan either way."""
+    if on_bad == "keep":
+        return parsed.withColumn("reject", reason).withColumn("line", F.when(F.col("reject").isNotNull(), F.col("value")))
+    if on_bad == "raise":
+        said = F.concat(F.lit("bad line ("), reason, F.lit("): "), F.col("value"))
+        return parsed.where(F.when(reason.isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True))
+    if on_bad != "drop":
+        raise ValueError(f"on_bad: drop, raise or keep, not {on_bad}")
+    return parsed.where(reason.isNull())
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    """The rejected lines of a reader with ``on_bad="keep"``: (path,) reject, line."""
+    return parsed.where(F.col("reject").isNotNull()).select(*[c for c in ("path", "file", "reject", "line") if c in parsed.columns])
+
+
+def _run_fields(lines: DataFrame, comments: bool):
+    """Fields of run lines, with rank, score and the reason against a line."""
+    f = _fields(lines, comments)
+    n = F.size("_f")
+    rank = F.when(n == 6, F.get("_f", F.lit(3))).when(n == 3, F.get("_f", F.lit(2))).try_cast("int")
+    score = F.when(n == 6, F.get("_f", F.lit(4)).try_cast("double")).when(n == 3, F.try_divide(F.lit(1.0), rank))
+    reason = (F.when(~n.isin(3, 6), "fields").when(rank.isNull(), "rank")
+              .when((n == 6) & score.isNull(), "score"))
+    return f, n, rank, score, reason
+
+
+def parse_run(lines: DataFrame, system: str | None = None, comments: bool = False, on_bad: str = "drop") -> DataFrame:
     """6 fields ``vid Q0 did rank score tag`` or 3 fields ``vid did rank``
     (score = 1/rank; rank 0 has none). qid = vid before the first '-'. A
     document repeated in one list of one file keeps its last occurrence.
     ``comments`` drops text from '#' on; off by default, since ids may hold it.
-    Lines of other arity are listed by :func:`bad_run_lines`."""
-    f = _fields(lines, comments)
-    n = F.size("_f")
-    six, three = n == 6, n == 3
-    rank = F.when(six, F.element_at("_f", 4)).when(three, F.element_at("_f", 3)).try_cast("int")
-    score = F.when(six, F.element_at("_f", 5).try_cast("double")).when(three, F.try_divide(F.lit(1.0), rank))
-    out = f.where(six | three).select(
-        F.element_at("_f", 1).alias("vid"),
-        F.when(six, F.element_at("_f", 3)).otherwise(F.element_at("_f", 2)).alias("did"),
-        rank.alias("rank"), score.alias("score"),
-        F.when(six, F.element_at("_f", 6)).alias("tag"),
-        *[F.col(c) for c in ("path", "ord") if c in lines.columns])
+    Lines of other arity or with a rank or score that is no number: ``on_bad``
+    (see :func:`_judged`)."""
+    f, n, rank, score, reason = _run_fields(lines, comments)
+    f = _judged(f, reason, on_bad)
+    kept = ["reject", "line"] if on_bad == "keep" else []
+    good = F.col("reject").isNull() if kept else F.lit(True)
+    six = n == 6
+    out = f.select(
+        F.when(good, F.get("_f", F.lit(0))).alias("vid"),
+        F.when(good, F.when(six, F.get("_f", F.lit(2))).otherwise(F.get("_f", F.lit(1)))).alias("did"),
+        F.when(good, rank).alias("rank"), F.when(good, score).alias("score"),
+        F.when(good & six, F.get("_f", F.lit(5))).alias("tag"),
+        *[F.col(c) for c in ("path", "file", "ord") if c in lines.columns], *kept)
     out = out.withColumn("qid", F.split("vid", "-").getItem(0))
     if system is not None:
         out = out.withColumn("system", F.lit(system))
     if "ord" in out.columns:
-        w = Window.partitionBy(*[c for c in ("path", "vid", "did") if c in out.columns]).orderBy(F.col("ord").desc())
+        # A rejected line is a group of its own.
+        alone = [F.when(F.col("reject").isNotNull(), F.col("ord"))] if kept else []
+        w = Window.partitionBy(*[F.col(c) for c in ("path", "vid", "did") if c in out.columns], *alone).orderBy(F.col("ord").desc())
         out = out.withColumn("_last", F.row_number().over(w)).where(F.col("_last") == 1).drop("_last")
     return out
 
 
-def read_run(spark: SparkSession, paths, system: str | None = None) -> DataFrame:
-    """One system from one or several files; a list may span files."""
-    return parse_run(read_lines(spark, paths).drop("path"), system)
+def read_run(spark: SparkSession, paths, system: str | None = None, comments: bool = False, on_bad: str = "drop") -> DataFrame:
+    """One system from one or several files; a list may span files. With
+    ``on_bad="keep"`` the rejected lines come along, see :func:`rejects`."""
+    lines = read_lines(spark, paths)
+    return parse_run(lines.withColumnRenamed("path", "file") if on_bad == "keep" else lines.drop("path"), system, comments, on_bad)
 
 
-def read_runs(spark: SparkSession, paths: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+def read_runs(spark: SparkSession, paths: Sequence[str], names: Sequence[str] | None = None,
+              comments: bool = False, on_bad: str = "drop") -> DataFrame:
     """Several systems, one a file: ``system`` is the given name, else the
     file's stem; lists of different files never mix."""
     if names is not None and len(names) != len(paths):
         raise ValueError("one name per file")
-    run = parse_run(read_lines(spark, paths))
+    run = parse_run(read_lines(spark, paths), None, comments, on_bad)
     stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
     if names is not None:
         by = {p.rsplit("/", 1)[-1]: n for p, n in zip(paths, names, strict=True)}
@@ -85,46 +121,71 @@ def read_runs(spark: SparkSession, paths: Sequence[str], names: Sequence[str] |
             raise ValueError("names need files of different base names")
         base = F.substring_index("path", "/", -1)
         stem = F.coalesce(*[F.when(base == b, F.lit(n)) for b, n in by.items()])
-    return run.withColumn("system", stem).drop("path")
+    run = run.withColumn("system", stem)
+    return run if on_bad == "keep" else run.drop("path")
 
 
-def bad_run_lines(lines: DataFrame) -> DataFrame:
+def bad_run_lines(lines: DataFrame, comments: bool = False) -> DataFrame:
     """Lines of a run that have neither 6 nor 3 fields, or a rank or score that
-    is no number: what the reader leaves out."""
-    f = lines.withColumn("_f", F.split(F.trim("value"), WS)).where(F.trim("value") != "")
-    n = F.size("_f")
-    rank = F.when(n == 6, F.get("_f", F.lit(3))).when(n == 3, F.get("_f", F.lit(2))).try_cast("int")
-    score = F.when(n == 6, F.get("_f", F.lit(4)).try_cast("double")).when(n == 3, F.lit(0.0))
-    return f.where(~n.isin(3, 6) | rank.isNull() | score.isNull()).drop("_f")
+    is no number, with the reason: what the reader leaves out."""
+    f, _, _, _, reason = _run_fields(lines, comments)
+    return f.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_f")
 
 
-def parse_qrels(lines: DataFrame, default_rel: int = 1, comments: bool = False) -> DataFrame:
+def parse_qrels(lines: DataFrame, default_rel: int = 1, comments: bool = False, on_bad: str = "drop") -> DataFrame:
     """``qid 0 did rel`` (4 fields), ``qid did rel`` (3) or ``qid did``
-    (2, rel = default). The last duplicate of a pair wins."""
+    (2, rel = default). The last duplicate of a pair wins. Lines of other arity
+    or with a grade that is no number: ``on_bad`` (see :func:`_judged`)."""
     f = _fields(lines, comments)
     n = F.size("_f")
-    out = f.where(n.isin(2, 3, 4)).select(
-        F.element_at("_f", 1).alias("qid"),
-        F.when(n == 4, F.element_at("_f", 3)).otherwise(F.element_at("_f", 2)).alias("did"),
-        F.when(n == 4, F.element_at("_f", 4)).when(n == 3, F.element_at("_f", 3))
-        .otherwise(F.lit(str(default_rel))).try_cast("int").alias("rel"),
-        *([F.col("ord")] if "ord" in lines.columns else []))
-    if "ord" in out.columns:
-        out = out.groupBy("qid", "did").agg(F.max_by("rel", "ord").alias("rel"))
-    return out
-
-
-def read_qrels(spark: SparkSession, paths, default_rel: int = 1) -> DataFrame:
-    return parse_qrels(read_lines(spark, paths), default_rel)
-
-
-def parse_eval(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S3: ``metric qid value``; returns (per-query rows, ``all`` rows)."""
-    f = _fields(lines, comments=False).where(F.size("_f") == 3)
+    rel = F.when(n == 4, F.get("_f", F.lit(3))).when(n == 3, F.get("_f", F.lit(2))).otherwise(F.lit(str(default_rel))).try_cast("int")
+    reason = F.when(~n.isin(2, 3, 4), "fields").when(rel.isNull(), "rel")
+    f = _judged(f, reason, on_bad)
+    kept = ["reject", "line"] if on_bad == "keep" else []
+    out = f.select(
+        F.get("_f", F.lit(0)).alias("qid"), F.when(n == 4, F.get("_f", F.lit(2))).otherwise(F.get("_f", F.lit(1))).alias("did"), rel.alias("rel"),
+        *[F.col(c) for c in ("path", "ord") if c in lines.columns], *kept)
+    if "ord" not in out.columns:
+        return out
+    good = out.where(F.col("reject").isNull()) if kept else out
+    good = good.groupBy("qid", "did").agg(F.max_by("rel", "ord").alias("rel"))
+    if not kept:
+        return good
+    return good.unionByName(out.where(F.col("reject").isNotNull()).drop("ord", "qid", "did", "rel"), allowMissingColumns=True)
+
+
+def read_qrels(spark: SparkSession, paths, default_rel: int = 1, comments: bool = False, on_bad: str = "drop") -> DataFrame:
+    return parse_qrels(read_lines(spark, paths), default_rel, comments, on_bad)
+
+
+def parse_eval(lines: DataFrame, on_bad: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """S3: ``metric qid value``; returns (per-query rows, ``all`` rows). Lines of
+    other arity or with a value that is no number: ``on_bad``; kept ones are among
+    the per-query rows."""
+    f = _fields(lines, comments=False)
+    value = F.get("_f", F.lit(2)).try_cast("double")
+    f = _judged(f, F.when(F.size("_f") != 3, "fields").when(value.isNull(), "value"), on_bad)
+    kept = [F.col(c) for c in ("reject", "line")] if on_bad == "keep" else []
     e = f.select(*([F.col("path")] if "path" in lines.columns else []),
-                 F.element_at("_f", 1).alias("metric"), F.element_at("_f", 2).alias("qid"),
-                 F.element_at("_f", 3).try_cast("double").alias("value"))
-    return e.where(F.col("qid") != "all"), e.where(F.col("qid") == "all")
+                 F.get("_f", F.lit(0)).alias("metric"), F.get("_f", F.lit(1)).alias("qid"), value.alias("value"), *kept)
+    total = (F.col("qid") == "all") & (F.col("reject").isNull() if kept else F.lit(True))
+    total = F.coalesce(total, F.lit(False))
+    return e.where(~total), e.where(total)
+
+
+def unequal_queries(evals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """S3: (by..., metric, qid) of the queries that a metric lacks though another
+    metric (of the same ``by``, e.g. system) has them; empty when all metrics have the
+    same queries."""
+    by = list(by)
+    have = evals.select(*by, "metric", "qid").distinct()
+    n = have.groupBy(*by).agg(F.count_distinct("metric").alias("_n")) if by else have.agg(F.count_distinct("metric").alias("_n"))
+    per = have.groupBy(*by, "qid").agg(F.collect_set("metric").alias("_m"))           # metrics: few
+    some = per.join(n, by) if by else per.crossJoin(F.broadcast(n))                   # one row
+    some = some.where(F.size("_m") < F.col("_n")).select(*by, "qid", "_m")
+    names = have.groupBy(*by).agg(F.collect_set("metric").alias("_all")) if by else have.agg(F.collect_set("metric").alias("_all"))
+    lack = some.join(names, by) if by else some.crossJoin(F.broadcast(names))
+    return lack.select(*by, F.explode(F.array_except("_all", "_m")).alias("metric"), "qid")
 
 
 _RBP_RE = r"p=\s*([0-9.]+)\s+q=\s*(\S+)\s+d=\s*(\d+)\s+rbp=\s*([0-9.]+)\s+\+([0-9.]+)"

@@ -17,7 +17,7 @@ def test_read_run_six_and_three_columns(spark):
     d = tempfile.mkdtemp(prefix="rl-src-", dir="/tmp")
     p6 = _write(d, "a.run", "1 Q0 d1 1 9.5 x\n1 Q0 d2 2 8.0 x\n1-2 Q0 d1 1 3.0 x\n1 Q0 d1 3 7.0 x  # repeat\nbad line\n")
     p3 = _write(d, "b.run", "7\td9\t2\n")
-    r6 = {(r.vid, r.did): (r["rank"], r.score, r.qid) for r in S.read_run(spark, p6).collect()}
+    r6 = {(r.vid, r.did): (r["rank"], r.score, r.qid) for r in S.read_run(spark, p6, comments=True).collect()}
     assert r6[("1", "d1")] == (3, 7.0, "1")          # last occurrence wins
     assert r6[("1-2", "d1")] == (1, 3.0, "1")        # variant → query id
     r3 = S.read_run(spark, p3).collect()[0]
