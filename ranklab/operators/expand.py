@@ -1,19 +1,19 @@
 """Relevance models, query expansion and batch retrieval.
 
-Retrieval plan (R6), per query batch:
-
-    corpus ─explode tokens─► postings (did, term, tf)   [partial agg]
-    queries ─explode─► (qid, term, qtf)                 [small side]
-    postings ⋈ query terms on term                       [broadcast when the
-                                                          query side's size is
-                                                          checked small; else
-                                                          shuffle + AQE skew
-                                                          split of hot terms]
-      → groupBy(qid, did) sum(score)                    [partial agg]
-      → row_number() <= k per qid                        [WindowGroupLimit]
-
-Collection statistics (df, N, avg length) are aggregates joined back; only
-the terms of the queries are needed, so df is computed for those terms.
+An index is built from one scan of the corpus: postings (term, did, tf, dl), a table
+of terms (df, ctf, and per class of document lengths the greatest tf and the least
+length, from which score bounds follow for any model), and the collection's counts.
+
+Retrieval (R6) keeps only the postings of query terms (the query side is broadcast
+behind a size check) and scores them in three steps:
+
+1. A query's terms are put in order of their score bounds. The documents of its best
+   terms are scored on these; the k-th best such score is a score that k documents
+   reach.
+2. The last terms, whose bounds together don't reach that score, can't bring a new
+   document in. Documents of all other terms are summed on these; those that reach the
+   k-th best sum only with more than the last terms' bounds are out.
+3. The documents left get the last terms' scores: they alone are scored in full.
 """
 
 from __future__ import annotations
@@ -25,37 +25,36 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_punctuation, tokenize
 from ..session import broadcast_if_small
-from .rank import top_k
+from .rank import rank_rows, top_k
 
 
 def postings(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """(did, term, tf, dl) from raw text in ONE tokenisation pass: each
-    posting carries its document's length, so no lengths table is joined."""
+    """(did, term, tf, dl, first) from raw text in ONE tokenisation pass: each
+    posting carries its document's length, so no lengths table is joined. One
+    row of a document is its first; a document without tokens has that row
+    only, with a null term."""
     toks = corpus.select("did", tokenize(F.col(text)).alias("t"))
-    # explode_outer: a plain explode lets Catalyst infer size(tokens) > 0 and
+    # posexplode_outer: a plain explode lets Catalyst infer size(tokens) > 0 and
     # push that regex below the repartition into the scan
-    ex = toks.select("did", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where(F.col("term").isNotNull())
-    return ex.groupBy("did", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
-def build_index(corpus: DataFrame, text: str = "text", materialize: bool = True) -> dict[str, DataFrame]:
-    """Postings and collection statistics: N counts every document (also
-    those without tokens), C = total tokens (Σ tf over the postings).
-
-    The postings are read by several branches of a retrieval plan (hits,
-    term statistics, collection size, relevance models), each with its own
-    pruned columns, so Spark would re-tokenise the corpus per branch. Like
-    any inverted index they are built once: written as a Parquet table in
-    the shared checkpoint folder (lineage cut, survives executor loss) and
-    read by every branch."""
-    post = postings(corpus, text)
-    if materialize:
-        from ..session import materialize as write_once
-        post = write_once(post, "postings")
-    n = corpus.agg(F.count("*").alias("N"))
-    c = post.agg(F.sum("tf").alias("C"))
-    coll = n.crossJoin(c).select("N", "C", (F.col("C") / F.col("N")).alias("avgdl"))
-    return {"post": post, "coll": coll}
+    ex = toks.select("did", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term"))
+    return ex.groupBy("did", "term").agg(F.count("term").alias("tf"), F.first("dl").alias("dl"),
+                                         F.coalesce(F.min("pos") == 0, F.lit(True)).alias("first"))
+
+
+def build_index(corpus: DataFrame, text: str = "text") -> dict:
+    """``post``, the postings; ``terms`` (term, df, ctf, blocks), blocks being (tf, dl),
+    the greatest tf and least length per class of lengths; ``N`` documents (also
+    those without tokens) and ``C`` tokens. Like any inverted index it is written
+    once, as tables in the shared checkpoint folder, and read by every query."""
+    from ..session import materialize as write_once
+    rows = write_once(postings(corpus, text), "postings")
+    post = rows.where(F.col("term").isNotNull()).select("did", "term", "tf", "dl")
+    block = post.groupBy("term", F.floor(F.log2("dl")).alias("_b")).agg(
+        F.count("*").alias("n"), F.sum("tf").alias("c"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    terms = block.groupBy("term").agg(F.sum("n").alias("df"), F.sum("c").alias("ctf"),
+                                      F.collect_list(F.struct("tf", "dl")).alias("blocks"))       # one a power of two
+    whole = rows.agg(F.count_if("first").alias("N"), F.coalesce(F.sum("tf"), F.lit(0)).alias("C"), F.min("dl").alias("least")).first()
+    return {"post": post, "terms": write_once(terms, "terms"), "N": whole["N"], "C": whole["C"], "least": whole["least"] or 0}
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -66,38 +65,76 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+SEEDS = 4            # documents per wanted result that the best terms hold together
+
+
+def _term_score(model: str, ix: dict, k1: float, b: float, mu: float):
+    """Score of a term (columns qtf, df, ctf) in a document, given tf and dl; and a
+    document's own part, given its length and the query's (null where it has none)."""
+    if model == "bm25":
+        idf = F.log(1 + (ix["N"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        avgdl = ix["C"] / max(ix["N"], 1)
+        return (lambda tf, dl: F.col("qtf") * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / (avgdl or 1.0)))), (lambda dl, ql: F.lit(0.0))
+    if model == "ql":
+        share = mu * F.col("ctf") / float(max(ix["C"], 1))
+        return (lambda tf, dl: F.col("qtf") * F.log(1 + tf / share)), (lambda dl, ql: ql * F.log(mu / (dl + mu)))
+    raise ValueError(model)
+
+
 def retrieve(queries: DataFrame, corpus: DataFrame, model: str = "bm25", k: int = 100,
              k1: float = 0.9, b: float = 0.4, mu: float = 1000.0,
-             working_set: DataFrame | None = None, index: dict[str, DataFrame] | None = None) -> DataFrame:
+             working_set: DataFrame | None = None, index: dict | None = None, trace: dict | None = None) -> DataFrame:
     """Batch top-k retrieval. ``bm25`` (Robertson idf ln(1 + (N − df +
     0.5)/(df + 0.5))) or ``ql`` (Dirichlet-smoothed query likelihood, rank
     equivalent form Σ qtf·ln(1 + tf/(μ·P(t|C))) + |q|·ln(μ/(dl + μ))).
-    ``working_set`` (qid, did) restricts the candidates (R7)."""
+    ``working_set`` (qid, did) restricts the candidates (R7). ``trace`` gets the
+    frames of matching and of fully scored pairs (qid, did)."""
+    from ..session import materialize as write_once
     ix = index or build_index(corpus)
-    post, coll = ix["post"], ix["coll"]
-    qt = query_terms(queries)
-    qterms = broadcast_if_small(qt)
-    hits = post.join(qterms, "term")  # only postings of query terms survive
+    score, own = _term_score(model, ix, k1, b, mu)
+    qt = query_terms(queries).join(ix["terms"], "term")
+    # Bounds of a query's terms, best first; what this term and those after it reach.
+    best = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "term")
+    rest = best.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    bound = F.array_max(F.transform("blocks", lambda x: score(x["tf"], x["dl"])))
+    all_ = query_terms(queries).groupBy("qid").agg(F.sum("qtf").alias("ql"))       # terms the corpus lacks count, too
+    qt = qt.select("qid", "term", "qtf", "df", "ctf", bound.alias("bound")).join(all_, "qid")
+    qt = qt.select("*", F.row_number().over(best).alias("pos"), F.sum("bound").over(rest).alias("reach"),
+                   (F.sum("df").over(best) - F.col("df")).alias("before"))
+    qt = write_once(qt, "query-terms")
+    hits = ix["post"].join(broadcast_if_small(qt.select("qid", "term", "qtf", "df", "ctf", "ql", "pos", "before")), "term")
     if working_set is not None:
         hits = hits.join(working_set.select("qid", "did").distinct(), ["qid", "did"], "left_semi")
-    used = qt.select("term").distinct()
-    tstats = post.join(broadcast_if_small(used), "term", "left_semi").groupBy("term") \
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    h = hits.join(tstats, "term").crossJoin(F.broadcast(coll))
-    if model == "bm25":
-        idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-        term_score = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / norm
-        scored = h.groupBy("qid", "did").agg(F.sum(term_score).alias("score"))
-    elif model == "ql":
-        pc = F.col("ctf") / F.col("C")
-        term_score = F.col("qtf") * F.log(1 + F.col("tf") / (mu * pc))
-        per = h.groupBy("qid", "did").agg(F.sum(term_score).alias("_s"), F.first("dl").alias("dl"))
-        qlen = qt.groupBy("qid").agg(F.sum("qtf").alias("_ql"))
-        scored = per.join(qlen, "qid").select("qid", "did", (F.col("_s") + F.col("_ql") *
-                                                             F.log(mu / (F.col("dl") + mu))).alias("score"))
-    else:
-        raise ValueError(model)
+    hits = write_once(hits.select("qid", "did", "pos", (F.col("before") < SEEDS * k).alias("seed"), score(F.col("tf"), F.col("dl")).alias("c"),
+                                  own(F.col("dl"), F.col("ql")).alias("own")), "hits")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("qid", "did").agg(F.sum("c").alias("c"), F.first("own").alias("own"))
+
+    def reached(sums: DataFrame, name: str) -> DataFrame:
+        """The k-th best score, a little less for rounding; none for queries with fewer documents."""
+        top = top_k(sums.select("qid", "did", (F.col("c") + F.col("own")).alias("s")), ["qid"], [F.col("s").desc(), F.col("did")], k, "r")
+        least = F.col("s") - F.abs("s") * 1e-9 - 1e-9
+        return top.where(F.col("r") == k).select("qid", least.alias(name))
+
+    first = reached(summed(hits.where("seed")), "least")
+    free = own(F.lit(ix["least"]), F.col("ql")) if model == "ql" else F.lit(0.0)
+    last = qt.join(first, "qid").where(F.col("reach") + free < F.col("least"))
+    last = last.groupBy("qid").agg(F.min("pos").alias("cut"), F.max("reach").alias("reach"))
+    last = write_once(last, "last-terms")
+    marked = hits.join(broadcast_if_small(last), "qid", "left").withColumn("late", F.coalesce(F.col("pos") >= F.col("cut"), F.lit(False)))
+    sums = marked.where("NOT late").groupBy("qid", "did").agg(
+        F.sum("c").alias("c"), F.first("own").alias("own"), F.coalesce(F.first("reach"), F.lit(0.0)).alias("reach"))
+    sums = write_once(sums, "sums")
+    second = reached(sums, "least")
+    left = sums.join(broadcast_if_small(second), "qid", "left")
+    left = left.where(F.col("least").isNull() | (F.col("c") + F.col("own") + F.col("reach") >= F.col("least")))
+    left = write_once(left.select("qid", "did", "c", "own"), "left")
+    late = marked.where("late").join(broadcast_if_small(left.select("qid", "did")), ["qid", "did"], "left_semi")
+    full = left.unionByName(late.select("qid", "did", "c", "own"))
+    if trace is not None:
+        trace |= {"matching": hits.select("qid", "did").distinct(), "scored": left.select("qid", "did")}
+    scored = summed(full).select("qid", "did", (F.col("c") + F.col("own")).alias("score"))
     return top_k(scored, ["qid"], [F.round("score", 9).desc(), F.col("did")], k, "rank") \
         .select("qid", "did", "rank", "score")
 
@@ -108,7 +145,7 @@ def working_set(run: DataFrame) -> DataFrame:
 
 
 def relevance_model(run: DataFrame, corpus: DataFrame, ndocs: int = 10, stopwords: DataFrame | None = None,
-                    text: str = "text", index: dict[str, DataFrame] | None = None) -> DataFrame:
+                    text: str = "text", index: dict | None = None) -> DataFrame:
     """RM1 from the top ``ndocs`` documents of each query: document weights
     softmax(score) (computed as exp(s − max s)), P(t) = Σ_d w_d·tf/len, then
     stop words removed and the distribution renormalised. (qid, term, p)."""
@@ -119,11 +156,11 @@ def relevance_model(run: DataFrame, corpus: DataFrame, ndocs: int = 10, stopword
     if index is not None:
         post = index["post"]
     else:
-        post = postings(corpus.join(w.select("did").distinct(), "did", "left_semi"), text)
+        post = postings(corpus.join(w.select("did").distinct(), "did", "left_semi"), text).where(F.col("term").isNotNull())
     j = w.join(post, "did")
     rm = j.groupBy("qid", "term").agg(F.sum(F.col("w") * F.col("tf") / F.col("dl")).alias("p"))
     if stopwords is not None:
-        rm = rm.join(F.broadcast(stopwords.select("term")), "term", "left_anti")
+        rm = rm.join(broadcast_if_small(stopwords.select("term")), "term", "left_anti")
     return rm.withColumn("p", F.col("p") / F.sum("p").over(wq))
 
 
@@ -134,8 +171,8 @@ def rm_top_terms(rm: DataFrame, nterms: int | DataFrame, whitelist: DataFrame |
         rm = rm.join(broadcast_if_small(whitelist.select("term")), "term", "left_semi")
     if isinstance(nterms, int):
         return top_k(rm, ["qid"], [F.col("p").desc(), F.col("term")], nterms, "rank")
-    w = Window.partitionBy("qid").orderBy(F.col("p").desc(), F.col("term"))
-    return rm.withColumn("rank", F.row_number().over(w)).join(nterms, "qid").where(F.col("rank") <= F.col("n")).drop("n")
+    ranked = rank_rows(rm, ["qid"], [F.col("p").desc(), F.col("term")], "rank")
+    return ranked.join(nterms, "qid").where(F.col("rank") <= F.col("n")).drop("n")
 
 
 def rm_to_weighted_query(rm: DataFrame) -> DataFrame:
