@@ -10,6 +10,7 @@ aggregations and picking the best is one more.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -174,36 +175,69 @@ def fuse_variants(run: DataFrame, scores: DataFrame, weighted: bool = False,
         _unchanged(run, variants.where("_nv = 1")).select("qid", "did", "rank", "score"))
 
 
-def _best_candidate(cands: DataFrame, cut: DataFrame, qrels: DataFrame, metric: str, size: Column,
+def _need(metric: str, depth: int) -> int:
+    """Rows of a list that a measure looks at: its cut, where its name has one."""
+    cut = re.search(r"(?:_cut_|^P_|@)(\d+)$", metric)
+    return min(depth, int(cut.group(1))) if cut else depth
+
+
+def _mask(n: int | Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n if isinstance(n, Column) else F.lit(n))
+
+
+def _best_candidate(ranked: DataFrame, masks: DataFrame, cut: DataFrame, qrels: DataFrame, metric: str, size: Column,
                     k: int, depth: int) -> DataFrame:
-    """Fuse every candidate (qid, cand, vid), score it with ``metric`` (0 for a
-    query without judgments), keep the best of each query."""
-    lists = _fused_cut(cut.join(cands, ["qid", "vid"]), ["qid", "cand"], F.lit(1.0), k, depth)
-    scored = M.evaluate_wide(lists.select("qid", "cand", "did", F.round("score", 12).alias("score")),
+    """The best fused list of each query. ``ranked`` (qid, vid, _vpos): its variants in
+    order; ``masks`` (qid, masks): its candidates as (cand, mask) of positions.
+
+    One row per query and document holds the contributions of all variants; a
+    candidate's score is the sum over its mask. Candidates are scored in that row and
+    only as many rows per candidate as the measure looks at leave a task; the list
+    itself is made for the chosen candidate alone. A query without judgments scores
+    0 for all, so the smallest wins."""
+    part = F.struct((F.col("_vpos") - 1).cast("int").alias("at"), (F.lit(1.0) / (k + F.col("_r"))).alias("c"))
+    docs = cut.join(ranked.select("qid", "vid", "_vpos"), ["qid", "vid"]).groupBy("qid", "did").agg(F.collect_list(part).alias("parts"))
+    docs = materialize(docs, "contributions")
+
+    def summed(mask: Column) -> Column:
+        own = F.filter("parts", lambda p: F.call_function("getbit", mask, p["at"]) == 1)
+        return F.aggregate(F.array_sort(own), F.lit(0.0), lambda s, p: s + p["c"])
+
+    each = docs.join(masks, "qid").select("qid", "did", "parts", F.explode("masks").alias("m"))
+    each = each.select("qid", F.col("m.cand").alias("cand"), "did", summed(F.col("m.mask")).alias("score")).where("score > 0")
+    few = top_k(each, ["qid", "cand"], _fused_order(), _need(metric, depth), "rank")
+    scored = M.evaluate_wide(few.select("qid", "cand", "did", F.round("score", 12).alias("score")),
                              qrels, [metric], tie="did", keys=["qid", "cand"])
     value = F.coalesce(F.col(f"`{metric}`"), F.lit(0.0))
-    all_ = cands.select("qid", "cand").distinct().join(scored, ["qid", "cand"], "left").withColumn("value", value)
+    all_ = masks.select("qid", F.explode("masks").alias("m")).select("qid", "m.*")
+    all_ = all_.join(scored, ["qid", "cand"], "left").withColumn("value", value)
     best = top_k(all_.withColumn("_size", size), ["qid"], [F.round("value", 9).desc(), F.col("_size"), F.col("cand")], 1, "_b")
-    return lists.join(best.select("qid", "cand", "value"), ["qid", "cand"]).select("qid", "did", "rank", "score", "cand", "value")
+    best = materialize(best.select("qid", "cand", "mask", "value"), "chosen")
+    lists = docs.join(broadcast_if_small(best), "qid").select("qid", "did", summed(F.col("mask")).alias("score"), "cand", "value").where("score > 0")
+    return top_k(lists, ["qid"], _fused_order(), depth, "rank").select("qid", "did", "rank", "score", "cand", "value")
 
 
 def fuse_greedy(run: DataFrame, scores: DataFrame, qrels: DataFrame, cutoff: int | None = None,
                 metric: str = "ndcg_cut_10", k: int = 60, depth: int = 1000) -> DataFrame:
     """fuse the best 1..cutoff variants (by predicted score); keep the
     prefix whose fused list scores best, the shortest on ties. A query with
-    one variant keeps its whole list (cand 1, no value)."""
+    one variant keeps its whole list (cand 1, no value); 62 variants at most."""
     cut = _cut_lists(run, depth)
-    variants = _with_scores(cut, scores)
+    variants = materialize(_with_scores(cut, scores), "variants")
     pos = F.row_number().over(Window.partitionBy("qid").orderBy(*_best_first()))
     ranked = variants.where("_nv > 1").withColumn("_vpos", pos)
-    last = F.col("_nv") if cutoff is None else F.least(F.col("_nv"), F.lit(cutoff))
-    cands = ranked.withColumn("_n", last).where("_vpos <= _n").select(
-        "qid", F.explode(F.sequence(F.col("_vpos").cast("long"), F.col("_n").cast("long"))).alias("cand"), "vid")
-    best = _best_candidate(cands, cut, qrels, metric, F.col("cand"), k, depth)
+    n = ranked.groupBy("qid").agg(F.max("_vpos").alias("_n"))
+    last = _few(F.col("_n")) if cutoff is None else F.least(F.col("_n"), F.lit(cutoff))
+    cands = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.cast("long").alias("cand"), (_mask(i) - 1).alias("mask")))
+    best = _best_candidate(ranked, n.select("qid", cands.alias("masks")), cut, qrels, metric, F.col("cand"), k, depth)
     own = _unchanged(run, variants.where("_nv = 1"))
     return best.unionByName(own.select("qid", "did", "rank", "score", F.lit(1).cast("long").alias("cand"), F.lit(None).cast("double").alias("value")))
 
 
+def _few(n: Column) -> Column:
+    return F.when(n <= 62, n).otherwise(F.raise_error(F.lit("more than 62 variants of a query")).cast("int"))
+
+
 def fuse_optimal(run: DataFrame, scores: DataFrame, qrels: DataFrame, cutoff: int | None = None,
                  metric: str = "ndcg_cut_10", ignore_zero: bool = False, k: int = 60,
                  depth: int = 1000, return_vids: bool = False) -> DataFrame:
@@ -221,11 +255,10 @@ def fuse_optimal(run: DataFrame, scores: DataFrame, qrels: DataFrame, cutoff: in
     ranked = present.withColumn("_vpos", pos)
     if cutoff is not None:
         ranked = ranked.where(F.col("_vpos") <= cutoff)
+    ranked = materialize(ranked, "variants")
     n = ranked.groupBy("qid").agg(F.max("_vpos").alias("_n"))
-    top = F.when(F.col("_n") <= 62, F.expr("shiftleft(1L, _n) - 1")).otherwise(F.raise_error(F.lit("more than 62 variants of a query")).cast("long"))
-    masks = n.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("cand"))
-    cands = ranked.join(masks, "qid").where(F.expr("(shiftright(cand, _vpos - 1) & 1) = 1")).select("qid", "cand", "vid")
-    best = _best_candidate(cands, cut, qrels, metric, F.bit_count(F.col("cand")), k, depth)
+    cands = F.transform(F.sequence(F.lit(1).cast("long"), _mask(_few(F.col("_n"))) - 1), lambda m: F.struct(m.alias("cand"), m.alias("mask")))
+    best = _best_candidate(ranked, n.select("qid", cands.alias("masks")), cut, qrels, metric, F.bit_count(F.col("cand")), k, depth)
     if not return_vids:
         return best
     vids = F.transform(F.array_sort(F.collect_list(F.struct("_vpos", "vid"))), lambda x: x["vid"])

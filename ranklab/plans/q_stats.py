@@ -95,15 +95,15 @@ def above_below_same(spark, sf_dir):
 
 
 _CV_SQL = """
-WITH e AS (SELECT 'model=' || system AS params, metric, qid, value FROM evals),
+WITH e AS MATERIALIZED (SELECT 'model=' || system AS params, metric, qid, value FROM evals),
      f AS (SELECT qid, ntile(5) OVER (ORDER BY qid) AS fold FROM (SELECT DISTINCT qid FROM e) q),
-     ef AS (SELECT * FROM e JOIN f USING (qid)),
+     ef AS MATERIALIZED (SELECT * FROM e JOIN f USING (qid)),
      pf AS (SELECT params, metric, fold, sum(value) AS s, count(*) AS n FROM ef GROUP BY params, metric, fold),
      tot AS (SELECT params, metric, sum(s) AS ss, sum(n) AS nn FROM pf GROUP BY params, metric),
      tr AS (SELECT pf.params, pf.metric, pf.fold, (ss - s) / (nn - n) AS train_mean FROM pf JOIN tot USING (params, metric)),
      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric, fold ORDER BY train_mean DESC, params) AS rn
                              FROM tr) b WHERE rn = 1),
-     chosen AS (SELECT ef.metric, ef.qid, ef.fold, ef.params, best.train_mean, ef.value
+     chosen AS MATERIALIZED (SELECT ef.metric, ef.qid, ef.fold, ef.params, best.train_mean, ef.value
                 FROM ef JOIN best ON best.metric = ef.metric AND best.fold = ef.fold AND best.params = ef.params)
 """
 
@@ -364,7 +364,7 @@ def concat_describe_runs(spark, sf_dir):
 
 
 @register("params_cv_manual", """
-WITH e AS (SELECT 'model=' || system AS params, metric, qid, value FROM evals),
+WITH e AS MATERIALIZED (SELECT 'model=' || system AS params, metric, qid, value FROM evals),
      f AS (SELECT qid, ntile(5) OVER (ORDER BY qid) AS fold FROM (SELECT DISTINCT qid FROM e) q),
      p AS (SELECT 'cv/' || e.params || '-k=10_fold=' || CAST(f.fold AS VARCHAR) || '.eval' AS path, e.metric, e.qid, e.value,
                   f.fold FROM e JOIN f USING (qid)),

@@ -114,7 +114,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------
-# SQL twins (DuckDB and Spark SQL both accept these).
+# SQL twins.
 # --------------------------------------------------------------------------
 
 def _run_sql(s: str) -> str:
@@ -204,7 +204,8 @@ def with_views(sql: str, *names: str) -> str:
         add(n)
     if not order:
         return sql
-    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in order)
+    # each view is computed once, however often the twin reads it
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEW_SQL[n]})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"

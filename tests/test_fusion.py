@@ -22,3 +22,51 @@ def test_optimal_at_least_greedy(spark):
     o = FU.fuse_optimal(run, sc, q, 3, depth=100).select("qid", F.col("value").alias("o")).distinct()
     rows = g.join(o, "qid").collect()
     assert rows and all(r.o >= r.g - 1e-12 for r in rows)
+
+
+def _ndcg(order, rel, k):
+    import math
+    gain = lambda g: sum(x / math.log2(i + 2) for i, x in enumerate(g[:k]))
+    ideal = gain(sorted(rel.values(), reverse=True))
+    return gain([rel.get(d, 0) for d in order]) / ideal if ideal else 0.0
+
+
+@pytest.mark.parametrize("kind", ["greedy", "optimal"])
+def test_candidates_by_brute_force(spark, kind):
+    import itertools
+    import random
+    rng = random.Random(8)
+    run, scores, qrels, want = [], [], [], {}
+    for q in range(6):
+        lists, vs = {}, {}
+        for v in range(rng.choice([2, 3, 4])):
+            lists[f"{q}-{v}"] = rng.sample(range(30), 12)
+            vs[f"{q}-{v}"] = rng.random()
+        rel = {d: rng.randint(1, 3) for d in rng.sample(range(30), 8)} if q else {}
+        run += [(q, v, d, float(100 - i)) for v, ds in lists.items() for i, d in enumerate(ds)]
+        scores += [(q, v, s) for v, s in vs.items()]
+        qrels += [(q, d, r) for d, r in rel.items()]
+        names = sorted(vs, key=lambda v: -vs[v])
+        cands = [names[:i + 1] for i in range(len(names))] if kind == "greedy" else [c for n in range(1, len(names) + 1) for c in itertools.combinations(names, n)]
+        best = None
+        for c in cands:
+            s = {}
+            for v in c:
+                for i, d in enumerate(lists[v][:10]):
+                    s[d] = s.get(d, 0) + 1 / (60 + i + 1)
+            order = sorted(s, key=lambda d: (-round(s[d], 12), d))[:10]
+            mask = sum(1 << names.index(v) for v in c)
+            value = round(_ndcg(order, rel, 5), 9)
+            key = (-value, len(c), len(c) if kind == "greedy" else mask)
+            if best is None or key < best[0]:
+                best = (key, order, value)
+        want[q] = (best[0][2], best[1], best[2])
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    fuse = FU.fuse_greedy if kind == "greedy" else FU.fuse_optimal
+    out = fuse(df(run, "qid long, vid string, did long, score double"), df(scores, "qid long, vid string, vscore double"),
+               df(qrels, "qid long, did long, rel int"), metric="ndcg_cut_5", depth=10)
+    assert out._jdf.queryExecution().toString().count("FileScan") <= 4          # stored tables only, the run isn't read again
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.qid, (r.cand, [], r.value))[1].append(r.did)
+    assert {q: (c, o, pytest.approx(v)) for q, (c, o, v) in want.items()} == got
