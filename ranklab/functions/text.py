@@ -8,7 +8,6 @@ counts, lexicon lookups) is explode → join → groupBy. Only BPE application
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -240,36 +239,53 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     return out.withColumn("f", f)
 
 
-def _lcs(a, b) -> int:
-    if not a or not b:
-        return 0
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0]
-        for j, y in enumerate(b, 1):
-            cur.append(prev[j - 1] + 1 if x == y else max(prev[j], cur[j - 1]))
-        prev = cur
-    return prev[-1]
-
-
-@F.pandas_udf(T.LongType())
-def lcs_length(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(h, r)])
-
-
-def rouge_l(pairs: DataFrame) -> DataFrame:
-    """ROUGE-L (longest common subsequence) per pair; the LCS dynamic
-    programme runs in a pandas UDF over Arrow batches."""
-    j = pairs.select("pid", F.size("hyp").alias("nh"), F.size("ref").alias("nr"),
-                     lcs_length(F.col("hyp"), F.col("ref")).alias("lcs"))
-    p = F.when(F.col("nh") > 0, F.col("lcs") / F.col("nh")).otherwise(0.0)
-    rc = F.when(F.col("nr") > 0, F.col("lcs") / F.col("nr")).otherwise(0.0)
-    out = j.select("pid", p.alias("precision"), rc.alias("recall"))
+def lcs_lengths(pairs: DataFrame) -> DataFrame:
+    """(pid, lcs): length of the longest common subsequence of ``hyp`` and ``ref``,
+    for pairs that share a token. Equal tokens are matched by a join; in order of the
+    hypothesis, and from the last to the first match in the reference, the matches'
+    places are a sequence whose longest increasing subsequence has that length. It
+    is found by one pass that keeps, per length, the least last place so far."""
+    def places(side):
+        ex = pairs.select("pid", F.posexplode_outer(side).alias("at", "tok"))
+        return ex.where(F.col("tok").isNotNull())
+    ref = places("ref").groupBy("pid", "tok").agg(F.sort_array(F.collect_list("at"), asc=False).alias("js"))
+    m = places("hyp").join(ref, ["pid", "tok"]).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("at", "js"))).alias("m"))
+    seq = F.flatten(F.transform("m", lambda x: x["js"]))
+
+    def step(ends: Column, j: Column) -> Column:
+        # Most matches change nothing or go to the end.
+        below = F.when(F.coalesce(F.try_element_at(ends, F.lit(-1)) < j, F.lit(True)), F.size(ends)).otherwise(F.size(F.filter(ends, lambda e: e < j)))
+        put = F.concat(F.slice(ends, F.lit(1), below), F.array(j), F.slice(ends, below + 2, F.greatest(F.size(ends) - below - 1, F.lit(0))))
+        return F.when(F.array_contains(ends, j), ends).otherwise(put)
+    return m.select("pid", F.size(F.aggregate(seq, F.array().cast("array<int>"), step)).alias("lcs"))
+
+
+def _f1(out: DataFrame) -> DataFrame:
     return out.withColumn("f", F.when((F.col("precision") + F.col("recall")) > 0,
                                       2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
                           .otherwise(0.0))
 
 
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """ROUGE-L (longest common subsequence) per pair."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    j = pairs.select("pid", size("hyp").alias("nh"), size("ref").alias("nr")).join(lcs_lengths(pairs), "pid", "left")
+    lcs = F.coalesce("lcs", F.lit(0))
+    p = F.when(F.col("nh") > 0, lcs / F.col("nh")).otherwise(0.0)
+    rc = F.when(F.col("nr") > 0, lcs / F.col("nr")).otherwise(0.0)
+    return _f1(j.select("pid", p.alias("precision"), rc.alias("recall")))
+
+
+def rouge_means(pairs: DataFrame, ns=(1, 2)) -> DataFrame:
+    """(measure, precision, recall, f), means over all pairs, for ROUGE-N and ROUGE-L."""
+    kinds = [(f"rouge_{n}", rouge_n(pairs, n)) for n in ns] + [("rouge_l", rouge_l(pairs))]
+    out = None
+    for name, rows in kinds:
+        one = rows.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f")]).select(F.lit(name).alias("measure"), "precision", "recall", "f")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- X8: readability ----------------------------------------------------------
 
 def readability(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -269,14 +269,39 @@ def rouge_n(spark, sf_dir):
                                    "p1", "r1", "f1", "p2", "r2", "f2")
 
 
-@register("rouge_l")
+# Places of equal tokens in order, as one-element lists after an empty one; reduced to
+# the least last place per length of an increasing subsequence.
+_LCS_SQL = """mt AS MATERIALIZED (SELECT conv_id, turn, list_prepend([]::BIGINT[], flatten(list_transform(hyp, lambda t:
+      list_transform(list_reverse(list_filter(range(1, len(ref) + 1), lambda j: ref[j] = t)), lambda j: [j])))) AS m FROM p),
+  ll AS (SELECT conv_id, turn, len(list_reduce(m, lambda s, x: CASE WHEN len(s) = 0 OR s[-1] < x[1] THEN list_concat(s, x)
+      ELSE list_concat(list_concat(s[:len(list_filter(s, lambda e: e < x[1]))], x), s[len(list_filter(s, lambda e: e < x[1])) + 2:]) END)) AS lcs FROM mt),
+  fl AS (SELECT p.conv_id, p.turn, CASE WHEN len(hyp) > 0 THEN coalesce(lcs, 0) / len(hyp) ELSE 0 END AS pr,
+                CASE WHEN len(ref) > 0 THEN coalesce(lcs, 0) / len(ref) ELSE 0 END AS rc FROM p LEFT JOIN ll USING (conv_id, turn))"""
+_F_SQL = "CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END"
+
+
+@register("rouge_l", f"""
+WITH {_PAIRS_SQL}, {_LCS_SQL}
+SELECT conv_id, turn, round(pr, 6) AS p, round(rc, 6) AS r, round({_F_SQL}, 6) AS f FROM fl
+""")
 def rouge_l(spark, sf_dir):
-    """ROUGE-L per pair and the mean F (rows-only; LCS in a pandas UDF)."""
+    """ROUGE-L per pair."""
     r = X.rouge_l(_pairs(spark, sf_dir))
     return r.select(F.col("pid.conv_id").alias("conv_id"), F.col("pid.turn").alias("turn"),
                     r6("precision").alias("p"), r6("recall").alias("r"), r6("f").alias("f"))
 
 
+@register("rouge_means", f"""
+WITH {_PAIRS_SQL}, {_rouge_sql(1)}, {_rouge_sql(2)}, {_LCS_SQL},
+  every AS (SELECT 'rouge_1' AS measure, pr, rc FROM f1 UNION ALL SELECT 'rouge_2', pr, rc FROM f2 UNION ALL SELECT 'rouge_l', pr, rc FROM fl)
+SELECT measure, round(avg(pr), 6) AS p, round(avg(rc), 6) AS r, round(avg({_F_SQL}), 6) AS f FROM every GROUP BY measure
+""")
+def rouge_means(spark, sf_dir):
+    """Means over all pairs of ROUGE-1, -2 and -L."""
+    m = X.rouge_means(_pairs(spark, sf_dir))
+    return m.select("measure", r6("precision").alias("p"), r6("recall").alias("r"), r6("f").alias("f"))
+
+
 @register("bigram_perplexity", f"""
 WITH dt AS (SELECT list_concat(['<s>'], regexp_extract_all(lower(text), {TOK})) AS t FROM corpus),
   bi AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: {{'w1': t[i], 'w2': t[i + 1]}})) AS b FROM dt),
