@@ -1,116 +1,86 @@
 """Significance tests, effect sizes and intervals.
 
 The sufficient statistics (n, means, variances, sums of squares) are Spark
-aggregations over the per-query values; only the final few rows (one per
-metric x pair) go through the distribution functions, which are vectorised
-``pandas_udf`` columns implementing the regularised incomplete beta function
-(continued fraction) - no SciPy needed.
+aggregations over the per-query values; the distribution functions are columns, too:
+the regularised incomplete beta function is an ``aggregate`` over the steps of its
+continued fraction, quantiles an ``aggregate`` over the steps of a bisection.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# -- scalar numerics (pure Python, used inside the pandas UDFs) --------------
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of I_x(a, b) by convergents: with the even and odd
-    coefficients e_m = m (b - m) x / ((a + 2m - 1)(a + 2m)) and
-    o_m = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1)), both continuants are
-    rescaled at every step. Needs on the order of sqrt(max(a, b)) steps and raises
-    if it doesn't settle."""
-    p0, p1, q0, q1 = 0.0, 1.0, 1.0, 1.0
-    last = math.inf
-    for m in range(int(100 + 40 * math.sqrt(max(a, b)))):
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        p0, p1 = p1, p1 + odd * p0
-        q0, q1 = q1, q1 + odd * q0
-        even = (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
-        p0, p1 = p1, p1 + even * p0
-        q0, q1 = q1, q1 + even * q0
-        scale = q1 if q1 else 1.0
-        p0, p1, q0, q1 = p0 / scale, p1 / scale, q0 / scale, q1 / scale
-        if abs(p1 - last) <= 1e-15 * abs(p1):
-            return p1
-        last = p1
-    raise ArithmeticError(f"incomplete beta function doesn't settle for a={a}, b={b}, x={x}")
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    front = math.exp(lbeta)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def t_sf2(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t."""
-    if df is None or df <= 0 or t is None or math.isnan(t):
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
-def f_sf(f: float, d1: float, d2: float) -> float:
-    """Upper tail of the F distribution."""
-    if f is None or math.isnan(f) or d1 <= 0 or d2 <= 0:
-        return float("nan")
-    if f <= 0:
-        return 1.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
-
-
-def t_quantile(prob: float, df: float) -> float:
-    """Quantile of Student's t (bisection on the CDF)."""
-    if df <= 0 or not 0.0 < prob < 1.0:
-        return float("nan")
-    if prob < 0.5:
-        return -t_quantile(1.0 - prob, df)
-    target = 2.0 * (1.0 - prob)  # two-sided tail mass at |t|
-    lo, hi = 0.0, 1.0
-    while t_sf2(hi, df) > target:
-        hi *= 2.0
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if t_sf2(mid, df) > target:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2.0
-
-
-# -- vectorised columns ------------------------------------------------------
-
-@F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_sf2(float(a), float(b)) if pd.notna(a) and pd.notna(b) else np.nan
-                      for a, b in zip(t, df)])
-
-
-@F.pandas_udf(T.DoubleType())
-def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([f_sf(float(a), float(b), float(c)) if pd.notna(a) else np.nan
-                      for a, b, c in zip(f, d1, d2)])
-
-
-@F.pandas_udf(T.DoubleType())
-def t_crit(prob: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_quantile(float(p), float(d)) if pd.notna(d) and d > 0 else np.nan
-                      for p, d in zip(prob, df)])
+
+# -- distributions as columns -------------------------------------------------
+LN_SQRT_2PI = 0.9189385332046727
+BISECTIONS = 200
+
+
+def _lgamma(x: Column) -> Column:
+    """ln Γ(x) for x > 0: Stirling's series at x + 10, and back by the recurrence."""
+    y = x + 10
+    series = 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7)
+    product = x
+    for i in range(1, 10):
+        product = product * (x + i)
+    return (y - 0.5) * F.log(y) - y + LN_SQRT_2PI + series - F.log(product)
+
+
+def _fraction_step(s: Column, m: Column) -> Column:
+    """Two convergents further: with the odd and even coefficients
+    o = -(a + m)(a + b + m) x / ((a + 2m)(a + 2m + 1)) and
+    e = (m + 1)(b - m - 1) x / ((a + 2m + 1)(a + 2m + 2)), numerators p and
+    denominators q of the last two convergents, rescaled to q = 1."""
+    a, b, x = s["a"], s["b"], s["x"]
+    odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+    even = (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
+    p_odd, q_odd = s["p1"] + odd * s["p0"], s["q1"] + odd * s["q0"]
+    p, q = p_odd + even * s["p1"], q_odd + even * s["q1"]
+    scale = F.when(q == 0, 1.0).otherwise(q)
+    value = p / scale
+    return F.when(s["done"], s).otherwise(F.struct(
+        a.alias("a"), b.alias("b"), x.alias("x"), (p_odd / scale).alias("p0"), value.alias("p1"), (q_odd / scale).alias("q0"), (q / scale).alias("q1"),
+        (F.abs(value - s["p1"]) <= F.abs(value) * 1e-15).alias("done")))
+
+
+def betainc(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta I_x(a, b) for a, b > 0. Its fraction needs on the
+    order of sqrt(max(a, b)) steps; the job fails if it doesn't settle."""
+    a, b, x = (c.cast("double") for c in (a, b, x))
+    turned = x >= (a + 1) / (a + b + 2)
+    one = F.lit(1.0)
+    start = F.struct(F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b"), F.when(turned, 1 - x).otherwise(x).alias("x"),
+                     F.lit(0.0).alias("p0"), one.alias("p1"), one.alias("q0"), one.alias("q1"), F.lit(False).alias("done"))
+    steps = F.transform(F.sequence(F.lit(0), (100 + 40 * F.sqrt(F.greatest(a, b))).cast("int")), lambda m: m.cast("double"))
+    settled = lambda s: F.when(s["done"], s["p1"] / s["a"]).otherwise(F.raise_error(F.lit("incomplete beta function doesn't settle")).cast("double"))
+    tail = F.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * F.log(x) + b * F.log1p(-x)) * F.aggregate(steps, start, _fraction_step, settled)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x.isNotNull(), F.when(turned, 1 - tail).otherwise(tail))
+
+
+def t_pvalue(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t; null without a t or degrees of freedom."""
+    return F.when(t.isNotNull() & ~F.isnan(t) & (df > 0), betainc(df / 2, F.lit(0.5), df / (df + t * t)))
+
+
+def f_pvalue(f: Column, d1: Column, d2: Column) -> Column:
+    """Upper tail of the F distribution; null without an F or degrees of freedom."""
+    known = f.isNotNull() & ~F.isnan(f) & (d1 > 0) & (d2 > 0)
+    return F.when(known & (f <= 0), 1.0).when(known, betainc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)))
+
+
+def t_crit(prob: Column, df: Column) -> Column:
+    """Quantile of Student's t, by bisection of x = df / (df + t²); null without
+    degrees of freedom or for a probability outside (0, 1)."""
+    mass = 2 * F.least(prob, 1 - prob)               # beyond ±t
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        still = (mid <= s["lo"]) | (mid >= s["hi"])
+        return F.when(still, s).when(betainc(df / 2, F.lit(0.5), mid) > mass, F.struct(s["lo"].alias("lo"), mid.alias("hi"))) \
+            .otherwise(F.struct(mid.alias("lo"), s["hi"].alias("hi")))
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, halve, lambda s: s["hi"])
+    return F.when((df > 0) & (prob > 0) & (prob < 1), F.signum(prob - 0.5) * F.sqrt(df * (1 - x) / x))
 
 
 # -- tests ---------------------------------------------------------------------
@@ -155,10 +125,14 @@ def paired_ttest(evals: DataFrame, a: str, b: str, with_p: bool = True) -> DataF
 
 def all_pairs_ttest(evals: DataFrame, correction: str = "holm", alpha: float = 0.05) -> DataFrame:
     """Every unordered pair of systems, per metric; Bonferroni or Holm
-    adjusted p-values and the reject decision at ``alpha``."""
-    x = evals.select("metric", "qid", F.col("system").alias("sys_a"), F.col("value").alias("x"))
-    y = evals.select("metric", "qid", F.col("system").alias("sys_b"), F.col("value").alias("y"))
-    pairs = x.join(y, ["metric", "qid"]).where(F.col("sys_a") < F.col("sys_b"))
+    adjusted p-values and the reject decision at ``alpha``. Equal systems have
+    no t and no p; they count among the tests, and come last."""
+    # All systems' values of a query in one array; its pairs go into partial sums.
+    one = F.struct(F.col("system").alias("s"), F.col("value").alias("v"))
+    rows = evals.groupBy("metric", "qid").agg(F.array_sort(F.collect_list(one)).alias("_v"))
+    each = F.transform("_v", lambda x: F.transform(F.filter("_v", lambda y: y["s"] > x["s"]), lambda y: F.struct(
+        x["s"].alias("sys_a"), y["s"].alias("sys_b"), x["v"].alias("x"), y["v"].alias("y"))))
+    pairs = rows.select("metric", F.explode(F.flatten(each)).alias("p")).select("metric", "p.*")
     st = paired_stats(pairs, ("metric", "sys_a", "sys_b"))
     out = st.select("metric", "sys_a", "sys_b", "n", t_statistic().alias("t"), cohen_d_col().alias("cohen_d"))
     out = out.withColumn("p", t_pvalue(F.col("t"), (F.col("n") - 1).cast("double")))
@@ -167,7 +141,7 @@ def all_pairs_ttest(evals: DataFrame, correction: str = "holm", alpha: float = 0
     if correction == "bonferroni":
         adj = F.least(F.lit(1.0), F.col("p") * m)
     else:
-        wo = Window.partitionBy("metric").orderBy("p", "sys_a", "sys_b")
+        wo = Window.partitionBy("metric").orderBy(F.col("p").asc_nulls_last(), "sys_a", "sys_b")
         step = F.least(F.lit(1.0), (m - F.row_number().over(wo) + 1) * F.col("p"))
         out = out.withColumn("_step", step)
         adj = F.max("_step").over(wo.rowsBetween(Window.unboundedPreceding, 0))

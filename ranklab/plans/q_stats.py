@@ -36,15 +36,46 @@ def paired_ttest(spark, sf_dir):
                       r6("t").alias("t"), r6("cohen_d").alias("cohen_d"))
 
 
-@register("ttest_pvalues")
+def _beta_sql(a: str, b: str, x: str) -> str:
+    """I_x(a, b) as 2 / B(a, b) times the integral of sin^(2a - 1) cos^(2b - 1) from 0
+    to asin(sqrt(x)), by Simpson's rule: not the fraction that Spark sums."""
+    step = f"(asin(sqrt({x})) / 4000)"
+    f = f"pow(sin(i * {step}), 2 * ({a}) - 1) * pow(cos(i * {step}), 2 * ({b}) - 1)"
+    w = "CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"2 * exp(lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b})) * {step} / 3 * list_sum(list_transform(range(0, 4001), lambda i: {w} * {f}))"
+
+
+_PAIR_TESTS_SQL = f"""
+WITH p AS (SELECT x.metric, x.system AS sys_a, y.system AS sys_b, x.value AS a, y.value AS b
+           FROM evals x JOIN evals y ON x.metric = y.metric AND x.qid = y.qid AND x.system < y.system),
+     s AS (SELECT metric, sys_a, sys_b, count(*) AS n, avg(b - a) AS md, stddev_samp(b - a) AS sdd FROM p GROUP BY ALL),
+     t AS (SELECT *, CASE WHEN sdd > 0 THEN -md / (sdd / sqrt(n)) END AS t FROM s),
+     v AS (SELECT *, CASE WHEN t IS NOT NULL THEN {_beta_sql("(n - 1) / 2.0", "0.5", "(n - 1) / (n - 1 + t * t)")} END AS p,
+                  count(*) OVER (PARTITION BY metric) AS m FROM t),
+     h AS (SELECT *, least(1.0, (m - row_number() OVER (PARTITION BY metric ORDER BY p NULLS LAST, sys_a, sys_b) + 1) * p) AS step FROM v),
+     j AS (SELECT *, max(step) OVER (PARTITION BY metric ORDER BY p NULLS LAST, sys_a, sys_b) AS holm, least(1.0, m * p) AS bonferroni FROM h)
+"""
+
+
+@register("ttest_pvalues", _PAIR_TESTS_SQL + """
+SELECT metric, sys_a, sys_b, n, round(t, 6) AS t, round(p, 6) AS p, round(holm, 6) AS p_adj, holm < 0.05 AS reject FROM j
+""", _EV)
 def ttest_pvalues(spark, sf_dir):
-    """T1 p-values and T3 all-pairs tests with Holm correction (rows-only:
-    p needs the t distribution, not available in SQL)."""
+    """T1 p-values and T3 all-pairs tests with Holm correction."""
     ev = V.evals(spark, sf_dir)
     return ST.all_pairs_ttest(ev, "holm", 0.05).select(
         "metric", "sys_a", "sys_b", "n", r6("t").alias("t"), r6("p").alias("p"), r6("p_adj").alias("p_adj"), "reject")
 
 
+@register("ttest_bonferroni", _PAIR_TESTS_SQL + """
+SELECT metric, sys_a, sys_b, round(p, 6) AS p, round(bonferroni, 6) AS p_adj, bonferroni < 0.01 AS reject FROM j
+""", _EV)
+def ttest_bonferroni(spark, sf_dir):
+    """T3 with Bonferroni correction at 0.01."""
+    out = ST.all_pairs_ttest(V.evals(spark, sf_dir), "bonferroni", 0.01)
+    return out.select("metric", "sys_a", "sys_b", r6("p").alias("p"), r6("p_adj").alias("p_adj"), "reject")
+
+
 @register("anova_f", """
 WITH g AS (SELECT metric, system, count(*) AS ni, avg(value) AS mi, var_samp(value) AS vi FROM evals GROUP BY metric, system),
      t AS (SELECT metric, avg(value) AS m, count(*) AS nn FROM evals GROUP BY metric),
@@ -58,9 +89,26 @@ def anova_f(spark, sf_dir):
     return out.select("metric", "k", "N", r6("F").alias("F"))
 
 
-@register("anova_confint")
+# t(0.975) by bisection of x = d / (d + t * t) per degree of freedom d.
+_CRIT_SQL = f"""bi AS (SELECT d, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM (SELECT DISTINCT n - 1 AS d FROM st) q
+       UNION ALL
+       SELECT d, i + 1, CASE WHEN above THEN lo ELSE mid END, CASE WHEN above THEN mid ELSE hi END
+       FROM (SELECT *, {_beta_sql("d / 2.0", "0.5", "mid")} > 0.05 AS above FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE i < 50) y) z),
+     cr AS (SELECT d, sqrt(d * (1 - hi) / hi) AS c FROM bi WHERE i = 50)"""
+
+
+@register("anova_confint", f"""
+WITH RECURSIVE st AS (SELECT system, metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM evals GROUP BY system, metric),
+     {_CRIT_SQL},
+     t AS (SELECT metric, avg(value) AS m, count(*) AS nn FROM evals GROUP BY metric),
+     a AS (SELECT metric, count(*) AS k, max(nn) AS nn, sum(n * (mean - m) * (mean - m)) AS ssb, sum((n - 1) * sd * sd) AS ssw FROM st JOIN t USING (metric) GROUP BY metric),
+     f AS (SELECT *, (ssb / (k - 1)) / (ssw / (nn - k)) AS f FROM a),
+     pv AS (SELECT metric, {_beta_sql("(nn - k) / 2.0", "(k - 1) / 2.0", "(nn - k) / (nn - k + (k - 1) * f)")} AS p FROM f)
+SELECT system, metric, round(mean, 6) AS mean, round(mean - c * sd / sqrt(n), 6) AS lo, round(mean + c * sd / sqrt(n), 6) AS hi, round(p, 6) AS anova_p
+FROM st JOIN cr ON cr.d = st.n - 1 JOIN pv USING (metric)
+""", _EV)
 def anova_confint(spark, sf_dir):
-    """T2 p-values and T5 confidence intervals of the means (rows-only)."""
+    """T2 p-values and T5 confidence intervals of the means."""
     ev = V.evals(spark, sf_dir)
     ci = ST.confint_mean(ev, 0.05).select("system", "metric", r6("value_mean").alias("mean"),
                                           r6("value_lo").alias("lo"), r6("value_hi").alias("hi"))
@@ -68,6 +116,19 @@ def anova_confint(spark, sf_dir):
     return ci.join(p, "metric")
 
 
+@register("diff_confint", f"""
+WITH RECURSIVE st AS (SELECT x.metric, count(*) AS n, avg(x.value - y.value) AS mean, stddev_samp(x.value - y.value) AS sd
+            FROM evals x JOIN evals y ON x.metric = y.metric AND x.qid = y.qid WHERE x.system = 'a' AND y.system = 'c' GROUP BY x.metric),
+     {_CRIT_SQL}
+SELECT metric, n, round(mean, 6) AS mean, round(mean - c * sd / sqrt(n), 6) AS lo, round(mean + c * sd / sqrt(n), 6) AS hi
+FROM st JOIN cr ON cr.d = st.n - 1
+""", _EV)
+def diff_confint(spark, sf_dir):
+    """T5: confidence interval of the paired difference of systems a and c."""
+    d = ST.diff_confint(V.evals(spark, sf_dir), "a", "c")
+    return d.select("metric", "n", r6("value_mean").alias("mean"), r6("value_lo").alias("lo"), r6("value_hi").alias("hi"))
+
+
 @register("win_tie_loss", """
 WITH b AS (SELECT metric, qid, value AS a FROM evals WHERE system = 'a')
 SELECT e.system, e.metric,

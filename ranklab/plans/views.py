@@ -207,6 +207,8 @@ def with_views(sql: str, *names: str) -> str:
     # each view is computed once, however often the twin reads it
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEW_SQL[n]})" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
