@@ -8,6 +8,8 @@ counts, lexicon lookups) is explode → join → groupBy. Only BPE application
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +29,22 @@ STOPWORDS = (
 ).split()
 # ASCII punctuation deleted by strip_punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-# Accented lower-case letters and their ASCII replacements.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-ASCII_OF = "aaaaaaceeeeiiiinooooouuuuyy"
+# Letters without a decomposition, and signs, with their ASCII spelling.
+SPELLED = (
+    "ß ss  ẞ SS  æ ae  Æ AE  œ oe  Œ OE  ø o  Ø O  đ d  Đ D  ð d  Ð D  þ th  Þ Th  ł l  Ł L  ħ h  Ħ H  ı i  ŧ t  Ŧ T  ŋ ng  Ŋ Ng  "
+    "а a  б b  в v  г g  д d  е e  ё io  ж zh  з z  и i  й i  к k  л l  м m  н n  о o  п p  р r  с s  т t  у u  ф f  х kh  ц ts  ч ch  "
+    "ш sh  щ shch  ъ \"  ы y  ь '  э e  ю iu  я ia  і i  ї yi  є ye  ґ g  "
+    "А A  Б B  В V  Г G  Д D  Е E  Ё Io  Ж Zh  З Z  И I  Й I  К K  Л L  М M  Н N  О O  П P  Р R  С S  Т T  У U  Ф F  Х Kh  Ц Ts  Ч Ch  "
+    "Ш Sh  Щ Shch  Ъ \"  Ы Y  Ь '  Э E  Ю Iu  Я Ia  І I  Ї Yi  Є Ye  Ґ G  "
+    "α a  β b  γ g  δ d  ε e  ζ z  η e  θ th  ι i  κ k  λ l  μ m  ν n  ξ x  ο o  π p  ρ r  σ s  ς s  τ t  υ u  φ ph  χ kh  ψ ps  ω o  "
+    "Α A  Β B  Γ G  Δ D  Ε E  Ζ Z  Η E  Θ Th  Ι I  Κ K  Λ L  Μ M  Ν N  Ξ X  Ο O  Π P  Ρ R  Σ S  Τ T  Υ U  Φ Ph  Χ Kh  Ψ Ps  Ω O  "
+    "‘ '  ’ '  ‚ ,  “ \"  ” \"  „ \"  « <<  » >>  – -  — --  … ...  • *  € EUR"
+).split()
+# Blocks whose characters are spelled by their compatibility decomposition, marks left out.
+DECOMPOSED = ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2000, 0x2070), (0x3000, 0x3001), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+# The characters of Windows-1252 for the bytes 0x80 to 0x9F that it defines, and those bytes.
+CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CP1252_BYTES = "80 82 83 84 85 86 87 88 89 8A 8B 8C 8E 91 92 93 94 95 96 97 98 99 9A 9B 9C 9E 9F".split()
 # Token pattern: runs of letters or digits (any script).
 TOKEN_RE = r"[\p{L}\p{N}]+"
 # -------------------------------------------------------------------------
@@ -45,13 +60,67 @@ def strip_punctuation(text: Column) -> Column:
     return F.translate(text, PUNCTUATION, "")
 
 
+def _spellings() -> dict[str, str]:
+    """Character → ASCII."""
+    out = dict(zip(SPELLED[::2], SPELLED[1::2], strict=True))
+    for lo, hi in DECOMPOSED:
+        for ch in map(chr, range(lo, hi)):
+            plain = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+            plain = "".join(out.get(c, c) for c in plain)
+            if ch not in out and plain and plain.isascii():
+                out[ch] = plain
+    return out
+
+
+def transliterate(text: Column) -> Column:
+    """Accented, Greek and Cyrillic letters, ligatures, typographic and full-width signs
+    in ASCII; letters of other scripts stay as they are. Combining marks over Latin,
+    Greek and Cyrillic letters go."""
+    table = _spellings()
+    one = {c: t for c, t in table.items() if len(t) == 1}
+    more = {c: t for c, t in table.items() if len(t) > 1}
+    t = F.translate(text, "".join(one), "".join(one.values()))
+    t = F.regexp_replace(t, "[\\x{300}-\\x{36f}]", "")
+    several = t
+    for c, spelled in more.items():
+        several = F.replace(several, F.lit(c), F.lit(spelled))
+    t = F.when(t.rlike("[" + "".join(more) + "]"), several).otherwise(t)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), t).otherwise(text)
+
+
+# A letter of Latin, Greek or Cyrillic (two bytes, of the rarer Latin ones only those that
+# Windows-1252 makes of bytes) or a longer sequence of UTF-8, each byte read as a character
+# of Windows-1252 or Latin-1.
+_LATER = "[\\x{80}-\\x{bf}" + CP1252 + "]"
+_TWICE = f"(?:Â[\\x{{80}}-\\x{{bf}}]|Æ[\\x{{92}}’]|Ë[\\x{{86}}\\x{{9c}}†œ]|[ÃÄÅÎÏÐÑ]{_LATER}|[à-ï]{_LATER}{{2}}|[ð-ô]{_LATER}{{3}})"
+
+
+def repair_text(text: Column) -> Column:
+    """Text that was encoded as UTF-8 and read as Windows-1252 or Latin-1, once or
+    several times, is read as it was meant: runs of such characters are turned back
+    into bytes and decoded, until none is left that decodes. A layer at least doubles
+    a character, so the logarithm of the length bounds the rounds."""
+    parts = lambda t: F.regexp_extract_all(t, F.lit(f"{_TWICE}+|[^Â-ô]+|[Â-ô]"), 0)
+
+    def decoded(seg: Column) -> Column:
+        raw = F.encode(F.translate(seg, CP1252, "".join(chr(int(b, 16)) for b in CP1252_BYTES)), "ISO-8859-1")
+        return F.when(seg.rlike(f"^{_TWICE}+$"), F.coalesce(F.try_validate_utf8(raw.cast("string")), seg)).otherwise(seg)
+
+    def again(t: Column, _: Column) -> Column:
+        return F.when(t.rlike(_TWICE), F.array_join(F.transform(parts(t), decoded), "")).otherwise(t)
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int"))
+    return F.when(text.rlike(_TWICE), F.aggregate(rounds, text, again)).otherwise(text)
+
+
 def clean_text(text: Column, lower: bool = True, alnum: bool = True) -> Column:
-    """Transliterate common accents to ASCII, keep only alphanumerics
-    inside tokens (tokens left empty vanish), lower-case, collapse spaces."""
-    t = F.lower(text) if lower else text
-    t = F.translate(t, ACCENTED, ASCII_OF)
+    """Repair doubly encoded text, transliterate to ASCII, keep only letters,
+    marks and digits inside tokens (of any script; tokens left empty vanish),
+    lower-case, collapse spaces."""
+    t = transliterate(repair_text(text))
     if alnum:
-        t = F.regexp_replace(t, r"[^A-Za-z0-9\s]", "")
+        t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}\s]", "")
+    if lower:
+        t = F.lower(t)
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

@@ -11,6 +11,7 @@ from ..sinks import formats as K
 from ..sources import formats as S
 from . import views as V
 from .catalog import r6, register
+from .q_text import CLEAN_SQL
 
 _RANKED = ("SELECT qid, did, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, "
            "CAST(did AS VARCHAR) DESC) AS rank FROM run_a")
@@ -118,12 +119,7 @@ def detect_eval_format(spark, sf_dir):
     return S.detect_eval_format(trec.unionByName(rbp).unionByName(gd))
 
 
-@register("trec_docs_roundtrip", """
-SELECT CAST(did AS VARCHAR) AS did,
-       trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'),
-            '[^A-Za-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS text
-FROM corpus
-""", ("corpus",))
+@register("trec_docs_roundtrip", f"SELECT CAST(did AS VARCHAR) AS did, {CLEAN_SQL} AS text FROM corpus", ("corpus",))
 def trec_docs_roundtrip(spark, sf_dir):
     """K5 + S9: whole documents as TREC text records, parsed back."""
     return S.parse_trec_docs(K.to_trec_text(V.corpus(spark, sf_dir)).select("value"))

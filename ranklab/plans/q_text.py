@@ -34,16 +34,26 @@ def term_stats(spark, sf_dir):
     return _term_stats(_corpus_tokens(spark, sf_dir))
 
 
-@register("clean_text", f"""
-SELECT did, trim(regexp_replace(regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.ASCII_OF}'),
-                 '[^A-Za-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS text
-FROM corpus
-""", ("corpus",))
+CLEAN_SQL = """trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(replace(text, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'))),
+                 '[^\\p{L}\\p{M}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g'))"""
+
+
+@register("clean_text", f"SELECT did, {CLEAN_SQL} AS text FROM corpus", ("corpus",))
 def clean_text(spark, sf_dir):
     """Transliterated, alphanumeric, lower-cased, space-collapsed texts."""
     return V.corpus(spark, sf_dir).select("did", X.clean_text(F.col("text")).alias("text"))
 
 
+@register("repair_text", "SELECT did, text, md5(text) AS original FROM corpus", ("corpus",))
+def repair_text(spark, sf_dir):
+    """Every document encoded as UTF-8 and read as Latin-1, twice, then repaired."""
+    garbled = F.col("text")
+    for _ in range(2):
+        garbled = F.decode(F.encode(garbled, "UTF-8"), "ISO-8859-1")
+    c = V.corpus(spark, sf_dir).select("did", F.md5(F.col("text").cast("binary")).alias("original"), garbled.alias("g"))
+    return c.select("did", X.repair_text(F.col("g")).alias("text"), "original")
+
+
 @register("query_tokens", f"""
 SELECT qid, array_to_string(regexp_extract_all(lower(translate(text, {PUNCT_SQL}, '')), {TOK}), ' ') AS text
 FROM queries
