@@ -32,13 +32,21 @@ def stream_window_counts(spark, sf_dir):
     return STR.run_update(STR.windowed_counts(ev, "event_type"), ["window_start", "event_type"], "st3")
 
 
-@register("stream_dedup")
+@register("stream_dedup", """
+WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 1 hour THEN 0 ELSE 1 END AS fresh
+           FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+     r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM g),
+     f AS (SELECT user_id, event_type, run, min_by(event_id, (ts, event_id)) AS event_id, min(ts) AS ts, max(ts) + INTERVAL 1 hour AS until
+           FROM r GROUP BY user_id, event_type, run)
+SELECT event_id, user_id, event_type, ts FROM f
+WHERE until <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 hour FROM events)
+""")
 def stream_dedup(spark, sf_dir):
-    """ST2: first event per (user, type) within a 1-hour watermark (rows-only:
-    which duplicate survives depends on arrival order)."""
+    """ST2: the earliest event of each run of a (user, type) within an hour; runs still
+    open at the watermark are not emitted."""
     ev = STR.read_table_stream(spark, sf_dir, "events")
-    return STR.run_append(STR.dedup_within_watermark(ev, ["user_id", "event_type"]), "st2") \
-        .select("event_id", "user_id", "event_type", "ts")
+    out = STR.run_append(STR.dedup_earliest(ev, ["user_id", "event_type"]), "st2")
+    return out.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 _RANKED3 = """ranked AS (

@@ -45,6 +45,18 @@ def dedup_within_watermark(events: DataFrame, keys: list[str], delay: str = "1 h
     return _event_time(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def dedup_earliest(events: DataFrame, keys: list[str], gap: str = "1 hour", delay: str = "1 hour", tie: str = "event_id") -> DataFrame:
+    """ST2: of every run of a key's events that follow each other within ``gap``, the
+    earliest (then the least ``tie``), whatever the order of arrival. It is emitted once
+    the watermark passes the end of the run, when no event can join it any more; runs
+    still open stay in the state for the next call. Events later than ``delay`` are
+    dropped by the watermark."""
+    ev = _event_time(events)
+    row = F.struct("ts", tie, *[c for c in events.columns if c not in ("ts", tie)])
+    runs = ev.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), *keys).agg(F.min(row).alias("_row"))
+    return runs.select("_row.*").select(*events.columns)
+
+
 def windowed_counts(events: DataFrame, key: str, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """ST3: tumbling-window counts per key with a watermark."""
     return (_event_time(events).withWatermark("ts", delay)
