@@ -201,7 +201,7 @@ def rm3_sweep(queries: DataFrame, rm: DataFrame, lambdas: Sequence[float], nterm
     spark = queries.sparkSession
     grid = spark.createDataFrame([(float(l_), int(n)) for l_ in lambdas for n in nterms], "lam double, nterms int")
     kmax = max(nterms)
-    top = top_k(rm, ["qid"], [F.col("p").desc(), F.col("term")], kmax, "rank")
+    top = top_k(rm, ["qid"], [F.round("p", 12).desc(), F.col("term")], kmax, "rank")
     cand = top.crossJoin(F.broadcast(grid)).where(F.col("rank") <= F.col("nterms"))
     wq = rm_to_weighted_query_keyed(cand, ["qid", "lam", "nterms"])
     q = queries.select("qid", F.concat(F.lit("#combine( "), F.lower(strip_punctuation(F.col("text"))), F.lit(" )")).alias("orig"))

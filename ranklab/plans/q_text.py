@@ -198,9 +198,21 @@ def relevance_model(spark, sf_dir):
     return top.select("qid", "term", "rank", r6("p").alias("p"))
 
 
-@register("rm3_queries")
+_RM3_SQL = _RM_SQL.split("  pq AS")[0].rstrip().rstrip(",") + f""",
+  grid AS (SELECT unnest([0.0, 0.5, 1.0]) AS lam, n FROM (SELECT unnest([5, 10]) AS n) z),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(p, 12) DESC, term) AS r FROM rm),
+  model AS (SELECT qid, n, '#weight( ' || string_agg(printf('%.6f %s', p, term), ' ' ORDER BY r) || ' )' AS m
+            FROM pos JOIN (SELECT DISTINCT n FROM grid) g ON r <= n GROUP BY qid, n),
+  orig AS (SELECT qid, '#combine( ' || lower(translate(text, {PUNCT_SQL}, '')) || ' )' AS o FROM queries)
+SELECT qid, CAST(lam AS DOUBLE) AS lam, grid.n AS nterms,
+       CASE lam WHEN 1.0 THEN o WHEN 0.0 THEN m ELSE printf('#weight( %.2f %s %.2f %s )', lam, o, 1 - lam, m) END AS query
+FROM grid JOIN model ON model.n = grid.n JOIN orig USING (qid)
+"""
+
+
+@register("rm3_queries", _RM3_SQL, ("corpus", "queries"))
 def rm3_queries(spark, sf_dir):
-    """R3 + R4: expanded query strings for a lambda x nterms sweep (rows-only)."""
+    """R3 + R4: expanded query strings for a lambda x nterms sweep."""
     q, c = V.queries(spark, sf_dir), V.corpus(spark, sf_dir)
     ix = R.build_index(c)
     rm = R.relevance_model(R.retrieve(q, c, "bm25", 10, index=ix), c, 10, X.stopwords_df(spark), index=ix)
