@@ -357,29 +357,91 @@ def rouge_means(pairs: DataFrame, ns=(1, 2)) -> DataFrame:
 
 # ---- X8: readability ----------------------------------------------------------
 
-def readability(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+READABILITY = ("flesch_ease", "fk_grade", "smog", "coleman_liau", "ari", "gunning_fog", "difficult", "dale_chall", "linsear", "consensus")
+LINSEAR_WORDS = 100        # the measure is defined on a sample of so many words
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), 0)
+
+
+def _syllables(word: Column) -> Column:
+    return F.greatest(F.size(F.regexp_extract_all(word, F.lit("[aeiouy]+"), 0)), F.lit(1))
+
+
+def frequent_words(df: DataFrame, share: float, text: str = "text") -> DataFrame:
+    """(term) of the words that occur in at least ``share`` of the texts: a table of
+    easy words for :func:`readability` where no curated one is at hand."""
+    seen = df.select(F.explode(F.array_distinct(_words(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
+    n = df.count()
+    return seen.where(F.col("_df") >= share * n).select("term")
+
+
+def unfamiliar(df: DataFrame, key: str, easy: DataFrame, text: str = "text") -> DataFrame:
+    """(key, outside, difficult): occurrences of words that the table ``easy`` (term)
+    lacks, and distinct ones of them with two syllables or more."""
+    w = df.select(key, F.explode(_words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    w = w.join(broadcast_if_small(easy.select("term").distinct()), "term", "left_anti")
+    return w.groupBy(key).agg(F.sum("n").alias("outside"), F.count_if(_syllables(F.col("term")) >= 2).alias("difficult"))
+
+
+def _consensus(grades: list[Column], ease: Column) -> Column:
+    """The grade with most votes, the lowest on ties. Every measure votes for its rounded
+    and its next whole grade, reading ease for the grades of its band."""
+    votes = F.array(*[v for g in grades for v in (F.round(g).cast("int"), F.ceil(g).cast("int"))])
+    # Reading ease bands from the easiest on, and their grades.
+    band = F.array(F.lit(13))
+    for least, of in ((30, (12,)), (40, (11,)), (50, (10,)), (60, (8, 9)), (70, (7,)), (80, (6,)), (90, (5,))):
+        band = F.when(ease >= least, F.array(*map(F.lit, of))).otherwise(band)
+    votes = F.filter(F.concat(votes, band), lambda v: v.isNotNull())
+    count = F.transform(F.array_distinct(votes), lambda g: F.struct(F.size(F.filter(votes, lambda v: v == g)).alias("n"), (-g).alias("g")))
+    return -F.array_max(count)["g"]
+
+
+def readability(df: DataFrame, key: str, text: str = "text", easy: DataFrame | None = None) -> DataFrame:
     """Per text, counts (sentences, words, letters, syllables = vowel
     groups per word, polysyllables = words of >= 3 syllables) and the
     classic formulas: Flesch reading ease, Flesch-Kincaid grade, SMOG,
-    Coleman-Liau, ARI, Gunning fog. A text without words has null measures."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z]+"), 0)
+    Coleman-Liau, ARI, Gunning fog, Linsear write (first 100 words); with a table of
+    ``easy`` words also difficult words and Dale-Chall (else null); and the consensus
+    of all grades. A text without words has null measures."""
     base = df.select(key, F.col(text),
                      F.greatest(F.size(F.regexp_extract_all(F.col(text), F.lit(r"[.!?]+"), 0)), F.lit(1)).alias("sentences"),
-                     words.alias("_w"))
-    syl = F.transform("_w", lambda w: F.greatest(F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), 0)), F.lit(1)))
+                     _words(F.col(text)).alias("_w"))
+    syl = F.transform("_w", _syllables)
+    sample = F.regexp_extract(F.col(text), f"^(?:[^A-Za-z]*[A-Za-z]+){{0,{LINSEAR_WORDS}}}[^A-Za-z]*", 0)
+    first = F.slice(syl, 1, LINSEAR_WORDS)
     b = base.select(key, "sentences", F.size("_w").alias("words"),
                     F.aggregate(F.transform("_w", lambda w: F.length(w)), F.lit(0), lambda a, x: a + x).alias("letters"),
                     F.aggregate(syl, F.lit(0), lambda a, x: a + x).alias("syllables"),
-                    F.size(F.filter(syl, lambda s: s >= 3)).alias("poly"))
+                    F.size(F.filter(syl, lambda s: s >= 3)).alias("poly"),
+                    F.aggregate(first, F.lit(0), lambda a, x: a + F.when(x >= 3, 3).otherwise(1)).alias("_points"),
+                    F.greatest(F.size(F.regexp_extract_all(sample, F.lit(r"[.!?]+"), 0)), F.lit(1)).alias("_sample"))
+    if easy is None:
+        b = b.withColumns({"outside": F.lit(None).cast("long"), "difficult": F.lit(None).cast("long")})
+    else:
+        b = b.join(unfamiliar(df, key, easy, text), key, "left")
+        b = b.withColumns({c: F.when(F.col("words") > 0, F.coalesce(c, F.lit(0))) for c in ("outside", "difficult")})
     w, s = F.nullif("words", F.lit(0)), F.col("sentences")
-    return b.select(
+    part = F.col("outside") / w * 100
+    points = F.when(w > 0, F.col("_points") / F.col("_sample"))
+    out = b.select(
         key, "sentences", "words", "letters", "syllables", "poly",
         (206.835 - 1.015 * (w / s) - 84.6 * (F.col("syllables") / w)).alias("flesch_ease"),
         (0.39 * (w / s) + 11.8 * (F.col("syllables") / w) - 15.59).alias("fk_grade"),
         F.when(w > 0, 1.043 * F.sqrt(F.col("poly") * (30.0 / s)) + 3.1291).alias("smog"),
         (0.0588 * (F.col("letters") / w * 100) - 0.296 * (s / w * 100) - 15.8).alias("coleman_liau"),
         (4.71 * (F.col("letters") / w) + 0.5 * (w / s) - 21.43).alias("ari"),
-        (0.4 * ((w / s) + 100.0 * (F.col("poly") / w))).alias("gunning_fog"))
+        (0.4 * ((w / s) + 100.0 * (F.col("poly") / w))).alias("gunning_fog"), "difficult",
+        (0.1579 * part + 0.0496 * (w / s) + F.when(part > 5, 3.6365).otherwise(0.0)).alias("dale_chall"),
+        F.when(points > 20, points / 2).otherwise((points - 2) / 2).alias("linsear"))
+    grades = [F.round(c, 9) for c in ("fk_grade", "smog", "coleman_liau", "ari", "dale_chall", "linsear", "gunning_fog")]
+    return out.withColumn("consensus", F.when(F.col("words") > 0, _consensus(grades, F.round("flesch_ease", 9))))
+
+
+def readability_means(scores: DataFrame) -> DataFrame:
+    """One row, the mean of every measure over the texts that have it."""
+    return scores.agg(*[F.avg(c).alias(c) for c in READABILITY])
 
 
 # ---- X9: bigram perplexity ------------------------------------------------------

@@ -219,27 +219,63 @@ def rm3_queries(spark, sf_dir):
     return R.rm3_sweep(q, rm, [0.0, 0.5, 1.0], [5, 10])
 
 
-@register("readability", """
+_READ_SQL = r"""
 WITH w AS (SELECT did, text, regexp_extract_all(lower(text), '[a-z]+') AS ws,
-                  greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sentences FROM corpus),
-  s AS (SELECT did, sentences, ws, list_transform(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')), 1)) AS syl
-        FROM w),
-  b AS (SELECT did, sentences, len(ws) AS words, list_sum(list_transform(ws, lambda x: length(x))) AS letters,
-               list_sum(syl) AS syllables, len(list_filter(syl, lambda x: x >= 3)) AS poly FROM (SELECT did, sentences, ws, syl, len(ws) > 0 AS some FROM s))
-SELECT did, CAST(sentences AS INTEGER) AS sentences, CAST(words AS INTEGER) AS words,
-  round(206.835 - 1.015 * (nullif(words, 0) / sentences) - 84.6 * (syllables / nullif(words, 0)), 6) AS flesch_ease,
-  round(0.39 * (nullif(words, 0) / sentences) + 11.8 * (syllables / nullif(words, 0)) - 15.59, 6) AS fk_grade,
-  round(CASE WHEN words > 0 THEN 1.043 * sqrt(poly * (30.0 / sentences)) + 3.1291 END, 6) AS smog,
-  round(0.0588 * (letters / nullif(words, 0) * 100) - 0.296 * (sentences / nullif(words, 0) * 100) - 15.8, 6) AS coleman_liau,
-  round(4.71 * (letters / nullif(words, 0)) + 0.5 * (nullif(words, 0) / sentences) - 21.43, 6) AS ari,
-  round(0.4 * ((nullif(words, 0) / sentences) + 100.0 * (poly / nullif(words, 0))), 6) AS gunning_fog
-FROM b
+                  greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sentences,
+                  greatest(len(regexp_extract_all(regexp_extract(text, '^(?:[^A-Za-z]*[A-Za-z]+){0,100}[^A-Za-z]*'), '[.!?]+')), 1) AS sample FROM corpus),
+  s AS (SELECT did, sentences, sample, ws, list_transform(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')), 1)) AS syl FROM w),
+  t AS (SELECT did, word, count(*) AS n FROM (SELECT did, unnest(ws) AS word FROM w) x GROUP BY did, word),
+  easy AS (SELECT word FROM t GROUP BY word HAVING count(*) >= 0.05 * (SELECT count(*) FROM corpus)),
+  u AS (SELECT did, sum(n) AS outside, count_if(greatest(len(regexp_extract_all(word, '[aeiouy]+')), 1) >= 2) AS difficult
+        FROM t WHERE word NOT IN (SELECT word FROM easy) GROUP BY did),
+  b AS (SELECT s.did, sentences, nullif(len(ws), 0) AS words, list_sum(list_transform(ws, lambda x: length(x))) AS letters,
+               list_sum(syl) AS syllables, len(list_filter(syl, lambda x: x >= 3)) AS poly,
+               list_sum(list_transform(syl[1:100], lambda x: CASE WHEN x >= 3 THEN 3 ELSE 1 END)) / sample AS points,
+               CASE WHEN len(ws) > 0 THEN coalesce(outside, 0) END AS outside, CASE WHEN len(ws) > 0 THEN coalesce(difficult, 0) END AS difficult
+        FROM s LEFT JOIN u USING (did)),
+  m AS (SELECT did, sentences, coalesce(words, 0) AS words,
+    206.835 - 1.015 * (words / sentences) - 84.6 * (syllables / words) AS flesch_ease,
+    0.39 * (words / sentences) + 11.8 * (syllables / words) - 15.59 AS fk_grade,
+    CASE WHEN words > 0 THEN 1.043 * sqrt(poly * (30.0 / sentences)) + 3.1291 END AS smog,
+    0.0588 * (letters / words * 100) - 0.296 * (sentences / words * 100) - 15.8 AS coleman_liau,
+    4.71 * (letters / words) + 0.5 * (words / sentences) - 21.43 AS ari,
+    0.4 * ((words / sentences) + 100.0 * (poly / words)) AS gunning_fog, difficult,
+    0.1579 * (outside / words * 100) + 0.0496 * (words / sentences) + CASE WHEN outside / words * 100 > 5 THEN 3.6365 ELSE 0 END AS dale_chall,
+    CASE WHEN points > 20 THEN points / 2 ELSE (points - 2) / 2 END AS linsear FROM b),
+  v AS (SELECT did, unnest(list_concat(flatten(list_transform([fk_grade, smog, coleman_liau, ari, dale_chall, linsear, gunning_fog],
+               lambda g: [CAST(round(round(g, 9)) AS INTEGER), CAST(ceil(round(g, 9)) AS INTEGER)])),
+               CASE WHEN flesch_ease >= 90 THEN [5] WHEN flesch_ease >= 80 THEN [6] WHEN flesch_ease >= 70 THEN [7] WHEN flesch_ease >= 60 THEN [8, 9]
+                    WHEN flesch_ease >= 50 THEN [10] WHEN flesch_ease >= 40 THEN [11] WHEN flesch_ease >= 30 THEN [12] ELSE [13] END)) AS g
+        FROM m WHERE words > 0),
+  c AS (SELECT did, g AS consensus FROM (SELECT did, g, row_number() OVER (PARTITION BY did ORDER BY count(*) DESC, g) AS k FROM v GROUP BY did, g) x WHERE k = 1)
+"""
+_MEASURES = [c for c in X.READABILITY if c not in ("difficult", "consensus")]
+
+
+def _readability(spark, sf_dir):
+    docs = V.corpus(spark, sf_dir)
+    return X.readability(docs, "did", easy=X.frequent_words(docs, 0.05))
+
+
+@register("readability", _READ_SQL + f"""
+SELECT did, CAST(sentences AS INTEGER) AS sentences, CAST(words AS INTEGER) AS words, CAST(difficult AS BIGINT) AS difficult, consensus, {", ".join(f"round({c}, 6) AS {c}" for c in _MEASURES)}
+FROM m LEFT JOIN c USING (did)
 """, ("corpus",))
 def readability(spark, sf_dir):
-    """Readability formulas per document (whole texts)."""
-    r = X.readability(V.corpus(spark, sf_dir), "did")
-    return r.select("did", F.col("sentences").cast("int").alias("sentences"), F.col("words").cast("int").alias("words"),
-                    *[r6(c).alias(c) for c in ("flesch_ease", "fk_grade", "smog", "coleman_liau", "ari", "gunning_fog")])
+    """Readability formulas per document (whole texts); easy words are those of at
+    least 5 % of the documents."""
+    r = _readability(spark, sf_dir)
+    return r.select("did", F.col("sentences").cast("int").alias("sentences"), F.col("words").cast("int").alias("words"), "difficult", "consensus",
+                    *[r6(c).alias(c) for c in _MEASURES])
+
+
+@register("readability_means", _READ_SQL + f"""
+SELECT {", ".join(f"round(avg({c}), 6) AS {c}" for c in X.READABILITY)} FROM m LEFT JOIN c USING (did)
+""", ("corpus",))
+def readability_means(spark, sf_dir):
+    """The mean of every measure over all documents."""
+    m = X.readability_means(_readability(spark, sf_dir))
+    return m.select(*[r6(c).alias(c) for c in X.READABILITY])
 
 
 def _pairs(spark, sf_dir):
