@@ -18,7 +18,8 @@ Measure names (N1), all case sensitive:
   ``P_k``, ``recip_rank``, ``recip_rank_cut_k``, ``map``, ``map_cut_k``,
   ``ndcg``, ``ndcg_cut_k``
 * gdeval family (exponential gain, ideal from positive grades, topics with a
-  positive grade only): ``gdeval_ndcg@k``, ``gdeval_err@k``
+  positive grade only): ``gdeval_ndcg@k``, ``gdeval_err@k``; ``gdeval@k`` and
+  ``gdeval`` (k = 20) are both
 * rank-biased precision with residual: ``rbp@p`` or ``rbp@p:b`` (b = minimum
   grade counted relevant, default 1)
 * library forms on the list as retrieved (relevant = grade != 0):
@@ -28,7 +29,6 @@ Measure names (N1), all case sensitive:
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -77,8 +77,16 @@ def parse_measure(name: str) -> Measure:
     raise ValueError(f"unknown measure {name!r}")
 
 
-def measure_names() -> list[str]:
-    return [p for p, _ in _PATTERNS]
+GDEVAL_CUT = 20          # depth of a bare ``gdeval``
+
+
+def expand_measures(names: list[str]) -> list[str]:
+    """``gdeval`` and ``gdeval@k`` stand for both gdeval measures; each measure once."""
+    out = []
+    for n in names:
+        both = re.fullmatch(r"gdeval(?:@(\d+))?", n)
+        out += [f"gdeval_{x}@{both.group(1) or GDEVAL_CUT}" for x in ("ndcg", "err")] if both else [n]
+    return list(dict.fromkeys(out))
 
 
 # ---------------------------------------------------------------------------
@@ -249,6 +257,7 @@ def evaluate_wide(run: DataFrame, qrels: DataFrame, measures: list[str],
     ``<name>_res`` for RBP residuals). Queries absent from qrels are dropped
     (trec_eval); gdeval measures are null for queries without a positive
     grade."""
+    measures = expand_measures(measures)
     ms = [parse_measure(x) for x in measures]
     keys = list(keys) if keys else list_keys(run)
     judged = judge(run.select(*keys, "did", "score"), qrels)
@@ -308,6 +317,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures: list[str],
 
     ``topics="run"`` scores queries in run ∩ qrels; ``"qrels"`` (M10) also
     gives every judged query missing from a system's run the value 0."""
+    measures = expand_measures(measures)
     ms = [parse_measure(x) for x in measures]
     wide = evaluate_wide(run, qrels, measures, tie)
     keys = list_keys(run)
@@ -364,9 +374,3 @@ def grades_to_run(spark, lists: dict[str, list[int]]) -> tuple[DataFrame, DataFr
     run = spark.createDataFrame([(q, i, s) for q, i, s, _ in rows], "qid string, did long, score double")
     qrels = spark.createDataFrame([(q, i, r) for q, i, _, r in rows], "qid string, did long, rel int")
     return run, qrels
-
-
-def ideal_dcg_python(grades: list[int], k: int) -> float:
-    """Reference value helper used in tests (pure arithmetic)."""
-    g = sorted(grades, reverse=True)[:k]
-    return sum(x / math.log2(i + 2) for i, x in enumerate(g))

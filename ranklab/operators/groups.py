@@ -60,13 +60,20 @@ def drawn(df: DataFrame, cols, seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))).cast("binary"))
 
 
-def group_sample(df: DataFrame, key, n: float, replace: bool = False, seed: int = 0,
+def group_sample(df: DataFrame, key, n: float, replace: bool | None = False, seed: int = 0,
                  order: str = "ord", rounded: bool = False) -> DataFrame:
     """Sample per key. n < 1 is a ratio of the group (truncated, or
     ``rounded``), else a number. Without replacement: first rows of a seeded
     hash order (capped at the group size). With replacement: n draws of a
-    hashed row index."""
+    hashed row index. ``replace=None``: with replacement only where the group has
+    fewer rows than are wanted."""
     keys = _keys(key)
+    if replace is None:
+        enough = df.groupBy(*keys).agg(F.count("*").alias("_cnt")).where(F.col("_cnt") >= int(n)).select(*keys)
+        once = group_sample(df.join(enough, keys, "left_semi"), key, n, False, seed, order, rounded)
+        if n < 1:
+            return group_sample(df, key, n, False, seed, order, rounded)
+        return once.unionByName(group_sample(df.join(enough, keys, "left_anti"), key, n, True, seed, order, rounded).drop("_draw"))
     h = drawn(df, [*keys, order], seed)
     cnt = df.groupBy(*keys).agg(F.count("*").alias("_cnt"))
     want = (F.bround(F.col("_cnt") * n) if rounded else F.floor(F.col("_cnt") * n)) if n < 1 else F.lit(round(n) if rounded else int(n))
@@ -108,6 +115,30 @@ def group_collapse(df: DataFrame, key, col: str, sep: str = " ", order: str = "o
         F.array_join(F.transform(F.array_sort(agg), lambda s: s["v"]), sep).alias(col))
 
 
+PART_ROWS = 100_000          # rows of a group that one output row holds in the long forms
+
+
+def in_parts(df: DataFrame, key, order: str = "ord", rows: int = PART_ROWS) -> DataFrame:
+    """``df`` with ``part``: the group's rows in order, ``rows`` to a part. Hot groups are
+    numbered by ranges, see :func:`rank_rows`, and their parts are rows of their own."""
+    return rank_rows(df, _keys(key), [F.col(order)], "_pos").withColumn("part", F.floor((F.col("_pos") - 1) / F.lit(rows))).drop("_pos")
+
+
+def group_collapse_long(df: DataFrame, key, col: str, sep: str = " ", order: str = "ord", rows: int = PART_ROWS) -> DataFrame:
+    """G7 for groups of any length: (key, part, ``col``), the parts in order make the
+    string of :func:`group_collapse` when joined by ``sep``. A null value is empty."""
+    keys = _keys(key)
+    whole = df.withColumn(col, F.coalesce(F.col(col).cast("string"), F.lit("")))
+    return group_collapse(in_parts(whole, keys, order, rows), [*keys, "part"], col, sep, order)
+
+
+def group_rows_long(df: DataFrame, by: Sequence[str], cols: Sequence[str] | None = None,
+                    return_index: bool = False, order: str = "ord", rows: int = PART_ROWS) -> DataFrame:
+    """G11 for groups of any length: (by..., part, rows)."""
+    cols = list(cols or [c for c in df.columns if c not in by and c != order])
+    return group_rows(in_parts(df, list(by), order, rows), [*by, "part"], cols, return_index, order)
+
+
 def group_unique(df: DataFrame, key, field: str | None = None, order: str = "ord") -> DataFrame:
     """First row per distinct value of ``field`` inside each group (whole
     row when no field given)."""

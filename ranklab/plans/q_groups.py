@@ -63,14 +63,30 @@ d AS (SELECT key, CAST('0x' || substr(md5(concat_ws('|', key, g.d, 3)), 1, 8) AS
       FROM c, generate_series(1, 3) AS g(d))
 SELECT 'without' AS mode, key, ln, val FROM r WHERE h <= 2
 UNION ALL SELECT 'with' AS mode, r.key, ln, val FROM r JOIN d ON d.key = r.key AND d.i = r.i
+UNION ALL SELECT 'needed' AS mode, r.key, ln, val FROM r JOIN c USING (key) WHERE c >= 3 AND h <= 3
+UNION ALL SELECT 'needed' AS mode, r.key, ln, val FROM r JOIN d ON d.key = r.key AND d.i = r.i JOIN c ON c.key = r.key WHERE c < 3
 """)
 def group_sample(spark, sf_dir):
-    """2 lines per order without replacement, and 3 draws with
-    replacement (seeded md5 order)."""
+    """2 lines per order without replacement, 3 draws with replacement, and 3
+    with replacement only where an order has fewer lines (seeded md5 order)."""
     li = _lines(spark, sf_dir)
     a = G.group_sample(li, "key", 2, seed=3).withColumn("mode", F.lit("without"))
     b = G.group_sample(li, "key", 3, replace=True, seed=3).drop("_draw").withColumn("mode", F.lit("with"))
-    return a.unionByName(b).select("mode", "key", "ln", "val")
+    c = G.group_sample(li, "key", 3, replace=None, seed=3).withColumn("mode", F.lit("needed"))
+    return a.unionByName(b).unionByName(c).select("mode", "key", "ln", "val")
+
+
+@register("group_collapse_long", """
+WITH t AS (SELECT l_suppkey AS key, l_partkey AS val, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS pos FROM lineitem)
+SELECT key, pos // 50 AS part, string_agg(val, ' ' ORDER BY pos) AS val, count(*) AS n FROM t GROUP BY key, pos // 50
+""")
+def group_collapse_long(spark, sf_dir):
+    """G7 + G11 in bounded parts: a supplier's parts in order, 50 to a row."""
+    li = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("val"),
+                                                   F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("ord"))
+    text = G.group_collapse_long(li, "key", "val", rows=50)
+    rows = G.group_rows_long(li, ["key"], ["val"], rows=50)
+    return text.join(rows, ["key", "part"]).select("key", "part", "val", F.size("rows").cast("long").alias("n"))
 
 
 @register("group_pad_rows", """
