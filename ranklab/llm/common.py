@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares: ``spark.checkpoint.dir``
     of the session, else the context's checkpoint folder; only where neither is
-    set (tests on one machine) a temporary folder becomes it."""
+    set and Spark runs on one machine (tests) a temporary folder becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="llm-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
