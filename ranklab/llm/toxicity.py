@@ -15,7 +15,8 @@ Training takes at most MAX_TOXIC toxic and MAX_OTHER other labelled rows, the
 first by a hash of the id; landmark counts and features are computed by Spark, and
 only counts of candidate strings (the best CANDIDATES) and the sample's feature
 rows come to the driver, which both bounds limit. Scoring is one pass over all
-texts without a shuffle: distinct words of a slice are scored once.
+texts without a shuffle: a worker compares a word with the landmarks once and keeps
+the result while it holds KEPT words at most.
 
 Defined results: a null or empty text has no words and gets the score of the
 empty feature vector (below one half unless training says otherwise). Without
@@ -47,6 +48,10 @@ SPAN = 9                               # longest span of a subsequence
 FLOOR = 0.3                            # lower likeness counts as none
 WORD = 24                              # longer words are read in windows of this length
 ALIKE = 0.7                            # landmarks closer than this are one
+KEPT = 600_000                         # chunks whose likeness a worker keeps
+WORDS = 16_384                         # chunks compared with the landmarks at once
+PAIRS = 100_000                        # occurrences of chunks looked at at once
+READ = 2 << 20                         # bytes of text read at once
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
@@ -77,13 +82,15 @@ def chunks_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     code = chunk.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
     names = chunk.dictionary.to_pylist()
-    single = np.array([len(n) == 1 and n.isalnum() for n in names] or [False])
+    single = pc.equal(pc.utf8_length(chunk.dictionary), 1).to_numpy(zero_copy_only=False)
+    single[single] = [names[i].isalnum() for i in np.flatnonzero(single)]
     if len(code) and single.any():
         one = single[code]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], one, [False])).astype(np.int8)))
-        at = {n: i for i, n in enumerate(names)}
+        runs = [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= 4]
+        at = {n: i for i, n in enumerate(names)} if runs else {}
         more, where = [], []
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        for a, b in runs:
             for d in np.unique(doc[a:b]):
                 run = code[a:b][doc[a:b] == d]
                 if len(run) >= 4:
@@ -108,6 +115,42 @@ def subsequences(word: str) -> dict[str, float]:
     return out
 
 
+class _Seen:
+    """Chunks that a worker has met: the row of each, -1 if it is near no landmark.
+    Row i's nearness is in ``landmark`` and ``value``, from begin[i] to begin[i + 1].
+    It begins anew beyond KEPT chunks, so its size is bounded."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.begin = np.zeros(1, np.int64)
+        self.landmark = np.zeros(0, np.int64)
+        self.value = np.zeros(0, np.float32)
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        """Keep more rows; returns their numbers."""
+        row, landmark = np.nonzero(rows)
+        n = len(self.begin) - 1
+        ends = np.cumsum(np.bincount(row, minlength=len(rows)))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + ends))
+        self.landmark = np.concatenate((self.landmark, landmark))
+        self.value = np.concatenate((self.value, rows[row, landmark]))
+        return np.arange(n, n + len(rows))
+
+
+_seen: dict[tuple, _Seen] = {}         # of one model: a worker's tasks share it
+
+
+def _seen_of(landmarks: list[str]) -> _Seen:
+    key = tuple(landmarks)
+    if key not in _seen:
+        _seen.clear()
+        _seen[key] = _Seen()
+    return _seen[key]
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -152,21 +195,22 @@ class Model:
         if not words or not self.landmarks:
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         code, base, ids, begin, landmark, share, top = self.tables()
-        gap = "\0" * SPAN
-        flat = code[np.frombuffer(gap.join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-        flat = np.concatenate((flat, np.zeros(SPAN, np.int32)))
-        size = np.array([len(w) for w in words]) + SPAN
-        word = np.repeat(np.arange(len(words)), size)
+        flat = code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        size = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))   # characters from here to the word's end
         live = np.flatnonzero(flat)
-        n = len(flat) - SPAN
-        live = live[live < n]
+        live = live[np.argsort(-np.minimum(left[live], SPAN), kind="stable")]
+        left = np.minimum(left[live], SPAN)
         first, bound = flat[live] * base, np.zeros(len(words))
         hits = []
         for a, b in _GAPS:
-            t = ids[(first + flat[live + a]) * base + flat[live + a + b]]
+            n = int(np.searchsorted(-left, -(a + b)))    # those with more than a + b characters left
+            at = live[:n]
+            t = ids[(first[:n] + flat[at + a]) * base + flat[at + (a + b)]]
             h = np.flatnonzero(t)
             if len(h):
-                w, t = word[live[h]], t[h]
+                w, t = word[at[h]], t[h]
                 weight = np.float32(LAMBDA ** (a + b + 1))
                 bound += np.bincount(w, top[t] * weight, len(words))
                 hits.append((w, t, weight))
@@ -186,33 +230,47 @@ class Model:
         some = out.any(axis=1)
         return near[some], out[some]
 
+    def chunk_rows(self, names: list[str]) -> tuple[np.ndarray, _Seen]:
+        """(row of each chunk or -1, the rows): a chunk is as near to a landmark as
+        its best word. Only chunks that this worker hasn't met are read."""
+        seen = _seen_of(self.landmarks)
+        new = [c for c in names if c not in seen.row]
+        if len(seen.row) + len(new) > KEPT:
+            seen.clear()
+            new = names
+        for x in range(0, len(new), WORDS):
+            part = new[x:x + WORDS]
+            lists = words_of(part)
+            at: dict[str, int] = {}
+            chunk = np.repeat(np.arange(len(lists)), [len(w) for w in lists])
+            word = np.array([at.setdefault(w, len(at)) for ws in lists for w in ws], np.int64)
+            near, value = self.likeness(list(at))
+            place = np.full(len(at), -1)
+            place[near] = np.arange(len(near))
+            p = place[word]
+            chunk, p = chunk[p >= 0], p[p >= 0]
+            first = np.flatnonzero(np.diff(chunk, prepend=-1))
+            row = np.full(len(part), -1)
+            if len(first):
+                row[chunk[first]] = seen.add(np.maximum.reduceat(value[p], first, axis=0))
+            seen.row.update(zip(part, row.tolist(), strict=True))
+        return np.fromiter(map(seen.row.__getitem__, names), np.int64, len(names)), seen
+
     def features(self, texts: pa.Array) -> np.ndarray:
         """Per text and landmark the likeness of the nearest word."""
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
-        names, code, doc = chunks_of(texts)
-        lists = words_of(names)
-        at: dict[str, int] = {}
-        chunk = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        word = np.array([at.setdefault(w, len(at)) for x in lists for w in x], np.int64)
-        near, value = self.likeness(list(at))
-        if not len(near):
+        if not self.landmarks:
             return out
-        place = np.full(len(at), -1)
-        place[near] = np.arange(len(near))
-        p = place[word]
-        chunk, p = chunk[p >= 0], p[p >= 0]
-        # likeness of a chunk: of its best word; most chunks are one word
-        first = np.flatnonzero(np.diff(chunk, prepend=-1))
-        row = np.full(len(names), -1)
-        row[chunk[first]] = np.arange(len(first))
-        value = np.maximum.reduceat(value[p], first, axis=0)
+        names, code, doc = chunks_of(texts)
+        row, seen = self.chunk_rows(names)
         r = row[code]
-        pair = np.unique(doc[r >= 0] * len(first) + r[r >= 0])
-        d, r = pair // len(first), pair % len(first)
-        for x in range(0, len(d), 100_000):
-            dx = d[x:x + 100_000]
-            head = np.flatnonzero(np.diff(dx, prepend=-1))
-            out[dx[head]] = np.maximum(out[dx[head]], np.maximum.reduceat(value[r[x:x + 100_000]], head, axis=0))
+        doc, r = doc[r >= 0], r[r >= 0]
+        flat, m = out.reshape(-1), out.shape[1]
+        for x in range(0, len(r), PAIRS):
+            d, p = doc[x:x + PAIRS], r[x:x + PAIRS]
+            n = seen.begin[p + 1] - seen.begin[p]
+            at = np.repeat(seen.begin[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            np.maximum.at(flat, np.repeat(d * m, n) + seen.landmark[at], seen.value[at])
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -360,7 +418,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     model.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
 
     def features(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=READ):
             f = model.features(b.column("text"))
             yield pa.record_batch([b.column("toxic"), pa.array([x.tobytes() for x in f], pa.binary())], names=["toxic", "f"])
 
@@ -378,7 +436,7 @@ def _scored(model: Model, id_type: pa.DataType) -> Callable:
     schema = pa.schema([("doc_id", id_type), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=READ):
             s = model.scores(model.features(b.column("text")))
             yield pa.record_batch([b.column("doc_id").cast(id_type), pa.array(s.astype(float))], schema=schema)
     return run
@@ -400,7 +458,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
             parts = [model.scores(model.features(b.column(0))).astype(float)
-                     for b in slices(iter([pa.record_batch([t], names=["text"])]))]
+                     for b in slices(iter([pa.record_batch([t], names=["text"])]), limit=READ)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     # only texts go to Python; the rows stay where they are
