@@ -14,10 +14,10 @@ is bin packing in rounds:
   before rounding: they keep their well-filled bins, and the items of their other
   bins are exchanged: dealt anew to fewer, mixed partitions and packed again.
 
-Every round halves the partitions at least and passes on only the badly filled
-bins, and the bounds on rows per partition hold in all rounds, so no task ever
-holds more than a bounded number of items. The rounds end when one partition is
-left or no round frees a bin.
+Every round passes on only the badly filled bins, to as many partitions as keep
+about PER_PARTITION items each, so no task ever holds more than a bounded number of
+items. The rounds end when one partition is left or a round frees less than WORTH of
+the bins that it was given.
 
 Token ids come from the tokenizer file itself. White space separates its tokens,
 so texts are cut at spaces by Arrow and only the distinct chunks of a slice run
@@ -50,8 +50,9 @@ CAPACITY = 4096
 END_ID = 1
 PER_PARTITION = 20_000      # items of a packing partition
 KEPT_FILL = 0.995           # bins filled less than this are exchanged
-CHUNKS = 500_000            # chunks whose ids a worker keeps
-ROUNDS = 8
+CHUNKS = 800_000            # chunks whose ids a worker keeps
+READ = 8 << 20              # bytes of text read at once
+WORTH = 0.001               # share of the exchanged bins that a round must free to be followed by another
 
 # Fixed value: letters that NFC leaves alone and whose lower case is one letter.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]?)")
@@ -83,29 +84,27 @@ class ChunkIds:
         self.place: dict[str, int] = {}
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _word(self, word: str, fresh: dict[str, list[int]]) -> list[int]:
-        """Ids of a word of plain letters: one pre-token, so the model alone."""
-        ids = fresh.get(word)
-        if ids is None:
-            at = self.place.get(word)
-            if at is not None:
-                return self.flat[self.start[at]:self.start[at + 1]].tolist()
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = fresh[word] = [x.id for x in self.t.model.tokenize(letters)]
-        return ids
-
     def _learn(self, chunks: list[str]) -> None:
         fresh: dict[str, list[int]] = {}
         odd: list[str] = []
+        plain, model, letters, marks = _PLAIN.fullmatch, self.t.model.tokenize, self.letters, self.marks
         for c in chunks:
-            m = _PLAIN.fullmatch(c)
+            m = plain(c)
             if m is None:
                 odd.append(c)
                 continue
-            w = m[1].lower()
-            ids = self._word(w, fresh)
+            w, mark = m.groups()
+            w = w.lower()
+            # a word of plain letters is one pre-token, so the model alone gives its ids
+            ids = fresh.get(w)
+            if ids is None:
+                at = self.place.get(w) if w != c else None
+                if at is not None:
+                    ids = self.flat[self.start[at]:self.start[at + 1]].tolist()
+                else:
+                    ids = fresh[w] = [x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]
             if w != c:
-                fresh[c] = ids + self.marks[m[2]] if m[2] else ids
+                fresh[c] = ids + marks[mark] if mark else ids
         fresh.update((c, e.ids) for c, e in zip(odd, self.t.encode_batch(odd, add_special_tokens=False), strict=True))
         at = len(self.place)
         self.place.update(zip(fresh, range(at, at + len(fresh)), strict=True))
@@ -148,7 +147,7 @@ def _pieces(path: str, capacity: int, end_id: int, id_type: pa.DataType) -> Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = chunk_ids(path)
         tail = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, limit=READ):
             flat, edge = text_ids(b.column("text"), ids)
             n = np.diff(edge) + 1
             k = -(-n // capacity)
@@ -244,7 +243,7 @@ def _pack(capacity: int, round_: int) -> Callable:
         begin = np.concatenate(([0], np.cumsum(fill)))[:-1]
         offset[order] = first - begin[bin_[order]]
         bound = lower_bound(sizes, capacity)
-        pdf["sequence_id"] = (round_ + 1 << 56) + (int(key[0]) << 24) + bin_
+        pdf["sequence_id"] = (round_ + 1 << 48) + (int(key[0]) << 24) + bin_
         pdf["offset"] = offset
         pdf["fill"] = fill[bin_]
         pdf["gap"] = len(fill) - bound
@@ -263,28 +262,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
     small = items.where(F.col("length") < capacity)
     full = items.where(F.col("length") >= capacity)
     # a full piece is a sequence of its own
-    done = [full.select(*cols, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [full.select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rows = small.count()
     parts = max(1, math.ceil(rows / per_partition))
-    seed, found = 0, []
-    for round_ in range(ROUNDS):
-        dealt = small.select(*cols, F.pmod(F.xxhash64(F.lit(seed + round_), "doc_id", "piece", "ids_crc32", "length"), F.lit(parts)).alias("part"))
+    round_, given = 0, None
+    while True:
+        dealt = small.select(*cols, F.pmod(F.xxhash64(F.lit(round_), "doc_id", "piece", "ids_crc32", "length"), F.lit(parts)).alias("part"))
         packed = stored(dealt.groupBy("part").applyInPandas(_pack(capacity, round_), schema), f"packed{round_}")
-        found.append(packed)
         open_ = (F.col("gap") > 0) & (F.col("fill") < F.lit(int(KEPT_FILL * capacity)))
-        last = parts == 1
-        left = packed.where(open_)
-        bins = left.select("sequence_id").distinct().count() if not last else 0
-        if last or bins < 2:
+        first = F.col("offset") == 0           # one item of each bin
+        n = packed.agg(F.count_if(first).alias("bins"), F.count_if(first & open_).alias("open"), F.count_if(open_).alias("rows")).first()
+        if parts == 1 or n["open"] < 2 or (given is not None and given - n["bins"] <= WORTH * given):
             done.append(packed.select(*cols, "sequence_id", "offset"))
             break
-        rows = left.count()
         done.append(packed.where(~open_).select(*cols, "sequence_id", "offset"))
-        small = left
-        # fewer, mixed partitions
-        parts = max(1, min(parts // 2, math.ceil(rows / per_partition)))
-    else:
-        done.append(left.select(*cols, "sequence_id", "offset"))
+        small, given, round_ = packed.where(open_), n["open"], round_ + 1
+        parts = max(1, math.ceil(n["rows"] / per_partition))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
