@@ -87,13 +87,14 @@ def test_dual_feasible_bound_beats_the_sum():
 
 
 def test_rounds_end_when_no_bin_is_freed(spark):
+    from pyspark.sql import functions as F
     # two of these sizes fit a sequence, never three: no round can free a bin
     items = spark.range(6000).select(
         F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
         (1500 + 200 * (F.col("id") % 3)).alias("length"), F.crc32(F.col("id").cast("string").cast("binary")).alias("ids_crc32"))
-    out = P.pack(items, per_partition=300).toPandas()
+    out = packing.pack(items, per_partition=300).toPandas()
     assert sorted(out.doc_id) == list(range(6000))
     used = out.groupby("sequence_id").length.sum()
-    assert used.max() <= P.CAPACITY and 3000 <= len(used) <= 3000 + 20
+    assert used.max() <= packing.CAPACITY and 3000 <= len(used) <= 3000 + 20
     first = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
     assert (first.offset.first() == 0).all()
