@@ -7,6 +7,8 @@ strip to the longest) is one aggregate, joined back as a single row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ def pad_to(arr: Column, n: int | Column, value) -> Column:
     return F.slice(F.concat(arr, fill), 1, n)
 
 
+def pad_to_shape(arr: Column, shape: list[int], value) -> Column:
+    """A1 (n-D): pad a nested array to ``shape``, outer length first; what is
+    longer is cut. Missing inner arrays are filled with ``value``."""
+    if len(shape) == 1:
+        return pad_to(arr, shape[0], value)
+    fill = F.lit(value)
+    for n in reversed(shape[1:]):
+        fill = F.array_repeat(fill, n)
+    rows = F.transform(arr, lambda a: pad_to_shape(a, shape[1:], value))
+    more = F.array_repeat(fill, F.greatest(F.lit(shape[0]) - F.size(arr), F.lit(0)).cast("int"))
+    return F.slice(F.concat(rows, more), 1, shape[0])
+
+
 def pad_arrays(df: DataFrame, col: str, value=0, max_len: int | None = None, depth: int = 1) -> DataFrame:
     """A1: pad every array of ``col`` to the longest one in the frame
     (``max_len`` truncates). ``depth=2`` pads a list of lists: inner lists
@@ -61,9 +76,11 @@ def roll(arr: Column, shift: Column | int) -> Column:
     return F.when(s == 0, arr).otherwise(F.concat(F.slice(arr, n - s + 1, s), F.slice(arr, 1, n - s)))
 
 
-def str_join(arrays: list[Column], sep: str = " ") -> Column:
-    """A5: concatenate arrays, then join their elements as strings."""
-    return F.array_join(F.transform(F.concat(*arrays), lambda x: x.cast("string")), sep)
+def str_join(arrays: list[Column], sep: str | Callable[[Column], Column] = " ") -> Column:
+    """A5: concatenate arrays, then join their elements as strings, by a separator
+    or by a function of the array of strings."""
+    strings = F.transform(F.concat(*arrays), lambda x: x.cast("string"))
+    return sep(strings) if callable(sep) else F.array_join(strings, sep)
 
 
 def masked_align(values: Column, mask: Column) -> Column:

@@ -29,6 +29,7 @@ Measure names (N1), all case sensitive:
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -237,6 +238,30 @@ def list_keys(run: DataFrame) -> list[str]:
     return [c for c in ("system", "qid", "vid") if c in run.columns]
 
 
+def _library_ideals(judged: DataFrame, keys: list[str], forms: list[tuple[int, int]]) -> DataFrame:
+    """Ideal library DCG of each list for (cut-off, method) pairs, from its counts
+    of grades: the documents of one grade take consecutive ranks, so each grade
+    adds itself times a difference of discount sums, and nothing is sorted but a
+    list's distinct grades."""
+    counts = judged.groupBy(*keys, F.coalesce(F.col("rel"), F.lit(0)).alias("_g")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_to", F.sum("_n").over(w)).withColumn("_from", F.col("_to") - F.col("_n"))
+    sums = []
+    for k, method in forms:
+        total = [0.0]
+        for i in range(1, k + 1):
+            total.append(total[-1] + (1.0 / math.log2(i + 1) if method else 1.0 if i == 1 else 1.0 / math.log2(i)))
+        table = F.array(*[F.lit(x) for x in total])
+        upto = lambda c: F.get(table, F.least(F.col(c), F.lit(k)).cast("int"))  # noqa: B023, E731
+        sums.append(F.sum(F.col("_g") * (upto("_to") - upto("_from"))).alias(f"_ilib_{k}_{method}"))
+    return counts.groupBy(*keys).agg(*sums)
+
+
+def topic_id(qid: Column) -> Column:
+    """M7: gdeval's topic of an id, the text after its last ``-``."""
+    return F.substring_index(qid.cast("string"), "-", -1)
+
+
 def _cut_only(measures: list[Measure]) -> int | None:
     """Largest cut-off when every measure only looks at the first k ranks."""
     full = {"RBP", "AP_LIB", "RPREC_LIB"}
@@ -289,16 +314,10 @@ def evaluate_wide(run: DataFrame, qrels: DataFrame, measures: list[str],
         aggs.update(_measure_aggs(m))
     per_list = ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
-    # library NDCG: ideal from the retrieved list re-sorted by grade
+    # library NDCG: ideal of the retrieved list re-sorted by grade
     lib = sorted({(m.k, m.method) for m in ms if m.kind == "NDCG_LIB"})
     if lib:
-        kmax = max(k for k, _ in lib)
-        g = F.coalesce(F.col("rel"), F.lit(0)).cast("double")
-        best = top_k(judged, keys, [g.desc(), F.col("did")], kmax, "rank")
-        ilib = best.groupBy(*keys).agg(*[
-            F.sum(F.when(F.col("rank") <= k, _lib_dcg_term(meth, F.col("rank"), g)).otherwise(0.0))
-            .alias(f"_ilib_{k}_{meth}") for k, meth in lib])
-        per_list = per_list.join(ilib, keys, "left")
+        per_list = per_list.join(_library_ideals(judged, keys, lib), keys, "left")
 
     summary = qrels_summary(qrels, ms)
     per_list = per_list.join(summary, "qid", "inner")
@@ -312,13 +331,22 @@ def evaluate_wide(run: DataFrame, qrels: DataFrame, measures: list[str],
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, measures: list[str],
-             tie: str = "docno_desc", topics: str = "run") -> DataFrame:
+             tie: str = "docno_desc", topics: str = "run", queries: DataFrame | None = None,
+             gdeval_topics: bool = False) -> DataFrame:
     """Long table (keys…, metric, value, residual).
 
+    ``queries`` (qid, or system and qid): those of them that a run has no list
+    for, say because a filter left no variant, score 0 under their own id.
+    ``gdeval_topics`` reads ids of runs and judgments as gdeval does, by
+    :func:`topic_id`.
+
     ``topics="run"`` scores queries in run ∩ qrels; ``"qrels"`` (M10) also
     gives every judged query missing from a system's run the value 0."""
     measures = expand_measures(measures)
     ms = [parse_measure(x) for x in measures]
+    if gdeval_topics:
+        run, qrels = run.withColumn("qid", topic_id(F.col("qid"))), qrels.withColumn("qid", topic_id(F.col("qid")))
+        queries = queries if queries is None else queries.withColumn("qid", topic_id(F.col("qid")))
     wide = evaluate_wide(run, qrels, measures, tie)
     keys = list_keys(run)
     pairs = []
@@ -327,11 +355,26 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures: list[str],
         pairs.append(f"'{m.name}', `{m.name}`, {res}")
     expr = f"stack({len(ms)}, {', '.join(pairs)}) AS (metric, value, residual)"
     long = wide.selectExpr(*keys, expr).where(F.col("value").isNotNull())
+    if queries is not None:
+        long = long.unionByName(_without_list(run, queries, keys, ms))
     if topics == "qrels":
         long = fill_missing_topics(long, qrels, ms)
     return long
 
 
+def _without_list(run: DataFrame, queries: DataFrame, keys: list[str], ms: list[Measure]) -> DataFrame:
+    """Rows of value 0 for the queries that a run has no list for."""
+    ids = ["system", "qid"] if "system" in keys else ["qid"]
+    asked = queries.select(*[c for c in ids if c in queries.columns]).distinct()
+    if "system" in keys and "system" not in queries.columns:
+        asked = run.select("system").distinct().crossJoin(asked)        # systems are few
+    none = asked.select(*ids).join(run.select(*ids).distinct(), ids, "left_anti")
+    metric = F.explode(F.array(*[F.lit(m.name) for m in ms])).alias("metric")
+    own = {"vid": F.col("qid").cast("string").alias("vid")}
+    return none.select(*[own.get(k, F.col(k)) for k in keys], metric).withColumns(
+        {"value": F.lit(0.0), "residual": F.lit(None).cast("double")})
+
+
 def fill_missing_topics(long: DataFrame, qrels: DataFrame, ms: list[Measure]) -> DataFrame:
     """Every (system, metric) gets every topic of the qrels (gdeval:
     topics with a positive grade); a missing topic scores 0."""

@@ -175,17 +175,24 @@ def build_vocab(stats: DataFrame, specials: int = 3) -> DataFrame:
 
 
 def encode_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, max_length: int,
-                  pad_id: int = 0, unk_id: int = 1, start_id: int | None = 2) -> DataFrame:
-    """Tokens → ids (unknown → unk_id), optional start id, truncated to
-    max_length and padded with pad_id (A1). Output (key, ids)."""
+                  pad_id: int = 0, unk_id: int = 1, start_id: int | None = 2, end_id: int | None = None) -> DataFrame:
+    """Tokens → ids (unknown → unk_id), optional start and end id, truncated
+    to max_length and padded with pad_id (A1). Truncation takes tokens, never the
+    special ids. Output (key, ids)."""
     ex = explode_tokens(df, key, tokens)
     ids = ex.join(vocab, "term", "left").withColumn("term_id", F.coalesce("term_id", F.lit(unk_id)))
     seq = ids.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term_id"))),
                                            lambda s: s["term_id"]).alias("_ids"))
     seq = df.select(key).join(seq, key, "left").withColumn(
         "_ids", F.coalesce("_ids", F.array().cast(T.ArrayType(T.IntegerType()))))
+    special = [x for x in (start_id, end_id) if x is not None]
+    if len(special) > max_length:
+        raise ValueError(f"max_length {max_length} has no room for {len(special)} special ids")
+    seq = seq.withColumn("_ids", F.slice("_ids", 1, max_length - len(special)))
     if start_id is not None:
         seq = seq.withColumn("_ids", F.concat(F.array(F.lit(start_id)), F.col("_ids")))
+    if end_id is not None:
+        seq = seq.withColumn("_ids", F.concat(F.col("_ids"), F.array(F.lit(end_id))))
     from .arrays import pad_to
     return seq.select(key, pad_to(F.col("_ids"), max_length, pad_id).alias("ids"))
 

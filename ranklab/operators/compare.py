@@ -8,29 +8,27 @@ depth d counts it for every d >= m. Hence
     H(n)    = Σ_{d<=n} (1-p) p^(d-1) / d            (p < 1)
 
 and for p = 1 the average overlap (1/K) Σ_shared (Σ_{d=m..K} 1/d). H is a
-small table over d = 1..max(k) per p (broadcast, bounded by the grid), so
-no document pairs and no per-depth rows are produced.
+table over d = 0..max(k) per p, a literal array bounded by the grid. Both runs are
+ranked in one pass; a query's shared ranks (max(k) at most) are one array, and all
+cells of the grid are computed in its row: no join, no pairs, no per-depth rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rank import score_order, top_k
 
 
-def _prefix_table(spark, kmax: int, ps: Sequence[float]) -> DataFrame:
-    d = spark.range(1, kmax + 1).select(F.col("id").cast("int").alias("d"))
-    p = spark.createDataFrame([(float(x),) for x in ps], "p double")
-    term = F.when(F.col("p") >= 1.0, 1.0 / F.col("d")).otherwise(
-        (1 - F.col("p")) * F.pow(F.col("p"), F.col("d") - 1.0) / F.col("d"))
-    w = Window.partitionBy("p").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    h = d.crossJoin(p).withColumn("H", F.sum(term).over(w)).select("p", "d", "H")
-    zero = p.select("p", F.lit(0).alias("d"), F.lit(0.0).alias("H"))
-    return h.unionByName(zero)
+def _prefix_sums(kmax: int, p: float) -> list[float]:
+    """H(0..kmax) of one persistence."""
+    out = [0.0]
+    for d in range(1, kmax + 1):
+        out.append(out[-1] + (1 / d if p >= 1 else (1 - p) * p ** (d - 1) / d))
+    return out
 
 
 def rbo(base: DataFrame, other: DataFrame, ks: Sequence[int], ps: Sequence[float],
@@ -38,32 +36,29 @@ def rbo(base: DataFrame, other: DataFrame, ks: Sequence[int], ps: Sequence[float
     """Rank-biased overlap (extrapolated) of ``other`` against ``base``
     per query, for every (k, p); mean over the union of queries where a
     query missing on either side scores 0 (J4)."""
-    spark = base.sparkSession
     kmax = max(ks)
-    order = score_order("score", tie)
-    a = top_k(base.select("qid", "did", "score"), ["qid"], order, kmax, "ra")
-    b = top_k(other.select("qid", "did", "score"), ["qid"], order, kmax, "rb")
-    na = base.groupBy("qid").agg(F.count("*").alias("na"))
-    nb = other.groupBy("qid").agg(F.count("*").alias("nb"))
-    grid = spark.createDataFrame([(int(k), float(p)) for k in ks for p in ps], "k int, p double")
-    dims = na.join(nb, "qid").crossJoin(F.broadcast(grid)) \
-        .withColumn("K", F.least("na", "nb", "k").cast("int"))
-    shared = a.join(b, ["qid", "did"]).select("qid", F.greatest("ra", "rb").alias("m"))
-    h = F.broadcast(_prefix_table(spark, kmax, ps))  # kmax x |p| rows
-    hk = h.select("p", F.col("d").alias("K"), F.col("H").alias("HK"))
-    hm = h.select("p", F.col("d").alias("m1"), F.col("H").alias("Hm"))
-    contrib = (shared.join(dims, "qid").where(F.col("m") <= F.col("K"))
-               .withColumn("m1", F.col("m") - 1)
-               .join(hk, ["p", "K"]).join(hm, ["p", "m1"])
-               .groupBy("qid", "k", "p", "K").agg(F.sum(F.col("HK") - F.col("Hm")).alias("s"),
-                                                  F.count("*").alias("X")))
-    per = dims.join(contrib, ["qid", "k", "p", "K"], "left").na.fill(0, ["s", "X"])
-    val = F.when(F.col("p") >= 1.0, F.col("s") / F.col("K")).otherwise(
-        F.col("s") + F.col("X") / F.col("K") * F.pow(F.col("p"), F.col("K")))
-    per = per.select("qid", "k", "p", val.alias("rbo"))
-    topics = base.select("qid").union(other.select("qid")).distinct()
-    full = topics.crossJoin(F.broadcast(grid)).join(per, ["qid", "k", "p"], "left") \
-        .withColumn("rbo", F.coalesce("rbo", F.lit(0.0)))
+    both = base.select("qid", "did", "score", F.lit(0).alias("_side")).unionByName(
+        other.select("qid", "did", "score", F.lit(1).alias("_side")))
+    top = top_k(both, ["_side", "qid"], score_order("score", tie), kmax, "_r")
+    # a document that a run repeats counts with its best rank
+    rank = lambda side: F.min(F.when(F.col("_side") == side, F.col("_r")))
+    rows = lambda side: F.count_if(F.col("_side") == side)
+    docs = top.groupBy("qid", "did").agg(rank(0).alias("_ra"), rank(1).alias("_rb"), rows(0).alias("_na"), rows(1).alias("_nb"))
+    lists = docs.groupBy("qid").agg(
+        F.sum("_na").alias("_na"), F.sum("_nb").alias("_nb"),
+        F.array_sort(F.collect_list(F.when(F.col("_ra").isNotNull() & F.col("_rb").isNotNull(), F.greatest("_ra", "_rb")))).alias("_m"))
+    sums = {float(p): F.array(*[F.lit(x) for x in _prefix_sums(kmax, float(p))]) for p in ps}
+    lists = lists.withColumns({f"_h{i}": h for i, h in enumerate(sums.values())})
+
+    def cell(k: int, p: float, h: str) -> Column:
+        depth = F.least("_na", "_nb", F.lit(k)).cast("int")
+        shared = F.filter("_m", lambda m: m <= depth)
+        total = F.aggregate(shared, F.lit(0.0), lambda acc, m: acc + F.get(h, depth) - F.get(h, m.cast("int") - 1))
+        value = total / depth if p >= 1 else total + F.size(shared) / depth * F.pow(F.lit(p), depth)
+        return F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.when(depth > 0, value).otherwise(F.lit(0.0)).alias("rbo"))
+
+    cells = F.explode(F.array(*[cell(int(k), p, f"_h{i}") for k in ks for i, p in enumerate(sums)]))
+    full = lists.select("qid", cells.alias("_c")).select("qid", "_c.*")
     if per_query:
         return full
     return full.groupBy("k", "p").agg(F.avg("rbo").alias("rbo"))

@@ -145,13 +145,18 @@ def working_set(run: DataFrame) -> DataFrame:
 
 
 def relevance_model(run: DataFrame, corpus: DataFrame, ndocs: int = 10, stopwords: DataFrame | None = None,
-                    text: str = "text", index: dict | None = None) -> DataFrame:
+                    text: str = "text", index: dict | None = None, probabilities: bool = False) -> DataFrame:
     """RM1 from the top ``ndocs`` documents of each query: document weights
     softmax(score) (computed as exp(s − max s)), P(t) = Σ_d w_d·tf/len, then
-    stop words removed and the distribution renormalised. (qid, term, p)."""
+    stop words removed and the distribution renormalised. (qid, term, p).
+    With ``probabilities`` the scores are weights already: they are normalised
+    as they stand, and a negative one stops the job."""
     top = top_k(run, ["qid"], [F.col("score").desc(), F.col("did")], ndocs, "_r")
     wq = Window.partitionBy("qid")
-    z = F.exp(F.col("score") - F.max("score").over(wq))
+    if probabilities:
+        z = F.when(F.col("score") < 0, F.raise_error(F.lit("a document's probability is negative")).cast("double")).otherwise(F.col("score").cast("double"))
+    else:
+        z = F.exp(F.col("score") - F.max("score").over(wq))
     w = top.withColumn("_z", z).withColumn("w", F.col("_z") / F.sum("_z").over(wq)).select("qid", "did", "w")
     if index is not None:
         post = index["post"]

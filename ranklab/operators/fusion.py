@@ -86,19 +86,25 @@ def simplex_weights(spark, systems: Sequence[str], step: float = 0.1) -> DataFra
 
 def fuse_linear_sweep(runs: DataFrame, systems: Sequence[str], step: float = 0.1) -> DataFrame:
     """F2 for every weight vector of the simplex grid, keyed by
-    ``weights`` (e.g. ``0.3_0.7``). The grid is small and broadcast; each
-    document's per-system contributions are computed once and combined
-    with every weight vector."""
+    ``weights`` (e.g. ``0.3_0.7``). A document's contributions, one per system, are
+    gathered in one row first; the weight vectors, few and broadcast, meet these
+    rows behind the shuffles that need the run itself."""
     spark = runs.sparkSession
-    grid = broadcast_if_small(simplex_weights(spark, systems, step))
-    mins = runs.groupBy("system", "qid").agg(F.min("score").alias("_min"))
-    base = mins.join(grid, "system").groupBy("weights", "qid") \
-        .agg(F.sum(F.col("weight") * F.col("_min")).alias("_base"))
-    per = runs.join(mins, ["system", "qid"]).select("system", "qid", "did", (F.col("score") - F.col("_min")).alias("_x"))
-    delta = per.join(grid, "system").groupBy("weights", "qid", "did") \
-        .agg(F.sum(F.col("weight") * F.col("_x")).alias("_d"))
-    fused = delta.join(base, ["weights", "qid"]).select("weights", "qid", "did",
-                                                       (F.col("_base") + F.col("_d")).alias("score"))
+    grid = simplex_weights(spark, systems, step)
+    vectors = broadcast_if_small(grid.groupBy("weights").agg(
+        *[F.max(F.when(F.col("system") == s, F.col("weight"))).alias(f"_w{i}") for i, s in enumerate(systems)]))
+    of = lambda s, x, agg: agg(F.when(F.col("system") == s, x))
+    wanted = runs.where(F.col("system").isin(list(systems)))
+    mins = wanted.groupBy("qid").agg(*[of(s, F.col("score"), F.min).alias(f"_m{i}") for i, s in enumerate(systems)])
+    docs = wanted.groupBy("qid", "did").agg(
+        *[of(s, F.col("score"), F.sum).alias(f"_s{i}") for i, s in enumerate(systems)],
+        *[F.count_if(F.col("system") == s).alias(f"_n{i}") for i, s in enumerate(systems)])
+    rows = docs.join(mins, "qid")
+    # minimum of the query, plus what each of the document's rows has above it
+    part = lambda i: F.coalesce(F.col(f"_m{i}") + F.coalesce(F.col(f"_s{i}") - F.col(f"_n{i}") * F.col(f"_m{i}"), F.lit(0)), F.lit(0))
+    rows = rows.select("qid", "did", *[part(i).alias(f"_x{i}") for i in range(len(systems))])
+    score = sum((F.col(f"_w{i}") * F.col(f"_x{i}") for i in range(len(systems))), F.lit(0.0))
+    fused = rows.crossJoin(vectors).select("weights", "qid", "did", score.alias("score"))
     ranked = rank_rows(fused, ["weights", "qid"], _fused_order(), "rank", hot=hot_bound(runs, ["qid"]))
     return ranked.select("weights", "qid", "did", "rank", F.round("score", 5).alias("score"))
 

@@ -212,14 +212,18 @@ def oracle_run(qrels: DataFrame, min_rel: int = 1, score_type: str = "zero",
 
 
 def filter_oracle_run(run: DataFrame, qrels: DataFrame, n: int, min_rel: int = 1,
-                      tie: str = "docno_desc") -> DataFrame:
+                      tie: str = "docno_desc", score_type: str = "run") -> DataFrame:
     """Per query, the first n documents (run order) with grade >= min_rel;
     when too few, min_rel is relaxed step by step down to 0. Unjudged and
     negative documents never qualify. Output keeps run order, new ranks and
-    tag ``rel{g}`` of the level at which the document was taken.
+    tag ``rel{g}`` of the document's grade. ``score_type``: ``run`` keeps the
+    run's scores, ``uniform`` gives 0, ``relevance`` the grade.
 
     Equivalent single pass: order by least(rel, min_rel) desc, run rank; keep n.
     """
+    scores = {"run": F.col("score"), "uniform": F.lit(0.0), "relevance": F.col("rel").cast("double")}
+    if score_type not in scores:
+        raise ValueError(f"score_type is one of {', '.join(scores)}, got {score_type!r}")
     keys = [c for c in ("system", "qid") if c in run.columns]
     ranked = rerank(run, tie, keys, "_run_rank")
     judged = (ranked.join(qrels.select("qid", "did", "rel"), ["qid", "did"], "left")
@@ -227,7 +231,7 @@ def filter_oracle_run(run: DataFrame, qrels: DataFrame, n: int, min_rel: int = 1
     lvl = F.least(F.col("rel"), F.lit(min_rel))
     kept = top_k(judged.withColumn("_lvl", lvl), keys, [F.col("_lvl").desc(), F.col("_run_rank")], n, "_pick")
     w = Window.partitionBy(*keys).orderBy("_run_rank")
-    return kept.select(*keys, "did", "score", F.row_number().over(w).alias("rank"),
+    return kept.select(*keys, "did", scores[score_type].alias("score"), F.row_number().over(w).alias("rank"),
                        F.concat(F.lit("rel"), F.col("rel").cast("string")).alias("tag"))
 
 

@@ -102,10 +102,10 @@ def score_distribution_by_rel(runs: DataFrame, qrels: DataFrame, bins: int = 10,
                            ("system", "rel"), "probability")
 
 
-def rank_flow(runs: DataFrame, k: int) -> DataFrame:
+def rank_flow(runs: DataFrame, k: int, systems: Sequence[str] | None = None) -> DataFrame:
     """V6: number of documents per tuple of ranks across systems, all <= k."""
     from .select import rank_alignment
-    wide = rank_alignment(runs, k)
+    wide = rank_alignment(runs, k, systems=systems)
     systems = [c for c in wide.columns if c not in ("qid", "did")]
     return wide.groupBy(*systems).agg(F.count("*").alias("count"))
 

@@ -161,10 +161,12 @@ def append_missing_relevant(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return base.unionByName(extra)
 
 
-def rank_alignment(runs: DataFrame, k: int, tie: str = "docno_desc") -> DataFrame:
+def rank_alignment(runs: DataFrame, k: int, tie: str = "docno_desc", systems: Sequence[str] | None = None) -> DataFrame:
     """Rank of each document in every system, kept when it is within
-    the top k of ALL systems. Top-k is cut before the pivot (skew-safe)."""
-    systems = [r["system"] for r in runs.select("system").distinct().orderBy("system").collect()]
+    the top k of ALL systems. Top-k is cut before the pivot (skew-safe).
+    The systems become columns; without ``systems`` a job reads their names."""
+    if systems is None:
+        systems = [r["system"] for r in runs.select("system").distinct().orderBy("system").collect()]
     top = top_k(runs, ["system", "qid"], [F.col("score").desc()] + _tie(tie), k)
     wide = top.groupBy("qid", "did").pivot("system", systems).agg(F.first("rank"))
     cond = F.lit(True)
@@ -191,8 +193,11 @@ def sweep_grid(**params: Sequence) -> DataFrame:
 
 # -- U: set operations -------------------------------------------------------
 
-def concat_systems(frames: dict[str, DataFrame]) -> DataFrame:
-    """Stack frames with a system key."""
+def concat_systems(frames: dict[str, DataFrame] | Sequence[DataFrame]) -> DataFrame:
+    """Stack frames with a system key; frames without names are ``Sys1``,
+    ``Sys2``, ... in their order."""
+    if not isinstance(frames, dict):
+        frames = {f"Sys{i}": df for i, df in enumerate(frames, 1)}
     out = None
     for name, df in frames.items():
         d = df.withColumn("system", F.lit(name))

@@ -325,7 +325,7 @@ SELECT a, b, c, count(*) AS count FROM w WHERE a IS NOT NULL AND b IS NOT NULL A
 def rank_flow(spark, sf_dir):
     """V6 + J3: documents in the top 10 of all three systems, counted per
     tuple of ranks."""
-    out = RP.rank_flow(V.runs(spark, sf_dir), 10)
+    out = RP.rank_flow(V.runs(spark, sf_dir), 10, ("a", "b", "c"))
     return out.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"),
                       F.col("c").cast("bigint").alias("c"), "count")
 
