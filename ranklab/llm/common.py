@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +51,27 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """An operator's module keeps something in Python workers between tasks;
+    ``forget`` releases it."""
+    _forget[owner] = forget
+
+
+def turn_of(owner: str) -> None:
+    """Called where a task's Python code begins: what another operator kept in this
+    worker is released, so a chain of stages needs no more memory than its largest."""
+    if _owner[0] != owner:
+        for other, forget in _forget.items():
+            if other != owner:
+                forget()
+        pa.default_memory_pool().release_unused()
+        _owner[0] = owner
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

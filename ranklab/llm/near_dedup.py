@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, packed, row_key, slices, stored, table, text_or_empty
+from .common import discard, packed, row_key, slices, stored, table, text_or_empty, turn_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -160,6 +160,7 @@ def document_counts(parts: DataFrame, size: int) -> DataFrame:
     ranges = max(1, min(size >> 17, 2048), size >> 22)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("near_dedup")
         for batch in batches:
             part = batch.column("part").to_numpy()
             order = np.argsort(part, kind="stable")
@@ -175,6 +176,7 @@ def document_counts(parts: DataFrame, size: int) -> DataFrame:
                                            _blobs(n.astype(np.uint32), at)], names=["range", "part", "hash", "n"])
 
     def summed(group: pa.Table) -> pa.Table:
+        turn_of("near_dedup")
         h, n = _joined(group["hash"], np.uint64), _joined(group["n"], np.uint32)
         size = pc.binary_length(group["hash"]).to_numpy() // 8
         _, own = np.unique(h, return_inverse=True)
@@ -269,6 +271,7 @@ def _signed(total: int, id_type: pa.DataType) -> Callable:
                         ("counts", pa.binary())])
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        turn_of("near_dedup")
         known = Frequencies(total, _joined(counts["hash"], np.uint64), _joined(counts["n"], np.uint32))
         out = []
         for b in slices(iter(docs.combine_chunks().to_batches()), "_t"):
@@ -302,6 +305,7 @@ def similarities(a: pa.Array, b: pa.Array, na: np.ndarray, nb: np.ndarray, total
 
 def _verified(total: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("near_dedup")
         for b in slices(batches, "ta"):
             s = similarities(b.column("ta"), b.column("tb"), _joined(b.column("na"), np.uint32), _joined(b.column("nb"), np.uint32), total)
             yield b.select(["a", "b"]).filter(pa.array(s >= threshold - 1e-9))

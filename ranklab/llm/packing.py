@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_or_empty
+from .common import keeps, slices, stored, table, text_or_empty, turn_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -127,6 +127,9 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
+keeps("packing", chunk_ids.cache_clear)
+
+
 def text_ids(texts: pa.Array, ids: ChunkIds) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a slice of texts, and where each text's ids begin (one more at the end)."""
     cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -145,6 +148,7 @@ def _pieces(path: str, capacity: int, end_id: int, id_type: pa.DataType) -> Call
                         ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("packing")
         ids = chunk_ids(path)
         tail = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, limit=READ):

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_or_empty
+from .common import keeps, slices, stored, table, text_or_empty, turn_of
 
 MAX_TOXIC, MAX_OTHER = 3000, 6000      # training rows at most
 CANDIDATES = 4000                      # candidate strings at most
@@ -143,6 +143,9 @@ class _Seen:
 _seen: dict[tuple, _Seen] = {}         # of one model: a worker's tasks share it
 
 
+keeps("toxicity", _seen.clear)
+
+
 def _seen_of(landmarks: list[str]) -> _Seen:
     key = tuple(landmarks)
     if key not in _seen:
@@ -282,6 +285,7 @@ class Model:
 def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, pos, neg): in how many toxic and other texts words and their
     beginnings occur."""
+    turn_of("toxicity")
     count = {0: Counter(), 1: Counter()}
 
     def out():
@@ -418,6 +422,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     model.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
 
     def features(batches):
+        turn_of("toxicity")
         for b in slices(batches, limit=READ):
             f = model.features(b.column("text"))
             yield pa.record_batch([b.column("toxic"), pa.array([x.tobytes() for x in f], pa.binary())], names=["toxic", "f"])
@@ -436,6 +441,7 @@ def _scored(model: Model, id_type: pa.DataType) -> Callable:
     schema = pa.schema([("doc_id", id_type), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_of("toxicity")
         for b in slices(batches, limit=READ):
             s = model.scores(model.features(b.column("text")))
             yield pa.record_batch([b.column("doc_id").cast(id_type), pa.array(s.astype(float))], schema=schema)
@@ -456,6 +462,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model doesn't reject."""
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        turn_of("toxicity")
         for t in texts:
             parts = [model.scores(model.features(b.column(0))).astype(float)
                      for b in slices(iter([pa.record_batch([t], names=["text"])]), limit=READ)]
