@@ -12,12 +12,12 @@ its strings cover.
 2. Contexts that occur more than once are repeated as a whole: their members need
    no comparison, however many there are.
 3. Of each context one is kept, and anchors with several contexts are compared:
-   their bytes are fetched, dealt by anchor, and the starts are sorted as suffixes
-   (prefix doubling on the bytes themselves, cut at LENGTH). In this order equal
-   strings are neighbours; a start whose previous or next smaller position shares
-   LENGTH bytes has a longest previous factor of LENGTH at least, that is, an
-   earlier copy. ``keep_first`` removes those only; without it every start that
-   shares LENGTH bytes with a neighbour on either side is removed.
+   their bytes are fetched, dealt by anchor, and the starts are ranked by their
+   LENGTH bytes (prefix doubling). In the order of rank and place equal strings are
+   neighbours: ``keep_first`` removes a start whose neighbour before it is equal,
+   that is, an earlier copy; without it an equal neighbour on either side is
+   enough. No longest-previous-factor array and no previous or next smaller
+   positions are computed: whether LENGTH bytes agree is all that is asked.
 4. An anchor with more than HOT contexts (a common phrase in ever new
    surroundings) isn't sorted in one task. Its contexts are cut into parts of PART
    starts at fixed distances from the anchor. The bytes that all strings of a part
