@@ -11,8 +11,9 @@ behind a size check) and scores them in three steps:
    terms are scored on these; the k-th best such score is a score that k documents
    reach.
 2. The last terms, whose bounds together don't reach that score, can't bring a new
-   document in. Documents of all other terms are summed on these; those that reach the
-   k-th best sum only with more than the last terms' bounds are out.
+   document in. Documents of all other terms are summed on these, in the tasks that
+   hold the documents, and leave them only if they can reach that score; those that
+   reach the k-th best sum only with more than the last terms' bounds are out.
 3. The documents left get the last terms' scores: they alone are scored in full.
 """
 
@@ -66,6 +67,7 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 SEEDS = 4            # documents per wanted result that the best terms hold together
+PAIRS = 1 << 22      # hits of a task that sums documents
 
 
 def _term_score(model: str, ix: dict, k1: float, b: float, mu: float):
@@ -102,14 +104,17 @@ def retrieve(queries: DataFrame, corpus: DataFrame, model: str = "bm25", k: int
     qt = qt.select("*", F.row_number().over(best).alias("pos"), F.sum("bound").over(rest).alias("reach"),
                    (F.sum("df").over(best) - F.col("df")).alias("before"))
     qt = write_once(qt, "query-terms")
-    hits = ix["post"].join(broadcast_if_small(qt.select("qid", "term", "qtf", "df", "ctf", "ql", "pos", "before")), "term")
-    if working_set is not None:
-        hits = hits.join(working_set.select("qid", "did").distinct(), ["qid", "did"], "left_semi")
-    hits = write_once(hits.select("qid", "did", "pos", (F.col("before") < SEEDS * k).alias("seed"), score(F.col("tf"), F.col("dl")).alias("c"),
-                                  own(F.col("dl"), F.col("ql")).alias("own")), "hits")
 
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("qid", "did").agg(F.sum("c").alias("c"), F.first("own").alias("own"))
+    def hits(post: DataFrame, terms: DataFrame, *more: str) -> DataFrame:
+        """Contributions of ``terms`` in ``post``; columns ``more`` of the terms are kept.
+        Never stored: they are as many as documents times queries."""
+        h = post.join(broadcast_if_small(terms.select("qid", "term", "qtf", "df", "ctf", "ql", *more)), "term")
+        if working_set is not None:
+            h = h.join(working_set.select("qid", "did").distinct(), ["qid", "did"], "left_semi")
+        return h.select("qid", "did", score(F.col("tf"), F.col("dl")).alias("c"), own(F.col("dl"), F.col("ql")).alias("own"), *more)
+
+    def summed(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.groupBy("qid", "did").agg(F.sum("c").alias("c"), F.first("own").alias("own"), *[F.first(x).alias(x) for x in more])
 
     def reached(sums: DataFrame, name: str) -> DataFrame:
         """The k-th best score, a little less for rounding; none for queries with fewer documents."""
@@ -117,23 +122,29 @@ def retrieve(queries: DataFrame, corpus: DataFrame, model: str = "bm25", k: int
         least = F.col("s") - F.abs("s") * 1e-9 - 1e-9
         return top.where(F.col("r") == k).select("qid", least.alias(name))
 
-    first = reached(summed(hits.where("seed")), "least")
+    first = write_once(reached(summed(hits(ix["post"], qt.where(F.col("before") < SEEDS * k))), "least"), "least")
     free = own(F.lit(ix["least"]), F.col("ql")) if model == "ql" else F.lit(0.0)
     last = qt.join(first, "qid").where(F.col("reach") + free < F.col("least"))
-    last = last.groupBy("qid").agg(F.min("pos").alias("cut"), F.max("reach").alias("reach"))
-    last = write_once(last, "last-terms")
-    marked = hits.join(broadcast_if_small(last), "qid", "left").withColumn("late", F.coalesce(F.col("pos") >= F.col("cut"), F.lit(False)))
-    sums = marked.where("NOT late").groupBy("qid", "did").agg(
-        F.sum("c").alias("c"), F.first("own").alias("own"), F.coalesce(F.first("reach"), F.lit(0.0)).alias("reach"))
-    sums = write_once(sums, "sums")
+    last = last.groupBy("qid").agg(F.min("pos").alias("cut"), F.max("reach").alias("tail"))
+    qt = qt.join(first, "qid", "left").join(last, "qid", "left").withColumn("late", F.coalesce(F.col("pos") >= F.col("cut"), F.lit(False)))
+    qt = write_once(qt.withColumn("tail", F.coalesce("tail", F.lit(0.0))), "query-terms")
+
+    # Dealt by document, the sums need no other shuffle, and only pairs that can
+    # reach the first bound leave a task. A task has some PAIRS hits whatever the tables.
+    n_hits = qt.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    parts = max(ix["post"].sparkSession.sparkContext.defaultParallelism, n_hits // PAIRS)
+    early = qt.where("NOT late")
+    dealt = ix["post"].join(broadcast_if_small(early.select("term").distinct()), "term", "left_semi").repartition(parts, "did")
+    sums = summed(hits(dealt, early, "tail", "least"), "tail", "least")
+    sums = write_once(sums.where(F.col("least").isNull() | (F.col("c") + F.col("own") + F.col("tail") >= F.col("least"))).drop("least"), "sums")
     second = reached(sums, "least")
     left = sums.join(broadcast_if_small(second), "qid", "left")
-    left = left.where(F.col("least").isNull() | (F.col("c") + F.col("own") + F.col("reach") >= F.col("least")))
+    left = left.where(F.col("least").isNull() | (F.col("c") + F.col("own") + F.col("tail") >= F.col("least")))
     left = write_once(left.select("qid", "did", "c", "own"), "left")
-    late = marked.where("late").join(broadcast_if_small(left.select("qid", "did")), ["qid", "did"], "left_semi")
+    late = hits(ix["post"], qt.where("late")).join(broadcast_if_small(left.select("qid", "did")), ["qid", "did"], "left_semi")
     full = left.unionByName(late.select("qid", "did", "c", "own"))
     if trace is not None:
-        trace |= {"matching": hits.select("qid", "did").distinct(), "scored": left.select("qid", "did")}
+        trace |= {"matching": hits(ix["post"], qt).select("qid", "did").distinct(), "scored": left.select("qid", "did")}
     scored = summed(full).select("qid", "did", (F.col("c") + F.col("own")).alias("score"))
     return top_k(scored, ["qid"], [F.round("score", 9).desc(), F.col("did")], k, "rank") \
         .select("qid", "did", "rank", "score")
@@ -159,7 +170,8 @@ def relevance_model(run: DataFrame, corpus: DataFrame, ndocs: int = 10, stopword
         z = F.exp(F.col("score") - F.max("score").over(wq))
     w = top.withColumn("_z", z).withColumn("w", F.col("_z") / F.sum("_z").over(wq)).select("qid", "did", "w")
     if index is not None:
-        post = index["post"]
+        from ..session import materialize as write_once
+        post, w = index["post"], broadcast_if_small(write_once(w, "weights"))      # so that its size is known
     else:
         post = postings(corpus.join(w.select("did").distinct(), "did", "left_semi"), text).where(F.col("term").isNotNull())
     j = w.join(post, "did")
