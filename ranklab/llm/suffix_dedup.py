@@ -320,7 +320,8 @@ def _hot_ranges(contexts: DataFrame, length: int, keep_first: bool, name: str, a
     wholes = stored(parts.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(spot).alias("first"), F.first("bytes").alias("bytes")), "wholes")
     equal = parts.join(wholes.where("n > 1").select("core", "whole", "first"), ["core", "whole"])
     several = wholes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
-    strings = wholes.join(several, "core").select("first.*", "bytes").mapInArrow(_strings(length, at), f"w binary, doc_id {name}, k int, lo long")
+    strings = stored(wholes.join(several, "core").select("first.*", "bytes")
+                           .mapInArrow(_strings(length, at), f"w binary, doc_id {name}, k int, lo long"), "strings")
     twice = strings.groupBy("w").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1").drop("n")
     single = strings.join(twice, "w")
     if keep_first:

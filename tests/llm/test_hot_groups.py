@@ -1,7 +1,7 @@
 """Large groups: a passage that many texts share, strings of a common phrase."""
 import random
 
-from ranklab.llm import common, near_dedup
+from ranklab.llm import common, near_dedup, suffix_dedup
 
 
 def counted(monkeypatch, module, rows):
@@ -62,3 +62,18 @@ def test_a_stored_table_leaves_no_setting_behind(spark):
     before = spark.conf.get(common.FREED)
     assert common.stored(spark.range(100).repartition(4, "id"), "t").count() == 100
     assert spark.conf.get(common.FREED) == before
+def test_strings_of_hot_anchors_are_made_once(spark, monkeypatch):
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    phrase = prose(120)
+    texts = [prose(150) + phrase + prose(150) for _ in range(30)]
+    texts += [t[60:-60] for t in texts[:5]]
+    rows = {}
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    counted(monkeypatch, suffix_dedup, rows)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, keep_first=False).collect()}
+    assert [got[i] for i in range(35)] == [len(texts[0]) - 120] * 5 + [0] * 25 + [len(texts[0]) - 120] * 5
+    assert "strings" in rows
+
+
