@@ -259,11 +259,12 @@ def parse_trec_docs(records: DataFrame, body_tag: str = "TEXT", web: bool = Fals
     tags. ``web``: lines joined with a space, tabs and CRs replaced."""
     body_re = rf"(?s)<{body_tag}>\s*(.*?)\s*</{body_tag}>"
     v = F.col("value")
-    r = records.where(v.contains("<DOCNO>"))
     body = F.regexp_extract(v, body_re, 1)
     if web:
         body = F.regexp_replace(F.regexp_replace(body, r"[\t\r]", " "), r"\n", " ")
-    return r.select(F.regexp_extract(v, _DOCNO, 1).alias("did"), body.alias("text"))
+    # a filter would be pushed below what makes the records, which would then be made twice
+    found = F.struct(F.regexp_extract(v, _DOCNO, 1).alias("did"), body.alias("text"))
+    return records.select(F.inline(F.when(v.contains("<DOCNO>"), F.array(found)).otherwise(F.array())))
 
 
 def read_trec_docs(spark: SparkSession, paths, body_tag: str = "TEXT", web: bool = False) -> DataFrame:
