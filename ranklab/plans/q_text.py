@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import expand as R
 from ..operators.groups import term_stats as _term_stats
+from ..session import materialize
 from . import views as V
 from .catalog import r6, register
 
@@ -98,8 +99,9 @@ SELECT e.qid, e.ids, coalesce(dec.text, '') AS text FROM enc e LEFT JOIN dec USI
 def encode_decode(spark, sf_dir):
     """X5 + S10: queries → ids with the corpus vocabulary (start id, width 32,
     padded), then decoded back to text."""
-    vocab = X.build_vocab(_term_stats(_corpus_tokens(spark, sf_dir)))
-    enc = X.encode_tokens(_query_tokens(spark, sf_dir), "qid", "tokens", vocab, 32)
+    stats = materialize(_term_stats(_corpus_tokens(spark, sf_dir)), "words")
+    vocab = materialize(X.build_vocab(stats), "vocab")
+    enc = materialize(X.encode_tokens(_query_tokens(spark, sf_dir), "qid", "tokens", vocab, 32), "ids")
     dec = X.decode_ids(enc, "qid", "ids", vocab)
     return enc.join(dec, "qid").select("qid", "ids", "text")
 
