@@ -77,3 +77,16 @@ def test_strings_of_hot_anchors_are_made_once(spark, monkeypatch):
     assert "strings" in rows
 
 
+def test_texts_too_far_apart_for_a_link_are_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(400))
+    # a sixth of each text's weight is its own: two of them are 0.71 alike
+    texts = [f"{passage} {' '.join(word() for _ in range(10))}" for _ in range(240)]
+    rows = {}
+    counted(monkeypatch, near_dedup, rows)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: i for i in range(240)}
+    assert sum(rows["rare"]) > 1000
+    assert sum(rows["pairs"][1:]) == 0
