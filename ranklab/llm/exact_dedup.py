@@ -99,7 +99,7 @@ def _compare(heads_only: bool) -> Callable:
                 if end:                                   # the open run goes on
                     size += end
                     if not heads_only:
-                        held.append(small.slice(0, end))
+                        held.append(_copied(small, 0, end))
                 if not len(starts):
                     continue
                 if text is not None:
@@ -122,14 +122,20 @@ def _compare(heads_only: bool) -> Callable:
                     runs += len(lengths)
                 at = int(starts[-1])
                 runs, size, text = runs + 1, n - at, t[at].as_py()
-                first_id = small.column("_id").slice(at, 1)
-                held = [small.slice(at, 1 if heads_only else n - at)]
+                held = [_copied(small, at, 1 if heads_only else n - at)]
+                first_id = held[0].column("_id").slice(0, 1)
         if text is not None:
             yield from close(True)
 
     return run
 
 
+def _copied(b: pa.RecordBatch, at: int, n: int) -> pa.RecordBatch:
+    """Rows of ``b`` without the buffer that all columns of a received batch share,
+    the text's too."""
+    return b.take(pa.array(np.arange(at, at + n)))
+
+
 def _rows(part: int, run, nth, size, first_id: pa.Array, digest: pa.Array, border: pa.Array, row: pa.Array) -> pa.RecordBatch:
     cols = [pa.array(np.full(len(run), part, np.int32)), pa.array(np.asarray(run, np.int64)), pa.array(np.asarray(nth, np.int64)),
             pa.array(np.asarray(size, np.int64)), first_id, digest, border, row]
