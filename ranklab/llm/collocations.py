@@ -19,7 +19,10 @@ Texts are read once and stored as slices: the distinct words of a slice, with a
 64-bit id each, and the codes of its words in order. An aggregation proves that no
 two words of the corpus share an id; if two did, the next seed would be taken. A scan
 sends each distinct phrase of a slice once, as ids, with its count, and is summed by
-itself. At the end of a cycle the scans are merged into the counts so far, and a
+itself. Phrases are dealt into parts by hash; a row is the phrases that a slice has of
+a part, a binary column for each word, and Spark brings the rows of a part together
+to be summed. The parts are as many as the corpus' words ask for, some MB each. At the
+end of a cycle the scans are merged into the counts so far, and a
 phrase that has had its cycle below the threshold leaves them. In between, only
 shares of at least threshold / shards are summed: no phrase reaches the threshold
 without such a share, most frequent ones are found by these alone, and one that also
@@ -50,6 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, scratch, slices, stored, table, text_or_empty
+from .near_dedup import _blobs, _joined
 
 LEAST = 10                   # occurrences of a phrase
 LONGEST = 3                  # words of a phrase
@@ -60,7 +64,9 @@ FILTER_BITS = 1 << 26        # 8 MB, whatever the input
 PROBES = 4
 SLICE = 16 << 20             # bytes of text at once
 SLICE_DOCS = 1 << 20         # and documents
-SEND_ROWS = 1 << 16
+SEND_ROWS = 1 << 18          # phrases sent at once
+PART = 1 << 18               # words of the corpus for each part of the phrases
+ROW = 1 << 14                # phrases in a stored row
 CODED = "shard int, lang string, words array<string>, ids array<long>, n_words long, codes binary"
 LINK = 1 << 31               # in a code: the next word is in the same piece
 
@@ -103,20 +109,64 @@ def _columns(longest: int) -> list[str]:
     return [f"w{i + 1}" for i in range(longest)]
 
 
-def _bits(bits: int, longest: int) -> Callable:
-    """(cell, mask) of the phrases of a batch."""
+def _hash(cols: list[np.ndarray]) -> np.ndarray:
+    h = cols[0]
+    for w in cols[1:]:
+        h = np.where(w == 0, h, _extended(h, w))
+    return h
+
+
+def _bits(bits: int, longest: int, least: int) -> Callable:
+    """(cell, mask) of the phrases that occur ``least`` times and may be part of a
+    longer one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.zeros(bits // 64, np.uint64)
+        for b in batches:
+            cols = [_joined(b.column(c), np.uint64) for c in _columns(longest)]
+            good = (_joined(b.column("n"), np.int64) >= least) & (cols[-1] == 0)
+            for at in _probes(_hash([c[good] for c in cols]), bits):
+                np.bitwise_or.at(mask, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        cell = np.flatnonzero(mask)
+        yield pa.record_batch([pa.array(cell), pa.array(mask[cell].view(np.int64))], names=["cell", "mask"])
+
+    return run
+
+
+def _summed(longest: int, share: int, least: int, after: int) -> Callable:
+    """The phrases of a part, each once, with its count and the first of its scans:
+    those that occur ``least`` times or were first met after scan ``after``. Rows are
+    of one scan and either of counts from ``share`` on (big) or of smaller ones."""
+    keys = _columns(longest)
+
+    def run(group: pa.Table) -> pa.Table:
+        since = np.repeat(group["since"].to_numpy(), pc.binary_length(group["n"]).to_numpy() // 8)
+        t = pa.table([*(_joined(group[c], np.int64) for c in [*keys, "n"]), since], names=[*keys, "n", "since"])
+        t = t.group_by(keys, use_threads=False).aggregate([("n", "sum"), ("since", "min")])
+        n, since = t["n_sum"].to_numpy(), t["since_min"].to_numpy()
+        kept = np.flatnonzero((n >= least) | (since > after))
+        kept = kept[np.lexsort((n[kept] >= share, since[kept]))]
+        n, since = n[kept], since[kept]
+        big = n >= share
+        new = np.concatenate([[True], (since[1:] != since[:-1]) | (big[1:] != big[:-1])])[:len(n)]
+        new[::ROW] = True
+        first = np.flatnonzero(new)
+        edges = np.append(first, len(n))
+        return pa.table([pa.repeat(group["part"][0], len(first)), pa.array(since[first]), pa.array(big[first]),
+                         *(_blobs(x, edges) for x in [*(t[c].to_numpy()[kept] for c in keys), n])], names=["part", "since", "big", *keys, "n"])
+
+    return run
+
+
+def _rows(longest: int, least: int) -> Callable:
+    """A row (w1, w2, ..., n) for each phrase that occurs ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _columns(longest)]
-            h = cols[0]
-            for w in cols[1:]:
-                h = np.where(w == 0, h, _extended(h, w))
-            at = np.concatenate(list(_probes(h, bits)))
-            cell, where = np.unique(at >> np.uint64(6), return_inverse=True)
-            mask = np.zeros(len(cell), np.uint64)
-            np.bitwise_or.at(mask, where, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.record_batch([pa.array(cell.astype(np.int64)), pa.array(mask.view(np.int64))], names=["cell", "mask"])
+            good = _joined(b.column("n"), np.int64) >= least
+            cols = [_joined(b.column(c), np.int64)[good] for c in [*_columns(longest), "n"]]
+            for i in range(0, len(cols[0]), SEND_ROWS):
+                yield pa.record_batch([pa.array(x[i:i + SEND_ROWS]) for x in cols], names=[*_columns(longest), "n"])
 
     return run
 
@@ -175,16 +225,23 @@ def _distinct(code: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[l
     return [key, *reversed(out)], n
 
 
-def _scan(now, before, first_cycle: bool, longest: int) -> Callable:
-    """(w1, w2, ..., n) of the phrases that become countable at this visit, in the
-    first cycle also of words. Missing words are 0."""
-    names = [*_columns(longest), "n"]
+def _scan(now, before, first_cycle: bool, longest: int, parts: int) -> Callable:
+    """(part, w1, w2, ..., n) of the phrases that become countable at this visit, in
+    the first cycle also of words. Missing words are 0."""
+    names = ["part", *_columns(longest), "n"]
 
     def sent(ids: np.ndarray, cols: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(n), SEND_ROWS):
-            part = n[i:i + SEND_ROWS].astype(np.int64)
-            words = [ids[c[i:i + SEND_ROWS]].view(np.int64) for c in cols] + [np.zeros(len(part), np.int64)] * (longest - len(cols))
-            yield pa.record_batch([pa.array(x) for x in [*words, part]], names=names)
+        part = (_hash([ids[c] for c in cols]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+        part = part[order].astype(np.int32)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        edges = np.append(first, len(n))
+        few = max(1, len(first) * SEND_ROWS // len(n))
+        for i in range(0, len(first), few):
+            e = edges[i:i + few + 1]
+            at = order[e[0]:e[-1]]
+            columns = [ids[c[at]] for c in cols] + [np.zeros(len(at), np.int64)] * (longest - len(cols)) + [n[at].astype(np.int64)]
+            yield pa.record_batch([pa.array(part[e[:-1]]), *(_blobs(x, e - e[0]) for x in columns)], names=names)
 
     def phrases_of(ids: np.ndarray, codes: np.ndarray, new: np.ndarray | None, old: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         code, link = (codes & np.uint32(LINK - 1)).astype(np.int64), codes[:-1] >= LINK
@@ -245,28 +302,28 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     spark = docs.sparkSession
     coded, words = _shards(docs, text_col, lang_col, shards)
     keys = _columns(longest)
-    row = ", ".join(f"{c} long" for c in [*keys, "n"])
+    lists = ", ".join(f"{c} binary" for c in [*keys, "n"])
+    summed = f"part int, since int, big boolean, {lists}"
     cells = np.zeros(filter_bits // 64, np.uint64)
     versions: list = [None]            # filter after 0, 1, ... scans, as sent; the same one while nothing is new
     share = -(-least // shards)
+    parts = (coded.agg(F.sum("n_words")).first()[0] or 0) // PART + 1
     counts, scans, step = None, [], 0
     while step % shards or step == 0 or versions[step] is not versions[step - shards]:
         before = versions[step - shards] if step >= shards else None
         shard = coded.where(F.col("shard") == step % shards).select("ids", "codes")
-        seen = shard.mapInArrow(_scan(versions[step], before, step < shards, longest), row)
-        scans.append(stored(seen.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("since", F.lit(step)), "scan"))
+        seen = shard.mapInArrow(_scan(versions[step], before, step < shards, longest, parts), f"part int, {lists}").withColumn("since", F.lit(step))
+        scans.append(stored(seen.groupBy("part").applyInArrow(_summed(longest, share, 1, step), summed), "scan"))
         step += 1
-        parts = functools.reduce(DataFrame.unionByName, scans if counts is None else [counts, *scans])
+        met = functools.reduce(DataFrame.unionByName, scans if counts is None else [counts, *scans])
         if step % shards:
-            known = parts.where(F.col("n") >= share).groupBy(*keys).agg(F.sum("n").alias("n"))
+            known = met.where("big").groupBy("part").applyInArrow(_summed(longest, share, least, step), summed)
         else:
-            total = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("since").alias("since"))
-            known = stored(total.where((F.col("n") >= least) | (F.col("since") > step - shards)), "phrases")
+            known = stored(met.groupBy("part").applyInArrow(_summed(longest, share, least, step - shards), summed), "phrases")
             for done in [*scans, *([] if counts is None else [counts])]:
                 discard(done)
             counts, scans = known, []
-        known = known.where((F.col("n") >= least) & (F.col(keys[-1]) == 0)).select(*keys)
-        found = known.mapInArrow(_bits(filter_bits, longest), "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask"))
+        found = known.mapInArrow(_bits(filter_bits, longest, least), "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask"))
         found = found.toArrow()        # filter_bits / 64 rows at most
         grown = cells.copy()
         at = found.column("cell").to_numpy()
@@ -274,11 +331,15 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         versions.append(versions[-1] if np.array_equal(grown, cells) else spark.sparkContext.broadcast(grown.tobytes()))
         cells = grown
     n_words = coded.groupBy("lang").agg(F.sum("n_words").alias("n")).select("lang", F.lit("").alias("phrase"), "n")
-    return stored(_spelled(counts.where(F.col("n") >= least), words, keys).unionByName(n_words), "phrases")
+    kept = stored(counts.mapInArrow(_rows(longest, least), ", ".join(f"{c} long" for c in [*keys, "n"])), "kept")
+    return stored(_spelled(kept, words, keys).unionByName(n_words), "phrases")
 
 
 def _spelled(counts: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """(lang, phrase, n): ids replaced by their words."""
+    """(lang, phrase, n): ids replaced by their words. A word of a phrase occurs as
+    often as the phrase at least, so ``counts`` has it by itself, too."""
+    alone = counts.where(functools.reduce(Column.__and__, [F.col(c) == 0 for c in keys[1:]], F.lit(True)))
+    words = stored(words.join(alone.select(F.col(keys[0]).alias("id")), "id", "left_semi"), "spelling")
     out = counts
     for i, key in enumerate(keys):
         w = words.select(F.col("id").alias(f"_i{i}"), F.col("word").alias(f"_v{i}"), *([] if i else ["lang"]))

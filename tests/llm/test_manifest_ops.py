@@ -168,6 +168,23 @@ def test_collocations(spark, monkeypatch, longest, shards, bits):
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == _collocations(rows, longest, 5, 50, 30)
 
 
+def test_phrases_travel_in_parts(spark, monkeypatch):
+    """A slice sends a row per part, not one per phrase, and the parts are summed whole."""
+    monkeypatch.setattr(C, "PART", 100)
+    monkeypatch.setattr(C, "ROW", 16)
+    monkeypatch.setattr(C, "SEND_ROWS", 50)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(20)), ["en", "de"][i % 2], "s", 1, "") for i in range(40)]
+    coded, _ = C._shards(_docs(spark, rows), "text", "lang", 2)
+    one = coded.select("ids", "codes").limit(1)
+    full = spark.sparkContext.broadcast(b"\xff" * 8)
+    sent = one.mapInArrow(C._scan(full, None, True, 3, 4), "part int, w1 binary, w2 binary, w3 binary, n binary").collect()
+    assert len(sent) <= 3 * 4 and sum(len(r.n) // 8 for r in sent) > 100
+    counts = C.count_phrases(_docs(spark, rows), least=4, shards=2, filter_bits=1 << 12)
+    got = C.collocations(counts, least=4, share=50, report=1000).collect()
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == _collocations(rows, 3, 4, 50, 1000)
+
+
 def test_collocations_edge_cases(spark):
     assert C.collocations(C.count_phrases(_docs(spark, []))).count() == 0
     big = 3 * 10 ** 14
