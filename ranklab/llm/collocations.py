@@ -64,9 +64,9 @@ FILTER_BITS = 1 << 26        # 8 MB, whatever the input
 PROBES = 4
 SLICE = 16 << 20             # bytes of text at once
 SLICE_DOCS = 1 << 20         # and documents
-SEND_ROWS = 1 << 18          # phrases sent at once
+SEND_ROWS = 1 << 16          # phrases sent, and words looked up, at once
 PART = 1 << 18               # words of the corpus for each part of the phrases
-ROW = 1 << 14                # phrases in a stored row
+ROW = 1 << 16                # words of phrases in a stored row, so that 16 bits tell them apart
 CODED = "shard int, lang string, words array<string>, ids array<long>, n_words long, codes binary"
 LINK = 1 << 31               # in a code: the next word is in the same piece
 
@@ -109,6 +109,10 @@ def _columns(longest: int) -> list[str]:
     return [f"w{i + 1}" for i in range(longest)]
 
 
+def _codes(longest: int) -> list[str]:
+    return [f"c{i + 1}" for i in range(longest)]
+
+
 def _hash(cols: list[np.ndarray]) -> np.ndarray:
     h = cols[0]
     for w in cols[1:]:
@@ -116,6 +120,17 @@ def _hash(cols: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _phrases(rows: pa.Table | pa.RecordBatch, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words, as ids, and counts of the phrases in rows of a scan (``w1`` ...) or in
+    summed rows (``ids``, and ``c1`` ... that point into a row's ids)."""
+    if "w1" in rows.schema.names:
+        return [_joined(rows[c], np.int64) for c in _columns(longest)], _joined(rows["n"], np.int64)
+    ids = _joined(rows["ids"], np.int64)
+    size = pc.binary_length(rows["ids"]).to_numpy(zero_copy_only=False) // 8
+    first = np.repeat(np.cumsum(size) - size, pc.binary_length(rows["n"]).to_numpy(zero_copy_only=False) // 8)
+    return [ids[first + _joined(rows[c], np.uint16)] for c in _codes(longest)], _joined(rows["n"], np.int64)
+
+
 def _bits(bits: int, longest: int, least: int) -> Callable:
     """(cell, mask) of the phrases that occur ``least`` times and may be part of a
     longer one."""
@@ -123,9 +138,9 @@ def _bits(bits: int, longest: int, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(bits // 64, np.uint64)
         for b in batches:
-            cols = [_joined(b.column(c), np.uint64) for c in _columns(longest)]
-            good = (_joined(b.column("n"), np.int64) >= least) & (cols[-1] == 0)
-            for at in _probes(_hash([c[good] for c in cols]), bits):
+            cols, n = _phrases(b, longest)
+            good = (n >= least) & (cols[-1] == 0)
+            for at in _probes(_hash([c[good].view(np.uint64) for c in cols]), bits):
                 np.bitwise_or.at(mask, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         cell = np.flatnonzero(mask)
         yield pa.record_batch([pa.array(cell), pa.array(mask[cell].view(np.int64))], names=["cell", "mask"])
@@ -136,12 +151,14 @@ def _bits(bits: int, longest: int, least: int) -> Callable:
 def _summed(longest: int, share: int, least: int, after: int) -> Callable:
     """The phrases of a part, each once, with its count and the first of its scans:
     those that occur ``least`` times or were first met after scan ``after``. Rows are
-    of one scan and either of counts from ``share`` on (big) or of smaller ones."""
+    of one scan and either of counts from ``share`` on (big) or of smaller ones; the
+    words of a row are told once, and its phrases point to them."""
     keys = _columns(longest)
 
     def run(group: pa.Table) -> pa.Table:
+        cols, n = _phrases(group, longest)
         since = np.repeat(group["since"].to_numpy(), pc.binary_length(group["n"]).to_numpy() // 8)
-        t = pa.table([*(_joined(group[c], np.int64) for c in [*keys, "n"]), since], names=[*keys, "n", "since"])
+        t = pa.table([*cols, n, since], names=[*keys, "n", "since"])
         t = t.group_by(keys, use_threads=False).aggregate([("n", "sum"), ("since", "min")])
         n, since = t["n_sum"].to_numpy(), t["since_min"].to_numpy()
         kept = np.flatnonzero((n >= least) | (since > after))
@@ -149,11 +166,18 @@ def _summed(longest: int, share: int, least: int, after: int) -> Callable:
         n, since = n[kept], since[kept]
         big = n >= share
         new = np.concatenate([[True], (since[1:] != since[:-1]) | (big[1:] != big[:-1])])[:len(n)]
-        new[::ROW] = True
+        new[::max(1, ROW // longest)] = True
         first = np.flatnonzero(new)
         edges = np.append(first, len(n))
+        cols = np.stack([t[c].to_numpy()[kept] for c in keys])
+        codes, ids = np.zeros(cols.shape, np.uint16), [np.zeros(0, np.int64)]
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own, at = np.unique(cols[:, a:z], return_inverse=True)
+            ids.append(own)
+            codes[:, a:z] = at.reshape(longest, -1)
         return pa.table([pa.repeat(group["part"][0], len(first)), pa.array(since[first]), pa.array(big[first]),
-                         *(_blobs(x, edges) for x in [*(t[c].to_numpy()[kept] for c in keys), n])], names=["part", "since", "big", *keys, "n"])
+                         _blobs(np.concatenate(ids), np.cumsum([len(x) for x in ids])), *(_blobs(c, edges) for c in codes), _blobs(n, edges)],
+                        names=["part", "since", "big", "ids", *_codes(longest), "n"])
 
     return run
 
@@ -163,8 +187,8 @@ def _rows(longest: int, least: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = _joined(b.column("n"), np.int64) >= least
-            cols = [_joined(b.column(c), np.int64)[good] for c in [*_columns(longest), "n"]]
+            cols, n = _phrases(b, longest)
+            cols = [x[n >= least] for x in [*cols, n]]
             for i in range(0, len(cols[0]), SEND_ROWS):
                 yield pa.record_batch([pa.array(x[i:i + SEND_ROWS]) for x in cols], names=[*_columns(longest), "n"])
 
@@ -183,7 +207,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
     words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[data[inside]])])
     coded = words.dictionary_encode()
-    piece = np.cumsum(kind == 2, dtype=np.int32)[start]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), start)
     return coded.indices.to_numpy(), coded.dictionary, piece[1:] == piece[:-1]
 
 
@@ -210,19 +234,39 @@ def _code(shards: int, seed: int) -> Callable:
 
 def _distinct(code: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The words (a column each) of the distinct phrases of k words at ``at``, with counts."""
-    cols = [code[at + i] for i in range(k)]
     if n_words ** k >= 1 << 63:
-        rows, n = np.unique(np.stack(cols, 1), axis=0, return_counts=True)
+        rows, n = np.unique(np.stack([code[at + i] for i in range(k)], 1), axis=0, return_counts=True)
         return list(rows.T), n
-    key = cols[0]
-    for c in cols[1:]:
-        key = key * n_words + c
-    key, n = np.unique(key, return_counts=True)
+    key = code[at].astype(np.int64)
+    for _ in range(k - 1):
+        at += 1
+        key *= n_words
+        key += code[at]
+    del at
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, n = key[first], np.diff(np.append(first, len(key))).astype(np.uint32)
     out = []
     for _ in range(k - 1):
         key, last = np.divmod(key, n_words)
-        out.append(last)
-    return [key, *reversed(out)], n
+        out.append(last.astype(np.uint32))
+    return [key.astype(np.uint32), *reversed(out)], n
+
+
+def _active(cells: np.ndarray, held: np.ndarray, word: np.ndarray, link: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For 2 words to ``longest``: where a phrase begins of which the filter has both
+    parts. ``held`` tells it of single words."""
+    h, run, out = word, np.ones(len(word), bool), []
+    for k in range(2, longest + 1):
+        run = run[:-1] & link[k - 2:]
+        out.append(run & held[:-1] & held[1:])
+        if k < longest:
+            at = np.flatnonzero(out[-1])
+            longer, held = np.zeros(len(run), np.uint64), np.zeros(len(run), bool)
+            longer[at] = _extended(h[at], word[at + k - 1])
+            h = longer
+            held[at] = _holds(cells, h[at])
+    return out
 
 
 def _scan(now, before, first_cycle: bool, longest: int, parts: int) -> Callable:
@@ -231,8 +275,11 @@ def _scan(now, before, first_cycle: bool, longest: int, parts: int) -> Callable:
     names = ["part", *_columns(longest), "n"]
 
     def sent(ids: np.ndarray, cols: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (_hash([ids[c] for c in cols]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+        part = np.zeros(len(n), np.min_scalar_type(parts))
+        for i in range(0, len(n), SEND_ROWS):
+            h = _hash([ids[c[i:i + SEND_ROWS]] for c in cols])
+            part[i:i + SEND_ROWS] = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
         part = part[order].astype(np.int32)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         edges = np.append(first, len(n))
@@ -244,30 +291,23 @@ def _scan(now, before, first_cycle: bool, longest: int, parts: int) -> Callable:
             yield pa.record_batch([pa.array(part[e[:-1]]), *(_blobs(x, e - e[0]) for x in columns)], names=names)
 
     def phrases_of(ids: np.ndarray, codes: np.ndarray, new: np.ndarray | None, old: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        code, link = (codes & np.uint32(LINK - 1)).astype(np.int64), codes[:-1] >= LINK
+        code = codes & np.uint32(LINK - 1)
         if first_cycle:
             yield from sent(ids, [np.arange(len(ids))], np.bincount(code, minlength=len(ids)))
         if new is None:
             return
-        word = ids[code]
-        h, run = word, np.ones(len(code), bool)
-        in_new, in_old = _holds(new, ids)[code], _holds(old, ids)[code] if old is not None else np.zeros(len(code), bool)
+        begins = [np.zeros(len(code), bool) for _ in range(2, longest + 1)]
+        alone = [(cells, _holds(cells, ids)) for cells in (new, old) if cells is not None]
+        for i in range(0, len(code), SEND_ROWS):
+            z = i + SEND_ROWS + longest - 1
+            active = [_active(cells, held[code[i:z]], ids[code[i:z]], codes[i:z][:-1] >= LINK, longest) for cells, held in alone]
+            for begin, due, *counted in zip(begins, *active, strict=True):
+                due = functools.reduce(lambda x, y: x & ~y, counted, due)[:SEND_ROWS]
+                begin[i:i + len(due)] = due
         for k in range(2, longest + 1):
-            run = run[:-1] & link[k - 2:]
-            act_new, act_old = run & in_new[:-1] & in_new[1:], run & in_old[:-1] & in_old[1:]
-            at = np.flatnonzero(act_new & ~act_old)
+            at = np.flatnonzero(begins[k - 2])
             if len(at):
                 yield from sent(ids, *_distinct(code, at, k, len(ids)))
-            if k < longest:
-                at = np.flatnonzero(act_new)
-                longer = np.zeros(len(word), np.uint64)
-                longer[at] = _extended(h[at], word[at + k - 1])
-                h = longer
-                in_new, in_old = np.zeros(len(code) - k + 1, bool), np.zeros(len(code) - k + 1, bool)
-                in_new[at] = _holds(new, h[at])
-                if old is not None:
-                    at = np.flatnonzero(act_old)
-                    in_old[at] = _holds(old, h[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, old = (np.frombuffer(x.value, np.uint64) if x is not None else None for x in (now, before))
@@ -275,6 +315,7 @@ def _scan(now, before, first_cycle: bool, longest: int, parts: int) -> Callable:
             for i in range(b.num_rows):
                 ids = b.column("ids").slice(i, 1).flatten().to_numpy().view(np.uint64)
                 yield from phrases_of(ids, np.frombuffer(b.column("codes")[i].as_buffer(), np.uint32), new, old)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -303,7 +344,7 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     coded, words = _shards(docs, text_col, lang_col, shards)
     keys = _columns(longest)
     lists = ", ".join(f"{c} binary" for c in [*keys, "n"])
-    summed = f"part int, since int, big boolean, {lists}"
+    summed = ", ".join(["part int, since int, big boolean", *(f"{c} binary" for c in ["ids", *_codes(longest), "n"])])
     cells = np.zeros(filter_bits // 64, np.uint64)
     versions: list = [None]            # filter after 0, 1, ... scans, as sent; the same one while nothing is new
     share = -(-least // shards)
