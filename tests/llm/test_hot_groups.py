@@ -90,3 +90,41 @@ def test_texts_too_far_apart_for_a_link_are_no_pairs(spark, monkeypatch):
     assert got == {i: i for i in range(240)}
     assert sum(rows["rare"]) > 1000
     assert sum(rows["pairs"][1:]) == 0
+
+
+def test_copies_of_a_text_are_counted_once(spark):
+    """Against counts and weights that don't come from the operator."""
+    import collections
+    import itertools
+    import math
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(250)]
+    for group in range(3):
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base)] * 120 + [" ".join(base).upper() + " !", "  " + ",  ".join(base)] * 20
+        for edits in (1, 2, 3, 12):                       # near copies
+            cut = list(base)
+            for i in range(edits):
+                cut[15 * i + group + edits] = word()
+            texts.append(" ".join(cut))
+    words = ["".join(c if c.isalnum() else " " for c in t.lower()).split() for t in texts]
+    sets = sorted({tuple(w) for w in words})
+    cut = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in sets]
+    in_docs = collections.Counter(g for c in cut for g in c)
+    weigh = lambda grams: sum(math.log(1 + len(sets) / in_docs[g]) for g in grams)
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if cut[i] & cut[j] and weigh(cut[i] & cut[j]) >= 0.8 * weigh(cut[i] | cut[j]):
+            label = [label[i] if x == label[j] else x for x in label]
+    assert len(set(label)) == 250 + 3 + 3                 # all but those of 12 edits
+    of = {w: label[i] for i, w in enumerate(sets)}
+    want = {}
+    for i, w in enumerate(words):
+        want.setdefault(of[tuple(w)], i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [want[of[tuple(w)]] for w in words]
+    # copies of all rows change nothing
+    again = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df.unionByName(df)).collect()}
+    assert again == got
